@@ -1,0 +1,28 @@
+"""Queries of the retrieval engine on the test tables."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def vector_topk_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
+    documents = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang", "source")
+    query = [float(x) for x in vectors.filter("vec_id = 0").first()["v"]]
+    q = F.array(*[F.lit(x) for x in query])
+    dot = F.aggregate(F.zip_with("v", q, lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
+    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
+    length = sum(x * x for x in query) ** 0.5
+    scored = vectors.join(documents, F.col("vec_id") == F.col("doc_id")).select("vec_id", "lang", "source", (dot / (norm * F.lit(length))).alias("s"))
+    top = scored.orderBy(F.desc("s"), "vec_id").limit(10)
+    return top.select(F.row_number().over(Window.orderBy(F.desc("s"), "vec_id")).alias("rank"), "vec_id", "lang", "source", F.round("s", 6).alias("score"))
+
+
+QUERIES["vector_topk_cosine"] = vector_topk_cosine
