@@ -10,6 +10,8 @@ from collections.abc import Callable, Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from quire.session import ship
+
 #: Rows and bytes that Spark hands to a Python worker at once. Texts differ in
 #: length by orders of magnitude, so the byte bound is the one that matters.
 BATCH_ROWS = 2000
@@ -56,11 +58,20 @@ def staged(df: DataFrame, name: str, **options: object) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def fresh(name: str, taken: Iterable[str]) -> str:
+    """A column name that is not taken, whatever the case of its letters."""
+    lowered = {c.lower() for c in taken}
+    while name.lower() in lowered:
+        name = f"_{name}"
+    return name
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
 def arrow_map(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    ship(df.sparkSession)
     small_batches(df.sparkSession)
     return df.mapInArrow(function, schema)
 
@@ -136,6 +147,7 @@ class UnitCache:
 #: Units looked up at once in a very long text.
 SEGMENT = 200_000
 
+
 #: A single space between two characters that no library takes for white space.
 _SAFE_SPACE = re.compile(r"(?<=[^\s\u180e]) (?=[^\s\u180e])")
 _ODD_SPACE = re.compile(r"[^\S \n]|\u180e|  | \n|\n ")

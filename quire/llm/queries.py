@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quire.llm import bpe, media, packing, token_counts, token_files
+from quire.llm import bpe, language, linededup, media, packing, quality, search, simhash, token_counts, token_files
 from quire.llm.common import read_table
 
 
@@ -21,6 +22,10 @@ def op1_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.drop_repeated_lines(read_table(spark, sf_dir, "documents")).select("doc_id", "text")
+
+
 def op3_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_columns(read_table(spark, sf_dir, "documents"))
 
@@ -29,21 +34,72 @@ def op4_bpe_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(read_table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
+def fold(modulus: int) -> Column:
+    """crc32 of doc_id as text, modulo `modulus`; -1 for a null doc_id."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % modulus, F.lit(-1))
+
+
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = read_table(spark, sf_dir, "documents")
+    model = language.fit(documents, fold(3) != 1)
+    found = language.predict(documents.select("doc_id", "text"), model)
+    return found.select("doc_id", (fold(3) == 1).alias("held_out"), "lang_pred", "score", "rejected")
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(read_table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
 
 
+def op7_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = search.integer_vectors(read_table(spark, sf_dir, "embeddings"))
+    return search.top_k(vectors, vectors.filter(F.col("vec_id") % 20 == 0), k=20)
+
+
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = token_files.write_token_files(read_table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), end_id=2)
     return token_files.read_token_files(files)
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = read_table(spark, sf_dir, "documents")
+    model = quality.fit(documents, read_table(spark, sf_dir, "labels"), ~fold(5).isin(0, -1))
+    found = quality.predict(documents.select("doc_id", "text"), model)
+    return found.select("doc_id", (fold(5) == 0).alias("held_out"), "score", "predicted")
+
+
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(read_table(spark, sf_dir, "documents"), words=4, distance=4)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_harmonic_packing": op1_harmonic_packing,
+    "op2_line_dedup": op2_line_dedup,
     "op3_media_columns": op3_media_columns,
     "op4_bpe_trie": op4_bpe_trie,
+    "op5_language_id": op5_language_id,
     "op6_token_counts": op6_token_counts,
+    "op7_exact_top_k": op7_exact_top_k,
     "op8_token_files": op8_token_files,
+    "op9_quality": op9_quality,
+    "op10_simhash": op10_simhash,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: SQL for those that it can express: none hashes, encodes or clusters as these do but the top-k search.
+ORACLE_SQL: dict[str, str] = {
+    "op7_exact_top_k": """
+        WITH v AS (
+            SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS v
+            FROM embeddings
+            WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+              AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ), scored AS (
+            SELECT q.vec_id AS query_id, c.vec_id AS vec_id, list_inner_product(q.v::DOUBLE[], c.v::DOUBLE[])::BIGINT AS score
+            FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v)
+            WHERE q.vec_id % 20 = 0
+        ), ranked AS (
+            SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INTEGER AS rank, vec_id, score
+            FROM scored
+        )
+        SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
+    """,
+}
