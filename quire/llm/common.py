@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -146,15 +145,3 @@ class UnitCache:
 
 #: Units looked up at once in a very long text.
 SEGMENT = 200_000
-
-
-#: A single space between two characters that no library takes for white space.
-_SAFE_SPACE = re.compile(r"(?<=[^\s\u180e]) (?=[^\s\u180e])")
-_ODD_SPACE = re.compile(r"[^\S \n]|\u180e|  | \n|\n ")
-
-
-def spaced_units(text: str) -> list[str]:
-    """Split at each single space that stands between two visible characters; the space itself goes."""
-    if text and not _ODD_SPACE.search(text) and text[0] not in " \n" and text[-1] not in " \n":
-        return text.split(" ")
-    return _SAFE_SPACE.split(text)

@@ -56,7 +56,7 @@ def op7_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = token_files.write_token_files(read_table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), end_id=2)
+    files = token_files.write_token_files(read_table(spark, sf_dir, "documents"), token_files.vocabulary("byte_bpe_50k"), end_id=2)
     return token_files.read_token_files(files)
 
 

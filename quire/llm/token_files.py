@@ -11,7 +11,6 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -19,44 +18,33 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.llm.common import UnitCache, arrow_map, byte_slices, partitions, spaced_units, staged
+from quire.llm.common import arrow_map, byte_slices, partitions, staged
+from quire.llm.plain_ids import byte_encoder
 
 ROW_GROUP_BYTES = 16 << 20
 PAGE_ROWS = 2000
 SCHEMA = "doc_id long, part int, part_start long, n_tokens long, tokens array<int>"
 
 
-@lru_cache(maxsize=1)
-def byte_bpe(path: str) -> tuple[UnitCache, UnitCache]:
-    """Caches of packed ids: of units at a text's start, and of units after a space."""
-    from tokenizers import Tokenizer
+def vocabulary(name: str) -> tuple[str, str, str]:
+    """The library's file of a byte-level vocabulary, the same as a rank file, and its splitting pattern."""
+    import public_tokenizers
 
-    library = Tokenizer.from_file(path)
+    return public_tokenizers.path(f"{name}.json"), public_tokenizers.path(f"{name}.tiktoken"), public_tokenizers.PATTERN
 
-    def packed(units: list[str], before: str) -> list[bytes]:
-        found = library.encode_batch_fast([before + u for u in units], add_special_tokens=False)
-        return [np.array(e.ids, dtype="<i4").tobytes() for e in found]
 
-    return UnitCache(lambda units: packed(units, "")), UnitCache(lambda units: packed(units, " "))
-
-
-def tokenize(documents: DataFrame, vocabulary: str, end_id: int) -> DataFrame:
+def tokenize(documents: DataFrame, files: tuple[str, str, str], end_id: int) -> DataFrame:
     """Rows of SCHEMA, one per document, each ended by `end_id`. Rows keep their order within a partition."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first, rest = byte_bpe(vocabulary)
+        encoder = byte_encoder(*files)
         part, at = TaskContext.get().partitionId(), 0
-        end = np.array([end_id], dtype="<i4").tobytes()
+        end = np.array([end_id], dtype="<i4")
         for batch, texts in byte_slices(batches, "text"):
-            units = [spaced_units(text) if text else [] for text in texts]
-            heads = first.learn([u[0] for u in units if u])
-            pieces = [[heads[u[0]]] if u else [] for u in units]
-            for k, found in rest.runs([u[1:] for u in units]):
-                pieces[k] += found
-            packed = [b"".join(p) + end for p in pieces]
-            sizes = np.array([len(p) // 4 for p in packed], dtype=np.int64)
+            packed = [ids for text in texts for ids in (encoder.ids(text), end)]
+            sizes = np.array([len(p) + 1 for p in packed[::2]], dtype=np.int64)
             ends = np.cumsum(sizes)
-            tokens = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(np.frombuffer(b"".join(packed), dtype="<i4")))
+            tokens = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(np.concatenate(packed)))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(batch.schema.get_field_index("doc_id")), pa.array(np.full(len(texts), part, np.int32)), pa.array(at + ends - sizes), pa.array(sizes), tokens],
                 ["doc_id", "part", "part_start", "n_tokens", "tokens"],
@@ -66,7 +54,7 @@ def tokenize(documents: DataFrame, vocabulary: str, end_id: int) -> DataFrame:
     return arrow_map(documents.select("doc_id", "text"), run, SCHEMA)
 
 
-def write_token_files(documents: DataFrame, vocabulary: str, end_id: int) -> DataFrame:
+def write_token_files(documents: DataFrame, files: tuple[str, str, str], end_id: int) -> DataFrame:
     """Write the token files in ascending doc_id order (null ids first, equal ids by text) and return them as read back.
 
     Texts are dealt out by ranges of doc_id, so each file holds a range; a null
@@ -74,7 +62,7 @@ def write_token_files(documents: DataFrame, vocabulary: str, end_id: int) -> Dat
     """
     ordered = documents.select("doc_id", "text").repartitionByRange(partitions(documents.sparkSession), "doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"))
     options = {"parquet__block__size": ROW_GROUP_BYTES, "parquet__page__row__count__limit": PAGE_ROWS, "parquet__enable__dictionary": "true"}
-    return staged(tokenize(ordered, vocabulary, end_id), "tokens", **options)
+    return staged(tokenize(ordered, files, end_id), "tokens", **options)
 
 
 def part_starts(files: DataFrame) -> DataFrame:
