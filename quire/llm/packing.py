@@ -24,8 +24,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.llm.bpe import word_bpe
-from quire.llm.common import UnitCache, arrow_map, byte_slices, staged
+from quire.llm.common import arrow_map, byte_slices, staged
+from quire.llm.plain_ids import word_encoder
 
 PIECES = "doc_id long, part int, cls int, number long, start long, length int, doc_tokens long, ids array<int>"
 
@@ -49,32 +49,24 @@ def cut_documents(documents: DataFrame, vocabulary: str, end_id: int, capacity:
     """Rows of PIECES: every document's ids, ended by `end_id`, in pieces numbered by class within the partition."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = word_bpe(vocabulary)
-
-        def packed(units: list[str]) -> list[bytes]:
-            return [np.array(ids, dtype="<i4").tobytes() for ids in bpe.encode_units(units)]
-
-        cache = UnitCache(packed, limit=150_000, batch_chars=1 << 22)
+        encoder = word_encoder(vocabulary)
         part, numbers = TaskContext.get().partitionId(), defaultdict(int)
-        end = np.array([end_id], dtype="<i4").tobytes()
+        end = np.array([end_id], dtype="<i4")
         for batch, texts in byte_slices(batches, "text"):
-            ids: list[list[bytes]] = [[] for _ in texts]
-            for k, found in cache.runs([bpe.units(text) for text in texts]):
-                ids[k] += found
             doc_ids = batch.column(batch.schema.get_field_index("doc_id")).to_pylist()
+            values: list[np.ndarray] = []
             rows: list[tuple] = []
-            values: list[bytes] = []
-            for doc_id, parts in zip(doc_ids, ids, strict=True):
-                packed_ids = b"".join(parts) + end
-                values.append(packed_ids)
-                total, start = len(packed_ids) // 4, 0
+            for doc_id, text in zip(doc_ids, texts, strict=True):
+                ids = encoder.ids(text)
+                values += [ids, end]
+                total, start = len(ids) + 1, 0
                 for length in cut(total, capacity):
                     cls = capacity // length
                     rows.append((doc_id, cls, numbers[cls], start, length, total))
                     numbers[cls] += 1
                     start += length
             doc, cls, number, start, length, total = zip(*rows, strict=True)
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(length)]), pa.int32()), pa.array(np.frombuffer(b"".join(values), dtype="<i4")))
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(length)]), pa.int32()), pa.array(np.concatenate(values)))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(doc, pa.int64()), pa.array(np.full(len(doc), part, np.int32)), pa.array(cls, pa.int32()), pa.array(number, pa.int64()), pa.array(start, pa.int64()), pa.array(length, pa.int32()), pa.array(total, pa.int64()), lists],
                 ["doc_id", "part", "cls", "number", "start", "length", "doc_tokens", "ids"],
@@ -106,7 +98,7 @@ def place(pieces: DataFrame, capacity: int) -> DataFrame:
         bases[cls] = (full, n // cls * cls)
         full += n // cls
     table = spark.createDataFrame([(c, b, t) for c, (b, t) in bases.items()] or [(0, 0, 0)], "cls int, base long, tail_from long")
-    numbered = pieces.join(before, ["part", "cls"]).join(F.broadcast(table), "cls").withColumn("number", F.col("before") + F.col("number"))
+    numbered = pieces.withColumn("piece", F.col("number")).join(before, ["part", "cls"]).join(F.broadcast(table), "cls").withColumn("number", F.col("before") + F.col("number"))
     # Fewer than j pieces of each class j: their number depends on the capacity alone.
     tail = numbered.filter(F.col("number") >= F.col("tail_from")).select("cls", "number", "length").collect()
     tail = sorted((t.cls, t.number, t.length) for t in tail)
@@ -135,11 +127,22 @@ def pack(documents: DataFrame, vocabulary: str, end_id: int = 2, capacity: int =
     """(layout, pieces): where each piece stands, and the stored pieces with their ids.
 
     layout has doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset,
-    part, cls; pieces has the ids of the same rows by part, cls and number.
+    and the key of a piece: part, cls, piece; pieces has the ids by part, cls and
+    number (the same as piece).
     A null or empty text is one piece with the end id. Repeated rows are packed
     as often as they occur. No documents give no rows.
     """
     pieces = staged(cut_documents(documents, vocabulary, end_id, capacity), "pieces")
-    layout = place(checked(pieces), capacity)
-    columns = ["doc_id", "start", F.col("length").cast("long").alias("length"), "ids_crc32", "doc_tokens", "sequence_id", "offset", "part", "cls"]
+    layout = place(staged(checked(pieces), "layout"), capacity)
+    columns = ["doc_id", "start", F.col("length").cast("long").alias("length"), "ids_crc32", "doc_tokens", "sequence_id", "offset", "part", "cls", "piece"]
     return layout.select(*columns), pieces
+
+
+def sequences(layout: DataFrame, pieces: DataFrame, capacity: int = 4096, pad_id: int = 0) -> DataFrame:
+    """sequence_id, ids (always `capacity` of them) and used, the ids before the padding."""
+    stored = pieces.select("part", "cls", F.col("number").alias("piece"), "ids")
+    rows = layout.join(stored, ["part", "cls", "piece"])
+    # A sequence has at most `capacity` ids, so its pieces fit one row.
+    ordered = rows.groupBy("sequence_id").agg(F.array_sort(F.collect_list(F.struct("offset", "ids"))).alias("pieces"), F.sum("length").alias("used"))
+    ids = F.concat(F.flatten(F.transform("pieces", lambda p: p["ids"])), F.array_repeat(F.lit(pad_id), (F.lit(capacity) - F.col("used")).cast("int")))
+    return ordered.select("sequence_id", ids.alias("ids"), "used")
