@@ -66,7 +66,7 @@ class WordBpe:
         self.inner = {t: i for t, i in self.inner.items() if i in stable}
         self.last = {t: i for t, i in self.last.items() if i in stable}
         self.pairs: dict[int, bool] = {}
-        self.word_cache = UnitCache(self.encode_mixed, limit=200_000, batch_chars=1 << 22)
+        self.word_cache = UnitCache(self.encode_mixed, limit=150_000, batch_chars=1 << 22)
 
     def edges(self, side: int) -> dict[int, list[tuple[int, int]]]:
         """For each token, the tokens at its right (1) or left (0) edge as it grows, each with the rank that ends it."""
@@ -191,11 +191,11 @@ class WordBpe:
         ids = self.word_cache.learn(flat)
         return [[i for w in ws for i in ids[w]] for ws in split]
 
-    def encode_mixed(self, words: list[str | int]) -> list[list[int]]:
+    def encode_mixed(self, words: list[str | int]) -> list[tuple[int, ...]]:
         """As encode_words; an id of a special token stands for itself."""
         plain = [w for w in words if isinstance(w, str)]
-        ids = dict(zip(plain, self.encode_words(plain), strict=True))
-        return [ids[w] if isinstance(w, str) else [w] for w in words]
+        ids = dict(zip(plain, map(tuple, self.encode_words(plain)), strict=True))
+        return [ids[w] if isinstance(w, str) else (w,) for w in words]
 
     def decode(self, ids: list[int]) -> str:
         """Tokens joined by spaces, as the library does for a vocabulary without a decoder; unknown ids give nothing."""
@@ -213,7 +213,7 @@ def encode_documents(documents: DataFrame, vocabulary: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = word_bpe(vocabulary)
-        cache = UnitCache(bpe.encode_units, limit=100_000, batch_chars=1 << 22)
+        cache = UnitCache(bpe.encode_units, limit=250_000, batch_chars=1 << 22)
         for batch, texts in byte_slices(batches, "text"):
             lists: list[list[int]] = [[] for _ in texts]
             for k, found in cache.runs([bpe.units(text) for text in texts]):
@@ -251,7 +251,7 @@ def digests(documents: DataFrame, vocabulary: str) -> DataFrame:
         def encode(units: list[str]) -> list[tuple[int, bytes, bytes]]:
             return [(len(ids), b"".join([numbers[i] for i in ids]), b"".join([b" " + names[i] for i in ids])) for ids in bpe.encode_units(units)]
 
-        cache = UnitCache(encode, limit=100_000, batch_chars=1 << 22)
+        cache = UnitCache(encode, limit=250_000, batch_chars=1 << 22)
         for batch, texts in byte_slices(batches, "text"):
             rows = [[0, hashlib.sha256(), hashlib.sha256()] for _ in texts]
             for k, found in cache.runs([bpe.units(text) for text in texts]):
