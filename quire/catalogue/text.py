@@ -132,7 +132,7 @@ def content_sniff(spark: SparkSession, sf_dir: str) -> DataFrame:
 def eval_missing_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether each document holds the license terms of an evaluation case."""
     terms = F.array(F.lit("Licensed"), F.lit("licenses this"), F.lit("GNU General"))
-    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(T.missing_terms(F.col("text"), terms), "|").alias("missing"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(T.missing_terms(T.match_form(F.col("text"), ascii_only=True), terms), "|").alias("missing"))
 
 
 WORDS = "regexp_extract_all(text, '[^ \\n]+')"

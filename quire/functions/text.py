@@ -148,9 +148,11 @@ def term_matches(text_form: Column, term_form: Column) -> Column:
     return text_form.contains(term_form) | ((F.size(words) > 1) & all_there)
 
 
-def missing_terms(text: Column, terms: Column, ascii_only: bool = True) -> Column:
-    """The terms that do not match, in order."""
-    form = match_form(F.coalesce(text, F.lit("")), ascii_only)
+def missing_terms(form: Column, terms: Column) -> Column:
+    """The terms that do not match a text's match_form, in order.
+
+    Give the form as a column of its own where it may need the slow path. Terms are compared in their plain form.
+    """
     return F.filter(terms, lambda t: ~term_matches(form, match_form(t, True)))
 
 

@@ -70,7 +70,7 @@ def content_type(content: Column, ext: Column) -> Column:
     head = F.hex(F.substring(content, 1, 5))
     names = F.decode(content, "ISO-8859-1")
     office = F.when(~names.contains("[Content_Types].xml"), "zip").when(names.contains("word/"), "docx").when(names.contains("ppt/"), "pptx").when(names.contains("xl/"), "xlsx").otherwise("zip")
-    text = F.when(F.is_valid_utf8(content.cast("string")), content.cast("string")).otherwise(F.decode(content, "windows-1252"))
+    text = F.when(F.is_valid_utf8(content.cast("string")), content.cast("string")).otherwise(names)
     plain = (
         F.when(ext == ".json", F.when(F.try_parse_json(text).isNotNull(), "json").otherwise("text"))
         .when(ext == ".csv", "csv")

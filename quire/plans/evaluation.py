@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.functions.text import excerpt, missing_terms
+from quire.functions.text import excerpt, match_form, missing_terms
 
 CASE = "id string, question string, expected_answer_terms array<string>, expected_context_terms array<string>, expected_source_files array<string>, tags array<string>"
 
@@ -44,14 +44,15 @@ def results(all_cases: DataFrame, hits: DataFrame, answers: DataFrame | None = N
     expected = all_cases.select(F.col("id").alias("case_id"), F.explode("expected_source_files").alias("f")).select("case_id", F.lower("f").alias("file"))
     ranks = hits.select("case_id", "rank", F.lower("file_name").alias("file")).join(expected, ["case_id", "file"]).groupBy("case_id").agg(F.min("rank").alias("source_rank"))
     rows = all_cases.withColumnRenamed("id", "case_id").join(found, "case_id", "left").join(ranks, "case_id", "left")
-    rows = rows.withColumn("missing_context_terms", missing_terms(F.col("context"), F.col("expected_context_terms"), ascii_only=False))
+    rows = rows.withColumn("_form", match_form(F.coalesce("context", F.lit("")))).withColumn("missing_context_terms", missing_terms(F.col("_form"), F.col("expected_context_terms")))
     rows = rows.withColumn("retrieval_passed", (F.size("missing_context_terms") == 0) & ((F.size("expected_source_files") == 0) | F.col("source_rank").isNotNull()))
     if answers is None:
         rows = rows.withColumn("answer_passed", F.lit(None).cast("boolean")).withColumn("missing_answer_terms", F.array().cast("array<string>"))
     else:
-        rows = rows.join(answers, "case_id", "left").withColumn("missing_answer_terms", missing_terms(F.col("answer"), F.col("expected_answer_terms"), ascii_only=False))
+        rows = rows.join(answers, "case_id", "left").withColumn("_form", match_form(F.coalesce("answer", F.lit(""))))
+        rows = rows.withColumn("missing_answer_terms", missing_terms(F.col("_form"), F.col("expected_answer_terms")))
         rows = rows.withColumn("answer_passed", F.size("missing_answer_terms") == 0)
-    return rows.withColumn("status", F.when(F.col("retrieval_passed") & F.coalesce("answer_passed", F.lit(True)), "passed").otherwise("failed")).drop("context")
+    return rows.withColumn("status", F.when(F.col("retrieval_passed") & F.coalesce("answer_passed", F.lit(True)), "passed").otherwise("failed")).drop("context", "_form")
 
 
 def summary(rows: DataFrame, passed: Column, retrieval: Column, answer: Column | None = None, ms: str | None = None) -> DataFrame:

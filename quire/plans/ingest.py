@@ -34,7 +34,7 @@ def aligned(rows: DataFrame, **given: str) -> DataFrame:
 
 def checked(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(sound files with their document columns, failures with path, code and message)."""
-    rows = check_files(files)
+    rows = check_files(files.filter(~base_name(F.col("path")).startswith("~$")))
     kind = F.lit(None).cast("string")
     for e, t in FILE_TYPES.items():
         kind = F.when(F.col("ext") == e, F.lit(t)).otherwise(kind)

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from quire.config import FILE_TYPES
 from quire.functions.text import base_name, extension
 
+#: What Windows-1252 has in place of Latin-1's control characters.
+CP1252 = tuple("".join(x) for x in zip(*[(chr(b), bytes([b]).decode("cp1252")) for b in range(0x80, 0xA0) if b not in (0x81, 0x8D, 0x8F, 0x90, 0x9D)], strict=True))
 SCHEMA = "path string, modificationTime timestamp, length long, content binary"
 
 
@@ -24,6 +26,7 @@ def decoded(content: Column) -> Column:
     marked = F.hex(F.substring(content, 1, 3)) == "EFBBBF"
     gaps = F.hex(content).rlike("^(..)*?(81|8D|8F|90|9D)")  # bytes that Windows-1252 does not have
     utf8 = F.struct(F.regexp_replace(text, "^﻿", "").alias("text"), F.when(marked, "utf-8-sig").otherwise("utf-8").alias("encoding"))
-    cp1252 = F.struct(F.decode(content, "windows-1252").alias("text"), F.lit("cp1252").alias("encoding"))
-    latin = F.struct(F.decode(content, "ISO-8859-1").alias("text"), F.lit("latin-1").alias("encoding"))
+    single = F.decode(content, "ISO-8859-1")
+    cp1252 = F.struct(F.translate(single, *CP1252).alias("text"), F.lit("cp1252").alias("encoding"))
+    latin = F.struct(single.alias("text"), F.lit("latin-1").alias("encoding"))
     return F.when(F.is_valid_utf8(text), utf8).when(~gaps, cp1252).otherwise(latin)
