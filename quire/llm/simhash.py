@@ -110,7 +110,7 @@ def thresholds(sample: np.ndarray, parts: list[list[int]], distance: int, rows:
                 tried += 1
             by_chance = tried / 2.0 ** len(part)
             share = max((found - len(sample)) / pairs, by_chance)
-            costs[t] = share * rows * rows + 10.0 * rows * tried
+            costs[t] = share * rows * rows + 10.0 * max(rows, 1) * tried
         work.append(costs)
     best: dict[int, tuple[float, list[int]]] = {0: (0.0, [])}
     for costs in work:
@@ -134,13 +134,14 @@ def part_value(part: list[int]) -> Column:
 
 def probes(nodes: DataFrame, parts: list[list[int]], limits: list[int]) -> DataFrame:
     """Rows (bucket, probe, fp): each fingerprint in its own bucket of each part, and as a probe in those near it."""
-    rows = []
-    for k, (part, limit) in enumerate(zip(parts, limits, strict=True)):
-        if limit >= 0:
-            own = F.shiftleft(F.lit(k).cast("long"), 40).bitwiseOR(part_value(part))
-            for mask in masks(len(part), limit):
-                rows.append(F.struct(own.bitwiseXOR(F.lit(mask).cast("long")).alias("bucket"), F.lit(mask != 0).alias("probe")))
-    return nodes.select("fp", F.explode(F.array(*rows)).alias("r")).select("r.bucket", "r.probe", "fp")
+    probed = [(k, part, limit) for k, (part, limit) in enumerate(zip(parts, limits, strict=True)) if limit >= 0]
+    own = nodes.select("fp", *[F.shiftleft(F.lit(k).cast("long"), 40).bitwiseOR(part_value(part)).alias(f"own{k}") for k, part, _ in probed])
+
+    def near(k: int, flips: list[int]) -> Column:
+        return F.transform(F.lit(flips).cast("array<long>"), lambda x: F.struct(F.col(f"own{k}").bitwiseXOR(x).alias("bucket"), (x != 0).alias("probe")))
+
+    rows = F.concat(*[near(k, masks(len(part), limit)) for k, part, limit in probed])
+    return own.select("fp", F.explode(rows).alias("r")).select("r.bucket", "r.probe", "fp")
 
 
 def cells(rows: DataFrame, largest: int) -> DataFrame:
