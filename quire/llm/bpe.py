@@ -15,6 +15,7 @@ the left token and the left edge of the right token decides it.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import json
 import re
@@ -205,7 +206,11 @@ class WordBpe:
 @lru_cache(maxsize=1)
 def word_bpe(path: str) -> WordBpe:
     """One vocabulary, and what it has encoded, for all tasks of a Python worker."""
-    return WordBpe(path)
+    bpe = WordBpe(path)
+    # Its tables stay for good, and caches hold no cycles: the collector need not walk them again and again.
+    gc.freeze()
+    gc.set_threshold(100_000, 50, 50)
+    return bpe
 
 
 def encode_documents(documents: DataFrame, vocabulary: str) -> DataFrame:

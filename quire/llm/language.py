@@ -49,8 +49,10 @@ def counts(text: str) -> np.ndarray:
 
 def weighted(rows: np.ndarray, idf: np.ndarray) -> np.ndarray:
     """Normalised TF-IDF vectors with damped counts; a row of zeros stays."""
-    x = np.sqrt(rows).astype(np.float32) * idf
-    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+    x = np.sqrt(rows, dtype=np.float32)
+    x *= idf
+    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+    return x
 
 
 def cluster(x: np.ndarray, k: int, rounds: int = 12, least: float = 0.02) -> np.ndarray:
@@ -96,7 +98,7 @@ def bounded_sample(rows: DataFrame, key: str, most: int) -> DataFrame:
     return rows.filter(F.pmod(F.xxhash64(F.lit("sample"), key), F.lit(1 << 20)) < F.lit(math.ceil(share * (1 << 20))))
 
 
-def fit(documents: DataFrame, usable: Column, per_language: int = 600, clusters: int = 4, slack: float = 0.35) -> Model:
+def fit(documents: DataFrame, usable: Column, per_language: int = 300, clusters: int = 4, slack: float = 0.2) -> Model:
     """Fit on the usable rows with text and lang, at most about `per_language` for each language.
 
     IDF, centroids and floors come from this bounded sample: the n-gram counts

@@ -215,7 +215,7 @@ def linked(cell: np.ndarray, probe: np.ndarray, fp: np.ndarray, distance: int) -
     return out
 
 
-def links(nodes: DataFrame, distance: int = 4, m: int = 4, sample_rows: int = 20_000, largest: int = 8192) -> DataFrame:
+def links(nodes: DataFrame, distance: int = 4, m: int = 4, sample_rows: int = 8_000, largest: int = 8192) -> DataFrame:
     """Links (u, v) between distinct fingerprints (fp) that span every component of those within `distance` bits.
 
     At most about `sample_rows` fingerprints come to the driver, for the parts
