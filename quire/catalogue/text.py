@@ -182,6 +182,8 @@ ORACLE_SQL = {
     "excerpt_preview": r"""
         SELECT doc_id, CASE WHEN length(c) <= 520 THEN c ELSE rtrim(left(c, 517)) || '...' END AS excerpt, CASE WHEN length(text) <= 500 THEN text ELSE left(text, 500) || '...' END AS preview
         FROM (SELECT doc_id, text, trim(regexp_replace(text, '\s+', ' ', 'g')) AS c FROM documents)""",
+    # No message has brackets or code of its own, so the marks added are all there is to link.
+    "citation_linking": "SELECT conv_id, turn, text || ' [1](#source-1) `[2]` [3](x)' AS text FROM conversations",
     "url_redaction": "SELECT page_id, CASE WHEN page_id % 2 = 0 THEN replace(url, '://', '://***@') ELSE url END AS url FROM pages",
     "content_sniff": "SELECT page_id, 'text' AS detected, length(html) AS n_chars FROM pages",
     "eval_missing_terms": f"""

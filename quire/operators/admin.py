@@ -28,9 +28,7 @@ def paged(rows: DataFrame, order: list[Column], limit: int = 100, offset: int =
 def since_buckets(rows: DataFrame, ts: str, as_of: Column | None = None) -> DataFrame:
     """How many rows lie in the day, month and year of `as_of` (default: the newest row's time), and in all; one row."""
     if as_of is None:
-        latest = rows.agg(F.max(ts).alias("as_of"))
-        rows = rows.crossJoin(F.broadcast(latest))  # one row
-        as_of = F.col("as_of")
+        as_of = rows.agg(F.max(ts)).scalar()
     units = {"today": "day", "this_month": "month", "this_year": "year"}
     return rows.agg(*[F.count_if(F.col(ts) >= F.date_trunc(u, as_of)).alias(n) for n, u in units.items()], F.count(F.lit(1)).alias("total"))
 
@@ -79,11 +77,8 @@ def readiness(vectors: Column, children: Column) -> Column:
 
 def index_stats(**tables: DataFrame) -> DataFrame:
     """One row with the number of rows of each table."""
-    out = None
-    for name, table in tables.items():
-        one = table.agg(F.count(F.lit(1)).alias(name))
-        out = one if out is None else out.crossJoin(one)  # one row each
-    return out
+    spark = next(iter(tables.values())).sparkSession
+    return spark.range(1).select(*[t.agg(F.count(F.lit(1))).scalar().alias(name) for name, t in tables.items()])
 
 
 def event_arrays(events: DataFrame, key: str, *fields: str) -> DataFrame:

@@ -228,3 +228,28 @@ def test_rate_limits(spark):
     found = {r.event_id: r.admitted for r in jobs.admitted(requests, limit=2, seconds=60).collect()}
     assert [found[k] for k in range(10)] == [True, True, False, False, False, False, False, True, True, False] and found[100]
     assert jobs.admit([], [1, 2, 3], 0, 60)[1] == [True, True, True]
+
+
+def test_streams_of_state(spark, tmp_path):
+    source = f"file://{tmp_path}/events"
+    rows = [(1, "j1", k, "queued" if k == 0 else "running" if k < 3 else "completed", k * 10_000_000) for k in range(4)] + [(2, "j2", 0, "queued", 0)]
+    frame = spark.createDataFrame(rows, "client long, job_id string, seq long, status string, at long").withColumn("event_id", F.col("seq"))
+    frame.coalesce(1).write.parquet(source)
+    stream = spark.readStream.schema(frame.schema).parquet(source)
+    states = jobs.job_state_stream(stream).writeStream.outputMode("complete").format("memory").queryName("states").trigger(availableNow=True).start()
+    states.awaitTermination(120)
+    assert {r.job_id: (r.status, r.n_events) for r in spark.table("states").collect()} == {"j1": ("completed", 4), "j2": ("queued", 1)}
+    limited = jobs.admitted_stream(stream, limit=2, seconds=60).writeStream.outputMode("append").format("memory").queryName("limited").trigger(availableNow=True).start()
+    limited.awaitTermination(120)
+    batch = {(r.client, r.event_id): r.admitted for r in jobs.admitted(frame, limit=2, seconds=60).collect()}
+    assert {(r.client, r.event_id): r.admitted for r in spark.table("limited").collect()} == batch
+
+
+def test_upsert_keeps_and_replaces(spark, tmp_path):
+    store = Store(spark, f"file://{tmp_path}/s")
+    row = lambda i, title, at: spark.createDataFrame([(i, title, "f", "txt", "p", "{}")], "id string, title string, file_name string, file_type string, source_path string, metadata string").withColumn("created_at", F.lit(at).cast("timestamp")).withColumn("updated_at", F.lit(at).cast("timestamp"))
+    store.upsert("documents", row("a", "one", "2024-01-01"), ["id"])
+    store.upsert("documents", row("a", "two", "2024-02-02"), ["id"], keep={"created_at": "created_at"})
+    store.upsert("documents", row("b", "three", "2024-03-03"), ["id"])
+    found = {r.id: (r.title, str(r.created_at)[:10]) for r in store.read("documents").collect()}
+    assert found == {"a": ("two", "2024-01-01"), "b": ("three", "2024-03-03")}
