@@ -92,7 +92,8 @@ def with_ranges(rows: DataFrame, sizes: str, target: int, overlap: int = 0) -> D
         for series in batches:
             yield pd.Series([[{"first": a, "last": b} for a, b in pack_ranges(list(x), target, overlap)] for x in series])
 
-    return rows.withColumn("ranges", ranges(sizes))
+    # Called non-deterministic so that the optimizer does not run it again for a filter before the explode.
+    return rows.withColumn("ranges", ranges.asNondeterministic()(sizes))
 
 
 def split(rows: DataFrame, hard_max: int, target: int, overlap: int) -> DataFrame:
