@@ -111,8 +111,10 @@ def repeated_runs(found: DataFrame) -> DataFrame:
     """Runs to delete: doc_id, text_hash, and the lines from `low` to before `high`."""
     place = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), "text_hash", "line")
     with_place = found.withColumn("place", place)
-    first = with_place.groupBy("gram").agg(F.min(F.struct("place", "before", "inside", "after")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    later = with_place.join(first.select("gram", "first"), "gram").filter("place > first.place and inside = first.inside")
+    # Written, so that the join below has a plain shuffle on either side, whose hot keys adaptive execution can split.
+    firsts = with_place.groupBy("gram").agg(F.min(F.struct("place", "before", "inside", "after")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    first = staged(firsts.select("gram", "first"), "firsts")
+    later = with_place.join(first, "gram").filter("place > first.place and inside = first.inside")
 
     def shared(side: str):
         """The first index at which both arrays differ, or the shorter one's length."""
@@ -136,7 +138,7 @@ def drop_repeated_lines(documents: DataFrame, noise: int = 25, guarantee: int =
     become empty. Rows of equal doc_id and text are one place: they are not
     repeats of each other.
     """
-    runs = staged(repeated_runs(positions(documents, noise, guarantee)), "runs")
+    runs = staged(repeated_runs(staged(positions(documents, noise, guarantee), "positions")), "runs")
     spans = runs.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("low", "high")).alias("spans"))
     taken = documents.columns
     own, key, spans_name = fresh("text_hash", taken), fresh("key", taken), fresh("spans", taken)
