@@ -113,7 +113,7 @@ def fit(documents: DataFrame, labels: DataFrame, usable: Column, most: int = 400
     """
     labelled = labels.filter(F.col("quality").isin(0, 1)).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     chosen = bounded_sample(labelled.filter(usable), "doc_id", most)
-    rows = documents.select("doc_id", "text").join(chosen, "doc_id")
+    rows = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # about `most` rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in byte_slices(batches, "text"):
