@@ -85,16 +85,13 @@ def positions(documents: DataFrame, noise: int, guarantee: int) -> DataFrame:
     """A row for each fingerprint: its hash, doc_id, the text's hash, first line, and the line hashes before, in and after it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from xxhash import xxh3_64_intdigest
-
         names = ["gram", "doc_id", "text_hash", "line", "before", "inside", "after"]
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int64())]
         for batch, texts in byte_slices(batches, "text"):
             rows = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), texts, strict=True):
+            for doc_id, own, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), texts, strict=True):
                 hashes, counts = line_hashes(text.split("\n"))
                 chosen = winnow(hashes, counts, noise, guarantee)
-                own = xxh3_64_intdigest(text) - (1 << 63) if chosen else 0
                 for line, (gram, end) in chosen.items():
                     back, on = reach(counts, line - 1, -1, guarantee), reach(counts, end, 1, guarantee)
                     rows.append((gram, doc_id, own, line, hashes[line - back : line][::-1], hashes[line:end], hashes[end : end + on]))
@@ -104,7 +101,7 @@ def positions(documents: DataFrame, noise: int, guarantee: int) -> DataFrame:
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
-    return arrow_map(documents.select("doc_id", "text"), run, "gram long, doc_id long, text_hash long, line int, before array<long>, inside array<long>, after array<long>")
+    return arrow_map(documents.select("doc_id", F.xxhash64("text"), "text"), run, "gram long, doc_id long, text_hash long, line int, before array<long>, inside array<long>, after array<long>")
 
 
 def repeated_runs(found: DataFrame) -> DataFrame:
@@ -142,24 +139,20 @@ def drop_repeated_lines(documents: DataFrame, noise: int = 25, guarantee: int =
     spans = runs.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("low", "high")).alias("spans"))
     taken = documents.columns
     own, key, spans_name = fresh("text_hash", taken), fresh("key", taken), fresh("spans", taken)
-    keyed = spans.select(F.col("doc_id").alias(key), F.col("spans").alias(spans_name), F.col("text_hash").alias(own))
-    # The join is by doc_id alone, so that texts are hashed only where a span may apply.
-    grouped = keyed.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct(own, spans_name))).alias(spans_name))
-    joined = documents.join(grouped, documents["doc_id"].eqNullSafe(grouped[key]), "left").drop(key)
+    other = fresh("other_hash", taken)
+    keyed = spans.select(F.col("doc_id").alias(key), F.col("spans").alias(spans_name), F.col("text_hash").alias(other))
+    # By text too: a doc_id, or null, that many different texts share is no hot key.
+    tagged = documents.withColumn(own, F.xxhash64("text"))
+    joined = tagged.join(keyed, tagged["doc_id"].eqNullSafe(keyed[key]) & (tagged[own] == keyed[other]), "left").drop(key, own, other)
     schema = documents.schema
     at = documents.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from xxhash import xxh3_64_intdigest
-
         for batch in batches:
             texts = batch.column(at).to_pylist()
-            for k, by_text in enumerate(batch.column(len(schema)).to_pylist()):
-                if by_text and texts[k] is not None:
-                    for text_hash, runs_of in by_text:
-                        if text_hash == xxh3_64_intdigest(texts[k]) - (1 << 63):
-                            texts[k] = without(texts[k], [(r["low"], r["high"]) for r in runs_of])
-                            break
+            for k, found in enumerate(batch.column(len(schema)).to_pylist()):
+                if found and texts[k] is not None:
+                    texts[k] = without(texts[k], [(r["low"], r["high"]) for r in found])
             columns = list(batch.columns[: len(schema)])
             columns[at] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays(columns, batch.schema.names[: len(schema)])
