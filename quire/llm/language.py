@@ -106,18 +106,20 @@ def fit(documents: DataFrame, usable: Column, per_language: int = 300, clusters:
     cosine that one in a hundred of the language's own texts stays below.
     """
     rows = documents.filter(usable & F.col("text").isNotNull() & F.col("lang").isNotNull()).select("doc_id", "text", "lang")
+    # One row for each doc_id and text: rows that repeat do not make the sample grow.
+    key = F.xxhash64(F.lit("sample"), "doc_id", "text")
     sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
     share = F.lit(0)
     for lang, n in sizes.items():
         share = F.when(F.col("lang") == lang, F.lit(math.ceil(min(1.0, per_language / n) * (1 << 20)))).otherwise(share)
-    sample = rows.filter(F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(1 << 20)) < share)
+    sample = rows.withColumn("key", key).filter(F.pmod("key", F.lit(1 << 20)) < share).dropDuplicates(["lang", "key"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in byte_slices(batches, "text"):
             found = [np.minimum(counts(t), 65535).astype("<u2").tobytes() if has_letter(t) else None for t in texts]
             yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("lang")), pa.array(found, pa.binary())], ["lang", "counts"])
 
-    got = arrow_map(sample, run, "lang string, counts binary").filter("counts is not null").orderBy("lang", F.xxhash64("counts")).toArrow()
+    got = arrow_map(sample.select("lang", "text"), run, "lang string, counts binary").filter("counts is not null").orderBy("lang", F.xxhash64("counts")).toArrow()
     if not got.num_rows:
         return Model(np.ones(BUCKETS, np.float32), np.zeros((0, BUCKETS), np.float32), [], np.zeros(0))
     langs = np.array(got.column("lang").to_pylist())

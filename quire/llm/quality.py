@@ -118,9 +118,12 @@ def fit(documents: DataFrame, labels: DataFrame, usable: Column, most: int = 400
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in byte_slices(batches, "text"):
             found = [v.tobytes() for v in vectors(texts)]
-            yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("quality")), pa.array(found, pa.binary())], ["quality", "counts"])
+            columns = [batch.column(batch.schema.get_field_index(c)) for c in ("doc_id", "quality")]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(found, pa.binary())], ["doc_id", "quality", "counts"])
 
-    got = arrow_map(rows, run, "quality int, counts binary").orderBy("quality", F.xxhash64("counts")).toArrow()
+    # One row for each doc_id: rows that repeat one do not make the sample grow.
+    vectors_of = arrow_map(rows.select("doc_id", "quality", "text"), run, "doc_id long, quality int, counts binary")
+    got = vectors_of.groupBy("doc_id").agg(F.min("quality").alias("quality"), F.min("counts").alias("counts")).drop("doc_id").orderBy("quality", F.xxhash64("counts")).toArrow()
     if not got.num_rows:
         return Model(np.ones(WIDTH, np.float32), np.zeros((WIDTH, 1), np.float32), np.zeros((0, 1), np.float32), np.zeros(0), neighbours)
     raw = np.frombuffer(b"".join(got.column("counts").to_pylist()), np.float32).reshape(-1, WIDTH)
