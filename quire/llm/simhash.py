@@ -3,10 +3,11 @@
 Two fingerprints of 64 bits that differ in at most `distance` bits agree up to
 t_i bits in some part i of m, for any thresholds t_i >= -1 (-1: the part is not
 probed) with a sum of distance - m + 1. Correlated bits share a part, so that
-the parts are as independent as they can be; the thresholds are those with the
-fewest estimated candidates. Each distinct fingerprint probes, in each part, the
-buckets within the part's threshold. Within a bucket all candidates are verified
-and a spanning forest of the links goes on: no bucket emits all its pairs.
+the parts are as independent as they can be; the number of parts and the thresholds are
+those with the least estimated work. Each distinct fingerprint probes, in each
+part, the buckets within the part's threshold. Within a bucket all candidates
+are verified and a spanning forest of the links goes on: no bucket emits all its
+pairs.
 """
 
 from __future__ import annotations
@@ -25,6 +26,8 @@ from quire.llm.common import arrow_map, byte_slices, fresh, partitions, staged
 from quire.llm.components import roots
 
 BITS = 64
+#: Numbers of parts to choose from.
+PARTS = (5, 4, 3, 2)
 
 
 def shingle_hashes(data: bytes, words: int) -> list[int]:
@@ -89,11 +92,16 @@ def masks(width: int, most: int) -> list[int]:
     return [sum(1 << b for b in c) for t in range(most + 1) for c in combinations(range(width), t)]
 
 
-def thresholds(sample: np.ndarray, parts: list[list[int]], distance: int, rows: int) -> list[int]:
-    """Thresholds for the parts, by dynamic programming over estimated work.
+#: What a probe's row (dealt out, sorted, read) costs, in comparisons of two fingerprints.
+PROBE = 500.0
+
+
+def thresholds(sample: np.ndarray, parts: list[list[int]], distance: int, rows: int, bound: float = math.inf) -> tuple[float, list[int]]:
+    """Estimated work and thresholds for the parts, by dynamic programming over the work.
 
     A part's work at threshold t: candidates within t bits in it, estimated from
-    the sample's pairs for `rows` fingerprints, and ten times its probes.
+    the sample's pairs for `rows` fingerprints, and `PROBE` times its probes.
+    Infinite, without thresholds, if none comes below `bound`.
     """
     total = distance - len(parts) + 1
     pairs = max(1, len(sample) * (len(sample) - 1))
@@ -103,6 +111,8 @@ def thresholds(sample: np.ndarray, parts: list[list[int]], distance: int, rows:
         known, counts = np.unique(values, return_counts=True)
         costs, found, tried = {-1: 0.0}, 0, 0
         for t in range(min(distance, 3) + 1):
+            if PROBE * max(rows, 1) * (tried + math.comb(len(part), t)) >= bound:
+                break
             for c in combinations(range(len(part)), t):
                 other = known ^ sum(1 << b for b in c)
                 at = np.minimum(np.searchsorted(known, other), len(known) - 1)
@@ -110,7 +120,7 @@ def thresholds(sample: np.ndarray, parts: list[list[int]], distance: int, rows:
                 tried += 1
             by_chance = tried / 2.0 ** len(part)
             share = max((found - len(sample)) / pairs, by_chance)
-            costs[t] = share * rows * rows + 10.0 * max(rows, 1) * tried
+            costs[t] = share * rows * rows + PROBE * max(rows, 1) * tried
         work.append(costs)
     best: dict[int, tuple[float, list[int]]] = {0: (0.0, [])}
     for costs in work:
@@ -120,7 +130,24 @@ def thresholds(sample: np.ndarray, parts: list[list[int]], distance: int, rows:
                 if done + t not in following or cost + c < following[done + t][0]:
                     following[done + t] = (cost + c, [*chosen, t])
         best = following
-    return best[total][1]
+    return best.get(total, (math.inf, []))
+
+
+def partition(sample: np.ndarray, distance: int, rows: int, ms: tuple[int, ...]) -> tuple[list[list[int]], list[int]]:
+    """The parts and thresholds with the least estimated work, of those with a number of parts in `ms`.
+
+    Many fingerprints crowd narrow parts, so wider ones with more probes win as
+    `rows` grows; every choice finds all links.
+    """
+    least, chosen = math.inf, None
+    for m in ms:
+        parts = correlated_parts(sample, m)
+        work, limits = thresholds(sample, parts, distance, rows, least)
+        if work < least:
+            least, chosen = work, (parts, limits)
+    if chosen is None:
+        raise ValueError(f"no thresholds in {ms} parts reach a distance of {distance}")
+    return chosen
 
 
 def part_value(part: list[int]) -> Column:
@@ -215,7 +242,7 @@ def linked(cell: np.ndarray, probe: np.ndarray, fp: np.ndarray, distance: int) -
     return out
 
 
-def links(nodes: DataFrame, distance: int = 4, m: int = 4, sample_rows: int = 8_000, largest: int = 8192) -> DataFrame:
+def links(nodes: DataFrame, distance: int = 4, ms: tuple[int, ...] = PARTS, sample_rows: int = 8_000, largest: int = 8192) -> DataFrame:
     """Links (u, v) between distinct fingerprints (fp) that span every component of those within `distance` bits.
 
     At most about `sample_rows` fingerprints come to the driver, for the parts
@@ -225,8 +252,7 @@ def links(nodes: DataFrame, distance: int = 4, m: int = 4, sample_rows: int = 8_
     share = min(1.0, sample_rows / max(1, count))
     picked = nodes.filter(F.pmod(F.xxhash64("fp"), F.lit(1_000_000)) < F.lit(math.ceil(share * 1_000_000))).select("fp").toArrow()
     sample = np.sort(picked.column("fp").to_numpy().view(np.uint64)) if len(picked) else np.zeros(1, np.uint64)
-    parts = correlated_parts(sample, m)
-    limits = thresholds(sample, parts, distance, count)
+    parts, limits = partition(sample, distance, count, ms)
     rows = cells(probes(nodes, parts, limits), largest)
     n = partitions(nodes.sparkSession)
     dealt = rows.repartition(n, "cell").sortWithinPartitions("cell")
@@ -252,13 +278,13 @@ def links(nodes: DataFrame, distance: int = 4, m: int = 4, sample_rows: int = 8_
     return arrow_map(dealt, run, "u long, v long")
 
 
-def classes(nodes: DataFrame, distance: int, m: int) -> DataFrame:
+def classes(nodes: DataFrame, distance: int, ms: tuple[int, ...]) -> DataFrame:
     """(fp, root) for distinct fingerprints: root is the smallest fingerprint reachable."""
-    found = roots(links(nodes, distance, m))
+    found = roots(links(nodes, distance, ms))
     return nodes.join(found, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("root", "fp").alias("root"))
 
 
-def near_duplicates(documents: DataFrame, words: int = 4, distance: int = 4, m: int = 4) -> DataFrame:
+def near_duplicates(documents: DataFrame, words: int = 4, distance: int = 4, ms: tuple[int, ...] = PARTS) -> DataFrame:
     """One row per document: doc_id, fingerprint (16 hex digits), component_id.
 
     component_id is the smallest doc_id reachable by links of fingerprints. A
@@ -268,13 +294,13 @@ def near_duplicates(documents: DataFrame, words: int = 4, distance: int = 4, m:
     """
     rows = staged(fingerprints(documents, words), "fingerprints")
     nodes = staged(rows.groupBy("fp").agg(F.min("doc_id").alias("first_doc")), "nodes")
-    rooted = nodes.join(classes(nodes.select("fp"), distance, m), "fp")
+    rooted = nodes.join(classes(nodes.select("fp"), distance, ms), "fp")
     named = rooted.groupBy("root").agg(F.min("first_doc").alias("component_id"))
     members = rooted.join(named, "root").select("fp", "component_id")
     return rows.join(members, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def one_of_each(documents: DataFrame, words: int = 4, distance: int = 4, m: int = 4) -> DataFrame:
+def one_of_each(documents: DataFrame, words: int = 4, distance: int = 4, ms: tuple[int, ...] = PARTS) -> DataFrame:
     """The documents without near-duplicates: of each component, one row with the smallest doc_id (null ids last).
 
     All columns stay as they are. The rows are written once with their
@@ -291,5 +317,5 @@ def one_of_each(documents: DataFrame, words: int = 4, distance: int = 4, m: int
     tagged = staged(arrow_map(documents, run, schema).withColumn(row, F.monotonically_increasing_id()), "tagged")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col(row).alias("row"))).alias("first")
     nodes = staged(tagged.groupBy(F.col(fp).alias("fp")).agg(first), "nodes")
-    winners = nodes.join(classes(nodes.select("fp"), distance, m), "fp").groupBy("root").agg(F.min("first").alias("first"))
+    winners = nodes.join(classes(nodes.select("fp"), distance, ms), "fp").groupBy("root").agg(F.min("first").alias("first"))
     return tagged.join(winners.select(F.col("first.row").alias(row)), row, "left_semi").select(*documents.columns)

@@ -127,7 +127,7 @@ def test_fingerprints(spark, odd):
     assert simhash.near_duplicates(odd.limit(0)).collect() == []
 
 
-@pytest.mark.parametrize(("m", "distance"), [(4, 4), (3, 4), (5, 4), (6, 4), (2, 3)])
+@pytest.mark.parametrize(("m", "distance"), [(4, 4), (3, 4), (5, 4), (6, 4), (2, 3), (2, 4)])
 def test_links_equal_brute_force(spark, m, distance):
     rng = np.random.default_rng(m)
     base = rng.integers(0, 1 << 63, 60, dtype=np.uint64)
@@ -141,7 +141,7 @@ def test_links_equal_brute_force(spark, m, distance):
         values.add(int(base[0]) ^ (1 << k % 64) ^ (1 << k * 7 % 64))
     values = sorted(values)
     nodes = spark.createDataFrame([(int(np.uint64(v).view(np.int64)),) for v in values], "fp long")
-    found = simhash.links(nodes, distance, m, largest=64)
+    found = simhash.links(nodes, distance, (m,), largest=64)
     got = [(int(np.int64(r.u).view(np.uint64)), int(np.int64(r.v).view(np.uint64))) for r in found.collect()]
     assert all((a ^ b).bit_count() <= distance for a, b in got)
     brute = [(a, b) for i, a in enumerate(values) for b in values[i + 1 :] if (a ^ b).bit_count() <= distance]
@@ -149,6 +149,15 @@ def test_links_equal_brute_force(spark, m, distance):
     assert len(got) < 25 * len(values)
 
 
+def test_more_rows_get_wider_parts():
+    sample = np.sort(np.random.default_rng(5).integers(0, 1 << 64, 2000, dtype=np.uint64))
+    chosen = [simhash.partition(sample, 4, rows, simhash.PARTS) for rows in (0, 10**4, 10**8, 10**10)]
+    widths = [len(parts) for parts, _ in chosen]
+    assert widths[0] == 5 and widths == sorted(widths, reverse=True) and widths[-1] < 4
+    for parts, limits in chosen:
+        assert sorted(b for p in parts for b in p) == list(range(64)) and sum(limits) == 4 - len(parts) + 1
+
+
 def test_components(spark):
     rng = random.Random(9)
     pairs = [(i, i + 1) for i in range(60)] + [(100, k) for k in range(101, 160)] + [(rng.randint(200, 400), rng.randint(200, 400)) for _ in range(150)] + [(5, 5), (1, 0)]
@@ -251,6 +260,25 @@ def test_quality_odd_inputs(spark, odd):
     assert quality.predict(odd.limit(0), model).collect() == []
 
 
+def test_samples_stay_bounded(spark):
+    """A doc_id that a third of the rows share, or null, makes no sample grow."""
+    hot = spark.range(3000).select(F.when(F.col("id") % 3 > 0, F.col("id")).when(F.col("id") % 2 > 0, F.lit(7)).alias("doc_id"), F.lit("some words of a text").alias("text"), F.lit("en").alias("lang"))
+    labels = spark.range(3000).select(F.when(F.col("id") % 3 > 0, F.col("id")).otherwise(F.lit(7)).alias("doc_id"), F.lit(1).alias("quality"))
+    assert len(quality.fit(hot, labels, F.lit(True), most=200).known) < 300
+    assert language.fit(hot, F.lit(True)).languages
+
+
+def test_line_dedup_of_a_shared_id(spark):
+    """Different texts under one doc_id, or under none, each lose their own runs alone."""
+    rng = random.Random(12)
+    passage = words_of(rng, 80)
+    rows = [(i, f"{passage}\n{words_of(rng, 30)}") for i in (1, 1, None, None)]
+    rows += [(1, words_of(rng, 70)), (None, words_of(rng, 70))]
+    got = [r.text for r in linededup.drop_repeated_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert sum(passage in t for t in got) == 1
+    assert sorted(t.split("\n")[-1] for t in got) == sorted(t.split("\n")[-1] for _, t in rows)
+
+
 # pipeline
 
 
