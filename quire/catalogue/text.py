@@ -104,7 +104,7 @@ def json_path_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def csv_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations as CSV files, by the CSV source."""
-    c = table(spark, sf_dir, "conversations").filter("NOT contains(text, '\"')").select("conv_id", "turn", F.concat(F.col("turn").cast("string"), F.lit(","), F.col("role")).alias("line"))
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.concat(F.col("turn").cast("string"), F.lit(","), F.col("role")).alias("line"))
     body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "line"))), lambda x: x["line"]), "\n")
     files = c.groupBy(F.col("conv_id").cast("string").alias("document_id")).agg(F.concat(F.lit("turn,role\n"), body).alias("text"))
     return structured.csv_blocks(files).select(F.col("document_id").cast("long").alias("conv_id"), F.col("row_no").cast("long").alias("row_no"), "text")
@@ -178,7 +178,7 @@ ORACLE_SQL = {
         SELECT 'page:' || l_orderkey || CASE WHEN l_returnflag <> 'N' THEN ';sheet:' || l_returnflag ELSE '' END || ';lines:' || l_linenumber || CASE WHEN l_linenumber % 2 = 1 THEN '-' || (l_linenumber + 1) ELSE '' END AS ref, count(*) AS n
         FROM lineitem GROUP BY 1""",
     "json_path_extract": "SELECT event_id, '$' AS json_path, '{\"k\": ' || json_extract_string(props, '$.k') || '}' AS text FROM events",
-    "csv_rows": "SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) + 1 AS row_no, 'turn: ' || turn || ' | role: ' || role AS text FROM conversations WHERE NOT contains(text, '\"')",
+    "csv_rows": "SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) + 1 AS row_no, 'turn: ' || turn || ' | role: ' || role AS text FROM conversations",
     "excerpt_preview": r"""
         SELECT doc_id, CASE WHEN length(c) <= 520 THEN c ELSE rtrim(left(c, 517)) || '...' END AS excerpt, CASE WHEN length(text) <= 500 THEN text ELSE left(text, 500) || '...' END AS preview
         FROM (SELECT doc_id, text, trim(regexp_replace(text, '\s+', ' ', 'g')) AS c FROM documents)""",
