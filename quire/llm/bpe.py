@@ -144,7 +144,7 @@ class WordBpe:
                 depth += 1
             del token[depth + 1 :], start[depth + 1 :]
             for i in range(depth + 1, n):
-                for s in range(i - 1, max(-1, i - longest - 1), -1):
+                for s in range(i - 1, i - longest - 1 if i > longest else -1, -1):
                     t = inner(word[s:i])
                     if t is not None and (s == 0 or pairs.get(key := token[s] << 20 | t) or key not in pairs and apart(token[s], t)):
                         token.append(t)
@@ -154,7 +154,7 @@ class WordBpe:
                     raise ValueError(f"no encoding for a prefix of {word!r}")
             for s in range(n - 1, max(-1, n - longest - 1), -1):
                 t = last(word[s:])
-                if t is not None and (s == 0 or apart(token[s], t)):
+                if t is not None and (s == 0 or pairs.get(key := token[s] << 20 | t) or key not in pairs and apart(token[s], t)):
                     break
             else:
                 raise ValueError(f"no encoding for {word!r}")
@@ -168,6 +168,8 @@ class WordBpe:
 
     def words(self, unit: str) -> list[str | int]:
         """Words (or ids of special tokens) of a unit without white space."""
+        if unit.isascii() and unit.isalpha():
+            return [unit.lower()]
         if _PLAIN.fullmatch(unit) and "<|" not in unit:
             found = _PLAIN_WORD.findall(unit.lower())
             return found if unit.isascii() else [w.translate(self.letters) for w in found]
@@ -243,19 +245,28 @@ def decode_documents(encoded: DataFrame, vocabulary: str) -> DataFrame:
 def digests(documents: DataFrame, vocabulary: str) -> DataFrame:
     """One row per document: doc_id, n_tokens, ids_sha256, decoded_sha256.
 
-    Each distinct unit is encoded and decoded once; a document's ids and decoded
-    text are those of its units, one after the other. A null text counts as
+    Each distinct word is encoded and decoded once; a document's ids and decoded
+    text are those of its units' words, one after the other. A null text counts as
     empty; repeated rows give repeated rows; other columns are ignored.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = word_bpe(vocabulary)
-        names = {i: t.encode() for i, t in bpe.text.items()}
+        names = {i: b" " + t.encode() for i, t in bpe.text.items()}
         numbers = {i: b" %d" % i for i in names}
 
+        def of_words(words: list[str | int]) -> list[tuple[int, bytes, bytes]]:
+            return [(len(ids), b"".join([numbers[i] for i in ids]), b"".join([names[i] for i in ids])) for ids in bpe.encode_mixed(words)]
+
         def encode(units: list[str]) -> list[tuple[int, bytes, bytes]]:
-            return [(len(ids), b"".join([numbers[i] for i in ids]), b"".join([b" " + names[i] for i in ids])) for ids in bpe.encode_units(units)]
+            split = [bpe.words(u) for u in units]
+            known = word_cache.learn([w for ws in split for w in ws])
+            return [known[ws[0]] if len(ws) == 1 else joined([known[w] for w in ws]) for ws in split]
+
+        def joined(found: list[tuple[int, bytes, bytes]]) -> tuple[int, bytes, bytes]:
+            return sum([f[0] for f in found]), b"".join([f[1] for f in found]), b"".join([f[2] for f in found])
 
+        word_cache = UnitCache(of_words, limit=150_000, batch_chars=1 << 22)
         cache = UnitCache(encode, limit=250_000, batch_chars=1 << 22)
         for batch, texts in byte_slices(batches, "text"):
             rows = [[0, hashlib.sha256(), hashlib.sha256()] for _ in texts]
