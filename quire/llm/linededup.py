@@ -7,14 +7,21 @@ fingerprint of the document. So a run of `guarantee` words or more that two
 documents share, or that one repeats, has a fingerprint in both places.
 
 Each fingerprint is joined with its first position (by document and line), and
-the match is extended line by line both ways, up to a window's words each way:
-what a run has beyond holds fingerprints of its own. A later run's lines go.
+the match is extended line by line both ways, up to a window's words each way.
+A later run's lines go.
+
+A fingerprint's first position may stand among other lines than a later pair of
+positions shares. So each window, from its first line on and up to its last line,
+is a key of its own as well, and goes wherever it has an earlier position: the
+windows within a repeated run of `guarantee` words or more cover all its lines
+from the first to the last that has words.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -81,33 +88,72 @@ def reach(counts: list[int], start: int, step: int, limit: int) -> int:
     return n
 
 
+def window_spans(counts: list[int], guarantee: int) -> list[tuple[int, int]]:
+    """First line and line after each shortest run of `guarantee` words from a line with words on, or up to one."""
+    n = len(counts)
+    spans = {(i, end) for i, end in enumerate(run_ends(counts, guarantee)) if end >= 0 and counts[i]}
+    spans.update((n - end, n - i) for i, end in enumerate(run_ends(counts[::-1], guarantee)) if end >= 0 and counts[n - 1 - i])
+    return sorted(spans)
+
+
+#: Odd bases of the windows' two polynomial hashes, modulo 2^64.
+BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
+
+
+def span_hashes(hashes: np.ndarray, low: np.ndarray, high: np.ndarray, base: int) -> np.ndarray:
+    """A hash of the line hashes of each span, from prefix sums: a span's cost does not grow with its length."""
+    powers, inverses = (np.cumprod(np.full(len(hashes), b, np.uint64), dtype=np.uint64) for b in (base, pow(base, -1, 1 << 64)))
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashes * powers, dtype=np.uint64)])
+    return (((sums[high] - sums[low]) * inverses[low]) ^ (high - low).astype(np.uint64)).view(np.int64)
+
+
 def positions(documents: DataFrame, noise: int, guarantee: int) -> DataFrame:
-    """A row for each fingerprint: its hash, doc_id, the text's hash, first line, and the line hashes before, in and after it."""
+    """A row for each fingerprint: its hash, doc_id, the text's hash, first line, and the line hashes before, in and after it.
+
+    And one for each window: its hash as `gram`, another one as `check`, and the
+    line after it as `high`, without line hashes.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["gram", "doc_id", "text_hash", "line", "before", "inside", "after"]
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int64())]
+        names = ["gram", "doc_id", "text_hash", "line", "before", "inside", "after", "check", "high"]
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), *[pa.list_(pa.int64())] * 3, pa.int64(), pa.int32()]
         for batch, texts in byte_slices(batches, "text"):
             rows = []
-            for doc_id, own, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), texts, strict=True):
+            all_hashes, of, spans, first_lines = [], [], [], []
+            for k, (doc_id, own, text) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), texts, strict=True)):
                 hashes, counts = line_hashes(text.split("\n"))
+                own_spans = window_spans(counts, guarantee)
+                if own_spans:
+                    spans += own_spans
+                    of += [k] * len(own_spans)
+                    first_lines += [len(all_hashes)] * len(own_spans)
+                    all_hashes += hashes
                 chosen = winnow(hashes, counts, noise, guarantee)
                 for line, (gram, end) in chosen.items():
                     back, on = reach(counts, line - 1, -1, guarantee), reach(counts, end, 1, guarantee)
-                    rows.append((gram, doc_id, own, line, hashes[line - back : line][::-1], hashes[line:end], hashes[end : end + on]))
+                    rows.append((gram, doc_id, own, line, hashes[line - back : line][::-1], hashes[line:end], hashes[end : end + on], None, None))
                     if len(rows) == 20_000:
                         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
                         rows = []
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+            firsts, at = np.array(first_lines, np.int64), np.array(of, np.int64)
+            lines, ends = np.array(spans, np.int64).reshape(-1, 2).T
+            keys, checks = (span_hashes(np.array(all_hashes, np.int64).view(np.uint64), lines + firsts, ends + firsts, base) for base in BASES)
+            for i in range(0, len(at), 20_000):
+                part = slice(i, i + 20_000)
+                none = [pa.nulls(len(at[part]), k) for k in kinds[4:7]]
+                ids = [batch.column(c).take(pa.array(at[part])) for c in (0, 1)]
+                yield pa.RecordBatch.from_arrays([pa.array(keys[part]), *ids, pa.array(lines[part], pa.int32()), *none, pa.array(checks[part]), pa.array(ends[part], pa.int32())], names)
 
-    return arrow_map(documents.select("doc_id", F.xxhash64("text"), "text"), run, "gram long, doc_id long, text_hash long, line int, before array<long>, inside array<long>, after array<long>")
+    schema = "gram long, doc_id long, text_hash long, line int, before array<long>, inside array<long>, after array<long>, check long, high int"
+    return arrow_map(documents.select("doc_id", F.xxhash64("text"), "text"), run, schema)
 
 
 def repeated_runs(found: DataFrame) -> DataFrame:
     """Runs to delete: doc_id, text_hash, and the lines from `low` to before `high`."""
     place = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), "text_hash", "line")
-    with_place = found.withColumn("place", place)
+    with_place = found.filter("inside IS NOT NULL").withColumn("place", place)
     # Written, so that the join below has a plain shuffle on either side, whose hot keys adaptive execution can split.
     firsts = with_place.groupBy("gram").agg(F.min(F.struct("place", "before", "inside", "after")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     first = staged(firsts.select("gram", "first"), "firsts")
@@ -122,13 +168,17 @@ def repeated_runs(found: DataFrame) -> DataFrame:
             lambda n, i: F.when((n == i - 1) & (i <= both) & (F.try_element_at(F.col(side), i) == F.try_element_at(F.col(f"first.{side}"), i)), i).otherwise(n),
         )
 
-    return later.select("doc_id", "text_hash", (F.col("line") - shared("before")).alias("low"), (F.col("line") + F.size("inside") + shared("after")).alias("high"))
+    extended = later.select("doc_id", "text_hash", (F.col("line") - shared("before")).alias("low"), (F.col("line") + F.size("inside") + shared("after")).alias("high"))
+    windows = found.filter("inside IS NULL").select("gram", "check", place.alias("place"), "high")
+    earliest = windows.groupBy("gram", "check").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    again = windows.join(staged(earliest.drop("n"), "first_windows"), ["gram", "check"]).filter("place > first")
+    return extended.union(again.select(F.col("place.id"), "place.text_hash", F.col("place.line"), "high"))
 
 
 def drop_repeated_lines(documents: DataFrame, noise: int = 25, guarantee: int = 50) -> DataFrame:
     """The documents without the lines of later repeated runs; all rows and columns stay.
 
-    A run of `guarantee` words or more is found wherever it occurs again, in
+    Every run of `guarantee` words or more goes wherever it occurs again, in
     another document or the same; one of fewer than `noise` words never is. The
     first occurrence, by doc_id (null last) and line, stays. Lines are parted by
     newlines and compared by their words. A null text stays null; a text may

@@ -95,6 +95,60 @@ def test_guarantee():
         assert marks[0] & marks[1]
 
 
+def brute_repeats(rows, guarantee=50):
+    """The promise alone: the lines with words of every run of `guarantee` words or more that an earlier place has, by all pairs of places."""
+    lines = [(i, k, " ".join(x.split())) for i, t in rows for k, x in enumerate((t or "").split("\n"))]
+    gone = set()
+    for b in range(len(lines)):
+        for a in range(b):
+            n = words = 0
+            while b + n < len(lines) and lines[a + n][2] == lines[b + n][2] and lines[a + n][0] == lines[a][0] and lines[b + n][0] == lines[b][0]:
+                words += len(lines[b + n][2].split())
+                n += 1
+            if words >= guarantee:
+                gone.update(lines[b + k][:2] for k in range(n) if lines[b + k][2])
+    return gone
+
+
+def kept_lines(spark, rows):
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    return {r.doc_id: r.text.split("\n") for r in linededup.drop_repeated_lines(docs).collect()}
+
+
+def test_line_dedup_where_the_first_position_stands_alone(spark):
+    """B and C share a run whose middle line also stands in an earlier A among other lines."""
+    rng = random.Random(12)
+    rows, runs = [], []
+    for k in range(12):
+        x, g, y = (words_of(rng, n) for n in (20, 30, 20))
+        a, b, c = ([words_of(rng, 15) for _ in range(4)] for _ in range(3))
+        rows += [(3 * k, "\n".join([*a[:2], g, *a[2:]])), (3 * k + 1, "\n".join([*b[:2], x, g, y, *b[2:]])), (3 * k + 2, "\n".join([*c[:2], x, g, y, *c[2:]]))]
+        runs.append((x, g, y))
+    got = kept_lines(spark, rows)
+    for k, run in enumerate(runs):
+        assert not set(run) & set(got[3 * k + 2])
+        assert run[0] in got[3 * k + 1] and run[1] in got[3 * k]
+    assert all(len(got[3 * k + 2]) == 4 for k in range(12))
+
+
+def test_line_dedup_keeps_its_promise(spark):
+    """No line of a repeated run of 50 words stays, whatever its lines' other positions."""
+    rng = random.Random(13)
+    pool = [words_of(rng, rng.randint(1, 25)) for _ in range(14)] + ["", " "]
+    rows = []
+    for k in range(70):
+        at = rng.randint(0, 10)
+        body = [rng.choice(pool) for _ in range(rng.randint(0, 10))] + pool[at : at + rng.randint(1, 6)]
+        rows.append((k, "\n".join([*body, *[words_of(rng, 3) for _ in range(2)], *[rng.choice(pool) for _ in range(6)]])))
+    gone = brute_repeats(rows)
+    assert len(gone) > 50
+    for doc_id, left in kept_lines(spark, rows).items():
+        lines = dict(rows)[doc_id].split("\n")
+        # What stays is a subsequence of the lines outside the repeated runs.
+        rest = iter([x for k, x in enumerate(lines) if (doc_id, k) not in gone])
+        assert left == [""] or all(x in rest for x in left)
+
+
 # near-duplicates
 
 
