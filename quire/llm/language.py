@@ -4,12 +4,13 @@ A text's vector counts hashed n-grams (2 and 3 bytes of UTF-8) of its lower-case
 letters, weighted by TF-IDF and normalised. Each language has a few centroids,
 clustered from labelled texts; the closest centroid by cosine names the
 language. A text that is farther from its centroid than nearly all labelled ones
-is rejected.
+of about its length is rejected.
 """
 
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -22,6 +23,8 @@ from pyspark.sql import types as T
 from quire.llm.common import arrow_map, byte_slices, fresh
 
 BUCKETS = 4096
+#: Least bytes of letters of each length class; a shorter text is in the first one.
+LENGTHS = tuple(8 << k for k in range(9))
 #: ASCII letters to lower case, all other ASCII characters to spaces; bytes beyond ASCII stay.
 LETTERS = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
@@ -30,10 +33,19 @@ def has_letter(text: str) -> bool:
     return any(map(str.isalpha, text))
 
 
-def counts(text: str) -> np.ndarray:
-    """Counts of hashed n-grams of the whole text, in blocks that bound the memory."""
+def letters(text: str) -> bytes:
+    """The text's lower-cased letters, words parted by single spaces."""
     lowered = text if text.isascii() else text.lower()
-    data = b" " + b" ".join(lowered.encode().translate(LETTERS).split()) + b" "
+    return b" " + b" ".join(lowered.encode().translate(LETTERS).split()) + b" "
+
+
+def counts(text: str) -> np.ndarray:
+    """Counts of hashed n-grams of the whole text."""
+    return grams_of(letters(text))
+
+
+def grams_of(data: bytes) -> np.ndarray:
+    """Counts of hashed n-grams, in blocks that bound the memory."""
     total = np.zeros(BUCKETS, np.int64)
     block = 1 << 20
     for i in range(0, max(1, len(data) - 2), block):
@@ -55,6 +67,11 @@ def weighted(rows: np.ndarray, idf: np.ndarray) -> np.ndarray:
     return x
 
 
+def length_class(rows: np.ndarray) -> np.ndarray:
+    """The length class of each row of counts: n bytes have n - 1 pairs and n - 2 triples."""
+    return np.maximum(np.searchsorted(LENGTHS, (rows.sum(axis=1) + 3) // 2, side="right") - 1, 0)
+
+
 def cluster(x: np.ndarray, k: int, rounds: int = 12, least: float = 0.02) -> np.ndarray:
     """Spherical k-means from equal parts along the main direction of spread; no chance in it.
 
@@ -76,19 +93,20 @@ class Model:
     idf: np.ndarray
     centroids: np.ndarray
     languages: list[str]  # of each centroid
-    floors: np.ndarray  # the least cosine that each centroid accepts
+    floors: np.ndarray  # the least cosine that each centroid accepts, by length class
 
     def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
         """Language, score and whether it is rejected, for each text."""
         if not self.languages:
             return ["und"] * len(texts), np.zeros(len(texts)), np.ones(len(texts), bool)
-        x = weighted(np.array([counts(t) for t in texts]).reshape(-1, BUCKETS), self.idf)
+        rows = np.array([counts(t) for t in texts]).reshape(-1, BUCKETS)
+        x = weighted(rows, self.idf)
         cosines = x @ self.centroids.T
         best = np.argmax(cosines, axis=1)
         score = np.clip(cosines[np.arange(len(texts)), best].astype(np.float64), 0.0, 1.0)
         lettered = np.array([has_letter(t) for t in texts], bool)
         found = [self.languages[b] if ok else "und" for b, ok in zip(best, lettered, strict=True)]
-        return found, np.where(lettered, score, 0.0), ~lettered | (score < self.floors[best])
+        return found, np.where(lettered, score, 0.0), ~lettered | (score < self.floors[best, length_class(rows)])
 
 
 def bounded_sample(rows: DataFrame, key: str, most: int) -> DataFrame:
@@ -98,12 +116,16 @@ def bounded_sample(rows: DataFrame, key: str, most: int) -> DataFrame:
     return rows.filter(F.pmod(F.xxhash64(F.lit("sample"), key), F.lit(1 << 20)) < F.lit(math.ceil(share * (1 << 20))))
 
 
-def fit(documents: DataFrame, usable: Column, per_language: int = 300, clusters: int = 4, slack: float = 0.2) -> Model:
+def fit(documents: DataFrame, usable: Column, per_language: int = 300, clusters: int = 4, slack: float = 0.8, least: int = 20) -> Model:
     """Fit on the usable rows with text and lang, at most about `per_language` for each language.
 
     IDF, centroids and floors come from this bounded sample: the n-gram counts
-    of its texts, not the texts, come to the driver. A floor is `slack` times the
-    cosine that one in a hundred of the language's own texts stays below.
+    of its texts, not the texts, come to the driver. Short texts lie far from
+    every centroid, so each sampled text also gives a piece from its middle for
+    each length class it reaches: a class's floor is `slack` times the cosine
+    that one in a hundred of the language's pieces stays below. A class with
+    fewer than `least` pieces takes the floor of the one before it, the first
+    none (0).
     """
     rows = documents.filter(usable & F.col("text").isNotNull() & F.col("lang").isNotNull()).select("doc_id", "text", "lang")
     # One row for each doc_id and text: rows that repeat do not make the sample grow.
@@ -116,14 +138,24 @@ def fit(documents: DataFrame, usable: Column, per_language: int = 300, clusters:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in byte_slices(batches, "text"):
-            found = [np.minimum(counts(t), 65535).astype("<u2").tobytes() if has_letter(t) else None for t in texts]
-            yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("lang")), pa.array(found, pa.binary())], ["lang", "counts"])
-
-    got = arrow_map(sample.select("lang", "text"), run, "lang string, counts binary").filter("counts is not null").orderBy("lang", F.xxhash64("counts")).toArrow()
+            rows = []
+            for lang, t in zip(batch.column(batch.schema.get_field_index("lang")).to_pylist(), texts, strict=True):
+                if has_letter(t):
+                    data = letters(t)
+                    middles = [(len(data) - n) // 2 for n in LENGTHS if n <= len(data)]
+                    parts = [data, *[data[a : a + n] for a, n in zip(middles, LENGTHS, strict=False)]]
+                    rows += [(lang, k - 1, zlib.compress(np.minimum(grams_of(d), 65535).astype("<u2").tobytes(), 1)) for k, d in enumerate(parts)]
+            for i in range(0, len(rows), 2000):
+                columns = zip(zip(*rows[i : i + 2000], strict=True), (pa.string(), pa.int32(), pa.binary()), strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in columns], ["lang", "class", "counts"])
+
+    taken = arrow_map(sample.select("lang", "text"), run, "lang string, class int, counts binary").orderBy("lang", "class", F.xxhash64("counts")).toArrow()
+    classes = taken.column("class").to_numpy()
+    pieces, got = taken.filter(pa.array(classes >= 0)), taken.filter(pa.array(classes < 0))
     if not got.num_rows:
-        return Model(np.ones(BUCKETS, np.float32), np.zeros((0, BUCKETS), np.float32), [], np.zeros(0))
+        return Model(np.ones(BUCKETS, np.float32), np.zeros((0, BUCKETS), np.float32), [], np.zeros((0, len(LENGTHS))))
     langs = np.array(got.column("lang").to_pylist())
-    raw = np.frombuffer(b"".join(got.column("counts").to_pylist()), "<u2").reshape(-1, BUCKETS)
+    raw = unpacked(got)
     idf = np.log((1 + len(raw)) / (1 + (raw > 0).sum(axis=0))).astype(np.float32) + np.float32(0.1)
     x = weighted(raw, idf)
     centroids, names = [], []
@@ -131,11 +163,20 @@ def fit(documents: DataFrame, usable: Column, per_language: int = 300, clusters:
         found = cluster(x[langs == lang], clusters)
         centroids.append(found)
         names += [str(lang)] * len(found)
-    c = np.concatenate(centroids)
-    cosines = x @ c.T
-    of = np.array(names)
-    floors = np.array([slack * np.quantile(cosines[langs == lang][:, of == lang].max(axis=1), 0.01) for lang in names])
-    return Model(idf, c, names, floors)
+    piece_langs, piece_classes = np.array(pieces.column("lang").to_pylist()), pieces.column("class").to_numpy()
+    floors = []
+    for lang, own in zip(sorted(set(langs)), centroids, strict=True):
+        floor = [0.0]
+        for k in range(len(LENGTHS)):
+            of = pieces.filter(pa.array((piece_langs == lang) & (piece_classes == k)))
+            enough = of.num_rows >= least
+            floor.append(slack * float(np.quantile((weighted(unpacked(of), idf) @ own.T).max(axis=1), 0.01)) if enough else floor[-1])
+        floors += [floor[1:]] * len(own)
+    return Model(idf, np.concatenate(centroids), names, np.array(floors))
+
+
+def unpacked(table: pa.Table) -> np.ndarray:
+    return np.frombuffer(b"".join(zlib.decompress(c) for c in table.column("counts").to_pylist()), "<u2").reshape(-1, BUCKETS)
 
 
 def predict(documents: DataFrame, model: Model) -> DataFrame:

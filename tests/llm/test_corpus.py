@@ -274,6 +274,19 @@ def test_language_held_out(spark):
     assert np.mean([r.rejected for r in rows]) < 0.01 and all(0 <= r.score <= 1 for r in rows)
 
 
+@pytest.mark.parametrize("unseen", ["de", "en", "es", "fr"])
+def test_language_unseen_is_rejected(spark, unseen):
+    """Nearly all texts of a language left out of the fit are rejected, nearly all others accepted, cut short or not."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    model = language.fit(docs, (queries.fold(3) != 1) & (F.col("lang") != unseen))
+    held = docs.filter((queries.fold(3) == 1) & F.col("text").rlike("[a-zA-Z]")).select("lang", "text")
+    short = held.select("lang", F.substring("text", 1, 60).alias("text")).filter("text rlike '[a-z]{3} [a-z]{3}'")
+    for rows, most_known in ((language.predict(held, model).collect(), 0.01), (language.predict(short, model).collect(), 0.03)):
+        assert np.mean([r.rejected for r in rows if r.lang != unseen]) < most_known
+        if most_known == 0.01:
+            assert np.mean([r.rejected for r in rows if r.lang == unseen]) > 0.97
+
+
 def test_language_odd_inputs(spark, odd):
     model = language.fit(odd, F.lit(True))
     got = {r.doc_id: (r.lang_pred, r.rejected) for r in language.predict(odd, model).collect()}
