@@ -30,10 +30,22 @@ WIDTH = SHAPES + PAIRS + REPEATS
 _RUNS = re.compile(r"(.)\1+")
 
 
+#: A longer word counts as successive pieces of this many characters.
+PIECE = 64
+
+
 def shape(word: str) -> str:
     """Upper-case letters as A, lower-case as a, digits as 0, other characters as they are; runs of one are cut to it."""
-    kinds = "".join("A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c for c in word[:64])
-    return _RUNS.sub(r"\1", kinds)[:8]
+    kinds = "".join("A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c for c in word)
+    return _RUNS.sub(r"\1", kinds)
+
+
+def pieces(text: str) -> list[str]:
+    """The text's words, long ones in pieces: all of a text without spaces counts."""
+    words = text.split()
+    if max(map(len, words), default=0) <= PIECE:
+        return words
+    return [w[i : i + PIECE] for w in words for i in range(0, len(w), PIECE)]
 
 
 @lru_cache(maxsize=1)
@@ -63,7 +75,7 @@ def counts(codes: np.ndarray, lines: list[str]) -> np.ndarray:
 
 
 def vectors(texts: list[str]) -> np.ndarray:
-    words = [t.split() for t in texts]
+    words = [pieces(t) for t in texts]
     codes: list[list[np.ndarray]] = [[] for _ in texts]
     for k, found in word_codes().runs(words):
         codes[k].append(np.array(found, dtype=np.int64))

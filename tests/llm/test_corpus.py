@@ -315,6 +315,15 @@ def test_quality_held_out(spark):
     assert np.mean(good) > 0.99 and np.mean(bad) < 0.1
 
 
+def test_quality_counts_the_whole_of_long_words():
+    """Texts without spaces that agree on a prefix differ by what follows it."""
+    start = "aB3-" * 30
+    texts = [start, start + "lower" * 50, start + "!?" * 200, start + "A1b2#" * 1000]
+    assert len({v.tobytes() for v in quality.vectors(texts)}) == 4
+    assert quality.vectors(["x" * 64_000])[0, : quality.SHAPES].sum() == 1000
+    assert quality.shape("a1" * 6 + "!") != quality.shape("a1" * 6)
+
+
 def test_quality_odd_inputs(spark, odd):
     labels = spark.createDataFrame([(0, 1), (1, 1), (2, 0), (2, 0), (3, None), (None, 1)], "doc_id long, quality int")
     model = quality.fit(odd, labels, F.lit(True))
