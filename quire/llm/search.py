@@ -1,37 +1,41 @@
 """Exact top-k inner products by aggregation without random access.
 
-Each dimension is a list of the candidates sorted by their contribution to a
-query: by falling component where the query's is positive, by rising component
-where it is negative. Lists are read in step from the top. A candidate's upper
-score bound takes what has been read of it and, for each list where it has not
-come up, the list's frontier; its lower bound takes those lists' last values. A
-candidate whose upper bound stays below the k-th best lower bound cannot
-qualify; reading stops when the rest are few, and their final scores are
-resolved.
-
-Candidates come in blocks, queries in slices of bounded size that are broadcast
-one after the other, and both bounds of a whole block are matrix products: what
-is unread is replaced by the frontier. Each task carries its best k from block
-to block, so later blocks start with a bound.
+Each dimension is a list of the candidates sorted by component. A query reads
+the lists where its own component is not zero, in step, from the end where the
+contribution to its score is largest. What it has read of a candidate is the
+candidate's partial sum; for each list where the candidate has not come up, the
+list's frontier (the last contribution read) bounds what it can still add from
+above, the list's last contribution from below. A candidate whose upper bound
+is under the k-th best score or lower bound so far cannot qualify. Reading stops when
+no more than one step's worth of candidates qualify, and their scores are
+resolved; lists that are read to the end have resolved themselves.
+
+Candidates and queries are dealt out in cells, one block of either in each: the
+rows of a cell fit a task, and no vectors pass through the driver.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.llm.common import arrow_map, partitions
+from quire.llm.common import arrow_map, staged
 
-#: Bytes of query vectors that are broadcast at once.
-SLICE_BYTES = 16 << 20
-BLOCK, QUERIES = 4096, 256
-#: Shares of each list that are read before the rest is resolved.
-DEPTHS = (0.6, 0.85)
+#: Bytes of candidates' and of queries' components in a cell.
+CANDIDATE_BYTES, QUERY_BYTES = 32 << 20, 16 << 20
+#: Candidates whose lists are sorted at once, first and later: early blocks give later ones a bound.
+FIRST, BLOCK = 512, 4096
+#: Entries of each list that are read between two looks at the bounds, as a share of the list.
+STEPS = 8
 NONE = -(1 << 62)
+LAST = np.iinfo(np.int64).max
+#: Scores must stay below this, so that sums of floats are exact.
+EXACT = 1 << 53
 
 
 def integer_vectors(embeddings: DataFrame, scale: int = 64) -> DataFrame:
@@ -59,127 +63,190 @@ class Best:
     def __init__(self, n: int, k: int):
         self.k = k
         self.score = np.full((n, k), NONE, np.int64)
-        self.vec = np.full((n, k), np.iinfo(np.int64).max, np.int64)
-
-    def floor(self, rows: slice) -> np.ndarray:
-        return self.score[rows, -1]
-
-    def add(self, query: np.ndarray, vec: np.ndarray, score: np.ndarray) -> None:
-        if not len(query):
-            return
-        touched = np.unique(query)
-        q = np.concatenate([query, np.repeat(touched, self.k)])
-        v = np.concatenate([vec, self.vec[touched].ravel()])
-        s = np.concatenate([score, self.score[touched].ravel()])
-        order = np.lexsort((v, -s, q))
-        q, v, s = q[order], v[order], s[order]
-        rank = np.arange(len(q)) - np.searchsorted(q, q)
-        first = rank < self.k
-        self.score[q[first], rank[first]] = s[first]
-        self.vec[q[first], rank[first]] = v[first]
-
-
-def bounds(q: np.ndarray, x: np.ndarray, depth: float) -> tuple[np.ndarray, np.ndarray]:
-    """Upper and lower score bounds when `depth` of each list is read."""
-    n = len(x)
-    read = min(n - 1, int(np.ceil(depth * n)) - 1)
-    falling, rising = -np.partition(-x, read, axis=0)[read], np.partition(x, read, axis=0)[read]
-    up, down = np.maximum(q, 0), np.minimum(q, 0)
-    upper = up @ np.maximum(x, falling).T + down @ np.minimum(x, rising).T
-    lower = up @ np.where(x >= falling, x, x.min(axis=0)).T + down @ np.where(x <= rising, x, x.max(axis=0)).T
-    return upper, lower
-
-
-def search_block(ids: np.ndarray, q: np.ndarray, rows: slice, vec: np.ndarray, x: np.ndarray, best: Best) -> None:
-    """Bring one block of candidates (sorted by vec_id) into the best of some queries."""
-    k = best.k
-    floor = best.floor(rows).astype(q.dtype)
-    alive = ids[rows, None] != vec[None, :]
-    for depth in DEPTHS:
-        upper, lower = bounds(q[rows], x, depth)
-        if len(vec) > k:
-            lower = np.where(ids[rows, None] != vec[None, :], lower, -np.inf)
-            floor = np.maximum(floor, np.partition(lower, len(vec) - k, axis=1)[:, len(vec) - k])
-        alive &= upper >= floor[:, None]
-        if alive.sum() <= 0.02 * alive.size:
+        self.vec = np.full((n, k), LAST, np.int64)
+
+    def add(self, query: int, vec: np.ndarray, score: np.ndarray) -> None:
+        v, s = np.concatenate([vec, self.vec[query]]), np.concatenate([score, self.score[query]])
+        order = np.lexsort((v, -s))[: self.k]
+        self.score[query], self.vec[query] = s[order], v[order]
+
+
+@dataclass
+class Lists:
+    """A block of candidates as sorted lists: for each dimension one that rises and one that falls."""
+
+    vec: np.ndarray
+    copies: np.ndarray
+    x: np.ndarray  # candidates x dimensions
+    order: np.ndarray = field(init=False)  # lists x candidates: who comes when
+    values: np.ndarray = field(init=False)
+    rank: np.ndarray = field(init=False)  # lists x candidates: when each one comes
+    largest: float = field(init=False)
+
+    def __post_init__(self):
+        n, d = self.x.shape
+        rising = np.argsort(self.x.T, axis=1, kind="stable")
+        self.order = np.concatenate([rising, rising[:, ::-1]])
+        self.values = np.take_along_axis(np.concatenate([self.x.T, self.x.T]), self.order, axis=1).astype(np.float64)
+        self.rank = np.empty((2 * d, n), np.int16 if n < 1 << 15 else np.int32)
+        self.largest = float(np.abs(self.x).max(initial=0))
+        np.put_along_axis(self.rank, self.order, np.arange(n, dtype=self.rank.dtype)[None, :], axis=1)
+
+
+@dataclass
+class Work:
+    """What a search has done: entries read from lists, of how many, and candidates resolved afterwards."""
+
+    read: int = 0
+    entries: int = 0
+    resolved: int = 0
+
+
+def qualify(lists: Lists, q: np.ndarray, own: int, floor: int, floor_vec: int, k: int, work: Work) -> tuple[np.ndarray, np.ndarray]:
+    """Candidates that may be among the k best of query `q`, and their scores.
+
+    `floor` and `floor_vec` are the score and vec_id of the k-th best so far. The
+    query's own vec_id is none of them.
+    """
+    n, d = lists.x.shape
+    used = np.flatnonzero(q)
+    rows, w = used + d * (q[used] > 0), q[used].astype(np.float64)[:, None]
+    step = max(1, -(-n // STEPS))
+    kind = np.float32 if lists.largest * np.abs(q).sum() < 1 << 24 else np.float64  # sums of either stay exact
+    left = np.flatnonzero(lists.vec != own)  # who may still qualify
+    least = w[:, 0] * lists.values[rows, -1]
+    sums, depth = np.zeros(n), 0
+    when, shown = None, np.arange(n)  # when each of those comes up in each list
+    work.entries += n * len(rows)
+    while depth < n and len(rows):
+        upto = min(n, depth + step)
+        sums += np.bincount(lists.order[rows, depth:upto].ravel(), (lists.values[rows, depth:upto] * w).ravel(), n)
+        work.read += len(rows) * (upto - depth)
+        depth = upto
+        frontier = w[:, 0] * lists.values[rows, depth - 1]
+        if depth == n:
             break
-    if alive.sum() <= 0.05 * alive.size:
-        a, b = np.nonzero(alive)
-        score = np.einsum("ij,ij->i", q[rows][a], x[b])
+        if floor > NONE and frontier.sum() >= floor:
+            continue  # even a candidate that has not come up in any list may qualify
+        if when is None:
+            when = lists.rank.take(rows, axis=0)
+        if 2 * len(left) < len(shown):
+            when, shown = lists.rank.take(rows, axis=0).take(left, axis=1), left
+        high, low = np.stack([frontier, least]).astype(kind) @ (when >= depth).view(np.uint8).astype(kind)
+        if len(shown) > len(left):
+            high, low = (b[np.searchsorted(shown, left)] for b in (high, low))
+        bound = floor
+        if floor == NONE and len(left) >= k:
+            bound = np.partition(sums[left] + low, len(left) - k)[len(left) - k]
+        left = left[sums[left] + high >= bound]
+        if len(left) <= step:
+            break
+    at = left
+    if depth < n and len(rows):
+        work.resolved += len(at)
+        score = lists.x[at] @ q
     else:
-        exact = np.where(alive, q[rows] @ x.T, -np.inf)
-        if len(vec) > k:  # of the k best of each query, ties by vec_id, which rises along the block
-            kth = np.partition(exact, len(vec) - k, axis=1)[:, len(vec) - k][:, None]
-            over, ties = exact > kth, exact == kth
-            alive &= over | ties & (np.cumsum(ties, axis=1) <= k - over.sum(axis=1, keepdims=True))
-        a, b = np.nonzero(alive)
-        score = exact[a, b]
-    best.add(a + (rows.start or 0), vec[b], score.astype(np.int64))
+        score = sums[at].astype(np.int64)
+    good = (score > floor) | ((score == floor) & (lists.vec[at] < floor_vec))
+    at, score = at[good], score[good]
+    if len(at) > 4 * k:  # a hundred times repeated vector: only the k best of these go on
+        top = np.lexsort((lists.vec[at], -score))[:k]
+        at, score = at[top], score[top]
+    return at, score
+
+
+def blocks(n: int) -> Iterator[slice]:
+    """Slices of n candidates, from FIRST on doubling up to BLOCK."""
+    at, size = 0, FIRST
+    while at < n:
+        yield slice(at, min(n, at + size))
+        at, size = at + size, min(2 * size, BLOCK)
+
+
+def search(ids: np.ndarray, q: np.ndarray, vec: np.ndarray, copies: np.ndarray, x: np.ndarray, k: int, work: Work | None = None) -> Best:
+    """The k best candidates of each query; a candidate counts as often as it has copies."""
+    if float(np.abs(q.astype(np.float64)).max(initial=0)) * float(np.abs(x.astype(np.float64)).max(initial=0)) * q.shape[1] >= EXACT:
+        raise OverflowError(f"inner products of these vectors can reach 2**53 (dimension {q.shape[1]}): scale them down")
+    best, work = Best(len(ids), k), work or Work()
+    for part in blocks(len(vec)):
+        lists = Lists(vec[part], copies[part], x[part])
+        for i in range(len(ids)):
+            at, score = qualify(lists, q[i], ids[i], best.score[i, -1], best.vec[i, -1], k, work)
+            if len(at):
+                times = np.minimum(lists.copies[at], k)
+                best.add(i, np.repeat(lists.vec[at], times), np.repeat(score, times))
+    return best
+
+
+def cells(vectors: DataFrame, queries: DataFrame) -> DataFrame:
+    """Rows (cb, qb, candidate, copies, vec_id, v): each cell (cb, qb) has one block of queries and one of candidates.
+
+    A repeated row is one row with its copies. Blocks are of bounded size; there
+    are as many blocks of queries as keep all cores busy, or more if they are many.
+    """
+    spark = vectors.sparkSession
+    candidates = staged(vectors.groupBy("vec_id", "v").agg(F.count(F.lit(1)).alias("copies")), "candidates")
+    wanted = staged(queries.select("vec_id", "v").distinct(), "queries")
+    n, dim = candidates.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("v")), F.lit(1))).first()
+    m = wanted.count()
+    nc = max(1, -(-n * dim * 8 // CANDIDATE_BYTES))
+    nq = max(1, -(-m * dim * 8 // QUERY_BYTES), min(-(-m // 64), -(-2 * spark.sparkContext.defaultParallelism // nc)))
+    own = F.xxhash64("vec_id", "v")
+    left = wanted.select(F.explode(F.sequence(F.lit(0), F.lit(nc - 1))).alias("cb"), F.pmod(own, F.lit(nq)).cast("int").alias("qb"), F.lit(False).alias("candidate"), F.lit(1).cast("long").alias("copies"), "vec_id", "v")
+    right = candidates.select(F.pmod(own, F.lit(nc)).cast("int").alias("cb"), F.explode(F.sequence(F.lit(0), F.lit(nq - 1))).alias("qb"), F.lit(True).alias("candidate"), "copies", "vec_id", "v")
+    return left.union(right).repartition("cb", "qb").sortWithinPartitions("cb", "qb", "candidate", "vec_id")
 
 
-def top_in_partitions(candidates: DataFrame, ids: np.ndarray, vectors: np.ndarray, k: int) -> DataFrame:
-    """(query_id, vec_id, score): the best k of each partition for each query."""
-    shared = candidates.sparkSession.sparkContext.broadcast((ids, vectors))
-    dim = vectors.shape[1]
+def top_in_cells(dealt: DataFrame, k: int) -> DataFrame:
+    """(query_id, vec_id, score): the best k of each cell for each of its queries."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, vectors = shared.value
-        best = Best(len(ids), k)
-
-        def take(vec: list[np.ndarray], x: list[np.ndarray]) -> None:
-            v, m = np.concatenate(vec), np.concatenate(x)
-            largest = float(np.abs(vectors).max(initial=1)) * float(np.abs(m).max(initial=1)) * dim
-            kind = np.float32 if largest < 1 << 24 else np.float64
-            order = np.argsort(v, kind="stable")
-            q, m = vectors.astype(kind), m[order].astype(kind)
-            for i in range(0, len(ids), QUERIES):
-                search_block(ids, q, slice(i, min(i + QUERIES, len(ids))), v[order], m, best)
-
-        vec: list[np.ndarray] = []
-        x: list[np.ndarray] = []
+        held: list[pa.RecordBatch] = []
         for batch in batches:
-            own = batch.column(0).to_numpy()
-            for d, at, rows in matrix(batch.column(1)):
-                if d == dim:
-                    vec.append(own[at])
-                    x.append(rows)
-            if sum(map(len, vec)) >= BLOCK:
-                take(vec, x)
-                vec, x = [], []
-        if vec:
-            take(vec, x)
-        a, b = np.nonzero(best.score > NONE)
-        for i in range(0, len(a), 100_000):
-            p, r = a[i : i + 100_000], b[i : i + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(ids[p]), pa.array(best.vec[p, r]), pa.array(best.score[p, r])], ["query_id", "vec_id", "score"])
-
-    return arrow_map(candidates, run, "query_id long, vec_id long, score long")
+            if not batch.num_rows:
+                continue
+            cell = np.stack([batch.column(0).to_numpy(), batch.column(1).to_numpy()])
+            cuts = [0, *(np.flatnonzero((np.diff(cell) != 0).any(axis=0)) + 1).tolist(), batch.num_rows]
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                part = batch.slice(a, b - a)
+                if held and (held[0].column(0)[0], held[0].column(1)[0]) != (part.column(0)[0], part.column(1)[0]):
+                    yield from found(held)
+                    held = []
+                held.append(part)
+        if held:
+            yield from found(held)
+
+    def found(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+        candidate, copies, vec = rows.column(2).to_numpy(zero_copy_only=False), rows.column(3).to_numpy(), rows.column(4).to_numpy()
+        for _, at, m in matrix(rows.column(5)):
+            asks = ~candidate[at]
+            if not asks.any() or asks.all():
+                continue
+            ids, of = vec[at[asks]], at[~asks]
+            # In an order of chance, so that the first blocks bound the later ones.
+            shuffled = np.argsort((vec[of].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(20), kind="stable")
+            best = search(ids, m[asks], vec[of][shuffled], copies[of][shuffled], m[~asks][shuffled], k)
+            a, b = np.nonzero(best.score > NONE)
+            for i in range(0, len(a), 100_000):
+                p, r = a[i : i + 100_000], b[i : i + 100_000]
+                yield pa.RecordBatch.from_arrays([pa.array(ids[p]), pa.array(best.vec[p, r]), pa.array(best.score[p, r])], ["query_id", "vec_id", "score"])
+
+    return arrow_map(dealt, run, "query_id long, vec_id long, score long")
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
     """query_id, rank, vec_id, score: each query's k best candidates by inner product.
 
-    `vectors` and `queries` have vec_id and v (integers). A query's own vec_id is
-    no candidate; ties go to the smaller vec_id; vectors of another number of
-    components are not compared; with fewer candidates than k all are given.
-    Repeated rows of a vec_id count as candidates each; a repeated query's rows
-    are one query. Scores are exact while they stay below 2**53.
+    `vectors` and `queries` have vec_id and v (integers); other columns are
+    ignored, null or empty vectors must be gone (see `integer_vectors`). A query's own
+    vec_id is no candidate; ties go to the smaller vec_id; vectors of another
+    number of components are not compared; with fewer candidates than k all are
+    given, and no candidates or no queries give no rows. Repeated rows of a
+    vec_id count as candidates each; a repeated query is one query, and one whose
+    rows differ has the k best over all its vectors. Scores are exact; vectors
+    whose scores could reach 2**53 raise an error.
     """
-    spark = vectors.sparkSession
-    distinct = queries.groupBy("vec_id", F.size("v").alias("dim")).agg(F.min("v").alias("v"))
-    shape = distinct.groupBy("dim").count().collect()
-    found = None
-    for dim, n in sorted((r["dim"], r["count"]) for r in shape):
-        slices = -(-n * dim * 8 // SLICE_BYTES)
-        for i in range(slices):
-            own = distinct.filter((F.col("dim") == dim) & (F.pmod(F.xxhash64("vec_id"), F.lit(slices)) == i)).orderBy("vec_id").select("vec_id", "v").toArrow()
-            if own.num_rows:
-                block = own.combine_chunks()
-                m = matrix(block.column("v").chunk(0))[0][2]
-                part = top_in_partitions(vectors, block.column("vec_id").to_numpy(), m, k)
-                found = part if found is None else found.union(part)
-    if found is None:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    ranked = found.repartition(partitions(spark), "query_id").withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    ranked = top_in_cells(cells(vectors, queries), k).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")
