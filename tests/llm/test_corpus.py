@@ -28,76 +28,9 @@ def odd(spark):
 # line dedup
 
 
-def brute_lines(rows, noise=25, guarantee=50):
-    """The declared rule, document by document: winnowed grams, matched with their first position, extended both ways."""
-    found = {}
-    for doc_id, text in rows:
-        hashes, counts = linededup.line_hashes((text or "").split("\n"))
-        for line, (gram, end) in linededup.winnow(hashes, counts, noise, guarantee).items():
-            found.setdefault(gram, set()).add((doc_id, line, end))
-    lines = {i: linededup.line_hashes((t or "").split("\n")) for i, t in rows}
-    gone = {i: set() for i, _ in rows}
-    for places in found.values():
-        (d0, p0, e0), *later = sorted(places)
-        for d, p, e in later:
-            (h, c), (h0, c0) = lines[d], lines[d0]
-            if h[p:e] != h0[p0:e0]:
-                continue
-            back = 0
-            while back < min(linededup.reach(c, p - 1, -1, guarantee), linededup.reach(c0, p0 - 1, -1, guarantee)) and h[p - 1 - back] == h0[p0 - 1 - back]:
-                back += 1
-            on = 0
-            while on < min(linededup.reach(c, e, 1, guarantee), linededup.reach(c0, e0, 1, guarantee)) and h[e + on] == h0[e0 + on]:
-                on += 1
-            gone[d].update(range(p - back, e + on))
-    return {i: None if t is None else "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone[i]) for i, t in rows}
-
-
-def test_line_dedup(spark):
-    rng = random.Random(2)
-    passage = [words_of(rng, rng.randint(1, 15)) for _ in range(12)]
-    one_line = words_of(rng, 60)
-    rows = []
-    for k in range(60):
-        body = [words_of(rng, rng.randint(0, 20)) for _ in range(rng.randint(1, 12))]
-        if k % 3 == 0:
-            body[len(body) // 2 : len(body) // 2] = passage[rng.randint(0, 3) :]
-        if k % 4 == 0:
-            body.insert(rng.randint(0, len(body)), one_line)
-        if k % 5 == 0:
-            body += ["short line"] * rng.randint(1, 40)
-        rows.append((k, "\n".join(body)))
-    rows += [(70, None), (71, ""), (72, next(t for _, t in rows[1:] if len(t.split()) > 80 and one_line not in t and passage[5] not in t))]
-    docs = spark.createDataFrame([(i, t, "e", "s") for i, t in rows], "doc_id long, text string, spans string, key string")
-    out = linededup.drop_repeated_lines(docs)
-    assert out.columns == docs.columns
-    got = {r.doc_id: r.text for r in out.collect()}
-    assert got == brute_lines(rows)
-    assert sum(one_line in (t or "") for t in got.values()) == 1
-    assert sum(passage[5] in (t or "") and passage[6] in (t or "") for t in got.values()) == 1
-    assert got[72].strip() == ""
-
-
-def test_line_dedup_odd_inputs(spark, odd):
-    got = sorted((r.doc_id or -1, r.text or "") for r in linededup.drop_repeated_lines(odd).collect())
-    assert got == sorted((r.doc_id or -1, r.text or "") for r in odd.collect())
-    assert linededup.drop_repeated_lines(odd.limit(0)).collect() == []
-
-
-def test_guarantee():
-    """Every run of the guaranteed length shares a fingerprint in both places."""
-    rng = random.Random(4)
-    for _ in range(60):
-        run = [words_of(rng, rng.randint(1, 12)) for _ in range(20)]
-        total = next(n for n in range(1, 21) if sum(len(x.split()) for x in run[:n]) >= 50)
-        texts = [[words_of(rng, rng.randint(0, 12)) for _ in range(rng.randint(0, 8))] + run[:total] + [words_of(rng, rng.randint(1, 12)) for _ in range(rng.randint(0, 8))] for _ in range(2)]
-        marks = [{g for g, _ in linededup.winnow(*linededup.line_hashes(t), 25, 50).values()} for t in texts]
-        assert marks[0] & marks[1]
-
-
-def brute_repeats(rows, guarantee=50):
-    """The promise alone: the lines with words of every run of `guarantee` words or more that an earlier place has, by all pairs of places."""
-    lines = [(i, k, " ".join(x.split())) for i, t in rows for k, x in enumerate((t or "").split("\n"))]
+def brute_repeats(rows, least):
+    """The lines with words, by document and number among them, of every run of `least` words or more that an earlier place has, by all pairs of places."""
+    lines = [(i, k, x) for i, t in rows for k, x in enumerate(" ".join(x.split()) for x in (t or "").split("\n") if x.split())]
     gone = set()
     for b in range(len(lines)):
         for a in range(b):
@@ -105,14 +38,88 @@ def brute_repeats(rows, guarantee=50):
             while b + n < len(lines) and lines[a + n][2] == lines[b + n][2] and lines[a + n][0] == lines[a][0] and lines[b + n][0] == lines[b][0]:
                 words += len(lines[b + n][2].split())
                 n += 1
-            if words >= guarantee:
-                gone.update(lines[b + k][:2] for k in range(n) if lines[b + k][2])
+            if words >= least:
+                gone.update(lines[b + k][:2] for k in range(n))
     return gone
 
 
-def kept_lines(spark, rows):
+def lines_of(text):
+    return [" ".join(x.split()) for x in (text or "").split("\n") if x.split()]
+
+
+def deduped(spark, rows, **limits):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    return {r.doc_id: r.text.split("\n") for r in linededup.drop_repeated_lines(docs).collect()}
+    return {r.doc_id: r.text for r in linededup.drop_repeated_lines(docs, **limits).collect()}
+
+
+def check_promise(spark, rows, noise=5, guarantee=8):
+    """Every run of `guarantee` words that an earlier place has is gone, and no line that is in no such run of `noise` words."""
+    got = deduped(spark, rows, noise=noise, guarantee=guarantee)
+    must, may = brute_repeats(rows, guarantee), brute_repeats(rows, noise)
+    for doc_id, text in rows:
+        lines = lines_of(text)
+        most = [x for k, x in enumerate(lines) if (doc_id, k) not in must]
+        least = [x for k, x in enumerate(lines) if (doc_id, k) not in may]
+        kept, rest = lines_of(got[doc_id]), iter(most)
+        assert all(x in rest for x in kept), doc_id
+        rest = iter(kept)
+        assert all(x in rest for x in least), doc_id
+    return must
+
+
+@pytest.mark.parametrize(("noise", "guarantee"), [(5, 8), (25, 50), (1, 1), (3, 20)])
+def test_line_dedup_keeps_its_promise(spark, noise, guarantee):
+    rng = random.Random(13)
+    pool = [words_of(rng, rng.randint(1, 25)) for _ in range(14)] + ["", " ", *[words_of(rng, 1) for _ in range(4)]]
+    rows = []
+    for k in range(70):
+        at = rng.randint(0, 10)
+        body = [rng.choice(pool) for _ in range(rng.randint(0, 10))] + pool[at : at + rng.randint(1, 6)]
+        rows.append((k, "\n".join([*body, *[words_of(rng, 3) for _ in range(2)], *[rng.choice(pool) for _ in range(6)]])))
+    assert len(check_promise(spark, rows, noise, guarantee)) > 50
+
+
+def test_line_dedup_whatever_the_spacing(spark):
+    """A run of 200 lines of a word each, three empty lines between them, goes whole where it is repeated."""
+    rng = random.Random(14)
+    run = [words_of(rng, 1) for _ in range(200)]
+    start, end = words_of(rng, 30), words_of(rng, 30)
+    rows = [(1, "\n\n\n\n".join(run)), (2, "\n".join([start, *run, end])), (3, start[::-1] + "\n" + "\n \n".join(run) + "\n\n" + end[::-1])]
+    got = deduped(spark, rows)
+    assert got[1] == rows[0][1] and lines_of(got[2]) == [start, end] and got[3] == f"{start[::-1]}\n\n{end[::-1]}"
+    got = deduped(spark, rows, noise=25, guarantee=50)
+    assert lines_of(got[2]) == [start, end]
+
+
+def test_line_dedup_of_short_lines(spark):
+    """A repeated line of 8 words goes from documents of any length."""
+    line = "one two three four five six seven eight"
+    rows = [(1, line), (2, line), (3, f"a\n{line}\nb"), (4, line.replace(" ", "  ")), (5, "one two three four"), (6, "one two three four"), (7, line[:-1])]
+    assert deduped(spark, rows) == {1: line, 2: "", 3: "a\nb", 4: "", 5: rows[4][1], 6: rows[5][1], 7: line[:-1]}
+
+
+def test_line_dedup_of_test_documents(spark, sf):
+    rows = [tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
+    seen, kept = set(), deduped(spark, rows)
+    for doc_id, _ in sorted(rows):
+        for line in lines_of(kept[doc_id]):
+            assert len(line.split()) < 8 or line not in seen
+            seen.add(line)
+    assert seen >= {x for _, t in rows for x in lines_of(t) if len(x.split()) >= 8}
+
+
+def test_line_dedup_columns_and_nulls(spark):
+    long_line = words_of(random.Random(2), 60)
+    docs = spark.createDataFrame([(70, None, "e", "s"), (71, "", "e", "s"), (72, long_line, "e", "s"), (73, f"x\n{long_line}", "e", "s")], "doc_id long, text string, spans string, key string")
+    out = linededup.drop_repeated_lines(docs)
+    assert out.columns == docs.columns
+    assert {r.doc_id: r.text for r in out.collect()} == {70: None, 71: "", 72: long_line, 73: "x"}
+
+
+def test_line_dedup_odd_inputs(spark, odd):
+    got = sorted((r.doc_id or -1, r.text or "") for r in linededup.drop_repeated_lines(odd).collect())
+    assert got == sorted((r.doc_id or -1, r.text or "") for r in odd.collect())
+    assert linededup.drop_repeated_lines(odd.limit(0)).collect() == []
 
 
 def test_line_dedup_where_the_first_position_stands_alone(spark):
@@ -124,31 +131,13 @@ def test_line_dedup_where_the_first_position_stands_alone(spark):
         a, b, c = ([words_of(rng, 15) for _ in range(4)] for _ in range(3))
         rows += [(3 * k, "\n".join([*a[:2], g, *a[2:]])), (3 * k + 1, "\n".join([*b[:2], x, g, y, *b[2:]])), (3 * k + 2, "\n".join([*c[:2], x, g, y, *c[2:]]))]
         runs.append((x, g, y))
-    got = kept_lines(spark, rows)
+    got = {i: t.split("\n") for i, t in deduped(spark, rows, noise=25, guarantee=50).items()}
     for k, run in enumerate(runs):
         assert not set(run) & set(got[3 * k + 2])
         assert run[0] in got[3 * k + 1] and run[1] in got[3 * k]
     assert all(len(got[3 * k + 2]) == 4 for k in range(12))
 
 
-def test_line_dedup_keeps_its_promise(spark):
-    """No line of a repeated run of 50 words stays, whatever its lines' other positions."""
-    rng = random.Random(13)
-    pool = [words_of(rng, rng.randint(1, 25)) for _ in range(14)] + ["", " "]
-    rows = []
-    for k in range(70):
-        at = rng.randint(0, 10)
-        body = [rng.choice(pool) for _ in range(rng.randint(0, 10))] + pool[at : at + rng.randint(1, 6)]
-        rows.append((k, "\n".join([*body, *[words_of(rng, 3) for _ in range(2)], *[rng.choice(pool) for _ in range(6)]])))
-    gone = brute_repeats(rows)
-    assert len(gone) > 50
-    for doc_id, left in kept_lines(spark, rows).items():
-        lines = dict(rows)[doc_id].split("\n")
-        # What stays is a subsequence of the lines outside the repeated runs.
-        rest = iter([x for k, x in enumerate(lines) if (doc_id, k) not in gone])
-        assert left == [""] or all(x in rest for x in left)
-
-
 # near-duplicates
 
 
@@ -252,14 +241,46 @@ def test_top_k_equals_brute_force(spark):
     assert search.top_k(v.limit(0), v.limit(0), 20).collect() == []
 
 
-def test_bounds_enclose_scores():
+def test_top_k_in_many_cells(spark, monkeypatch):
+    """Several blocks of candidates and of queries give what one of each does."""
+    rng = np.random.default_rng(16)
+    rows = [(k, [int(c) for c in v]) for k, v in enumerate(rng.integers(-30, 30, (1200, 10)))]
+    v = spark.createDataFrame(rows, "vec_id long, v array<long>")
+    whole = sorted(tuple(r) for r in search.top_k(v, v.filter("vec_id % 7 = 0"), 5).collect())
+    monkeypatch.setattr(search, "CANDIDATE_BYTES", 20_000)
+    monkeypatch.setattr(search, "QUERY_BYTES", 3_000)
+    dealt = search.cells(v, v.filter("vec_id % 7 = 0"))
+    assert dealt.select("cb").distinct().count() >= 4 and dealt.select("qb").distinct().count() >= 4
+    assert sorted(tuple(r) for r in search.top_k(v, v.filter("vec_id % 7 = 0"), 5).collect()) == whole
+
+
+def test_top_k_of_repeated_rows(spark):
+    v = spark.createDataFrame([(1, [3, 1])] * 4 + [(2, [2, 2]), (3, [1, 0])], "vec_id long, v array<long>")
+    got = [tuple(r) for r in search.top_k(v, v.filter("vec_id = 3"), 3).orderBy("rank").collect()]
+    assert got == [(3, 1, 1, 3), (3, 2, 1, 3), (3, 3, 1, 3)]
+    with pytest.raises(Exception, match="2\\*\\*53"):
+        big = spark.createDataFrame([(1, [1 << 40, 0]), (2, [1 << 40, 1])], "vec_id long, v array<long>")
+        search.top_k(big, big, 1).collect()
+
+
+def test_reading_stops_by_the_data():
+    """Lists with few large contributions are hardly read; lists of chance are, and either way few candidates are resolved."""
     rng = np.random.default_rng(8)
-    x, q = rng.integers(-30, 30, (300, 16)).astype(np.float64), rng.integers(-30, 30, (7, 16)).astype(np.float64)
-    exact = q @ x.T
-    for depth in (0.1, 0.5, 0.9, 1.0):
-        upper, lower = search.bounds(q, x, depth)
-        assert (upper >= exact).all() and (lower <= exact).all()
-    assert (upper == exact).all() and (lower == exact).all()
+    ids, n = np.arange(-5, 0), 4000
+    steep = np.rint(1000 / (1 + rng.permuted(np.tile(np.arange(n), (6, 1)), axis=1).T)).astype(np.int64)
+    even = rng.integers(-30, 30, (n, 32))
+    shares = []
+    for x in (steep, even):
+        q = np.abs(rng.integers(1, 30, (5, x.shape[1])))
+        work = search.Work()
+        best = search.search(ids, q, np.arange(n), np.ones(n, np.int64), x, 10, work)
+        exact = q @ x.T
+        for i in range(5):
+            order = np.lexsort((np.arange(n), -exact[i]))[:10]
+            assert (best.vec[i] == order).all() and (best.score[i] == exact[i, order]).all()
+        shares.append(work.read / work.entries)
+        assert work.resolved < 5 * n * (2 / search.STEPS)
+    assert shares[0] < 0.3 < shares[1] < 1
 
 
 # classifiers
