@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 from quire.llm.common import staged
 
 
-def mark(edges: DataFrame) -> tuple:
-    """Count and hash sum of the edges: equal for equal sets."""
-    return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+def settled(edges: DataFrame) -> bool:
+    """Whether the edges (u, v) are stars: each u has one edge, and no v is a u."""
+    if not edges.groupBy("u").count().filter("count > 1").isEmpty():
+        return False
+    return edges.join(staged(edges.select(F.col("v").alias("root")).distinct(), "centres"), F.col("u") == F.col("root"), "left_semi").isEmpty()
 
 
 def roots(links: DataFrame, rounds: int = 40) -> DataFrame:
@@ -18,26 +20,22 @@ def roots(links: DataFrame, rounds: int = 40) -> DataFrame:
 
     Each round links every node's larger neighbours, then its smaller ones, to
     the smallest of its neighbourhood; the edges become stars in a number of
-    rounds that grows with the logarithm of the longest path. Rounds are written
-    to the shared folder, so a lost executor costs no more than one round. Nodes
-    without links and links of a node to itself have no row.
+    rounds that grows with the logarithm of the longest path. What a round makes is written
+    to the shared folder, so a lost executor costs no more than one step, and
+    joins have a plain shuffle on either side: a star's centre is a hot key, which
+    adaptive execution splits. Nodes without links and links of a node to itself
+    have no row.
     """
-    edges = links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct()
-    edges = staged(edges, "edges")
-    before = mark(edges)
+    edges = staged(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct(), "edges")
     for _ in range(rounds):
-        if not before[0]:
+        if settled(edges):
             break
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        least = staged(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
+        large = staged(both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
+        least = staged(large.groupBy("u").agg(F.min("v").alias("m")), "least")
         small = large.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
         edges = staged(small.distinct(), "edges")
-        after = mark(edges)
-        if after == before:
-            break
-        before = after
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(edges.select("v", "v").distinct())
