@@ -170,7 +170,7 @@ def test_fingerprints(spark, odd):
     assert simhash.near_duplicates(odd.limit(0)).collect() == []
 
 
-@pytest.mark.parametrize(("m", "distance"), [(4, 4), (3, 4), (5, 4), (6, 4), (2, 3), (2, 4)])
+@pytest.mark.parametrize(("m", "distance"), [(4, 4), (3, 4), (5, 4), (6, 4), (2, 3), (2, 4), (5, 8)])
 def test_links_equal_brute_force(spark, m, distance):
     rng = np.random.default_rng(m)
     base = rng.integers(0, 1 << 63, 60, dtype=np.uint64)
@@ -210,6 +210,60 @@ def test_components(spark):
     assert components.roots(spark.createDataFrame([], "u long, v long")).collect() == []
 
 
+def test_component_ids(spark, odd):
+    """component_id end to end, against all pairs of the brute-force fingerprints."""
+    rng = random.Random(21)
+    rows = [(r.doc_id, r.text) for r in odd.collect() if r.doc_id != 33]
+    for k in range(12):
+        base = words_of(rng, 60).split()
+        for j in range(8):
+            base[rng.randrange(60)] = words_of(rng, 1)
+            rows.append((1000 - 10 * k - j, " ".join(base)))
+    got = simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    marks = [brute_fingerprint(t) for _, t in rows]
+    pairs = [(a, b) for a in range(len(rows)) for b in range(a) if (marks[a] ^ marks[b]).bit_count() <= 4]
+    top, first = brute_components(pairs, range(len(rows))), {}
+    for k, (doc_id, _) in enumerate(rows):
+        first[top[k]] = min((x for x in (first.get(top[k]), doc_id) if x is not None), default=None)
+    expected = sorted((i if i is not None else -1, f"{marks[k]:016x}", first[top[k]]) for k, (i, _) in enumerate(rows))
+    assert sorted((r.doc_id if r.doc_id is not None else -1, r.fingerprint, r.component_id) for r in got) == expected
+    assert len({c for _, _, c in expected}) < len({f for _, f, _ in expected})
+
+
+def shingle_set(text, words=5):
+    w = re.findall(r"[^\x20\x09-\x0D]+", text.lower())
+    return {" ".join(w[i : i + words]) for i in range(max(1, len(w) - words + 1))} if w else set()
+
+
+def test_one_of_each_by_similarity(spark):
+    """Planted pairs: nearly all of 0.85 or more are caught, none under 0.8 is."""
+    rng = random.Random(22)
+    rows, alike, apart = [], [], []
+    for k in range(300):
+        a = words_of(rng, rng.randint(60, 300)).split()
+        b = list(a)
+        for _ in range(rng.randint(0, len(a) // 20)):
+            b[rng.randrange(len(b))] = words_of(rng, 1)
+        x, y = shingle_set(" ".join(a)), shingle_set(" ".join(b))
+        share = len(x & y) / len(x | y)
+        rows += [(2 * k, " ".join(a)), (2 * k + 1, " ".join(b))]
+        (alike if share >= 0.85 else apart if share < 0.8 else []).append(2 * k + 1)
+    kept = {r.doc_id for r in simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(alike) > 40 and len(apart) > 40
+    assert {2 * k for k in range(300)} <= kept
+    assert sum(i not in kept for i in alike) > 0.93 * len(alike)
+    assert all(i in kept for i in apart)
+
+
+def test_jaccard_of_sketches():
+    rng = np.random.default_rng(23)
+    x = rng.integers(0, 1 << 63, 9000, dtype=np.uint64)
+    a, b = np.unique(x[:8000]), np.unique(x[1000:])
+    assert abs(simhash.jaccard(a[:1024], b[:1024], 1024) - 7 / 9) < 0.05
+    assert simhash.jaccard(a[:300], a[:300], 1024) == 1 and simhash.jaccard(a[:0], b[:0], 1024) == 1
+    assert simhash.jaccard(a[:100], a[50:150], 1024) == 1 / 3
+
+
 def test_one_of_each(spark, odd):
     kept = simhash.one_of_each(odd)
     assert kept.columns == odd.columns
