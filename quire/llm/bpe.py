@@ -4,8 +4,9 @@ The encoding of a prefix ends in one token, its last-token state. It follows
 from the states of shorter prefixes: the last token of a prefix is the one token
 that ends it and that BPE keeps apart from the last token of what stands before
 it. So a depth-first walk over the trie of all distinct words computes each
-shared prefix once. In sorted order the words are that walk: between two
-neighbours, the states up to their common prefix stay.
+shared prefix once. Each Python worker keeps one trie for all its batches and
+tasks; new words go into it in sorted order, which is that walk. A trie that has
+outgrown its bound is planted anew.
 
 Two neighbouring tokens are kept apart if, while both grow from symbols by their
 merges, no merge across their boundary comes first. Merges are learned in rank
@@ -28,6 +29,8 @@ from pyspark.sql import DataFrame
 from quire.llm.common import UnitCache, arrow_map, byte_slices
 
 NEVER = 1 << 60
+#: Nodes that a trie has before it is planted anew: about 100 MB. What is encoded does not depend on it.
+NODES = 500_000
 
 # Fixed values of the vocabulary's own splitting pattern, for units of printable ASCII
 # and the letters of Latin-1: these are their own NFC forms and lower-case one by one.
@@ -67,6 +70,7 @@ class WordBpe:
         self.inner = {t: i for t, i in self.inner.items() if i in stable}
         self.last = {t: i for t, i in self.last.items() if i in stable}
         self.pairs: dict[int, bool] = {}
+        self.plant()
         self.word_cache = UnitCache(self.encode_mixed, limit=150_000, batch_chars=1 << 22)
 
     def edges(self, side: int) -> dict[int, list[tuple[int, int]]]:
@@ -129,29 +133,44 @@ class WordBpe:
         return self.rank.get(left[i][0] << 20 | right[j][0]) == rank
 
     def encode_words(self, words: list[str]) -> list[list[int]]:
-        """Token ids of distinct words, given as the vocabulary's byte characters."""
+        """Token ids of distinct words, given as the vocabulary's byte characters.
+
+        The words go into the trie in sorted order, which is its depth-first walk.
+        A new node gets its state from those above it; a known one, of this call
+        or an earlier one, has it.
+        """
         order = sorted(range(len(words)), key=words.__getitem__)
         out: list[list[int]] = [[]] * len(words)
         inner, last, pairs, apart, longest = self.inner.get, self.last.get, self.pairs, self.apart, self.longest
-        # State at depth i: the last token of the prefix of i characters, and where it starts.
-        token, start = [-1], [0]
+        if len(self.tokens) > NODES:
+            self.plant()
+        child, tokens, starts = self.child, self.tokens, self.starts
+        # The nodes from the root to where the walk is, and their states.
+        path, token, start = [0], [-1], [0]
         before = ""
         for k in order:
             word = words[k]
             n, depth = len(word), 0
-            top = min(len(token) - 1, n - 1, len(before))
+            top = min(len(path) - 1, n - 1, len(before))
             while depth < top and word[depth] == before[depth]:
                 depth += 1
-            del token[depth + 1 :], start[depth + 1 :]
+            del path[depth + 1 :], token[depth + 1 :], start[depth + 1 :]
             for i in range(depth + 1, n):
-                for s in range(i - 1, i - longest - 1 if i > longest else -1, -1):
-                    t = inner(word[s:i])
-                    if t is not None and (s == 0 or pairs.get(key := token[s] << 20 | t) or key not in pairs and apart(token[s], t)):
-                        token.append(t)
-                        start.append(s)
-                        break
-                else:
-                    raise ValueError(f"no encoding for a prefix of {word!r}")
+                edge = path[-1] << 21 | ord(word[i - 1])
+                node = child.get(edge)
+                if node is None:
+                    for s in range(i - 1, i - longest - 1 if i > longest else -1, -1):
+                        t = inner(word[s:i])
+                        if t is not None and (s == 0 or pairs.get(key := token[s] << 20 | t) or key not in pairs and apart(token[s], t)):
+                            break
+                    else:
+                        raise ValueError(f"no encoding for a prefix of {word!r}")
+                    node = child[edge] = len(tokens)
+                    tokens.append(t)
+                    starts.append(s)
+                path.append(node)
+                token.append(tokens[node])
+                start.append(starts[node])
             for s in range(n - 1, max(-1, n - longest - 1), -1):
                 t = last(word[s:])
                 if t is not None and (s == 0 or pairs.get(key := token[s] << 20 | t) or key not in pairs and apart(token[s], t)):
@@ -166,6 +185,12 @@ class WordBpe:
             before = word
         return out
 
+    def plant(self) -> None:
+        """An empty trie: by node and character the node below; by node the prefix's last token and where that starts."""
+        self.child: dict[int, int] = {}
+        self.tokens: list[int] = [-1]
+        self.starts: list[int] = [0]
+
     def words(self, unit: str) -> list[str | int]:
         """Words (or ids of special tokens) of a unit without white space."""
         if unit.isascii() and unit.isalpha():
@@ -247,7 +272,9 @@ def digests(documents: DataFrame, vocabulary: str) -> DataFrame:
 
     Each distinct word is encoded and decoded once; a document's ids and decoded
     text are those of its units' words, one after the other. A null text counts as
-    empty; repeated rows give repeated rows; other columns are ignored.
+    empty; repeated rows give repeated rows; a null doc_id stays null; other columns
+    are ignored; a very long text is looked up in segments; an empty table gives an
+    empty one.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
