@@ -49,6 +49,44 @@ def test_trie_equals_the_library():
         assert model.decode(ids) == WORD.decode(ids, skip_special_tokens=False)
 
 
+def test_a_prefix_is_computed_once(monkeypatch):
+    """Over several batches the trie has a node for each distinct prefix, and no more lookups than new nodes need."""
+    model = bpe.WordBpe(vocabulary("word_bpe_49k.json"))
+    batches = [["inter", "international", "internet"], ["interval", "internet", "into"], ["internationally", "zebra", "a"]]
+    looked_up = []
+    inner = model.inner
+
+    class Counting(dict):
+        def get(self, key, default=None):
+            looked_up.append(key)
+            return inner.get(key, default)
+
+    monkeypatch.setattr(model, "inner", Counting())
+    for batch in batches:
+        assert model.encode_words(batch) == [words(w) for w in batch]
+    prefixes = {w[:i] for batch in batches for w in batch for i in range(1, len(w))}
+    assert len(model.tokens) - 1 == len(prefixes) == len(model.child)
+    before = len(looked_up)
+    for batch in batches:
+        model.encode_words(batch)
+    assert len(looked_up) == before
+    monkeypatch.setattr(bpe, "NODES", 3)
+    assert model.encode_words(["zebras"]) == [words("zebras")] and len(model.child) == 5
+
+
+def test_pieces_that_span_a_space_are_refused():
+    class Model:
+        def get_piece_size(self):
+            return 2
+
+        def id_to_piece(self, i):
+            return ["▁the", "of▁the"][i]
+
+    with pytest.raises(ValueError, match="spans"):
+        token_counts.check_pieces(Model())
+    token_counts.check_pieces(PIECE)
+
+
 def test_plain_encoders_equal_the_library():
     word = plain_ids.word_encoder(vocabulary("word_bpe_49k.json"))
     byte = plain_ids.byte_encoder(*token_files.vocabulary("byte_bpe_50k"))
