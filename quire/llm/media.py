@@ -21,10 +21,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import arrow_map, byte_slices, new_folder, partitions, staged
+from quire.llm.common import arrow_map, byte_slices, new_folder, staged
 
 ROW = 576
 SHARD_BYTES = 256 << 20
+#: Documents whose ids a task holds before it gives their rows.
+HELD_IDS = 500_000
 # Fixed values of the PNG and tar formats.
 PNG_START = b"\x89PNG\r\n\x1a\n"
 BLOCK = 512
@@ -56,10 +58,13 @@ def png_header(start: bytes) -> tuple[int, int, int]:
 
 
 def from_png(data: bytes) -> bytes:
+    """The samples of an image of `to_png`; a chunk that its CRC does not fit raises an error."""
     width, height, _ = png_header(data)
     at, parts = 8, []
     while at < len(data):
         size, kind = struct.unpack(">I4s", data[at : at + 8])
+        if struct.pack(">I", zlib.crc32(data[at + 4 : at + 8 + size])) != data[at + 8 + size : at + 12 + size]:
+            raise ValueError(f"damaged chunk {kind!r} in a PNG image")
         if kind == b"IDAT":
             parts.append(data[at + 8 : at + 8 + size])
         at += size + 12
@@ -77,9 +82,10 @@ def file_system(folder: str):
 def write_shards(documents: DataFrame) -> DataFrame:
     """Store every document's payload and return the manifest as read back.
 
-    One row per distinct payload and task: digest, shard, offset, length (of the
-    image) and doc_ids. Shards have names of their own, so a task that runs again
-    writes others; only those of committed rows count.
+    One row per distinct payload and shard (or part of one, after `HELD_IDS`
+    documents): digest, shard, offset, length (of the image) and doc_ids. A task
+    holds the rows of its open shard alone. Shards have names of their own, so a
+    task that runs again writes others; only those of committed rows count.
     """
     folder = new_folder(documents.sparkSession, "media")
 
@@ -87,7 +93,7 @@ def write_shards(documents: DataFrame) -> DataFrame:
         store, root = file_system(folder)
         store.create_dir(root, recursive=True)
         places: dict[bytes, tuple[str, int, int, list]] = {}
-        out, name, at = None, "", 0
+        out, name, at, held = None, "", 0, 0
         for batch, texts in byte_slices(batches, "text"):
             ids = batch.column(batch.schema.get_field_index("doc_id")).to_pylist()
             for doc_id, text in zip(ids, texts, strict=True):
@@ -104,14 +110,21 @@ def write_shards(documents: DataFrame) -> DataFrame:
                     out.write(head + image + bytes(-len(image) % BLOCK))
                     places[digest] = (name, at + len(head), len(image), [])
                     at += len(head) + len(image) + -len(image) % BLOCK
+                places[digest][3].append(doc_id)
+                held += 1
+                if at >= SHARD_BYTES or held >= HELD_IDS:
                     if at >= SHARD_BYTES:
                         out.write(bytes(2 * BLOCK))
                         out.close()
                         out = None
-                places[digest][3].append(doc_id)
+                    yield from rows_of(places)
+                    places, held = {}, 0
         if out is not None:
             out.write(bytes(2 * BLOCK))
             out.close()
+        yield from rows_of(places)
+
+    def rows_of(places: dict[bytes, tuple[str, int, int, list]]) -> Iterator[pa.RecordBatch]:
         rows = [(d, *p) for d, p in places.items()]
         for i in range(0, len(rows), 5000):
             digest, shard, offset, length, doc_ids = zip(*rows[i : i + 5000], strict=True)
@@ -127,7 +140,7 @@ def write_shards(documents: DataFrame) -> DataFrame:
 def stored_objects(manifest: DataFrame) -> DataFrame:
     """One row per digest with the first of its places, dealt out along the shards."""
     first = manifest.groupBy("digest").agg(F.min(F.struct("shard", "offset", "length")).alias("place")).select("digest", "place.*")
-    return first.repartitionByRange(partitions(manifest.sparkSession), "shard", "offset").sortWithinPartitions("shard", "offset")
+    return first.repartitionByRange("shard", "offset").sortWithinPartitions("shard", "offset")
 
 
 def ranges(store, rows: list[tuple[str, int, int]]) -> Iterator[bytes]:
@@ -193,7 +206,9 @@ def media_columns(documents: DataFrame) -> DataFrame:
     """One row per document with the columns of what is stored for it.
 
     A null text counts as empty: one row of fill bytes. Equal texts share one
-    stored image per shard and have equal values. Repeated rows stay.
+    stored image per shard and have equal values. Repeated rows and rows without a
+    doc_id stay; other columns are ignored, whatever their names; a very long text
+    is one image; an empty table gives an empty one.
     """
     spark = documents.sparkSession
     manifest = write_shards(documents)
