@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.llm.common import arrow_map, byte_slices, partitions, staged
+from quire.llm.common import arrow_map, byte_slices, staged
 from quire.llm.plain_ids import byte_encoder
 
 ROW_GROUP_BYTES = 16 << 20
@@ -55,12 +55,16 @@ def tokenize(documents: DataFrame, files: tuple[str, str, str], end_id: int) ->
 
 
 def write_token_files(documents: DataFrame, files: tuple[str, str, str], end_id: int) -> DataFrame:
-    """Write the token files in ascending doc_id order (null ids first, equal ids by text) and return them as read back.
+    """Write the token files in ascending doc_id order (null ids first, equal ids by the text's hash) and return them as read back.
 
     Texts are dealt out by ranges of doc_id, so each file holds a range; a null
-    text counts as empty and has the end id alone.
+    text counts as empty and has the end id alone. Repeated rows are written as
+    often as they occur, and dealt out by a number of their own, so that a doc_id
+    with very many of them is no hot range. Other columns are ignored; a very long
+    text is one row; an empty table gives files without rows.
     """
-    ordered = documents.select("doc_id", "text").repartitionByRange(partitions(documents.sparkSession), "doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"))
+    order = [F.col("doc_id"), F.xxhash64("text"), F.monotonically_increasing_id()]
+    ordered = documents.select("doc_id", "text").repartitionByRange(*order).sortWithinPartitions("doc_id", F.xxhash64("text"))
     options = {"parquet__block__size": ROW_GROUP_BYTES, "parquet__page__row__count__limit": PAGE_ROWS, "parquet__enable__dictionary": "true"}
     return staged(tokenize(ordered, files, end_id), "tokens", **options)
 
@@ -82,5 +86,6 @@ def read_token_files(files: DataFrame) -> DataFrame:
             checks = [zlib.crc32(values[a:b]) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(np.diff(offsets).astype(np.int64)), pa.array(checks, pa.int64())], ["doc_id", "part", "part_start", "n_tokens", "ids_crc32"])
 
+    # Two numbers for each writing task are broadcast: 16 MB for a million tasks.
     rows = arrow_map(files.select("doc_id", "part", "part_start", "tokens"), run, "doc_id long, part int, part_start long, n_tokens long, ids_crc32 long")
     return rows.join(F.broadcast(part_starts(files)), "part").select("doc_id", (F.col("base") + F.col("part_start")).alias("start"), "n_tokens", "ids_crc32")
