@@ -130,7 +130,8 @@ def pack(documents: DataFrame, vocabulary: str, end_id: int = 2, capacity: int =
     and the key of a piece: part, cls, piece; pieces has the ids by part, cls and
     number (the same as piece).
     A null or empty text is one piece with the end id. Repeated rows are packed
-    as often as they occur. No documents give no rows.
+    as often as they occur; rows without a doc_id are packed too. A very long text
+    is cut like any other. Other columns are ignored. No documents give no rows.
     """
     pieces = staged(cut_documents(documents, vocabulary, end_id, capacity), "pieces")
     layout = place(staged(checked(pieces), "layout"), capacity)

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from quire.llm import components, language, linededup, quality, queries, search, simhash
+from quire.llm import common, components, language, linededup, quality, queries, search, simhash
 
 
 def words_of(rng, n):
@@ -430,6 +430,26 @@ def test_line_dedup_of_a_shared_id(spark):
     assert sorted(t.split("\n")[-1] for t in got) == sorted(t.split("\n")[-1] for _, t in rows)
 
 
+# shared folder
+
+
+def test_a_cluster_without_a_shared_folder_is_refused():
+    class Context:
+        master = "spark://host:7077"
+
+        def getConf(self):
+            return {}
+
+    class Session:
+        sparkContext = Context()
+
+        class conf:
+            get = staticmethod(lambda key, default=None: default)
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        common.shared_dir(Session())
+
+
 # pipeline
 
 

@@ -168,6 +168,57 @@ def test_token_files(docs):
     assert token_files.read_token_files(empty).collect() == []
 
 
+def test_token_files_layout(spark, sf, tmp_path):
+    """Row groups of a set size, dictionary pages, page indexes, and reads of the small columns alone."""
+    import glob
+
+    import pyarrow.parquet as pq
+
+    documents = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").unionAll(spark.range(20_000).selectExpr("id + 10000 AS doc_id", "concat('word ', id) AS text"))
+    files = token_files.write_token_files(documents, token_files.vocabulary("byte_bpe_50k"), end_id=2)
+    paths = sorted(glob.glob(files.inputFiles()[0].removeprefix("file://").rsplit("/", 1)[0] + "/*.parquet"))
+    last = -1
+    for path in paths:
+        with pq.ParquetFile(path) as f:
+            assert f.read(["doc_id"]).column(0).to_pylist() == sorted(f.read(["doc_id"]).column(0).to_pylist())
+            for g in range(f.metadata.num_row_groups):
+                group = f.metadata.row_group(g)
+                assert group.total_byte_size < 2 * token_files.ROW_GROUP_BYTES
+                columns = {group.column(c).path_in_schema: group.column(c) for c in range(group.num_columns)}
+                tokens = next(c for n, c in columns.items() if n.startswith("tokens"))
+                assert tokens.has_dictionary_page and all(c.has_offset_index and c.has_column_index for c in columns.values())
+                assert columns["doc_id"].statistics.min > last
+                last = columns["doc_id"].statistics.max
+    plan = files.filter("doc_id = 5").select("doc_id", "n_tokens")._jdf.queryExecution().toString()
+    assert "tokens:array" not in plan.split("ReadSchema")[1] and "EqualTo(doc_id,5)" in plan
+
+
+def test_token_files_of_a_shared_id(spark, request):
+    """Very many rows of one doc_id and text are dealt out over several files."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    request.addfinalizer(lambda: spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled"))
+    documents = spark.range(4000).selectExpr("CAST(7 AS LONG) AS doc_id", "'the same text' AS text")
+    files = token_files.write_token_files(documents, token_files.vocabulary("byte_bpe_50k"), end_id=2)
+    rows = token_files.read_token_files(files).collect()
+    assert sorted(r.start for r in rows) == [k * rows[0].n_tokens for k in range(4000)]
+    assert files.select("part").distinct().count() > 1
+
+
+def test_media_of_small_shards(docs, monkeypatch):
+    whole = sorted(tuple(r) for r in media.media_columns(docs.filter("doc_id IS NOT NULL")).collect())
+    monkeypatch.setattr(media, "SHARD_BYTES", 3000)
+    monkeypatch.setattr(media, "HELD_IDS", 7)
+    small = sorted(tuple(r) for r in media.media_columns(docs.filter("doc_id IS NOT NULL")).collect())
+    assert small == whole
+
+
+def test_a_damaged_image_is_refused():
+    image = bytearray(media.to_png(media.payload_of("some text")))
+    image[45] ^= 1
+    with pytest.raises(ValueError, match="damaged"):
+        media.from_png(bytes(image))
+
+
 def test_media(docs):
     rows = media.media_columns(docs).collect()
     texts = {i: t.encode() for i, t in given(docs)}
