@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quire.llm.common import arrow_map, byte_slices, fresh
+from quire.llm.common import arrow_map, byte_slices, fresh, staged
 
 BUCKETS = 4096
 #: Least bytes of letters of each length class; a shorter text is in the first one.
@@ -116,11 +116,12 @@ def bounded_sample(rows: DataFrame, key: str, most: int) -> DataFrame:
     return rows.filter(F.pmod(F.xxhash64(F.lit("sample"), key), F.lit(1 << 20)) < F.lit(math.ceil(share * (1 << 20))))
 
 
-def fit(documents: DataFrame, usable: Column, per_language: int = 300, clusters: int = 4, slack: float = 0.8, least: int = 20) -> Model:
-    """Fit on the usable rows with text and lang, at most about `per_language` for each language.
+def fit(documents: DataFrame, usable: Column, per_language: int = 300, clusters: int = 4, slack: float = 0.8, least: int = 20, most: int = 6000) -> Model:
+    """Fit on the usable rows with text and lang, at most about `per_language` for each language and `most` in all.
 
     IDF, centroids and floors come from this bounded sample: the n-gram counts
-    of its texts, not the texts, come to the driver. Short texts lie far from
+    of its texts, not the texts, come to the driver. With so many lang values
+    that `most` is reached, each has fewer texts, and a rare one may have none. Short texts lie far from
     every centroid, so each sampled text also gives a piece from its middle for
     each length class it reaches: a class's floor is `slack` times the cosine
     that one in a hundred of the language's pieces stays below. A class with
@@ -130,11 +131,11 @@ def fit(documents: DataFrame, usable: Column, per_language: int = 300, clusters:
     rows = documents.filter(usable & F.col("text").isNotNull() & F.col("lang").isNotNull()).select("doc_id", "text", "lang")
     # One row for each doc_id and text: rows that repeat do not make the sample grow.
     key = F.xxhash64(F.lit("sample"), "doc_id", "text")
-    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
-    share = F.lit(0)
-    for lang, n in sizes.items():
-        share = F.when(F.col("lang") == lang, F.lit(math.ceil(min(1.0, per_language / n) * (1 << 20)))).otherwise(share)
-    sample = rows.withColumn("key", key).filter(F.pmod("key", F.lit(1 << 20)) < share).dropDuplicates(["lang", "key"])
+    # Written: a small table, as it is but for dirty tables, is broadcast by its size; else a language with very many texts is split.
+    sizes = staged(rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")), "languages")
+    own_most = min(per_language, most / max(1, sizes.count()))
+    share = F.ceil(F.least(F.lit(1.0), F.lit(float(own_most)) / F.col("n")) * (1 << 20))
+    sample = rows.withColumn("key", key).join(sizes, "lang").filter(F.pmod("key", F.lit(1 << 20)) < share).dropDuplicates(["lang", "key"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in byte_slices(batches, "text"):
@@ -144,7 +145,7 @@ def fit(documents: DataFrame, usable: Column, per_language: int = 300, clusters:
                     data = letters(t)
                     middles = [(len(data) - n) // 2 for n in LENGTHS if n <= len(data)]
                     parts = [data, *[data[a : a + n] for a, n in zip(middles, LENGTHS, strict=False)]]
-                    rows += [(lang, k - 1, zlib.compress(np.minimum(grams_of(d), 65535).astype("<u2").tobytes(), 1)) for k, d in enumerate(parts)]
+                    rows += [(lang, k - 1, zlib.compress(grams_of(d).astype("<u4").tobytes(), 1)) for k, d in enumerate(parts)]
             for i in range(0, len(rows), 2000):
                 columns = zip(zip(*rows[i : i + 2000], strict=True), (pa.string(), pa.int32(), pa.binary()), strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in columns], ["lang", "class", "counts"])
@@ -176,17 +177,19 @@ def fit(documents: DataFrame, usable: Column, per_language: int = 300, clusters:
 
 
 def unpacked(table: pa.Table) -> np.ndarray:
-    return np.frombuffer(b"".join(zlib.decompress(c) for c in table.column("counts").to_pylist()), "<u2").reshape(-1, BUCKETS)
+    return np.frombuffer(b"".join(zlib.decompress(c) for c in table.column("counts").to_pylist()), "<u4").reshape(-1, BUCKETS)
 
 
 def predict(documents: DataFrame, model: Model) -> DataFrame:
     """The documents with lang_pred, score and rejected.
 
     A null text or one without letters is `und`, scores 0 and is rejected. Ties
-    go to the language first by name. Other columns pass; columns of these three
-    names are replaced. With no labelled rows at all, every row is `und`.
+    go to the language first by name. Repeated rows stay; a very long text counts
+    whole. Other columns pass; columns of these three names, in whatever case, are
+    replaced. With no labelled rows at all, every row is `und`; an empty table
+    gives an empty one.
     """
-    kept = [c for c in documents.columns if c not in ("lang_pred", "score", "rejected")]
+    kept = [c for c in documents.columns if c.lower() not in ("lang_pred", "score", "rejected")]
     source = documents.select(*kept)
     added = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("rejected", T.BooleanType())]
 
@@ -199,7 +202,7 @@ def predict(documents: DataFrame, model: Model) -> DataFrame:
 
 
 def accepted(documents: DataFrame, model: Model) -> DataFrame:
-    """The documents that the model does not reject, with their own columns."""
+    """The documents that the model does not reject, with their own columns, whatever their names."""
     gone = fresh("rejected", documents.columns)
     schema = T.StructType([*documents.schema.fields, T.StructField(gone, T.BooleanType())])
 
