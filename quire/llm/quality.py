@@ -1,8 +1,8 @@
 """Quality classification by voting of the nearest labelled documents.
 
-A text's vector counts the shapes of its words (runs of upper-case, lower-case
-and digit characters and the signs around them), pairs of neighbouring shapes,
-repeats of words and lines, by TF-IDF. A truncated SVD of labelled documents'
+A text's vector counts its lower-cased words by a hash, the shapes of its words
+(runs of upper-case, lower-case and digit characters and the signs around them),
+pairs of neighbouring shapes, repeats of words and lines, by TF-IDF. A truncated SVD of labelled documents'
 vectors gives the latent space. The labelled latent vectors, of bounded number,
 go to every task; each document is compared with all of them in blocks, and the
 nearest vote with their similarity.
@@ -25,8 +25,10 @@ from pyspark.sql import types as T
 from quire.llm.common import UnitCache, arrow_map, byte_slices, fresh
 from quire.llm.language import bounded_sample
 
-SHAPES, PAIRS, REPEATS = 256, 512, 8
-WIDTH = SHAPES + PAIRS + REPEATS
+SHAPES, PAIRS, REPEATS, TERMS = 256, 512, 8, 1024
+WIDTH = SHAPES + PAIRS + REPEATS + TERMS
+#: What a term weighs beside a shape: most words are no mark of quality.
+TERM_WEIGHT = 0.5
 _RUNS = re.compile(r"(.)\1+")
 
 
@@ -50,10 +52,10 @@ def pieces(text: str) -> list[str]:
 
 @lru_cache(maxsize=1)
 def word_codes() -> UnitCache:
-    """A number for each word and its shape: the word's hash above, the shape's bucket in the low 8 bits."""
+    """A number for each word and its shape: the lower-cased word's hash above, the shape's bucket in the low 8 bits."""
 
     def codes(words: list[str]) -> list[int]:
-        return [(hash(w) & 0xFFFFFFFFFFFF) << 8 | zlib.crc32(shape(w).encode()) % SHAPES for w in words]
+        return [zlib.crc32(w.lower().encode()) << 8 | zlib.crc32(shape(w).encode()) % SHAPES for w in words]
 
     return UnitCache(codes)
 
@@ -71,6 +73,7 @@ def counts(codes: np.ndarray, lines: list[str]) -> np.ndarray:
         out[at + back] = (codes[back:] == codes[:-back]).sum() if len(codes) > back else 0
     out[at] = len(lines) - len(set(lines))
     out[at + 4] = sum(line == other for line, other in zip(lines, lines[1:], strict=False)) * 4
+    out[at + REPEATS :] = np.bincount((codes >> 8) % TERMS, minlength=TERMS)
     return out
 
 
@@ -86,6 +89,7 @@ def weighted(rows: np.ndarray, idf: np.ndarray) -> np.ndarray:
     """Normalised TF-IDF vectors of shares of the document, damped; a row of zeros stays."""
     words = np.maximum(rows[:, :SHAPES].sum(axis=1, keepdims=True), 1.0)
     x = np.sqrt(rows / words) * idf
+    x[:, SHAPES + PAIRS + REPEATS :] *= TERM_WEIGHT
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
 
 
@@ -121,7 +125,9 @@ def fit(documents: DataFrame, labels: DataFrame, usable: Column, most: int = 400
     """Fit on usable labelled rows, at most about `most` of them (a bounded sample by a hash of doc_id).
 
     IDF, latent axes and neighbours come from this sample; its vectors, not its
-    texts, come to the driver.
+    texts, come to the driver. A doc_id whose labels differ has label 0; labels
+    other than 0 and 1, null ones and those of a null doc_id are left out; of the
+    rows that share a labelled doc_id one counts.
     """
     labelled = labels.filter(F.col("quality").isin(0, 1)).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     chosen = bounded_sample(labelled.filter(usable), "doc_id", most)
@@ -129,7 +135,7 @@ def fit(documents: DataFrame, labels: DataFrame, usable: Column, most: int = 400
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in byte_slices(batches, "text"):
-            found = [v.tobytes() for v in vectors(texts)]
+            found = [zlib.compress(v.tobytes(), 1) for v in vectors(texts)]
             columns = [batch.column(batch.schema.get_field_index(c)) for c in ("doc_id", "quality")]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(found, pa.binary())], ["doc_id", "quality", "counts"])
 
@@ -138,7 +144,7 @@ def fit(documents: DataFrame, labels: DataFrame, usable: Column, most: int = 400
     got = vectors_of.groupBy("doc_id").agg(F.min("quality").alias("quality"), F.min("counts").alias("counts")).drop("doc_id").orderBy("quality", F.xxhash64("counts")).toArrow()
     if not got.num_rows:
         return Model(np.ones(WIDTH, np.float32), np.zeros((WIDTH, 1), np.float32), np.zeros((0, 1), np.float32), np.zeros(0), neighbours)
-    raw = np.frombuffer(b"".join(got.column("counts").to_pylist()), np.float32).reshape(-1, WIDTH)
+    raw = np.frombuffer(b"".join(map(zlib.decompress, got.column("counts").to_pylist())), np.float32).reshape(-1, WIDTH)
     idf = np.log((1 + len(raw)) / (1 + (raw > 0).sum(axis=0))).astype(np.float32) + np.float32(0.2)
     x = weighted(raw, idf)
     values, axes = np.linalg.eigh(x.T.astype(np.float64) @ x)
@@ -151,11 +157,13 @@ def fit(documents: DataFrame, labels: DataFrame, usable: Column, most: int = 400
 def predict(documents: DataFrame, model: Model, least: float = 0.3) -> DataFrame:
     """The documents with score (0 to 1) and predicted (1 if score >= `least`).
 
-    A null text counts as empty and is scored like others. Other columns pass;
-    columns of these two names are replaced. Without labelled rows all scores
-    are 0.5.
+    A null text counts as empty and is scored like others; repeated rows stay; a
+    very long text is scored whole. Of labelled texts at equal distance from the
+    last place on, any may vote. Other columns pass; columns of these two names,
+    in whatever case, are replaced. Without labelled rows all scores are 0.5; an
+    empty table gives an empty one.
     """
-    source = documents.select(*[c for c in documents.columns if c not in ("score", "predicted")])
+    source = documents.select(*[c for c in documents.columns if c.lower() not in ("score", "predicted")])
     added = [T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -167,7 +175,7 @@ def predict(documents: DataFrame, model: Model, least: float = 0.3) -> DataFrame
 
 
 def accepted(documents: DataFrame, model: Model, least: float = 0.3) -> DataFrame:
-    """The documents that score at least `least`, with their own columns."""
+    """The documents that score at least `least`, with their own columns, whatever their names."""
     name = fresh("score", documents.columns)
     schema = T.StructType([*documents.schema.fields, T.StructField(name, T.DoubleType())])
 
