@@ -1,5 +1,6 @@
 """Line dedup, classifiers, top-k search, near-duplicates and the pipeline against brute force."""
 
+import base64
 import random
 import re
 import zlib
@@ -362,6 +363,60 @@ def test_language_unseen_is_rejected(spark, unseen):
             assert np.mean([r.rejected for r in rows if r.lang == unseen]) > 0.97
 
 
+def test_language_noise_is_rejected(spark):
+    """Random letters, encoded bytes, code and languages that no text was labelled with, at any length."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    model = language.fit(docs, queries.fold(3) != 1)
+    rng = random.Random(31)
+    noise = [" ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(2, 9))) for _ in range(n)) for n in (4, 20, 200, 3000) for _ in range(20)]
+    noise += [base64.b64encode(rng.randbytes(n)).decode() for n in (40, 600, 20_000) for _ in range(20)] + [rng.randbytes(n).hex() for n in (40, 6000) for _ in range(20)]
+    noise += ["for (int i = 0; i < n; i++) { if (x[i] > y) { return foo_bar(baz, qux); } else { printf(i); } }" * n for n in (1, 20)]
+    noise += ["Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw.", "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan.", "Все люди рождаются свободными и равными в своем достоинстве и правах.", "人人生而自由,在尊严和权利上一律平等。"]
+    gone = model.predict(noise)[2]
+    assert gone.mean() > 0.93 and all(g for g, t in zip(gone, noise, strict=True) if len(t) > 500)
+
+
+def brute_language(text, model):
+    """Language and cosine from a dictionary of grams, one at a time."""
+    lowered = "".join(c.lower() if not c.isascii() or c.isalpha() else " " for c in text) if not text.isascii() else re.sub("[^a-z]", " ", text.lower())
+    data = (" " + " ".join(lowered.split(" ")) + " ").encode()
+    data = b" " + b" ".join(data.split()) + b" "
+    found = {}
+    for n, salt in ((2, 0x9E3779B1), (3, 0x85EBCA6B)):
+        for i in range(len(data) - n + 1):
+            at = (int.from_bytes(data[i : i + n], "big") * salt % (1 << 32)) >> 20
+            found[at] = found.get(at, 0) + 1
+    x = {k: n**0.5 * float(model.idf[k]) for k, n in found.items()}
+    size = sum(v * v for v in x.values()) ** 0.5
+    cosines = [sum(v * float(c[k]) for k, v in x.items()) / size for c in model.centroids]
+    best = max(range(len(cosines)), key=lambda k: cosines[k])
+    return model.languages[best], min(max(cosines[best], 0.0), 1.0)
+
+
+def test_language_equals_brute_force(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    model = language.fit(docs, queries.fold(3) != 1)
+    rows = [r for r in language.predict(docs, model).collect() if r.lang_pred != "und" and len(r.text) < 5000]
+    assert len(rows) > 100
+    for r in rows:
+        lang, cosine = brute_language(r.text, model)
+        assert abs(cosine - r.score) < 1e-4 and (lang == r.lang_pred or cosine - r.score < 1e-4)
+
+
+def test_language_sample_stays_bounded(spark):
+    """Very many lang values make no sample grow."""
+    docs = spark.range(4000).selectExpr("id AS doc_id", "concat('some words of text ', id) AS text", "CAST(id AS STRING) AS lang")
+    model = language.fit(docs, F.lit(True), most=300)
+    assert 100 < len(model.languages) < 600
+
+
+def test_language_counts_of_very_long_texts(spark):
+    """Counts over 65,535 are kept as they are in the fit."""
+    rows = [(k, "en", "the " * 200_000 + "quick brown fox " * 50_000) for k in range(2)] + [(k, "de", "der schnelle braune fuchs " * 3) for k in range(2, 4)]
+    model = language.fit(spark.createDataFrame(rows, "doc_id long, lang string, text string"), F.lit(True))
+    assert model.predict([rows[0][2]])[1][0] > 0.9999
+
+
 def test_language_odd_inputs(spark, odd):
     model = language.fit(odd, F.lit(True))
     got = {r.doc_id: (r.lang_pred, r.rejected) for r in language.predict(odd, model).collect()}
@@ -399,6 +454,46 @@ def test_quality_counts_the_whole_of_long_words():
     assert quality.shape("a1" * 6 + "!") != quality.shape("a1" * 6)
 
 
+def test_quality_equals_brute_force(spark, sf):
+    """Votes from a document at a time, all labelled documents sorted by cosine."""
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    model = quality.fit(docs, labels, ~queries.fold(5).isin(0, -1))
+    assert len(model.known) > 20 and np.allclose(np.linalg.norm(model.known, axis=1), 1, atol=1e-5)
+    for r in quality.predict(docs.limit(120), model).collect():
+        raw = quality.vectors([r.text or ""])[0].astype(np.float64)
+        x = np.sqrt(raw / max(raw[: quality.SHAPES].sum(), 1)) * model.idf
+        x[-quality.TERMS :] *= quality.TERM_WEIGHT
+        z = (x / max(np.linalg.norm(x), 1e-12)) @ model.axes
+        z = z / max(np.linalg.norm(z), 1e-12)
+        cosines = sorted(((float(k @ z), label) for k, label in zip(model.known, model.labels, strict=True)), reverse=True)
+        near = cosines[: model.neighbours]
+        if len(cosines) > len(near) and near[-1][0] - cosines[len(near)][0] < 1e-6:
+            continue  # a tie in the last place
+        votes = [max(c, 0.0) ** 4 + 1e-9 for c, _ in near]
+        assert abs(sum(v * label for v, (_, label) in zip(votes, near, strict=True)) / sum(votes) - r.score) < 1e-3
+
+
+def test_quality_counts_are_of_the_whole_text():
+    text = "Aa bb, cc. " * 3 + "last"
+    v = quality.vectors([text])[0]
+    words = text.split()
+    shapes, terms = np.zeros(quality.SHAPES), np.zeros(quality.TERMS)
+    for w in words:
+        kinds = re.sub(r"(.)\1+", r"\1", "".join("A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c for c in w))
+        shapes[zlib.crc32(kinds.encode()) % quality.SHAPES] += 1
+        terms[zlib.crc32(w.lower().encode()) % quality.TERMS] += 1
+    assert (v[: quality.SHAPES] == shapes).all() and (v[-quality.TERMS :] == terms).all()
+    at = quality.SHAPES + quality.PAIRS
+    assert v[at + 3] == sum(a == b for a, b in zip(words, words[3:], strict=False)) == 6
+
+
+def test_reserved_columns_whatever_their_case(spark, odd):
+    renamed = odd.withColumnRenamed("score", "Score").withColumnRenamed("rejected", "REJECTED")
+    assert language.predict(renamed, language.fit(odd, F.lit(True))).select("score", "rejected").count() == odd.count()
+    labels = spark.createDataFrame([(0, 1), (1, 0)], "doc_id long, quality int")
+    assert quality.predict(renamed, quality.fit(odd, labels, F.lit(True))).select("score").count() == odd.count()
+
+
 def test_quality_odd_inputs(spark, odd):
     labels = spark.createDataFrame([(0, 1), (1, 1), (2, 0), (2, 0), (3, None), (None, 1)], "doc_id long, quality int")
     model = quality.fit(odd, labels, F.lit(True))
@@ -467,6 +562,20 @@ def test_pipeline(spark, sf):
     assert packed.select("doc_id").distinct().count() == sizes[-1]
 
 
+def test_pipeline_of_odd_rows(spark, odd, sf):
+    """Each stage takes nulls, empty and very long texts, repeated rows, clashing columns, and no rows at all."""
+    for docs in (odd, odd.limit(0)):
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            out = stage(spark, docs, sf)
+            assert out.columns == docs.columns, name
+            assert out.count() <= docs.count(), name
+        _, pack = corpus_pipeline.STAGES[-1]
+        pieces = pack(spark, docs, sf).collect()
+        assert sorted({-1 if r.doc_id is None else r.doc_id for r in pieces}) == sorted({-1 if r.doc_id is None else r.doc_id for r in docs.collect()})
+    kept = {r.doc_id for r in corpus_pipeline.STAGES[0][1](spark, odd, sf).collect()}
+    assert not kept & {30, 31, 32, 35}
+
+
 @pytest.mark.parametrize("name", sorted(queries.QUERIES))
 def test_queries_run(spark, sf, name):
     assert queries.QUERIES[name](spark, sf).count() > 0
