@@ -6,9 +6,10 @@ contribution to its score is largest. What it has read of a candidate is the
 candidate's partial sum; for each list where the candidate has not come up, the
 list's frontier (the last contribution read) bounds what it can still add from
 above, the list's last contribution from below. A candidate whose upper bound
-is under the k-th best score or lower bound so far cannot qualify. Reading stops when
-no more than one step's worth of candidates qualify, and their scores are
-resolved; lists that are read to the end have resolved themselves.
+is under the k-th best score or lower bound so far cannot qualify. Reading stops
+when so few candidates qualify that resolving their scores costs less than
+another step, and they are resolved; lists that are read to the end have resolved
+themselves.
 
 Candidates and queries are dealt out in cells, one block of either in each: the
 rows of a cell fit a task, and no vectors pass through the driver.
@@ -28,10 +29,12 @@ from quire.llm.common import arrow_map, staged
 
 #: Bytes of candidates' and of queries' components in a cell.
 CANDIDATE_BYTES, QUERY_BYTES = 32 << 20, 16 << 20
-#: Candidates whose lists are sorted at once, first and later: early blocks give later ones a bound.
-FIRST, BLOCK = 512, 4096
+#: Candidates whose lists are sorted at once, first and later: early blocks give later ones a bound. At most 2**15.
+FIRST, BLOCK = 512, 2048
 #: Entries of each list that are read between two looks at the bounds, as a share of the list.
 STEPS = 8
+#: Candidates, in steps, whose scores cost less to resolve than a step of every list costs to read.
+RESOLVE = 2
 NONE = -(1 << 62)
 LAST = np.iinfo(np.int64).max
 #: Scores must stay below this, so that sums of floats are exact.
@@ -77,20 +80,31 @@ class Lists:
 
     vec: np.ndarray
     copies: np.ndarray
-    x: np.ndarray  # candidates x dimensions
-    order: np.ndarray = field(init=False)  # lists x candidates: who comes when
-    values: np.ndarray = field(init=False)
+    x: np.ndarray  # candidates x dimensions, of a kind of floats whose sums are exact
+    order: list[np.ndarray] = field(init=False)  # for each step of reading, lists x entries: who comes
+    values: list[np.ndarray] = field(init=False)
     rank: np.ndarray = field(init=False)  # lists x candidates: when each one comes
-    largest: float = field(init=False)
+    last: np.ndarray = field(init=False)  # the last value of each list
+    space: dict[str, np.ndarray] = field(init=False)  # arrays that every query uses again: new ones would cost more than what fills them
 
     def __post_init__(self):
         n, d = self.x.shape
         rising = np.argsort(self.x.T, axis=1, kind="stable")
-        self.order = np.concatenate([rising, rising[:, ::-1]])
-        self.values = np.take_along_axis(np.concatenate([self.x.T, self.x.T]), self.order, axis=1).astype(np.float64)
-        self.rank = np.empty((2 * d, n), np.int16 if n < 1 << 15 else np.int32)
-        self.largest = float(np.abs(self.x).max(initial=0))
-        np.put_along_axis(self.rank, self.order, np.arange(n, dtype=self.rank.dtype)[None, :], axis=1)
+        order = np.concatenate([rising, rising[:, ::-1]])
+        values = np.take_along_axis(np.concatenate([self.x.T, self.x.T]), order, axis=1)
+        self.rank = np.empty((2 * d, n), np.int16)
+        np.put_along_axis(self.rank, order, np.arange(n, dtype=np.int16)[None, :], axis=1)
+        self.last, step = values[:, -1].copy(), self.step
+        self.order, self.values = ([np.ascontiguousarray(a[:, i : i + step]) for i in range(0, n, step)] for a in (order.astype(np.int16), values))
+        kinds = {"order": (step, np.int16), "who": (step, np.intp), "values": (step, self.x.dtype), "parts": (step, np.float64), "when": (n, np.int16), "later": (n, bool), "unseen": (n, self.x.dtype)}
+        self.space = {name: np.empty(d * width, kind) for name, (width, kind) in kinds.items()}
+
+    @property
+    def step(self) -> int:
+        return max(1, -(-len(self.x) // STEPS))
+
+    def own(self, name: str, *shape: int) -> np.ndarray:
+        return self.space[name][: shape[0] * shape[1]].reshape(shape)
 
 
 @dataclass
@@ -110,41 +124,44 @@ def qualify(lists: Lists, q: np.ndarray, own: int, floor: int, floor_vec: int, k
     """
     n, d = lists.x.shape
     used = np.flatnonzero(q)
-    rows, w = used + d * (q[used] > 0), q[used].astype(np.float64)[:, None]
-    step = max(1, -(-n // STEPS))
-    kind = np.float32 if lists.largest * np.abs(q).sum() < 1 << 24 else np.float64  # sums of either stay exact
+    rows, w = used + d * (q[used] > 0), q[used]
     left = np.flatnonzero(lists.vec != own)  # who may still qualify
-    least = w[:, 0] * lists.values[rows, -1]
+    least = w * lists.last[rows]
     sums, depth = np.zeros(n), 0
     when, shown = None, np.arange(n)  # when each of those comes up in each list
     work.entries += n * len(rows)
-    while depth < n and len(rows):
-        upto = min(n, depth + step)
-        sums += np.bincount(lists.order[rows, depth:upto].ravel(), (lists.values[rows, depth:upto] * w).ravel(), n)
-        work.read += len(rows) * (upto - depth)
-        depth = upto
-        frontier = w[:, 0] * lists.values[rows, depth - 1]
+    for order, values in zip(lists.order, lists.values, strict=True) if len(rows) else ():
+        shape = len(rows), order.shape[1]
+        parts, who = lists.own("parts", *shape), lists.own("who", *shape)
+        np.multiply(values.take(rows, axis=0, out=lists.own("values", *shape), mode="clip"), w[:, None], out=parts)
+        np.copyto(who, order.take(rows, axis=0, out=lists.own("order", *shape), mode="clip"))
+        sums += np.bincount(who.ravel(), parts.ravel(), n)
+        work.read += parts.size
+        depth += shape[1]
+        frontier = parts[:, -1]
         if depth == n:
             break
         if floor > NONE and frontier.sum() >= floor:
             continue  # even a candidate that has not come up in any list may qualify
         if when is None:
-            when = lists.rank.take(rows, axis=0)
+            when = lists.rank.take(rows, axis=0, out=lists.own("when", len(rows), n), mode="clip")
         if 2 * len(left) < len(shown):
             when, shown = lists.rank.take(rows, axis=0).take(left, axis=1), left
-        high, low = np.stack([frontier, least]).astype(kind) @ (when >= depth).view(np.uint8).astype(kind)
+        unseen = lists.own("unseen", *when.shape)
+        np.copyto(unseen, np.greater_equal(when, depth, out=lists.own("later", *when.shape)))
+        above, below = np.stack([frontier, least]).astype(q.dtype) @ unseen
         if len(shown) > len(left):
-            high, low = (b[np.searchsorted(shown, left)] for b in (high, low))
+            above, below = (b[np.searchsorted(shown, left)] for b in (above, below))
         bound = floor
         if floor == NONE and len(left) >= k:
-            bound = np.partition(sums[left] + low, len(left) - k)[len(left) - k]
-        left = left[sums[left] + high >= bound]
-        if len(left) <= step:
+            bound = np.partition(sums[left] + below, len(left) - k)[len(left) - k]
+        left = left[sums[left] + above >= bound]
+        if len(left) <= RESOLVE * lists.step:
             break
     at = left
     if depth < n and len(rows):
         work.resolved += len(at)
-        score = lists.x[at] @ q
+        score = (lists.x[at] @ q).astype(np.int64)
     else:
         score = sums[at].astype(np.int64)
     good = (score > floor) | ((score == floor) & (lists.vec[at] < floor_vec))
@@ -165,8 +182,11 @@ def blocks(n: int) -> Iterator[slice]:
 
 def search(ids: np.ndarray, q: np.ndarray, vec: np.ndarray, copies: np.ndarray, x: np.ndarray, k: int, work: Work | None = None) -> Best:
     """The k best candidates of each query; a candidate counts as often as it has copies."""
-    if float(np.abs(q.astype(np.float64)).max(initial=0)) * float(np.abs(x.astype(np.float64)).max(initial=0)) * q.shape[1] >= EXACT:
+    most = float(np.abs(q.astype(np.float64)).max(initial=0)) * float(np.abs(x.astype(np.float64)).max(initial=0)) * q.shape[1]
+    if most >= EXACT:
         raise OverflowError(f"inner products of these vectors can reach 2**53 (dimension {q.shape[1]}): scale them down")
+    kind = np.float32 if most < 1 << 24 else np.float64
+    q, x = q.astype(kind), x.astype(kind)
     best, work = Best(len(ids), k), work or Work()
     for part in blocks(len(vec)):
         lists = Lists(vec[part], copies[part], x[part])
@@ -190,11 +210,12 @@ def cells(vectors: DataFrame, queries: DataFrame) -> DataFrame:
     n, dim = candidates.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("v")), F.lit(1))).first()
     m = wanted.count()
     nc = max(1, -(-n * dim * 8 // CANDIDATE_BYTES))
-    nq = max(1, -(-m * dim * 8 // QUERY_BYTES), min(-(-m // 64), -(-2 * spark.sparkContext.defaultParallelism // nc)))
+    nq = max(1, -(-m * dim * 8 // QUERY_BYTES), min(-(-m // 64), -(-spark.sparkContext.defaultParallelism // nc)))
     own = F.xxhash64("vec_id", "v")
     left = wanted.select(F.explode(F.sequence(F.lit(0), F.lit(nc - 1))).alias("cb"), F.pmod(own, F.lit(nq)).cast("int").alias("qb"), F.lit(False).alias("candidate"), F.lit(1).cast("long").alias("copies"), "vec_id", "v")
     right = candidates.select(F.pmod(own, F.lit(nc)).cast("int").alias("cb"), F.explode(F.sequence(F.lit(0), F.lit(nq - 1))).alias("qb"), F.lit(True).alias("candidate"), "copies", "vec_id", "v")
-    return left.union(right).repartition("cb", "qb").sortWithinPartitions("cb", "qb", "candidate", "vec_id")
+    # By ranges, so that each task has one cell: hashes of a few cells would meet.
+    return left.union(right).repartitionByRange(nc * nq, "cb", "qb").sortWithinPartitions("cb", "qb", "candidate", "vec_id")
 
 
 def top_in_cells(dealt: DataFrame, k: int) -> DataFrame:
