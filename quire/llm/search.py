@@ -34,7 +34,7 @@ FIRST, BLOCK = 512, 2048
 #: Entries of each list that are read between two looks at the bounds, as a share of the list.
 STEPS = 8
 #: Candidates, in steps, whose scores cost less to resolve than a step of every list costs to read.
-RESOLVE = 2
+RESOLVE = 3
 NONE = -(1 << 62)
 LAST = np.iinfo(np.int64).max
 #: Scores must stay below this, so that sums of floats are exact.
