@@ -132,12 +132,12 @@ def content_sniff(spark: SparkSession, sf_dir: str) -> DataFrame:
 def eval_missing_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether each document holds the license terms of an evaluation case."""
     terms = F.array(F.lit("Licensed"), F.lit("licenses this"), F.lit("GNU General"))
-    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(T.missing_terms(T.match_form(F.col("text"), ascii_only=True), terms), "|").alias("missing"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(T.missing_terms(T.match_form(F.col("text")), terms), "|").alias("missing"))
 
 
 WORDS = "regexp_extract_all(text, '[^ \\n]+')"
 SINGULAR = "CASE WHEN length(w) > 3 AND w LIKE '%ies' THEN regexp_replace(w, 'ies$', 'y') WHEN length(w) > 3 AND w LIKE '%s' THEN regexp_replace(w, 's$', '') ELSE w END"
-FORM = f"array_to_string(list_transform(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda w: {SINGULAR}), ' ')"
+FORM = f"array_to_string(list_transform(regexp_extract_all(replace(lower(text), 'ß', 'ss'), '[a-z0-9]+'), lambda w: {SINGULAR}), ' ')"
 
 
 def miss_sql(term: str, form: str) -> str:

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column
@@ -13,6 +14,11 @@ from quire.config import STOP_WORDS
 LINE_BREAK = "\r\n|[\n\r\u000b\u000c\u001c-\u001e\u0085  ]"
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value computed once: a lambda that holds an expression computes it for each element."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def strip(text: Column) -> Column:
     return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
 
@@ -84,23 +90,24 @@ def token_count(text: Column) -> Column:
 
 
 def windows_of(words: Column, target: int, overlap: int = 0) -> Column:
-    """Windows of `target` of the words that overlap by `overlap`, joined by spaces; the last one ends the words.
-
-    Give the words as a column of their own: an expression would be evaluated for each window.
-    """
+    """Windows of `target` of the words that overlap by `overlap`, joined by spaces; the last one ends the words."""
     if target < 1 or overlap < 0:
         raise ValueError("target must be at least 1 and overlap not negative")
     step = max(1, target - min(overlap, target - 1))
-    n = F.size(words)
-    last = F.greatest(F.lit(0), F.ceil((n - target) / F.lit(step))).cast("int")
-    windows = F.transform(F.sequence(F.lit(0), last), lambda i: F.array_join(F.slice(words, i * step + 1, target), " "))
-    return F.when(n == 0, F.array().cast("array<string>")).otherwise(windows)
+
+    def windows(own: Column) -> Column:
+        last = F.greatest(F.lit(0), F.ceil((F.size(own) - target) / F.lit(step))).cast("int")
+        found = F.transform(F.sequence(F.lit(0), last), lambda i: F.array_join(F.slice(own, i * step + 1, target), " "))
+        return F.when(F.size(own) == 0, F.array().cast("array<string>")).otherwise(found)
+
+    return bound(words, windows)
 
 
 def singular(token: Column) -> Column:
+    n = F.length(token)
     return (
-        F.when((F.length(token) > 3) & token.endswith("ies"), F.regexp_replace(token, "ies$", "y"))
-        .when((F.length(token) > 3) & token.endswith("s"), F.regexp_replace(token, "s$", ""))
+        F.when((n > 3) & token.endswith("ies"), F.concat(F.substr(token, F.lit(1), n - 3), F.lit("y")))
+        .when((n > 3) & token.endswith("s"), F.substr(token, F.lit(1), n - 1))
         .otherwise(token)
     )
 
@@ -117,6 +124,19 @@ def meaningful_tokens(text: Column) -> Column:
     return F.transform(kept, singular)
 
 
+def singulars_of(token: str) -> list[str]:
+    """The words whose singular is `token`, stop words left out."""
+    tries = {token, f"{token}s", f"{token[:-1]}ies" if token.endswith("y") else token}
+    single = lambda w: f"{w[:-3]}y" if len(w) > 3 and w.endswith("ies") else w[:-1] if len(w) > 3 and w.endswith("s") else w
+    return sorted(w for w in tries if single(w) == token and w not in STOP_WORDS)
+
+
+def meaningful_words(text: str) -> list[str]:
+    """meaningful_tokens of a text on the driver, such as a query."""
+    words = [w for w in re.findall("[a-z0-9]+", text.lower().replace("ß", "ss")) if w not in STOP_WORDS]
+    return [f"{w[:-3]}y" if len(w) > 3 and w.endswith("ies") else w[:-1] if len(w) > 3 and w.endswith("s") else w for w in words]
+
+
 def nfkc(text: Column) -> Column:
     """Case-folded NFKC form, which no built-in function gives."""
 
@@ -128,32 +148,38 @@ def nfkc(text: Column) -> Column:
     return folded(text)
 
 
-def match_form(text: Column, ascii_only: bool = False) -> Column:
+#: Texts with no other characters have their lower-case form, with ss for sharp s, as their case-folded NFKC form.
+PLAIN = r"[^\x00-\x7FÀ-ÖØ-öø-ÿ]"
+
+
+def match_form(text: Column, plain_only: bool = False) -> Column:
     """The form in which terms are compared: words in the singular, joined by spaces.
 
-    Only a text beyond ASCII needs NFKC and so the slow path; `ascii_only` leaves it out of the plan.
+    Only a text beyond ASCII and Latin-1 letters needs NFKC and so the slow path; `plain_only` leaves it out of the plan.
     """
-    plain = F.lower(text)
-    if not ascii_only:
-        beyond = F.when(text.rlike(r"[^\x00-\x7F]"), text)
-        plain = F.when(text.rlike(r"[^\x00-\x7F]"), nfkc(beyond)).otherwise(plain)
-    words = F.regexp_extract_all(plain, F.lit("([a-z0-9]+)"), 1)
-    return F.array_join(F.transform(words, singular), " ")
+    plain = fold_case(text)
+    if not plain_only:
+        beyond = F.when(text.rlike(PLAIN), text)
+        plain = F.when(text.rlike(PLAIN), nfkc(beyond)).otherwise(plain)
+    words = F.trim(F.regexp_replace(plain, "[^a-z0-9]+", " "))
+    # `singular` of each word, in two passes over the whole: -ies first, which then ends in y; then -s of words of four letters or more.
+    return F.regexp_replace(F.regexp_replace(words, r"(?<=[a-z0-9])ies(?= |$)", "y"), r"(?<=[a-z0-9]{3})s(?= |$)", "")
 
 
-def term_matches(text_form: Column, term_form: Column) -> Column:
+def term_matches(text_form: Column, text_words: Column, term_form: Column) -> Column:
     """Whether a normalised term occurs: as a substring, or all its two or more words anywhere."""
     words = F.split(term_form, " ")
-    all_there = F.size(F.array_except(words, F.split(text_form, " "))) == 0
-    return text_form.contains(term_form) | ((F.size(words) > 1) & all_there)
+    return text_form.contains(term_form) | ((F.size(words) > 1) & (F.size(F.array_except(words, text_words)) == 0))
 
 
 def missing_terms(form: Column, terms: Column) -> Column:
-    """The terms that do not match a text's match_form, in order.
+    """The terms that do not match a text's match_form, in order. Terms are compared in their plain form."""
+    forms = F.transform(terms, lambda t: F.struct(t.alias("term"), match_form(t, True).alias("form")))
 
-    Give the form as a column of its own where it may need the slow path. Terms are compared in their plain form.
-    """
-    return F.filter(terms, lambda t: ~term_matches(form, match_form(t, True)))
+    def missing(text: Column) -> Column:
+        return F.transform(F.filter(forms, lambda t: ~term_matches(text["form"], text["words"], t["form"])), lambda t: t["term"])
+
+    return bound(bound(form, lambda f: F.struct(f.alias("form"), F.split(f, " ").alias("words"))), missing)
 
 
 def collapse(text: Column) -> Column:
@@ -240,3 +266,31 @@ def duration_text(ms: Column) -> Column:
 def progress_line(stage: Column, status: Column, message: Column, ms: Column) -> Column:
     timed = F.when(ms.isNotNull(), F.concat(F.lit(" in "), F.format_string("%.1fs", (ms / 1000).cast("double")))).otherwise(F.lit(""))
     return F.concat(F.lit("["), F.upper(stage), F.lit(" "), F.upper(status), F.lit("] "), message, timed)
+
+
+def percent_text(share: Column) -> Column:
+    """A share as per cent with at most one digit after the point: 0.5 is 50%, 0.1234 is 12.3%."""
+    value = F.round(share * 100, 1)
+    return F.concat(F.when(value == F.floor(value), F.floor(value).cast("string")).otherwise(value.cast("decimal(20,1)").cast("string")), F.lit("%"))
+
+
+def compact_number(value: Column) -> Column:
+    """A count as 950, 1.2K, 3.4M or 5B."""
+    out = value.cast("long").cast("string")
+    for size, sign in ((1_000, "K"), (1_000_000, "M"), (1_000_000_000, "B")):
+        out = F.when(F.abs(value) >= size, F.concat(F.regexp_replace(F.round(value / size, 1).cast("decimal(20,1)").cast("string"), r"\.0$", ""), F.lit(sign))).otherwise(out)
+    return out
+
+
+def compact_fields(values: Column) -> Column:
+    """A map of strings as k=v, k=v by key; null values are left out."""
+    rows = F.array_sort(F.map_entries(F.map_filter(values, lambda k, v: v.isNotNull())))
+    return F.array_join(F.transform(rows, lambda e: F.concat(e["key"], F.lit("="), e["value"])), ", ")
+
+
+def clean_metadata(values: Column) -> Column:
+    """A map of strings with stripped keys and values; blank keys and null or blank values are left out."""
+    entries = F.transform(F.map_entries(values), lambda e: F.struct(strip(e["key"]).alias("key"), strip(e["value"]).alias("value")))
+    sound = F.filter(entries, lambda e: (e["key"] != "") & e["value"].isNotNull() & (e["value"] != ""))
+    # Of keys that are equal once stripped, the first one counts.
+    return F.map_from_entries(F.filter(sound, lambda e, i: F.array_position(F.transform(sound, lambda x: x["key"]), e["key"]) == i + 1))

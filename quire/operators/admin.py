@@ -42,10 +42,19 @@ def latest_state(events: DataFrame, key: str, status: str, *order: str) -> DataF
     return events.groupBy(key).agg(F.max_by(status, F.struct(*order)).alias("status"), F.count(F.lit(1)).alias("n_events"))
 
 
-def stage_snapshot(events: DataFrame, stage: str, status: Column, value: str, *order: str) -> DataFrame:
-    """For each stage its events, the sum of its durations, and the status of its last event."""
+def stage_snapshot(events: DataFrame, stage: str, status: Column, value: str, *order: str, started: str | None = None, as_of: Column | None = None) -> DataFrame:
+    """For each stage its events, the sum of its durations, and the status of its last event.
+
+    With `as_of`, a stage whose last status is `started` counts the time since
+    that event too: the first of `order` must then be a timestamp.
+    """
     marked = events.withColumn("_status", status)
-    return marked.groupBy(stage).agg(F.count(F.lit(1)).alias("n_events"), F.round(F.sum(value), 4).alias("total_ms"), F.max_by("_status", F.struct(*order)).alias("status"))
+    last = F.max_by("_status", F.struct(*order))
+    total = F.sum(value)
+    if started is not None and as_of is not None:
+        running = (F.unix_micros(as_of) - F.unix_micros(F.max(F.col(order[0]).cast("timestamp")))) / 1000.0
+        total = F.coalesce(total, F.lit(0.0)) + F.when(last == started, running).otherwise(F.lit(0.0))
+    return marked.groupBy(stage).agg(F.count(F.lit(1)).alias("n_events"), F.round(total, 4).alias("total_ms"), last.alias("status"))
 
 
 def operation_metrics(events: DataFrame, operation: str, failed: Column, value: str) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.config import STOP_WORDS, Retrieval, Weights, candidate_limit, query_text
-from quire.functions.text import fold_case, meaningful_tokens
+from quire.functions.text import bound, fold_case, meaningful_words, singulars_of
 
 
 def vector_literal(vector: Sequence[float]) -> Column:
@@ -86,19 +86,20 @@ def query_groups(query: str) -> list[list[tuple[bool, list[str]]]]:
     return [g for g in groups if any(wanted for wanted, _ in g)]
 
 
+def words_of_stem(stem: str) -> list[str]:
+    """The words whose light stem is `stem`, stop words left out."""
+    singles = [stem, f"{stem}ing", f"{stem}ed"]
+    tries = {w for p in singles for w in (p, f"{p}s", f"{p[:-1]}ies")}
+    return sorted(w for w in tries if stem_of(w) == stem and w not in STOP_WORDS)
+
+
 def text_matches(text: Column, query: str) -> Column:
-    """Whether a text matches a whole query by itself."""
-    own, folded = stems(text), fold_case(text)
+    """Whether a text matches a whole query by itself: one search of its lower-cased text for each word or phrase."""
+    folded = fold_case(text)
 
     def has(found: list[str]) -> Column:
-        parts = [F.lit(stem_of(w)) for w in found]
-        # A word has its stem as a prefix, but for a final y; so most texts need no stemming.
-        near = all_of([folded.contains(stem_of(w).removesuffix("y")) for w in found])
-        if len(parts) == 1:
-            return near & F.array_contains(own, parts[0])
-        places = F.sequence(F.lit(0), F.greatest(F.size(own) - len(parts), F.lit(0)))
-        at = lambda i: [F.get(own, i + k) == p for k, p in enumerate(parts)]
-        return near & F.exists(places, lambda i: F.coalesce(all_of(at(i)), F.lit(False)))
+        words = ["(?:" + "|".join(words_of_stem(stem_of(w)) or ["(?!)"]) + ")" for w in found]
+        return folded.rlike("(?<![a-z0-9])" + "[^a-z0-9]+".join(words) + "(?![a-z0-9])")
 
     return any_of([all_of([has(found) if wanted else ~has(found) for wanted, found in g]) for g in query_groups(query)])
 
@@ -120,32 +121,54 @@ def any_of(conditions: list[Column]) -> Column:
 def cover_density(text: Column, query: str, weight: float = 0.1) -> Column:
     """Cover-density rank: each shortest span with all the query's words counts weight / (1 + words between them).
 
-    One word's rank is weight for each occurrence. Without all words it is 0.
+    One word's rank is weight for each occurrence. Without all words it is 0. One
+    pass over the words finds the query's, one fold over those the spans.
     """
-    wanted = sorted({w for g in query_groups(query) for keep, found in g if keep for w in found})
-    if not wanted:
+    stems_asked = sorted({stem_of(w) for g in query_groups(query) for keep, found in g if keep for w in found})
+    if not stems_asked:
         return F.lit(0.0)
-    terms = F.array(*[F.lit(t) for t in sorted({stem_of(w) for w in wanted})])
-    own = F.transform(stems(text), lambda s, i: F.struct(i.alias("at"), s.alias("s")))
-    hits = F.filter(own, lambda h: F.array_contains(terms, h["s"]))
+    n = len(stems_asked)
+
+    def term(word: Column) -> Column:
+        number = F.lit(-1)
+        for k, s in enumerate(stems_asked):
+            number = F.when(word.isin(*words_of_stem(s)), F.lit(k)).otherwise(number)
+        return number
+
+    hits = F.filter(F.transform(words(text), lambda w, i: F.struct(i.alias("at"), term(w).alias("term"))), lambda h: h["term"] >= 0)
+    # The last place of each term, where the span counted last begins, the sum so far.
+    start = F.struct(F.array_repeat(F.lit(-1), n).alias("last"), F.lit(-1).alias("begin"), F.lit(0.0).alias("sum"))
 
-    def begins(k: Column) -> Column:
-        """Where the shortest span that ends at hit k begins: the earliest of the terms' last places; null without all."""
-        sofar = F.slice(hits, 1, k + 1)
-        last = F.transform(terms, lambda t: F.array_max(F.transform(F.filter(sofar, lambda h: h["s"] == t), lambda h: h["at"])))
-        return F.when(F.forall(last, lambda x: x.isNotNull()), F.array_min(last))
+    def step(state: Column, hit: Column) -> Column:
+        last = F.transform(state["last"], lambda x, k: F.when(k == hit["term"], hit["at"]).otherwise(x))
 
-    starts = F.transform(hits, lambda h, k: begins(k))
-    spans = F.transform(hits, lambda h, k: F.when(F.get(starts, k).isNotNull() & ~F.coalesce(F.get(starts, k) == F.get(starts, k - 1), F.lit(False)), F.lit(weight) / (F.lit(1.0) + (h["at"] - F.get(starts, k) - (F.size(terms) - 1)))))
-    return F.aggregate(F.filter(spans, lambda x: x.isNotNull()), F.lit(0.0), lambda a, x: a + x)
+        def counted(own: Column) -> Column:
+            begin = own["begin"]
+            new = (begin >= 0) & (begin != state["begin"])
+            return F.struct(own["last"].alias("last"), begin.alias("begin"), F.when(new, state["sum"] + F.lit(weight) / (F.lit(1.0) + hit["at"] - begin - (n - 1))).otherwise(state["sum"]).alias("sum"))
+
+        return bound(bound(last, lambda x: F.struct(x.alias("last"), F.array_min(x).alias("begin"))), counted)
+
+    return F.aggregate(hits, start, step, lambda state: state["sum"])
 
 
 def phrase_overlap(query: str, *texts: Column) -> Column:
     """The share of the query's meaningful tokens (repeats count) that occur in the texts."""
-    asked = meaningful_tokens(F.lit(query))
-    known = meaningful_tokens(F.concat_ws(" ", *texts))
-    share = F.size(F.filter(asked, lambda t: F.array_contains(known, t))) / F.size(asked)
-    return F.when((F.size(asked) == 0) | (F.size(known) == 0), F.lit(0.0)).otherwise(share)
+    asked = meaningful_words(query)
+    if not asked:
+        return F.lit(0.0)
+    wanted = {t: singulars_of(t) for t in asked}
+    every = "|".join(sorted({w for ws in wanted.values() for w in ws})) or "(?!)"
+    # One search gives the few words that count, whatever the length of the texts.
+    found = F.regexp_extract_all(fold_case(F.concat_ws(" ", *texts)), F.lit(f"(?<![a-z0-9])({every})(?![a-z0-9])"), 1)
+
+    def share(known: Column) -> Column:
+        total = F.lit(0)
+        for t in asked:
+            total = total + F.when(any_of([F.array_contains(known, w) for w in wanted[t]]), 1).otherwise(0)
+        return total / F.lit(len(asked))
+
+    return bound(F.array_distinct(found), share)
 
 
 def hybrid_score(vector: Column, lexical: Column, phrase: Column, any_lexical: Column, weights: Weights) -> Column:

@@ -46,7 +46,7 @@ def block_sets(blocks: DataFrame, document: str, block_id: str, order: str) -> D
 
 
 def sound_vector(vector: Column, dimensions: int | None = None) -> Column:
-    sound = vector.isNotNull() & (F.size(vector) > 0) & F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x))
+    sound = vector.isNotNull() & (F.size(vector) > 0) & F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) < F.lit(float("inf"))))
     return sound & (F.size(vector) == dimensions) if dimensions else sound
 
 
@@ -69,7 +69,10 @@ def content_type(content: Column, ext: Column) -> Column:
     """pdf, docx, pptx, xlsx, zip, binary, json, csv, markdown or text, from the bytes and the extension."""
     head = F.hex(F.substring(content, 1, 5))
     names = F.decode(content, "ISO-8859-1")
-    office = F.when(~names.contains("[Content_Types].xml"), "zip").when(names.contains("word/"), "docx").when(names.contains("ppt/"), "pptx").when(names.contains("xl/"), "xlsx").otherwise("zip")
+    # Entries of the zip directory: a mark, 42 bytes, the name.
+    entries = F.regexp_extract_all(names, F.lit("(?s)PK\x01\x02.{42}([!-~]+?)(?=PK\x01\x02|PK\x05\x06|[^!-~]|$)"), 1)
+    has = lambda start: F.exists(entries, lambda e: e.startswith(start))
+    office = F.when(~has("[Content_Types].xml"), "zip").when(has("word/"), "docx").when(has("ppt/"), "pptx").when(has("xl/"), "xlsx").otherwise("zip")
     text = F.when(F.is_valid_utf8(content.cast("string")), content.cast("string")).otherwise(names)
     plain = (
         F.when(ext == ".json", F.when(F.try_parse_json(text).isNotNull(), "json").otherwise("text"))

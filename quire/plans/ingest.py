@@ -2,18 +2,27 @@
 
 from __future__ import annotations
 
+import json
+import os
+import time
+import uuid
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.config import FILE_TYPES, Chunking
 from quire.functions.ids import document_id
-from quire.functions.text import base_name, stem
+from quire.functions.text import base_name, clean_metadata, preview, stem
+from quire.operators.admin import index_stats, next_queued
 from quire.operators.chunking import chunk
 from quire.operators.embeddings import Provider, check_model, embed_column
 from quire.operators.normalize import normalize_blocks
+from quire.operators.retrieval import norm
 from quire.operators.validate import check_files
-from quire.sources import plain, structured
-from quire.sources.files import decoded
+from quire.plans import records
+from quire.sources import pdf, plain, structured
+from quire.sources.files import decoded, discover
 from quire.store import Store
 
 #: The columns of a block, whatever its source; those a source does not have are null.
@@ -43,42 +52,164 @@ def checked(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     return sound, named.filter("error IS NOT NULL").select("path", "error.code", "error.message")
 
 
+def titles(sound: DataFrame, blocks: DataFrame) -> DataFrame:
+    """document_id and own_title: a property of the file, else the first heading of level 1; files without either have no row."""
+    office = unpacked_titles(sound.filter(F.col("file_type").isin("docx", "pptx", "xlsx")))
+    properties = office.union(pdf.pdf_titles(sound.filter(F.col("file_type") == "pdf"))).withColumn("source", F.lit(0))
+    # A sheet's name is a heading, but no title of the file.
+    headings = plain.markdown_title(blocks.filter(F.col("sheet_name").isNull())).withColumn("source", F.lit(1))
+    return properties.union(headings).groupBy("document_id").agg(F.min_by("title", "source").alias("own_title"))
+
+
+def unpacked_titles(files: DataFrame) -> DataFrame:
+    rows = structured.unpacked(files, "content", structured.title_parts, structured.PARTS)
+    return rows.filter("error IS NULL").select("document_id", F.col("text").alias("title"))
+
+
 def parse(sound: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(blocks, failures): each format is one branch over its own files."""
     of = lambda t: sound.filter(F.col("file_type") == t)
     text = lambda t: of(t).select("document_id", decoded(F.col("content"))["text"].alias("text"))
     packed = {t: structured.unpacked(of(t), "content", f, structured.PARTS) for t, f in (("docx", structured.docx_parts), ("pptx", structured.pptx_parts))}
-    js = structured.json_blocks(text("json"))
+    packed |= {"json": structured.json_blocks(text("json")), "pdf": pdf.pdf_blocks(of("pdf"))}
     table = lambda rows, **g: aligned(rows.withColumn("block_order", F.col("unit_no") * 1_000_000 + F.col("row_no")), **g)
+    sheets = structured.unpacked(of("xlsx"), "content", structured.xlsx_rows, structured.ROWS)
     parts = [
         aligned(plain.text_blocks(text("txt"))),
         aligned(plain.markdown_blocks(text("md"))),
         table(structured.csv_blocks(text("csv")), line_start="row_no", line_end="row_no"),
-        table(structured.xlsx_blocks(of("xlsx")), sheet_name="unit", row_start="row_no", row_end="row_no"),
-        *[aligned(p.filter("error IS NULL")) for p in (*packed.values(), js)],
+        table(structured.sheet_blocks(sheets), sheet_name="unit", row_start="row_no", row_end="row_no"),
+        *[aligned(p.filter("error IS NULL")) for p in packed.values()],
     ]
     blocks = parts[0]
     for p in parts[1:]:
         blocks = blocks.unionByName(p)
-    bad = js.union(packed["docx"]).union(packed["pptx"]).filter("error IS NOT NULL").select("document_id", F.lit("PARSE_FAILED").alias("code"), F.col("error").alias("message"))
-    pdf = structured.pdf_pages(of("pdf")).select("document_id", F.col("error").alias("code"), F.lit("no PDF reader").alias("message"))
-    failures = bad.union(pdf).join(sound.select("document_id", "path"), "document_id").select("path", "code", "message")
+    bad = sheets.filter("error IS NOT NULL").select("document_id", "error")
+    for p in packed.values():
+        bad = bad.union(p.filter("error IS NOT NULL").select("document_id", "error"))
+    typed = F.col("error").startswith("PDF_")
+    coded = bad.select("document_id", F.when(typed, F.col("error")).otherwise("PARSE_FAILED").alias("code"), F.col("error").alias("message"))
+    failures = coded.join(sound.select("document_id", "path"), "document_id").select("path", "code", "message")
     return blocks, failures
 
 
-def ingest(files: DataFrame, store: Store, provider: Provider, config: Chunking | None = None, replace: bool = True) -> dict[str, int]:
-    """Check, parse, chunk, embed and store files (of the binaryFile source); failures are kept apart and counted."""
+def kept(store: Store, rows: DataFrame, name: str) -> DataFrame:
+    """The rows, written once below the store's folder: what follows reads them as often as it needs to."""
+    path = f"{store.root}/_work/{name}-{uuid.uuid4().hex}"
+    rows.write.parquet(path)
+    return store.spark.read.schema(rows.schema).parquet(path)
+
+
+def ingest(
+    files: DataFrame, store: Store, provider: Provider, config: Chunking | None = None, replace: bool = True, normalize: Callable[[DataFrame], DataFrame] = normalize_blocks, progress: Callable[[str, str, float | None], None] | None = None
+) -> dict[str, int]:
+    """Check, parse, chunk, embed and store files (of the binaryFile source); failures are kept apart and counted.
+
+    Blocks and chunks are each written once below the store's folder, so no step
+    runs twice. `normalize` may be replaced. `progress` is told each stage, its status, and
+    at its end the milliseconds it took.
+    """
     check_model(store.spark, store.read("index_metadata"), provider)
+    began = [time.perf_counter()]
+
+    def tell(stage: str, status: str) -> None:
+        if progress:
+            progress(stage, status, round((time.perf_counter() - began[0]) * 1000, 3) if status == "completed" else None)
+        if status == "started":
+            began[0] = time.perf_counter()
+
+    tell("parse", "started")
     sound, refused = checked(files)
     blocks, failed = parse(sound)
-    normal = normalize_blocks(blocks)
-    documents = sound.select(
-        F.col("document_id").alias("id"), "title", "file_name", "file_type", F.col("path").alias("source_path"), F.lit("{}").alias("metadata"),
-        F.current_timestamp().alias("created_at"), F.current_timestamp().alias("updated_at"),
-    ).join(normal.select(F.col("document_id").alias("id")).distinct(), "id", "left_semi")
-    full = normal.join(sound.select("document_id", "title", "file_name", "file_type", "path").withColumnRenamed("path", "source_path"), "document_id")
-    parents, children = chunk(full, config)
+    blocks = kept(store, blocks, "blocks")
+    failures = kept(store, refused.union(failed), "failures")
+    named = sound.select("document_id", "file_name", "file_type", F.col("path").alias("source_path"), "title", "length").join(titles(sound, blocks), "document_id", "left")
+    named = kept(store, named.withColumn("title", F.coalesce("own_title", "title")).drop("own_title"), "named")
+    tell("parse", "completed")
+    tell("chunk", "started")
+    normal = kept(store, normalize(blocks), "normal")
+    counts = normal.groupBy("document_id").agg(F.count(F.lit(1)).alias("blocks"))
+    about = clean_metadata(F.create_map(F.lit("parser"), F.col("file_type"), F.lit("size_bytes"), F.col("length").cast("string"), F.lit("block_count"), F.col("blocks").cast("string")))
+    documents = named.join(counts, "document_id").select(
+        F.col("document_id").alias("id"), "title", "file_name", "file_type", "source_path", F.to_json(about).alias("metadata"), F.current_timestamp().alias("created_at"), F.current_timestamp().alias("updated_at"),
+    )
+    parents, children = chunk(normal.join(named.drop("length"), "document_id"), config)
+    parents, children = kept(store, parents, "parents"), kept(store, children, "children")
+    tell("chunk", "completed")
+    tell("index", "started")
     store.index_documents(documents, parents, embed_column(children, provider), replace)
     settings = [("embedding_model", provider.name), ("embedding_dimensions", str(provider.dimensions)), ("schema_version", "1")]
     store.upsert("index_metadata", store.spark.createDataFrame(settings, "key string, value string"), ["key"])
-    return {"failures": refused.union(failed).count(), "documents": store.read("documents").count(), "children": store.read("child_chunks").count()}
+    tell("index", "completed")
+    return {"failures": failures.count(), "documents": store.read("documents").count(), "children": store.read("child_chunks").count()}
+
+
+def reindex(store: Store, provider: Provider, document_id: str, config: Chunking | None = None) -> dict[str, int]:
+    """Ingest one stored document's file again, in place of what is stored of it."""
+    row = store.read("documents").filter(F.col("id") == document_id).select("source_path").first()
+    if row is None:
+        raise LookupError(f"no document {document_id}")
+    return ingest(store.spark.read.format("binaryFile").load(row["source_path"]), store, provider, config)
+
+
+def run_job(store: Store, provider: Provider, job_id: str) -> str:
+    """Run a queued job: its files, with an event for each stage; a failure becomes the job's. Its status at the end."""
+    request = json.loads(records.jobs(store).filter(F.col("job_id") == job_id).first()["request"])
+    records.emit(store, job_id, "job", "running")
+    try:
+        found = discover(store.spark, request["paths"], recursive=True)
+        done = ingest(found, store, provider, replace=request["replace"], progress=lambda stage, status, ms: records.emit(store, job_id, stage, status, "", ms))
+        records.emit(store, job_id, "job", "completed", json.dumps(done))
+    except Exception as e:
+        records.emit(store, job_id, "job", "failed", f"{getattr(e, 'code', type(e).__name__)}: {e}"[:2000])
+    return records.job_status(store, job_id)[0]
+
+
+def run_next_job(store: Store, provider: Provider) -> str | None:
+    """Run the oldest queued job; its id, or null if none is queued."""
+    waiting = next_queued(records.jobs(store), "status", "created_at", "job_id").first()
+    if waiting is None:
+        return None
+    run_job(store, provider, waiting["job_id"])
+    return waiting["job_id"]
+
+
+def submit(store: Store, provider: Provider, paths: list[str], replace: bool = True, worker: bool | None = None) -> str:
+    """Queue a job and run it here and now, unless a worker does (by default as QUIRE_INGEST_MODE=worker says)."""
+    job_id = records.create_job(store, paths, replace)
+    if not (os.environ.get("QUIRE_INGEST_MODE", "").strip().lower() == "worker" if worker is None else worker):
+        run_job(store, provider, job_id)
+    return job_id
+
+
+#: Rows that a probe shows, and chunks that it embeds.
+PREVIEW_ROWS, EMBEDDED = 5, 3
+
+
+def probe(files: DataFrame, stage: str, provider: Provider, store: Store | None = None, config: Chunking | None = None) -> DataFrame:
+    """What the pipeline makes of files up to a stage: validate, parse, chunk, embed or index. Nothing is written.
+
+    Only the stages before it are part of the plan; parse and chunk show the first
+    rows, embed the first few chunks' vectors, index the counts of the index
+    beside those of the files.
+    """
+    rows = check_files(files)
+    if stage == "validate":
+        return rows.select(base_name(F.col("path")).alias("file_name"), "ext", "length", "detected", "error.code", "error.message")
+    sound, _ = checked(files)
+    blocks = normalize_blocks(parse(sound)[0])
+    if stage == "parse":
+        return blocks.orderBy("document_id", "block_order").limit(PREVIEW_ROWS).select("document_id", "block_order", "block_type", preview(F.col("text")).alias("text"), "parent_path", "source_ref")
+    named = sound.select("document_id", "title", "file_name", "file_type", F.col("path").alias("source_path"))
+    parents, children = chunk(blocks.join(named, "document_id"), config)
+    first = children.orderBy("document_id", "child_index")
+    if stage == "chunk":
+        return first.limit(PREVIEW_ROWS).select("id", "parent_chunk_id", "token_count", "parent_path", "source_refs", preview(F.col("text")).alias("text"))
+    vectors = embed_column(first.limit(EMBEDDED), provider)
+    if stage == "embed":
+        values = F.transform(F.slice("embedding", 1, 8), lambda x: F.round(x, 6))
+        return vectors.select("id", preview(F.col("text"), 220).alias("text"), F.size("embedding").alias("dimensions"), F.round(norm(F.col("embedding")), 6).alias("l2_norm"), values.alias("first_values"))
+    if stage != "index" or store is None:
+        raise ValueError("stages are validate, parse, chunk, embed, and index with a store")
+    stored = {f"index_{t}": store.read(t) for t in ("documents", "parent_chunks", "child_chunks")}
+    return index_stats(candidate_parents=parents, candidate_children=children, **stored)

@@ -7,8 +7,10 @@ function per format, a file a row; its helpers only unpack one file.
 from __future__ import annotations
 
 import csv
+import datetime
 import io
 import json
+import posixpath
 import re
 import zipfile
 from collections.abc import Callable, Iterator
@@ -26,8 +28,16 @@ ROWS = "document_id string, unit string, unit_no int, row_no int, cells array<st
 PARTS = "document_id string, block_order int, block_type string, text string, level int, slide_number int, page_number int, json_path string, error string"
 
 
+class ParseFailed(ValueError):
+    """A file that cannot be read, by a code of its own."""
+
+    def __init__(self, code: str):
+        super().__init__(code)
+        self.code = code
+
+
 def unpacked(files: DataFrame, column: str, unpack: Callable[[object], list[tuple]], schema: str) -> DataFrame:
-    """unpack(value of the column) of each file as rows; an exception is a row with its name as the error."""
+    """unpack(value of the column) of each file as rows; an exception is a row with its code or name as the error."""
     ship(files.sparkSession)
     names = [part.split()[0] for part in schema.split(", ")]
 
@@ -37,8 +47,8 @@ def unpacked(files: DataFrame, column: str, unpack: Callable[[object], list[tupl
             for document_id, value in zip(batch["document_id"], batch[column], strict=True):
                 try:
                     rows += [(document_id, *row, None) for row in unpack(value)]
-                except (ValueError, KeyError, csv.Error, zipfile.BadZipFile, ElementTree.ParseError) as e:
-                    rows.append((document_id, *[None] * (len(names) - 2), type(e).__name__))
+                except (ValueError, KeyError, IndexError, TypeError, StopIteration, csv.Error, zipfile.BadZipFile, ElementTree.ParseError) as e:
+                    rows.append((document_id, *[None] * (len(names) - 2), getattr(e, "code", type(e).__name__) if isinstance(e, ParseFailed) else type(e).__name__))
             yield pd.DataFrame(rows, columns=names)
 
     return files.select("document_id", column).mapInPandas(run, schema)
@@ -110,6 +120,40 @@ def table_text(rows: list[list[str]]) -> str:
     return "\n".join(f"| {' | '.join(r)} |" for r in [head, ["---"] * width, *cells[1:]])
 
 
+def related(z: zipfile.ZipFile, part: str) -> dict[str, str]:
+    """The files that a part of an office file refers to, by the ids it uses."""
+    folder, name = part.rsplit("/", 1)
+    rels = f"{folder}/_rels/{name}.rels"
+    if rels not in z.namelist():
+        return {}
+    places = {}
+    for x in ElementTree.fromstring(z.read(rels)):
+        target = x.attrib.get("Target", "")
+        places[x.attrib.get("Id", "")] = target.lstrip("/") if target.startswith("/") else posixpath.normpath(f"{folder}/{target}")
+    return places
+
+
+def numbered(z: zipfile.ZipFile, pattern: str) -> list[str]:
+    """The files whose names fit the pattern, by the number in them."""
+    return sorted((n for n in z.namelist() if re.fullmatch(pattern, n)), key=lambda n: int(re.fullmatch(pattern, n)[1]))
+
+
+def reference(node: ElementTree.Element) -> str:
+    """The id in a node's r:id."""
+    return next((v for k, v in node.attrib.items() if local(k) == "id" and "}" in k), "")
+
+
+def office_title(content: bytes) -> str | None:
+    """The title among a file's properties; null for a file that cannot be read."""
+    try:
+        with zipfile.ZipFile(io.BytesIO(content)) as z:
+            if "docProps/core.xml" not in z.namelist():
+                return None
+            return next((x.text.strip() for x in ElementTree.fromstring(z.read("docProps/core.xml")).iter() if local(x.tag) == "title" and x.text and x.text.strip()), None)
+    except (zipfile.BadZipFile, ElementTree.ParseError):
+        return None
+
+
 def docx_parts(content: bytes) -> list[tuple]:
     """Headings, list items, paragraphs and tables in the order of the body."""
     with zipfile.ZipFile(io.BytesIO(content)) as z:
@@ -130,11 +174,15 @@ def docx_parts(content: bytes) -> list[tuple]:
 
 
 def pptx_parts(content: bytes) -> list[tuple]:
-    """Slide titles as headings, paragraphs, indented ones as list items, tables; with slide numbers."""
+    """Slide titles as headings, paragraphs, indented ones as list items, tables; with slide numbers in the order of the presentation."""
     found: list[tuple] = []
     with zipfile.ZipFile(io.BytesIO(content)) as z:
-        slides = sorted((int(m[1]), n) for n in z.namelist() if (m := re.fullmatch(r"ppt/slides/slide(\d+)\.xml", n)))
-        for number, name in slides:
+        slides = numbered(z, r"ppt/slides/slide(\d+)\.xml")
+        if "ppt/presentation.xml" in z.namelist():
+            places = related(z, "ppt/presentation.xml")
+            shown = [places.get(reference(x)) for x in ElementTree.fromstring(z.read("ppt/presentation.xml")).iter() if local(x.tag) == "sldId"]
+            slides = [n for n in shown if n in z.namelist()] or slides
+        for number, name in enumerate(slides, start=1):
             tree = ElementTree.fromstring(z.read(name))
             for shape in (x for x in tree.iter() if local(x.tag) in ("sp", "graphicFrame")):
                 if rows := [[texts(c).strip() for c in r if local(c.tag) == "tc"] for r in shape.iter() if local(r.tag) == "tr"]:
@@ -155,40 +203,88 @@ def column_number(ref: str) -> int:
     return n - 1
 
 
+# Numbers of the built-in formats of dates and times.
+DATE_FORMATS = frozenset([*range(14, 23), 45, 46, 47])
+
+
+def date_styles(z: zipfile.ZipFile) -> set[int]:
+    """The cell styles whose number format shows a date or time."""
+    if "xl/styles.xml" not in z.namelist():
+        return set()
+    tree = ElementTree.fromstring(z.read("xl/styles.xml"))
+    dated = set(DATE_FORMATS)
+    for x in tree.iter():
+        if local(x.tag) == "numFmt":
+            code = re.sub(r'"[^"]*"|\[[^\]]*\]|\\.', "", x.attrib.get("formatCode", "")).split(";")[0].lower()
+            if re.search("[dmyhs]", code) and "general" not in code:
+                dated.add(int(x.attrib["numFmtId"]))
+    styles = next((x for x in tree if local(x.tag) == "cellXfs"), [])
+    return {k for k, x in enumerate(styles) if int(x.attrib.get("numFmtId", 0)) in dated}
+
+
+def date_text(serial: str, since_1904: bool) -> str:
+    """A day's number as an ISO time, to the second; a part of a day alone as a time."""
+    try:
+        days = float(serial)
+        if not since_1904 and 0 <= days < 1:
+            return (datetime.datetime(1900, 1, 1) + datetime.timedelta(seconds=round(days * 86_400))).time().isoformat()
+        start = datetime.datetime(1904, 1, 1) if since_1904 else datetime.datetime(1899, 12, 30 if days >= 61 else 31)
+        return (start + datetime.timedelta(seconds=round(days * 86_400))).isoformat()
+    except (ValueError, OverflowError):
+        return serial
+
+
 def xlsx_rows(content: bytes) -> list[tuple]:
-    """Rows of each sheet with its name, cached values alone."""
+    """Rows of each sheet with its name, in the order of the workbook; cached values alone, dates in ISO form."""
     with zipfile.ZipFile(io.BytesIO(content)) as z:
         shared = []
         if "xl/sharedStrings.xml" in z.namelist():
             shared = [texts(x) for x in ElementTree.fromstring(z.read("xl/sharedStrings.xml")) if local(x.tag) == "si"]
-        names = [x.attrib["name"] for x in ElementTree.fromstring(z.read("xl/workbook.xml")).iter() if local(x.tag) == "sheet"]
-        files = sorted((int(m[1]), n) for n in z.namelist() if (m := re.fullmatch(r"xl/worksheets/sheet(\d+)\.xml", n)))
+        workbook, places, dated = ElementTree.fromstring(z.read("xl/workbook.xml")), related(z, "xl/workbook.xml"), date_styles(z)
+        since_1904 = any(local(x.tag) == "workbookPr" and x.attrib.get("date1904") in ("1", "true") for x in workbook.iter())
+        by_number = numbered(z, r"xl/worksheets/sheet(\d+)\.xml")
+        sheets = [(x.attrib["name"], places.get(reference(x))) for x in workbook.iter() if local(x.tag) == "sheet"]
+        if not any(file for _, file in sheets):  # no references at all
+            sheets = [(name, file) for (name, _), file in zip(sheets, by_number, strict=False)]
         out = []
-        for number, (name, (_, file)) in enumerate(zip(names, files, strict=False)):
+        for number, (name, file) in enumerate(s for s in sheets if s[1] in by_number):
             for row in (x for x in ElementTree.fromstring(z.read(file)).iter() if local(x.tag) == "row"):
                 cells: dict[int, str] = {}
                 for k, c in enumerate(x for x in row if local(x.tag) == "c"):
                     kind, value = c.attrib.get("t"), texts(c, "v")
-                    value = shared[int(value)] if kind == "s" and value else texts(c) if kind == "inlineStr" else {"1": "true", "0": "false"}.get(value, value) if kind == "b" else value
+                    if kind == "s" and value:
+                        value = shared[int(value)]
+                    elif kind == "inlineStr":
+                        value = texts(c)
+                    elif kind == "b":
+                        value = {"1": "true", "0": "false"}.get(value, value)
+                    elif kind in (None, "n") and value and int(c.attrib.get("s", 0)) in dated:
+                        value = date_text(value, since_1904)
                     cells[column_number(c.attrib["r"]) if "r" in c.attrib else k] = value.strip()
                 values = [cells.get(k, "") for k in range(max(cells, default=-1) + 1)]
                 out.append((name, number, int(row.attrib.get("r", len(out) + 1)), values))
     return out
 
 
+def title_parts(content: bytes) -> list[tuple]:
+    """The title of an office file as a part; none if it has none."""
+    title = office_title(content)
+    return [(0, "title", title, None, None, None, None)] if title else []
+
+
 def xlsx_blocks(files: DataFrame) -> DataFrame:
-    """Files (document_id, content): a heading block per sheet, then its rows as key-value blocks."""
-    rows = row_blocks(unpacked(files, "content", xlsx_rows, ROWS))
+    """Files (document_id, content) as blocks of their sheets."""
+    return sheet_blocks(unpacked(files, "content", xlsx_rows, ROWS))
+
+
+def sheet_blocks(unpacked_rows: DataFrame) -> DataFrame:
+    """Rows of sheets: a heading block per sheet, then its rows as key-value blocks."""
+    rows = row_blocks(unpacked_rows)
     heads = rows.groupBy("document_id", "unit", "unit_no").agg(F.min("header_line").alias("header_line"))
     sheets = heads.select("document_id", "unit", "unit_no", F.lit(0).alias("row_no"), F.col("unit").alias("text"), F.array().cast("array<string>").alias("columns"), "header_line", F.lit("heading").alias("block_type"))
     return rows.unionByName(sheets)
 
 
-def pdf_pages(files: DataFrame) -> DataFrame:
-    """PDF needs a library that is not at hand: each file gives one row with the error PARSER_UNAVAILABLE."""
-    return files.select("document_id", F.lit("PARSER_UNAVAILABLE").alias("error"))
-
-
 def page_paragraphs(pages: DataFrame) -> DataFrame:
     """Pages (document_id, page_number, text) of whatever PDF reader as paragraph blocks, parted by blank lines."""
     parts = F.posexplode(F.filter(F.transform(F.split("text", r"\n\s*\n"), strip), lambda p: p != "")).alias("n", "text")

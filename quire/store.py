@@ -1,13 +1,17 @@
-"""Tables as versions of Parquet files.
+"""Tables as logged changes in Parquet files.
 
-Each change writes a new version of a table and then a row in the log of
-versions; readers take the newest logged version. Spark has no MERGE on Parquet,
-so an upsert is an anti-join and a union.
+A commit adds one small file to the log: the folders of rows it appends and the
+keys whose earlier rows it drops, for any number of tables at once. The file takes
+its number by a rename that fails if the number is taken, so commits are atomic
+and none is lost; another writer's number means the next one. Nothing is
+rewritten but by `compact`, which puts a table's rows into one folder again.
 """
 
 from __future__ import annotations
 
+import json
 import uuid
+from dataclasses import dataclass, field
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -15,18 +19,41 @@ from pyspark.sql import functions as F
 
 from quire.schemas import TABLES
 
-LOG = "table string, version long, path string, at timestamp"
+LOG = "version long, table string, kind string, path string, key string, upto long"
+INDEX = ("documents", "parent_chunks", "child_chunks")
 
 
 def merged(old: DataFrame, new: DataFrame, keys: list[str], keep: dict[str, str] | None = None) -> DataFrame:
     """Old rows without the keys of the new ones, and the new ones; columns in `keep` take the old row's value where there is one."""
     rest = old.join(new.select(*keys), keys, "left_anti")
+    return rest.unionByName(kept(old, new, keys, keep))
+
+
+def kept(old: DataFrame, new: DataFrame, keys: list[str], keep: dict[str, str] | None = None) -> DataFrame:
+    """The new rows, with the old row's value where there is one in the columns of `keep`."""
     if keep:
         before = old.select(*keys, *[F.col(c).alias(f"_old_{c}") for c in keep])
         new = new.join(before, keys, "left")
         for c in keep:
             new = new.withColumn(c, F.coalesce(F.col(f"_old_{c}"), F.col(c))).drop(f"_old_{c}")
-    return rest.unionByName(new)
+    return new
+
+
+@dataclass
+class Change:
+    """What one commit does, in the order of its parts: drops of a table's keys come before rows of the same commit."""
+
+    actions: list[dict] = field(default_factory=list)
+
+    def rows(self, table: str, path: str) -> None:
+        self.actions.append({"table": table, "kind": "rows", "path": path})
+
+    def drop(self, table: str, key: str, path: str) -> None:
+        self.actions.append({"table": table, "kind": "drop", "key": key, "path": path})
+
+    def base(self, table: str, path: str | None, upto: int) -> None:
+        """`path` (or nothing) stands for all of the table's commits up to `upto`."""
+        self.actions.append({"table": table, "kind": "base", "path": path, "upto": upto})
 
 
 class Store:
@@ -35,52 +62,155 @@ class Store:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
 
+    # the log
+
     def log(self) -> DataFrame:
         try:
-            return self.spark.read.schema(LOG).parquet(f"{self.root}/_versions")
+            return self.spark.read.schema(LOG).json(f"{self.root}/_log/*.json")
         except AnalysisException:
             return self.spark.createDataFrame([], LOG)
 
-    def read(self, table: str) -> DataFrame:
-        newest = self.log().filter(F.col("table") == table).agg(F.max_by("path", "version").alias("path")).first()
-        if newest["path"] is None:
-            return self.spark.createDataFrame([], TABLES[table])
-        return self.spark.read.schema(TABLES[table]).parquet(newest["path"])
-
-    def write(self, table: str, rows: DataFrame) -> None:
-        path = f"{self.root}/{table}/{uuid.uuid4().hex}"
+    def actions(self, table: str) -> tuple[list[dict], int]:
+        """The table's actions since its newest base, and the newest version of the log. Compaction bounds their number."""
+        entries = [r.asDict() for r in self.log().collect()]
+        newest = max((e["version"] for e in entries), default=0)
+        own = sorted((e for e in entries if e["table"] == table), key=lambda e: e["version"])
+        bases = [e for e in own if e["kind"] == "base"]
+        upto = max((e["upto"] for e in bases), default=0)
+        last = [e for e in bases if e["upto"] == upto][-1:]
+        return [*({**b, "version": upto} for b in last), *(e for e in own if e["kind"] != "base" and e["version"] > upto)], newest
+
+    def commit(self, change: Change) -> int:
+        """Log the change under the next free version."""
+        jvm, gateway = self.spark._jvm, self.spark.sparkContext._gateway
+        path = jvm.org.apache.hadoop.fs.Path
+        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
+        folder = path(f"{self.root}/_log")
+        files = folder.getFileSystem(conf)
+        files.mkdirs(folder)
+        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(files.makeQualified(folder).toUri(), conf)
+        version = max((int(s.getPath().getName().split(".")[0]) for s in files.listStatus(folder) if s.getPath().getName().endswith(".json")), default=0)
+        while True:
+            version += 1
+            draft = path(folder, f".{uuid.uuid4().hex}")
+            out = files.create(draft)
+            out.write("".join(json.dumps({"version": version, **a}) + "\n" for a in change.actions).encode())
+            out.close()
+            target = path(folder, f"{version:020d}.json")
+            try:
+                context.rename(files.makeQualified(draft), files.makeQualified(target), gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0))
+                return version
+            except Exception as e:
+                files.delete(draft, False)
+                if "FileAlreadyExists" not in str(e):
+                    raise
+
+    def saved(self, table: str, rows: DataFrame, kind: str = "rows") -> str:
+        path = f"{self.root}/{table}/{kind}-{uuid.uuid4().hex}"
         rows.write.parquet(path)
-        n = self.log().filter(F.col("table") == table).count() + 1
-        entry = self.spark.range(1).select(F.lit(table).alias("table"), F.lit(n).cast("long").alias("version"), F.lit(path).alias("path"), F.current_timestamp().alias("at"))
-        entry.coalesce(1).write.mode("append").parquet(f"{self.root}/_versions")
+        return path
+
+    # tables
+
+    def read(self, table: str) -> DataFrame:
+        """The table's rows as of now. Drops are joined with the rows they may concern; a compacted table is a plain scan."""
+        schema, (entries, _) = TABLES[table], self.actions(table)
+        parts = [e for e in entries if e["kind"] in ("rows", "base") and e["path"]]
+        drops = [e for e in entries if e["kind"] == "drop"]
+        if not parts:
+            return self.spark.createDataFrame([], schema)
+        if not drops:
+            return self.spark.read.schema(schema).parquet(*[p["path"] for p in parts])
+        rows = self.versioned(schema, parts)
+        for key in sorted({d["key"] for d in drops}):
+            gone = self.versioned(f"{key} string", [d for d in drops if d["key"] == key]).groupBy(key).agg(F.max("_version").alias("_gone"))
+            # A commit's own rows come after its drops. A base stands for its last version.
+            rows = rows.join(gone, key, "left").filter(F.col("_gone").isNull() | (F.col("_gone") <= F.col("_version"))).drop("_gone")
+        return rows.drop("_version").select(*self.spark.createDataFrame([], schema).columns)
+
+    def versioned(self, schema: str, entries: list[dict]) -> DataFrame:
+        """The rows of several folders with the version of each."""
+        out = None
+        for e in entries:
+            part = self.spark.read.schema(schema).parquet(e["path"]).withColumn("_version", F.lit(e["version"]).cast("long"))
+            out = part if out is None else out.unionByName(part)
+        return out
 
     def append(self, table: str, rows: DataFrame) -> None:
-        self.write(table, self.read(table).unionByName(rows))
+        change = Change()
+        change.rows(table, self.saved(table, aligned(rows, self.read_schema(table))))
+        self.commit(change)
+
+    def read_schema(self, table: str) -> list[str]:
+        return self.spark.createDataFrame([], TABLES[table]).columns
 
     def upsert(self, table: str, rows: DataFrame, keys: list[str], keep: dict[str, str] | None = None) -> None:
-        self.write(table, merged(self.read(table), rows, keys, keep))
+        """Rows in place of those of the same key."""
+        change = Change()
+        self.put(change, table, rows, keys[0], keep)
+        self.commit(change)
+
+    def put(self, change: Change, table: str, rows: DataFrame, key: str, keep: dict[str, str] | None = None) -> None:
+        """Add to a change: rows in place of those of the same key."""
+        path = self.saved(table, aligned(kept(self.read(table), rows, [key], keep) if keep else rows, self.read_schema(table)))
+        written = self.spark.read.schema(TABLES[table]).parquet(path)
+        change.drop(table, key, self.saved(table, written.select(key).distinct(), "drop"))
+        change.rows(table, path)
+
+    def delete(self, table: str, key: str, values: DataFrame) -> None:
+        """Drop the rows whose `key` is among the values (a column of that name)."""
+        change = Change()
+        change.drop(table, key, self.saved(table, values.select(F.col(key).cast("string")).distinct(), "drop"))
+        self.commit(change)
+
+    def compact(self, table: str) -> None:
+        """Put the table's rows into one folder; changes committed meanwhile stay as they are."""
+        _, newest = self.actions(table)
+        change = Change()
+        change.base(table, self.saved(table, self.read(table), "base"), newest)
+        self.commit(change)
+
+    # the index
 
     def index_documents(self, documents: DataFrame, parents: DataFrame, children: DataFrame, replace: bool = True) -> None:
-        """Upsert documents with their chunks; `replace` first drops all chunks of these documents, else stale ones stay."""
-        ids = documents.select(F.col("id").alias("document_id"))
+        """Upsert documents with their chunks in one commit; `replace` first drops all chunks of these documents, else stale ones stay."""
+        change = Change()
+        self.put(change, "documents", documents, "id", None if replace else {"created_at": "created_at"})
+        ids = self.spark.read.schema(TABLES["documents"]).parquet(change.actions[-1]["path"]).select(F.col("id").alias("document_id"))
         for table, rows in (("parent_chunks", parents), ("child_chunks", children)):
-            old = self.read(table)
             if replace:
-                old = old.join(ids, "document_id", "left_anti")
-            self.write(table, merged(old, rows, ["id"]))
-        self.upsert("documents", documents, ["id"], None if replace else {"created_at": "created_at"})
+                change.drop(table, "document_id", self.saved(table, ids, "drop"))
+            self.put(change, table, rows, "id")
+        self.commit(change)
 
     def delete_document(self, document_id: str) -> bool:
         """Drop a document and its chunks; whether it was there."""
-        documents = self.read("documents")
-        there = bool(documents.filter(F.col("id") == document_id).limit(1).count())
+        there = not self.read("documents").filter(F.col("id") == document_id).isEmpty()
         if there:
-            self.write("documents", documents.filter(F.col("id") != document_id))
-            for table in ("parent_chunks", "child_chunks"):
-                self.write(table, self.read(table).filter(F.col("document_id") != document_id))
+            change = Change()
+            for table, key in zip(INDEX, ("id", "document_id", "document_id"), strict=True):
+                change.drop(table, key, self.saved(table, self.spark.createDataFrame([(document_id,)], f"{key} string"), "drop"))
+            self.commit(change)
         return there
 
-    def clear(self) -> None:
-        """Empty the index's tables; its settings stay."""
-        for table in ("documents", "parent_chunks", "child_chunks"):
-            self.write(table, self.spark.createDataFrame([], TABLES[table]))
+    def clear(self, tables: tuple[str, ...] = INDEX) -> None:
+        """Empty the index's tables, or those given; its settings stay."""
+        change = Change()
+        for table in tables:
+            change.base(table, None, self.actions(table)[1])
+        self.commit(change)
+
+    def reset(self, sure: bool = False) -> None:
+        """Empty every table, settings and records too."""
+        if not sure:
+            raise ValueError("a reset empties all tables: call it with sure=True")
+        self.clear(tuple(TABLES))
+
+    def missing_tables(self) -> list[str]:
+        """Tables of the schema that have never been written."""
+        known = {r["table"] for r in self.log().select("table").distinct().collect()}
+        return [t for t in TABLES if t not in known]
+
+
+def aligned(rows: DataFrame, columns: list[str]) -> DataFrame:
+    return rows.select(*columns)

@@ -10,10 +10,12 @@ from quire.config import Chunking, Retrieval, candidate_limit, page
 from quire.operators import chunking, retrieval, validate
 from quire.operators.embeddings import HashingProvider, embed_column
 from quire.operators.normalize import normalize_blocks
-from quire.plans import answer, evaluation
-from quire.plans.ingest import aligned, ingest
-from quire.sources import files, plain, structured
-from quire.store import Store
+from quire.functions import text as T
+from quire.operators import admin
+from quire.plans import answer, evaluation, records
+from quire.plans.ingest import aligned, ingest, probe, reindex, run_next_job, submit
+from quire.sources import files, pdf, plain, structured
+from quire.store import Change, Store
 from quire.streaming import jobs
 
 
@@ -96,6 +98,111 @@ def test_office_files(spark):
     assert [(r.block_type, r.text) for r in sheet] == [("heading", "Metrics"), ("table", "name: latency | value: 120")]
 
 
+def test_sheets_in_the_order_of_the_workbook(spark):
+    rel = lambda i, t: f'<Relationship Id="{i}" Target="{t}"/>'
+    sheet = lambda body: f"<worksheet><sheetData>{body}</sheetData></worksheet>"
+    cell = lambda ref, v, s="": f'<c r="{ref}"{s}><v>{v}</v></c>'
+    book = office(**{
+        "xl/workbook.xml": '<workbook xmlns:r="r"><sheets><sheet name="Second file" r:id="b"/><sheet name="First file" r:id="a"/></sheets></workbook>',
+        "xl/_rels/workbook.xml.rels": f"<Relationships>{rel('a', 'worksheets/sheet1.xml')}{rel('b', '/xl/worksheets/sheet3.xml')}</Relationships>",
+        "xl/styles.xml": '<styleSheet><numFmts><numFmt numFmtId="170" formatCode="yyyy\\-mm&quot;x&quot;"/><numFmt numFmtId="171" formatCode="0.0&quot;d&quot;"/></numFmts><cellXfs><xf numFmtId="0"/><xf numFmtId="14"/><xf numFmtId="170"/><xf numFmtId="171"/></cellXfs></styleSheet>',
+        "xl/worksheets/sheet1.xml": sheet(f'<row r="1">{cell("A1", 1)}</row>'),
+        "xl/worksheets/sheet3.xml": sheet(f'<row r="2">{cell("A2", 45292, chr(32) + "s=" + chr(34) + "1" + chr(34))}{cell("B2", 45292.5, chr(32) + "s=" + chr(34) + "2" + chr(34))}{cell("C2", 7, chr(32) + "s=" + chr(34) + "3" + chr(34))}{cell("D2", 0.25, chr(32) + "s=" + chr(34) + "1" + chr(34))}</row>'),
+    })
+    assert structured.xlsx_rows(book) == [("Second file", 0, 2, ["2024-01-01T00:00:00", "2024-01-01T12:00:00", "7", "06:00:00"]), ("First file", 1, 1, ["1"])]
+
+
+def test_slides_in_the_order_of_the_presentation():
+    slide = lambda t: f'<p:sld xmlns:p="p" xmlns:a="a"><p:sp><a:p><a:r><a:t>{t}</a:t></a:r></a:p></p:sp></p:sld>'
+    deck = office(**{
+        "ppt/presentation.xml": '<p:presentation xmlns:p="p" xmlns:r="r"><p:sldIdLst><p:sldId id="1" r:id="x"/><p:sldId id="2" r:id="y"/></p:sldIdLst></p:presentation>',
+        "ppt/_rels/presentation.xml.rels": '<Relationships><Relationship Id="x" Target="slides/slide7.xml"/><Relationship Id="y" Target="slides/slide2.xml"/></Relationships>',
+        "ppt/slides/slide2.xml": slide("later"), "ppt/slides/slide7.xml": slide("first"), "docProps/core.xml": '<c xmlns:dc="dc"><dc:title> Deck </dc:title></c>',
+    })
+    assert [(p[2], p[4]) for p in structured.pptx_parts(deck)] == [("first", 1), ("later", 2)]
+    assert structured.office_title(deck) == "Deck" and structured.office_title(b"no zip") is None
+
+
+def pdf_file(*pages, compressed=True, extra=b"", trailer=b""):
+    """A PDF with a page for each content, under a tree of two levels."""
+    import zlib
+
+    objects = [b"<< /Type /Catalog /Pages 2 0 R >>", b"<< /Type /Pages /Kids [3 0 R] /Count %d >>" % len(pages)]
+    first = 5
+    objects.append(b"<< /Type /Pages /Parent 2 0 R /Kids [" + b" ".join(b"%d 0 R" % (first + 2 * k) for k in range(len(pages))) + b"] /Resources << /Font << /F1 4 0 R >> >> >>")
+    objects.append(b"<< /Type /Font /Subtype /Type1 " + extra + b">>")
+    for k, content in enumerate(pages):
+        data = zlib.compress(content) if compressed else content
+        objects.append(b"<< /Type /Page /Parent 3 0 R /Contents %d 0 R >>" % (first + 2 * k + 1))
+        objects.append(b"<< /Length %d %s>>\nstream\n" % (len(data), b"/Filter /FlateDecode " if compressed else b"") + data + b"\nendstream")
+    body = b"%PDF-1.4\n" + b"".join(b"%d 0 obj\n" % n + o + b"\nendobj\n" for n, o in enumerate(objects, start=1))
+    return body + b"trailer\n<< /Root 1 0 R " + trailer + b">>\nstartxref\n0\n%%EOF"
+
+
+def test_pdf(spark):
+    one = b"BT /F1 12 Tf 72 700 Td (First line \\(a\\)) Tj 0 -14 Td [(sec) 20 (ond) -300 (line)] TJ T* T* ET BT 1 0 0 1 72 600 Tm <416e6f74686572> Tj ET"
+    two = b"BT /F1 12 Tf (caf\\351) Tj 50 0 Td (here) Tj ET"
+    for compressed in (True, False):
+        parts = pdf.pdf_parts(pdf_file(one, two, compressed=compressed))
+        assert [(p[1], p[2], p[5]) for p in parts] == [("paragraph", "First line (a) second line Another", 1), ("paragraph", "caf\u00e9 here", 2)]
+    codes = b"1 beginbfchar <0001> <0048> endbfchar 1 beginbfrange <0002> <0003> <0069> endbfrange"
+    font = pdf_file(b"BT /F1 9 Tf <000100020003> Tj ET", extra=b"/ToUnicode 9 0 R ").replace(b"trailer", b"9 0 obj\n<< /Length %d >>\nstream\n" % len(codes) + codes + b"\nendstream\nendobj\ntrailer")
+    assert pdf.pdf_parts(font)[0][2] == "Hij"
+    titled = pdf_file(two, trailer=b"/Info 20 0 R ").replace(b"trailer", b"20 0 obj\n<< /Title (A report) /Author (x) >>\nendobj\ntrailer")
+    rows = spark.createDataFrame([("a", bytearray(titled)), ("b", bytearray(b"not a pdf")), ("c", bytearray(pdf_file(two, trailer=b"/Encrypt 9 0 R ")))], "document_id string, content binary")
+    found = {(r.document_id, r.text, r.page_number, r.error) for r in pdf.pdf_blocks(rows).collect()}
+    assert found == {("a", "caf\u00e9 here", 1, None), ("b", None, None, "PDF_OPEN_FAILED"), ("c", None, None, "PDF_ENCRYPTED")}
+    assert [(r.document_id, r.title) for r in pdf.pdf_titles(rows).collect()] == [("a", "A report")]
+
+
+def test_texts_of_any_length_take_linear_time(spark):
+    """10,000 words with thousands of hits: once an expression was computed for each element, which took minutes."""
+    import time
+
+    rows = spark.createDataFrame([(" ".join(["alpha beta x gamma the"] * 2000),)], "t string")
+    query = 'alpha gamma "alpha beta"'
+    columns = [retrieval.cover_density(F.col("t"), query), retrieval.text_matches(F.col("t"), query), retrieval.phrase_overlap(query, F.col("t")), F.size(T.missing_terms(T.match_form(F.col("t")), F.array(F.lit("alphas"), F.lit("gone"))))]
+    rows.select(*columns).first()
+    began = time.perf_counter()
+    got = rows.select(*columns).first()
+    assert time.perf_counter() - began < 5
+    assert got[0] == pytest.approx(0.1 * (2000 / 2 + 1999 / 2), rel=0.5) and tuple(got)[1:] == (True, 1.0, 1)
+
+
+def test_cover_density_equals_brute_force(spark):
+    import random
+
+    rng = random.Random(5)
+    texts = [" ".join(rng.choice(["alpha", "beta", "gammas", "gamma", "x", "the", "y1"]) for _ in range(rng.randint(0, 40))) for _ in range(60)]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", retrieval.cover_density(F.col("t"), "alpha beta gamma").alias("s")).collect()
+    for r in rows:
+        words = [retrieval.stem_of(w) for w in r.t.split()]
+        total, seen = 0.0, set()
+        for end in range(len(words)):
+            starts = [max((k for k in range(end + 1) if words[k] == w), default=-1) for w in ("alpha", "beta", "gamma")]
+            begin = min(starts)
+            if words[end] in ("alpha", "beta", "gamma") and begin >= 0 and begin not in seen:
+                seen.add(begin)
+                total += 0.1 / (1 + end - begin - 2)
+        assert r.s == pytest.approx(total)
+
+
+def test_zip_entries_are_those_of_its_directory(spark):
+    """A zip whose contents mention other folders is what its directory says."""
+    book = office(**{"[Content_Types].xml": "word/ ppt/", "xl/workbook.xml": "word/document.xml"})
+    rows = spark.createDataFrame([(bytearray(book),), (bytearray(office(**{"a.txt": "word/"})),), (bytearray(DOCX),), (bytearray(PPTX),)], "content binary")
+    assert [r[0] for r in rows.select(validate.content_type(F.col("content"), F.lit(".zip"))).collect()] == ["xlsx", "zip", "docx", "pptx"]
+    vectors = spark.createDataFrame([([1.0, float("inf")],), ([1.0, 2.0],)], "v array<double>")
+    assert [r[0] for r in vectors.select(validate.sound_vector(F.col("v"))).collect()] == [False, True]
+
+
+def test_metadata_and_formats(spark):
+    row = spark.createDataFrame([({" a ": " x ", "b": " ", "": "y", "c": None, "a": "z"},)], "m map<string,string>")
+    assert row.select(T.clean_metadata(F.col("m"))).first()[0] in ({"a": "x"}, {"a": "z"})
+    numbers = spark.range(1).select(T.percent_text(F.lit(0.5)), T.percent_text(F.lit(0.1234)), T.compact_number(F.lit(950)), T.compact_number(F.lit(1200)), T.compact_number(F.lit(5_000_000_000)), T.compact_fields(F.create_map(F.lit("page"), F.lit("3"), F.lit("line"), F.lit("1")))).first()
+    assert tuple(numbers) == ("50%", "12.3%", "950", "1.2K", "5B", "line=1, page=3")
+
+
 def test_file_checks(spark):
     rows = [("/f/a.pdf", b"plain text"), ("/f/b.json", b"{broken"), ("/f/c.txt", b""), ("/f/d.exe", b"x"), ("/f/e.txt", b"fine"), ("/f/f.docx", DOCX), ("/f/g.txt", b"a\x00b"), ("/f/h.json", b"[1]")]
     df = spark.createDataFrame([(p, None, len(c), bytearray(c)) for p, c in rows], files.SCHEMA)
@@ -217,6 +324,91 @@ def test_ingest_store_stream(spark, tmp_path):
     assert store.read("documents").count() == 2
 
 
+def test_store_commits(spark, tmp_path):
+    """Appends rewrite nothing, two tables change at once, a number that is taken is passed over, compaction keeps the rows."""
+    store = Store(spark, f"file://{tmp_path}/s")
+    setting = lambda k, v: spark.createDataFrame([(k, v)], "key string, value string")
+    for k in range(3):
+        store.append("index_metadata", setting(f"k{k}", str(k)))
+    before = sorted(p.name for p in (tmp_path / "s" / "index_metadata").iterdir())
+    store.upsert("index_metadata", setting("k1", "new"), ["key"])
+    assert set(before) <= {p.name for p in (tmp_path / "s" / "index_metadata").iterdir()}
+    rows = lambda: {r.key: r.value for r in store.read("index_metadata").collect()}
+    assert rows() == {"k0": "0", "k1": "new", "k2": "2"}
+    change, meanwhile = Change(), Store(spark, store.root)
+    change.rows("index_metadata", store.saved("index_metadata", setting("k3", "3")))
+    meanwhile.append("index_metadata", setting("k4", "4"))
+    store.commit(change)
+    assert rows() == {"k0": "0", "k1": "new", "k2": "2", "k3": "3", "k4": "4"}
+    store.delete("index_metadata", "key", setting("k0", ""))
+    store.compact("index_metadata")
+    assert len(store.actions("index_metadata")[0]) == 1 and set(rows()) == {"k1", "k2", "k3", "k4"}
+    store.append("index_metadata", setting("k0", "again"))
+    assert rows()["k0"] == "again"
+    assert "rag_traces" in store.missing_tables()
+    with pytest.raises(ValueError):
+        store.reset()
+    store.reset(sure=True)
+    assert rows() == {} and store.missing_tables() == []
+
+
+def test_records(spark, tmp_path):
+    store = Store(spark, f"file://{tmp_path}/r")
+    trace = records.record_trace(store, "q", "a", [(1, "d", 0.5)], 1.2345, 2.0)
+    assert trace["total_ms"] == 3.234 or trace["total_ms"] == 3.235
+    assert store.read("rag_traces").first().query == "q" and records.delete_traces(store) == 1 and records.delete_traces(store) == 0
+    empty, chat = records.create_session(store), records.create_session(store, " ")
+    records.add_message(store, chat, "assistant", "")
+    records.add_message(store, chat, "user", "x" * 100)
+    records.add_message(store, chat, "user", "later")
+    found = {r.id: (r.title, r.message_count) for r in records.sessions(store).collect()}
+    assert found == {empty: ("New chat", 0), chat: ("x" * 80, 3)}
+    assert records.delete_session(store, chat) and not records.delete_session(store, chat) and store.read("chat_messages").count() == 0
+    with pytest.raises(records.RecordError):
+        records.add_message(store, chat, "user", "gone")
+    records.record_run(store, {"total_cases": 2, "passed_cases": 1, "cases": ["c"]}, 5, False)
+    assert '"cases"' in store.read("evaluation_runs").first().response_json
+    with pytest.raises(records.RecordError, match="cannot become"):
+        records.emit(store, "unknown", "job", "running")
+
+
+def test_jobs_probe_and_reindex(spark, tmp_path):
+    folder = tmp_path / "in"
+    folder.mkdir()
+    (folder / "a.md").write_text("# Guide\n\nSome text.\n")
+    (folder / "b.pdf").write_bytes(pdf_file(b"BT /F1 9 Tf (Page text) Tj ET"))
+    (folder / "c.xlsx").write_bytes(XLSX)
+    (folder / "d.docx").write_bytes(DOCX.replace(b"PK", b"PX", 1))
+    store, provider = Store(spark, f"file://{tmp_path}/store"), HashingProvider(8)
+    done = submit(store, provider, [str(folder)], worker=False)
+    job = records.jobs(store).filter(F.col("job_id") == done).first()
+    assert job.status == "completed" and job.started_at >= job.created_at and job.error is None
+    assert [(r.stage, r.status) for r in records.events(store, done).collect()] == [("job", "queued"), ("job", "running"), ("parse", "started"), ("parse", "completed"), ("chunk", "started"), ("chunk", "completed"), ("index", "started"), ("index", "completed"), ("job", "completed")]
+    assert records.events(store, done, ["chunk"]).count() == 2
+    documents = {r.file_name: r for r in store.read("documents").collect()}
+    assert {n: r.title for n, r in documents.items()} == {"a.md": "Guide", "b.pdf": "b", "c.xlsx": "c"}
+    assert '"parser":"pdf"' in documents["b.pdf"].metadata and '"block_count":"1"' in documents["b.pdf"].metadata
+    waiting = submit(store, provider, [str(tmp_path / "nowhere")], worker=True)
+    assert records.job_status(store, waiting)[0] == "queued" and run_next_job(store, provider) == waiting and run_next_job(store, provider) is None
+    assert records.job_status(store, waiting)[0] == "failed"
+    (folder / "a.md").write_text("# Other\n\nNew text.\n")
+    assert reindex(store, provider, documents["a.md"].id)["documents"] == 3
+    assert "New text." in store.read("child_chunks").filter(F.col("document_id") == documents["a.md"].id).first().text
+    found = files.discover(spark, [str(folder)])
+    assert {r.file_name: r.code for r in probe(found, "validate", provider).collect()} == {"a.md": None, "b.pdf": None, "c.xlsx": None, "d.docx": "FILE_CONTENT_TYPE_MISMATCH"}
+    assert probe(found, "parse", provider).count() == 5 and probe(found, "chunk", provider).count() == 4
+    assert all(r.dimensions == 8 and abs(r.l2_norm - 1) < 1e-5 for r in probe(found, "embed", provider).collect())
+    counts = probe(found, "index", provider, store).first()
+    assert counts.index_documents == 3 and counts.candidate_parents == counts.index_parent_chunks == counts.candidate_children == counts.index_child_chunks == 4
+
+
+def test_running_stages_count_the_time_since_they_started(spark):
+    rows = [("a", "completed", 5.0, "2024-01-01 00:00:00"), ("b", "started", None, "2024-01-01 00:00:01")]
+    events = spark.createDataFrame(rows, "stage string, status string, ms double, at string").withColumn("at", F.col("at").cast("timestamp"))
+    found = admin.stage_snapshot(events, "stage", F.col("status"), "ms", "at", started="started", as_of=F.lit("2024-01-01 00:00:03").cast("timestamp"))
+    assert {r.stage: r.total_ms for r in found.collect()} == {"a": 5.0, "b": 2000.0}
+
+
 def test_embedding_rejects_blank(spark):
     with pytest.raises(Exception, match="blank"):
         embed_column(documents(spark, "a", " "), HashingProvider(4)).collect()
