@@ -160,6 +160,15 @@ ORACLE_SQL = {
     "recent_page": "SELECT event_id, ts, event_type FROM events ORDER BY ts DESC, event_id DESC LIMIT 100 OFFSET 100",
     "event_array_append": "SELECT user_id, string_agg(event_id || ':' || event_type, ',' ORDER BY ts, event_id) AS events FROM events GROUP BY user_id",
     "rate_limit_offered": "SELECT user_id AS client, event_id, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 86400 SECONDS PRECEDING AND CURRENT ROW) AS offered FROM events",
+    "rate_limit_admitted": f"""
+        WITH RECURSIVE e AS (SELECT user_id AS client, list(event_id ORDER BY ts, event_id) AS ids, list(epoch_us(ts) ORDER BY ts, event_id) AS ats FROM events GROUP BY user_id),
+        r AS (
+            SELECT client, ids, ats, 0 AS i, []::BIGINT[] AS kept, NULL::BIGINT AS event_id, NULL::BOOLEAN AS admitted FROM e
+            UNION ALL
+            SELECT client, ids, ats, i + 1, CASE WHEN len(kept_now) < 3 THEN list_append(kept_now, t) ELSE kept_now END, ids[i + 1], len(kept_now) < 3 FROM (
+                SELECT *, list_filter(kept, lambda x: x >= t - {7 * 86_400 * 1_000_000}) AS kept_now FROM (SELECT *, ats[i + 1] AS t FROM r WHERE i < len(ids)))
+        )
+        SELECT client, event_id, admitted FROM r WHERE i > 0""",
     "queue_claim_next": "SELECT event_id, user_id, 'running' AS status FROM events WHERE event_type = 'signup' ORDER BY ts, event_id LIMIT 1",
     "upsert_replace": "SELECT doc_id, source, CASE WHEN source = 'src3' THEN 2 ELSE 1 END AS version, n_chars FROM documents",
     "semi_join_delete": "SELECT l_suppkey, count(*) AS n FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F') GROUP BY l_suppkey",

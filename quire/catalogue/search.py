@@ -48,7 +48,8 @@ def vector_topk_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def vector_topk_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ranked(scored(spark, sf_dir).filter("lang = 'fr'"), 10)
+    rows = scored(spark, sf_dir).withColumnRenamed("lang", "file_type")
+    return ranked(R.filtered(rows, {"file_type": "fr", "file_name": "", "other": "x"}).withColumnRenamed("file_type", "lang"), 10)
 
 
 def vector_topk_per_label(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -151,7 +152,20 @@ HYBRID_SQL = f"""
     r AS (SELECT *, row_number() OVER (ORDER BY score DESC, greatest(v, 0) DESC, coalesce(vr, 201), coalesce(lr, 201), doc_id) AS rank FROM s)
     SELECT rank, doc_id, round(greatest(v, 0), 6) AS vector_score, round(lex, 6) AS lexical_score, round(score, 6) AS score FROM r WHERE rank <= 5
 """
+# Stop words keep their places as empty strings, so that they part a phrase.
+PLACED_SQL = f"list_transform({WORDS_SQL.format('text')}, lambda w: CASE WHEN w IN ({STOP_SQL}) THEN '' ELSE list_transform([{PLURAL_SQL}], lambda p: {STEM_SQL})[1] END)"
+COVER_SQL = f"""
+    WITH s AS (SELECT doc_id, {PLACED_SQL} AS stems FROM documents),
+    m AS (SELECT *, ' ' || array_to_string(stems, ' ') || ' ' AS whole FROM s),
+    hit AS (SELECT doc_id, stems FROM m WHERE (list_contains(stems, 'licens') AND contains(whole, ' general public ')) OR (contains(whole, ' creative common ') AND NOT list_contains(stems, 'mit'))),
+    word AS (SELECT doc_id, unnest(stems) AS stem, unnest(range(0, len(stems))) AS pos FROM hit),
+    span AS (SELECT doc_id, pos, max(CASE WHEN stem = 'licens' THEN pos END) OVER w AS a, max(CASE WHEN stem = 'public' THEN pos END) OVER w AS b FROM word WHERE stem IN ('licens', 'public') WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
+    cover AS (SELECT doc_id, least(a, b) AS begin, min(pos) AS last FROM span WHERE a IS NOT NULL AND b IS NOT NULL GROUP BY doc_id, least(a, b)),
+    total AS (SELECT doc_id, sum(0.1::DOUBLE / (1 + last - begin - 1)) AS score FROM cover GROUP BY doc_id)
+    SELECT doc_id, round(coalesce(score, 0::DOUBLE), 6) AS lexical_score FROM hit LEFT JOIN total USING (doc_id)
+"""
 ORACLE_SQL = {
+    "lexical_cover_density": COVER_SQL,
     "vector_topk_cosine": TOP_SQL.format(where="", n=10),
     "vector_topk_filtered": TOP_SQL.format(where="WHERE d.lang = 'fr'", n=10),
     "vector_topk_per_label": f"SELECT label, row_number() OVER (PARTITION BY label ORDER BY s DESC, vec_id) AS rank, vec_id, round(s, 6) AS score FROM (SELECT label, vec_id, {COS_SQL} AS s FROM embeddings e) QUALIFY rank <= 3",
