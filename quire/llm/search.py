@@ -30,11 +30,11 @@ from quire.llm.common import arrow_map, staged
 #: Bytes of candidates' and of queries' components in a cell.
 CANDIDATE_BYTES, QUERY_BYTES = 32 << 20, 16 << 20
 #: Candidates whose lists are sorted at once, first and later: early blocks give later ones a bound. At most 2**15.
-FIRST, BLOCK = 512, 2048
+FIRST, BLOCK = 512, 4096
 #: Entries of each list that are read between two looks at the bounds, as a share of the list.
 STEPS = 8
 #: Candidates, in steps, whose scores cost less to resolve than a step of every list costs to read.
-RESOLVE = 3
+RESOLVE = 4
 NONE = -(1 << 62)
 LAST = np.iinfo(np.int64).max
 #: Scores must stay below this, so that sums of floats are exact.
