@@ -144,7 +144,8 @@ class WordBpe:
         inner, last, pairs, apart, longest = self.inner.get, self.last.get, self.pairs, self.apart, self.longest
         if len(self.tokens) > NODES:
             self.plant()
-        child, tokens, starts = self.child, self.tokens, self.starts
+        children, tokens, starts = self.child, self.tokens, self.starts
+        child, new_token, new_start, size = children.get, tokens.append, starts.append, len(tokens)
         # The nodes from the root to where the walk is, and their states.
         path, token, start = [0], [-1], [0]
         before = ""
@@ -155,22 +156,28 @@ class WordBpe:
             while depth < top and word[depth] == before[depth]:
                 depth += 1
             del path[depth + 1 :], token[depth + 1 :], start[depth + 1 :]
-            for i in range(depth + 1, n):
-                edge = path[-1] << 21 | ord(word[i - 1])
-                node = child.get(edge)
-                if node is None:
-                    for s in range(i - 1, i - longest - 1 if i > longest else -1, -1):
-                        t = inner(word[s:i])
-                        if t is not None and (s == 0 or pairs.get(key := token[s] << 20 | t) or key not in pairs and apart(token[s], t)):
-                            break
-                    else:
-                        raise ValueError(f"no encoding for a prefix of {word!r}")
-                    node = child[edge] = len(tokens)
-                    tokens.append(t)
-                    starts.append(s)
+            node, i = path[-1], depth + 1
+            while i < n and (below := child(node << 21 | ord(word[i - 1]))) is not None:
+                node = below
                 path.append(node)
                 token.append(tokens[node])
                 start.append(starts[node])
+                i += 1
+            # Below a new node all are new.
+            for i in range(i, n):
+                for s in range(i - 1, i - longest - 1 if i > longest else -1, -1):
+                    t = inner(word[s:i])
+                    if t is not None and (s == 0 or pairs.get(key := token[s] << 20 | t) or key not in pairs and apart(token[s], t)):
+                        break
+                else:
+                    raise ValueError(f"no encoding for a prefix of {word!r}")
+                children[node << 21 | ord(word[i - 1])] = node = size
+                size += 1
+                new_token(t)
+                new_start(s)
+                path.append(node)
+                token.append(t)
+                start.append(s)
             for s in range(n - 1, max(-1, n - longest - 1), -1):
                 t = last(word[s:])
                 if t is not None and (s == 0 or pairs.get(key := token[s] << 20 | t) or key not in pairs and apart(token[s], t)):
@@ -267,6 +274,28 @@ def decode_documents(encoded: DataFrame, vocabulary: str) -> DataFrame:
     return arrow_map(encoded.select("doc_id", "ids"), run, "doc_id long, text string")
 
 
+@lru_cache(maxsize=1)
+def digest_cache(vocabulary: str) -> tuple[WordBpe, UnitCache]:
+    """A vocabulary and, for units, their numbers of tokens, ids and decoded tokens as bytes: for all tasks of a Python worker."""
+    bpe = word_bpe(vocabulary)
+    names = {i: b" " + t.encode() for i, t in bpe.text.items()}
+    numbers = {i: b" %d" % i for i in names}
+
+    def of_words(words: list[str | int]) -> list[tuple[int, bytes, bytes]]:
+        return [(len(ids), b"".join([numbers[i] for i in ids]), b"".join([names[i] for i in ids])) for ids in bpe.encode_mixed(words)]
+
+    def encode(units: list[str]) -> list[tuple[int, bytes, bytes]]:
+        split = [bpe.words(u) for u in units]
+        known = word_cache.learn([w for ws in split for w in ws])
+        return [known[ws[0]] if len(ws) == 1 else joined([known[w] for w in ws]) for ws in split]
+
+    def joined(found: list[tuple[int, bytes, bytes]]) -> tuple[int, bytes, bytes]:
+        return sum([f[0] for f in found]), b"".join([f[1] for f in found]), b"".join([f[2] for f in found])
+
+    word_cache = UnitCache(of_words, limit=150_000, batch_chars=1 << 22)
+    return bpe, UnitCache(encode, limit=250_000, batch_chars=1 << 22)
+
+
 def digests(documents: DataFrame, vocabulary: str) -> DataFrame:
     """One row per document: doc_id, n_tokens, ids_sha256, decoded_sha256.
 
@@ -278,23 +307,7 @@ def digests(documents: DataFrame, vocabulary: str) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = word_bpe(vocabulary)
-        names = {i: b" " + t.encode() for i, t in bpe.text.items()}
-        numbers = {i: b" %d" % i for i in names}
-
-        def of_words(words: list[str | int]) -> list[tuple[int, bytes, bytes]]:
-            return [(len(ids), b"".join([numbers[i] for i in ids]), b"".join([names[i] for i in ids])) for ids in bpe.encode_mixed(words)]
-
-        def encode(units: list[str]) -> list[tuple[int, bytes, bytes]]:
-            split = [bpe.words(u) for u in units]
-            known = word_cache.learn([w for ws in split for w in ws])
-            return [known[ws[0]] if len(ws) == 1 else joined([known[w] for w in ws]) for ws in split]
-
-        def joined(found: list[tuple[int, bytes, bytes]]) -> tuple[int, bytes, bytes]:
-            return sum([f[0] for f in found]), b"".join([f[1] for f in found]), b"".join([f[2] for f in found])
-
-        word_cache = UnitCache(of_words, limit=150_000, batch_chars=1 << 22)
-        cache = UnitCache(encode, limit=250_000, batch_chars=1 << 22)
+        bpe, cache = digest_cache(vocabulary)
         for batch, texts in byte_slices(batches, "text"):
             rows = [[0, hashlib.sha256(), hashlib.sha256()] for _ in texts]
             for k, found in cache.runs([bpe.units(text) for text in texts]):
