@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import os
+import re
 from dataclasses import dataclass, field
+from pathlib import Path
 
 # Words that carry no meaning in a question.
 STOP_WORDS = ("a", "an", "and", "are", "be", "can", "do", "does", "for", "how", "is", "it", "of", "or", "should", "the", "to", "what", "when", "which", "who")
@@ -24,6 +26,7 @@ CONTENT_TYPES = {
 BLOCK_TYPES = ("title", "heading", "paragraph", "list_item", "table", "code", "json", "page_break", "unknown")
 MAX_FILE_BYTES = 25 * 1024 * 1024
 SAMPLE_BYTES = 8192
+MAX_UPLOADS = 100
 ROLES = ("system", "user", "assistant")
 
 
@@ -66,6 +69,33 @@ def env_float(name: str, default: float) -> float:
         raise ValueError(f"{name} must be a number, not {raw!r}") from None
 
 
+def env_int(name: str, default: int, least: int | None = None) -> int:
+    raw = os.environ.get(name, "").strip()
+    if not raw:
+        return default
+    try:
+        found = int(raw)
+    except ValueError:
+        raise ValueError(f"{name} must be a whole number, not {raw!r}") from None
+    if least is not None and found < least:
+        raise ValueError(f"{name} must be at least {least}, not {found}")
+    return found
+
+
+def load_env(start: str | None = None) -> Path | None:
+    """Set the variables of the nearest .env file, from `start` (the working folder) upwards; those already set stay. Its path, if there is one."""
+    own = Path(start or os.getcwd()).resolve()
+    found = next((p for folder in (own, *own.parents) if (p := folder / ".env").is_file()), None)
+    if found is None or os.environ.get("QUIRE_SKIP_DOTENV") == "1":
+        return None
+    for row in found.read_text(encoding="utf-8").splitlines():
+        entry = re.match(r"\s*(?:export\s+)?([^\s#=][^=]*?)\s*=\s*(.*?)\s*$", row)
+        if entry:
+            quoted = re.fullmatch(r"""(["'])(.*)\1""", entry[2])
+            os.environ.setdefault(entry[1], quoted[2] if quoted else entry[2])
+    return found
+
+
 def page(limit: int, offset: int, most: int = 500) -> tuple[int, int]:
     """A page's limit and offset, checked."""
     if not 1 <= limit <= most:

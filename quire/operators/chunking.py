@@ -8,7 +8,7 @@ and chunks stay within its own rows: the only shuffle is by document_id.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -96,13 +96,13 @@ def with_ranges(rows: DataFrame, sizes: str, target: int, overlap: int = 0) -> D
     return rows.withColumn("ranges", ranges.asNondeterministic()(sizes))
 
 
-def split(rows: DataFrame, hard_max: int, target: int, overlap: int) -> DataFrame:
+def split(rows: DataFrame, hard_max: int, target: int, overlap: int, counter: Callable[[Column], Column] = token_count) -> DataFrame:
     """A row for each segment: texts of up to `hard_max` tokens whole, others in windows; adds tokens, segment_index, segment_count."""
     rows = rows.withColumn("_words", tokens(F.col("text")))
     pieces = F.when(F.size("_words") <= hard_max, F.array("text")).otherwise(windows_of(F.col("_words"), target, overlap))
     rows = rows.withColumn("_pieces", pieces).drop("_words")
     out = rows.select(*[c for c in rows.columns if c not in ("text", "_pieces")], F.size("_pieces").alias("segment_count"), F.posexplode("_pieces").alias("segment_index", "text"))
-    return out.withColumn("tokens", F.greatest(F.lit(1), token_count(F.col("text"))))
+    return out.withColumn("tokens", F.greatest(F.lit(1), counter(F.col("text"))))
 
 
 SEGMENT = ["block_order", "ref", "fingerprint_ref", "block_type", "text", "tokens", "segment_index", "segment_count"]
@@ -130,29 +130,34 @@ def fingerprint(segments: Column) -> Column:
     return F.array_join(parts, "|")
 
 
-def chunk(blocks: DataFrame, config: Chunking | None = None) -> tuple[DataFrame, DataFrame]:
-    """(parents, children). Indexes count from 0 within a document; ids depend on content and place alone."""
+def chunk(
+    blocks: DataFrame, config: Chunking | None = None, counter: Callable[[Column], Column] = token_count, grouper: Callable[[DataFrame], DataFrame] = with_structure
+) -> tuple[DataFrame, DataFrame]:
+    """(parents, children). Indexes count from 0 within a document; ids depend on content and place alone.
+
+    `counter` gives a text's tokens (long texts are cut by words whatever it counts); `grouper` adds group_key, group_path and structure.
+    """
     config = config or Chunking()
-    numbered = islands(with_structure(blocks), ["document_id"], ["block_order"], "group_key", "grp")
+    numbered = islands(grouper(blocks), ["document_id"], ["block_order"], "group_key", "grp")
     own = numbered.select(
         "document_id", "title", "grp", "group_key", "group_path", "structure", "block_order", "block_type", "text",
         F.col("source_ref").alias("ref"), F.coalesce(F.nullif("source_ref", F.lit("")), F.col("json_path"), F.lit("no-source")).alias("fingerprint_ref"),
     )
     keys = ["document_id", "title", "grp", "group_key", "group_path", "structure"]
-    bins = packed(split(own, config.parent_hard_max, config.parent_target, 0), keys, ["block_order", "segment_index"], config.parent_target, 0)
+    bins = packed(split(own, config.parent_hard_max, config.parent_target, 0, counter), keys, ["block_order", "segment_index"], config.parent_target, 0)
     by_document = Window.partitionBy("document_id").orderBy("grp", "n")
     indexed = bins.withColumn("parent_index", F.row_number().over(by_document) - 1).withColumn("text", chunk_text(F.col("title"), F.col("group_path"), F.col("segs"), config.prefix))
     full = indexed.withColumn("id", stable_id(F.col("document_id"), F.lit("parent"), F.col("parent_index"), F.col("group_key"), fingerprint(F.col("segs"))))
-    parents = full.select("id", "document_id", "parent_index", "text", F.greatest(F.lit(1), token_count(F.col("text"))).alias("token_count"), refs("segs"), F.col("group_path").alias("parent_path"), *metadata("parent"))
+    parents = full.select("id", "document_id", "parent_index", "text", F.greatest(F.lit(1), counter(F.col("text"))).alias("token_count"), refs("segs"), F.col("group_path").alias("parent_path"), *metadata("parent"))
     parts = full.select("document_id", "title", F.col("id").alias("parent_chunk_id"), "parent_index", "group_key", "group_path", "structure", F.posexplode("segs").alias("at", "s"))
     parts = parts.select("document_id", "title", "parent_chunk_id", "parent_index", "group_key", "group_path", "structure", "at", "s.block_order", "s.ref", "s.fingerprint_ref", "s.block_type", "s.text")
     keys = ["document_id", "title", "parent_chunk_id", "parent_index", "group_key", "group_path", "structure"]
-    bins = packed(split(parts, config.child_target, config.child_target, config.child_overlap), keys, ["at", "segment_index"], config.child_target, config.child_overlap)
+    bins = packed(split(parts, config.child_target, config.child_target, config.child_overlap, counter), keys, ["at", "segment_index"], config.child_target, config.child_overlap)
     order = Window.partitionBy("document_id").orderBy("parent_index", "n")
     full = bins.withColumn("child_index", F.row_number().over(order) - 1).withColumn("text", chunk_text(F.col("title"), F.col("group_path"), F.col("segs"), config.prefix))
     children = full.select(
         stable_id(F.col("document_id"), F.lit("child"), F.col("child_index"), F.col("parent_chunk_id"), fingerprint(F.col("segs"))).alias("id"),
-        "document_id", "parent_chunk_id", "child_index", "text", F.greatest(F.lit(1), token_count(F.col("text"))).alias("token_count"),
+        "document_id", "parent_chunk_id", "child_index", "text", F.greatest(F.lit(1), counter(F.col("text"))).alias("token_count"),
         refs("segs"), F.col("group_path").alias("parent_path"), *metadata("child")[:-1],
     )
     return parents, children

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Mapping
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -40,6 +40,17 @@ def prompt(question: Column, context: Column) -> Column:
     return F.array(F.struct(F.lit("system").alias("role"), F.lit(SYSTEM).alias("content")), F.struct(F.lit("user").alias("role"), user.alias("content")))
 
 
+def delta_of(response: object) -> str:
+    """The text of one piece of a generator's response: a mapping or object with a message, itself a mapping or object with content; else empty."""
+    of = lambda x, name: x.get(name) if isinstance(x, Mapping) else getattr(x, name, None)
+    return str(of(of(response, "message"), "content") or "")
+
+
+def content_of(response: object) -> str:
+    """The text of a generator's whole response, without space around it."""
+    return delta_of(response).strip()
+
+
 def answer(question: str, hits: DataFrame, generate: Callable[[list[dict]], str]) -> dict:
     """Answer one question with a generator on the driver; `hits` are its at most top_k rows."""
     rows = contexts(hits.withColumn("_q", F.lit(question)), ["_q"]).select(prompt(F.col("_q"), F.col("context")).alias("messages")).collect()

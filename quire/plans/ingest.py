@@ -8,14 +8,14 @@ import time
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.config import FILE_TYPES, Chunking
 from quire.functions.ids import document_id
-from quire.functions.text import base_name, clean_metadata, preview, stem
+from quire.functions.text import base_name, clean_metadata, preview, stem, token_count
 from quire.operators.admin import index_stats, next_queued
-from quire.operators.chunking import chunk
+from quire.operators.chunking import chunk, with_structure
 from quire.operators.embeddings import Provider, check_model, embed_column
 from quire.operators.normalize import normalize_blocks
 from quire.operators.retrieval import norm
@@ -23,7 +23,7 @@ from quire.operators.validate import check_files
 from quire.plans import records
 from quire.sources import pdf, plain, structured
 from quire.sources.files import decoded, discover
-from quire.store import Store
+from quire.store import ChunkIndex, Store
 
 #: The columns of a block, whatever its source; those a source does not have are null.
 COLUMNS = {
@@ -93,7 +93,7 @@ def parse(sound: DataFrame) -> tuple[DataFrame, DataFrame]:
     return blocks, failures
 
 
-def kept(store: Store, rows: DataFrame, name: str) -> DataFrame:
+def kept(store: ChunkIndex, rows: DataFrame, name: str) -> DataFrame:
     """The rows, written once below the store's folder: what follows reads them as often as it needs to."""
     path = f"{store.root}/_work/{name}-{uuid.uuid4().hex}"
     rows.write.parquet(path)
@@ -101,13 +101,22 @@ def kept(store: Store, rows: DataFrame, name: str) -> DataFrame:
 
 
 def ingest(
-    files: DataFrame, store: Store, provider: Provider, config: Chunking | None = None, replace: bool = True, normalize: Callable[[DataFrame], DataFrame] = normalize_blocks, progress: Callable[[str, str, float | None], None] | None = None
+    files: DataFrame,
+    store: ChunkIndex,
+    provider: Provider,
+    config: Chunking | None = None,
+    replace: bool = True,
+    normalize: Callable[[DataFrame], DataFrame] = normalize_blocks,
+    progress: Callable[[str, str, float | None], None] | None = None,
+    recorder: Callable[[str, int, int], None] | None = None,
+    counter: Callable[[Column], Column] = token_count,
+    grouper: Callable[[DataFrame], DataFrame] = with_structure,
 ) -> dict[str, int]:
     """Check, parse, chunk, embed and store files (of the binaryFile source); failures are kept apart and counted.
 
     Blocks and chunks are each written once below the store's folder, so no step
-    runs twice. `normalize` may be replaced. `progress` is told each stage, its status, and
-    at its end the milliseconds it took.
+    runs twice. `normalize`, `counter` and `grouper` may be replaced. `progress` is told each stage, its status, and
+    at its end the milliseconds it took; `recorder` each file type with its parsed documents and blocks.
     """
     check_model(store.spark, store.read("index_metadata"), provider)
     began = [time.perf_counter()]
@@ -126,6 +135,10 @@ def ingest(
     named = sound.select("document_id", "file_name", "file_type", F.col("path").alias("source_path"), "title", "length").join(titles(sound, blocks), "document_id", "left")
     named = kept(store, named.withColumn("title", F.coalesce("own_title", "title")).drop("own_title"), "named")
     tell("parse", "completed")
+    if recorder:
+        per_type = blocks.groupBy("document_id").agg(F.count(F.lit(1)).alias("n")).join(named.select("document_id", "file_type"), "document_id").groupBy("file_type")
+        for r in per_type.agg(F.count(F.lit(1)).alias("documents"), F.sum("n").alias("blocks")).orderBy("file_type").collect():
+            recorder(r["file_type"], r["documents"], r["blocks"])
     tell("chunk", "started")
     normal = kept(store, normalize(blocks), "normal")
     counts = normal.groupBy("document_id").agg(F.count(F.lit(1)).alias("blocks"))
@@ -133,7 +146,7 @@ def ingest(
     documents = named.join(counts, "document_id").select(
         F.col("document_id").alias("id"), "title", "file_name", "file_type", "source_path", F.to_json(about).alias("metadata"), F.current_timestamp().alias("created_at"), F.current_timestamp().alias("updated_at"),
     )
-    parents, children = chunk(normal.join(named.drop("length"), "document_id"), config)
+    parents, children = chunk(normal.join(named.drop("length"), "document_id"), config, counter, grouper)
     parents, children = kept(store, parents, "parents"), kept(store, children, "children")
     tell("chunk", "completed")
     tell("index", "started")

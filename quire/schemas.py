@@ -9,6 +9,7 @@ TABLES = {
     "documents": "id string, title string, file_name string, file_type string, source_path string, metadata string, created_at timestamp, updated_at timestamp",
     "parent_chunks": CHUNK.format(own="parent_index int, ") + ", block_types array<string>",
     "child_chunks": CHUNK.format(own="parent_chunk_id string, child_index int, ") + ", embedding array<float>",
+    "schema_migrations": "version string, name string, checksum string, applied_at timestamp",
     "job_events": "job_id string, seq long, stage string, status string, message string, duration_ms double, at timestamp",
     "rag_traces": "id string, query string, answer string, llm_model string, top_k int, result_count int, retrieval_ms double, answer_ms double, total_ms double, citations array<struct<rank:int,document_id:string,score:double>>, created_at timestamp",
     "chat_sessions": "id string, title string, created_at timestamp, updated_at timestamp",

@@ -12,6 +12,7 @@ from __future__ import annotations
 import json
 import uuid
 from dataclasses import dataclass, field
+from typing import Protocol
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -56,6 +57,23 @@ class Change:
         self.actions.append({"table": table, "kind": "base", "path": path, "upto": upto})
 
 
+class ChunkIndex(Protocol):
+    """What ingestion needs of an index: `Store`, or a caller's own."""
+
+    spark: SparkSession
+    root: str
+
+    def read(self, table: str) -> DataFrame: ...
+
+    def upsert(self, table: str, rows: DataFrame, keys: list[str], keep: dict[str, str] | None = None) -> None: ...
+
+    def index_documents(self, documents: DataFrame, parents: DataFrame, children: DataFrame, replace: bool = True) -> None: ...
+
+    def clear(self, tables: tuple[str, ...] = INDEX) -> None: ...
+
+    def stats(self) -> dict[str, int]: ...
+
+
 class Store:
     """Tables of the index under one folder."""
 
@@ -206,6 +224,18 @@ class Store:
             raise ValueError("a reset empties all tables: call it with sure=True")
         self.clear(tuple(TABLES))
 
+    def stats(self) -> dict[str, int]:
+        """Rows of the index's tables."""
+        return {table: self.read(table).count() for table in INDEX}
+
+    def health(self) -> dict:
+        """Whether the store answers, and what its tables lack; it never raises."""
+        try:
+            missing = self.missing_tables()
+            return {"ok": True, "initialised": not set(INDEX) & set(missing), "missing_tables": missing, "error": None}
+        except Exception as e:
+            return {"ok": False, "initialised": False, "missing_tables": [], "error": f"{type(e).__name__}: {e}"[:500]}
+
     def missing_tables(self) -> list[str]:
         """Tables of the schema that have never been written."""
         known = {r["table"] for r in self.log().select("table").distinct().collect()}
