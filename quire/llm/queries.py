@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import bpe, fim, language, linededup, media, packing, quality, search, simhash, token_counts, token_files
+from quire.llm import bpe, conversation_trie, fim, language, linededup, media, packing, quality, search, simhash, token_counts, token_files
 from quire.llm.common import read_table
 
 
@@ -77,6 +77,10 @@ def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *digests)
 
 
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie.shared_prefix_trie(read_table(spark, sf_dir, "conversations"), every=5, most=8)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_harmonic_packing": op1_harmonic_packing,
     "op2_line_dedup": op2_line_dedup,
@@ -89,6 +93,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_quality": op9_quality,
     "op10_simhash": op10_simhash,
     "op11_fill_in_middle": op11_fill_in_middle,
+    "op12_conversation_trie": op12_conversation_trie,
 }
 
 #: SQL for those that it can express: none hashes, encodes or clusters as these do but the top-k search.
@@ -131,4 +136,31 @@ ORACLE_SQL: dict[str, str] = {
                sha256(text) AS restored_sha256
         FROM parts
     """,
+    "op12_conversation_trie": """
+        WITH own AS (
+            SELECT conv_id, list(struct_pack(role := coalesce(role, ''), text := coalesce(text, '')) ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS t,
+                   conv_id::VARCHAR AS name
+            FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id
+        ), hashed AS (  -- crc32 bit by bit: a byte, then eight shifts (-1)
+            SELECT *, xor(list_reduce(flatten(list_transform(range(1, len(name) + 1), lambda i: [ascii(substr(name, i, 1))::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1])),
+                   lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, 4294967295::BIGINT), 4294967295::BIGINT) % 9 AS h
+            FROM own
+        ), rebuilt AS (
+            SELECT c.conv_id, CASE WHEN c.conv_id % 5 = 0 THEN c.t ELSE list_concat(coalesce(b.t[1:c.h], []), c.t[c.h + 1:]) END AS t
+            FROM hashed c LEFT JOIN own b ON b.conv_id = c.conv_id - c.conv_id % 5
+        ), members AS (
+            SELECT conv_id, d AS depth, t[1:d] AS path, len(t) AS length FROM rebuilt, unnest(range(0, len(t) + 1)) AS r(d)
+        ), nodes AS (
+            SELECT depth, path, min(conv_id) AS conv_id, count(*) AS n_convs, max(length) > depth AS inner_node,
+                   sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (length = depth), '')) AS ends_sha256,
+                   CASE WHEN depth > 0 THEN strlen(path[depth].text) ELSE 0 END AS bytes
+            FROM members GROUP BY depth, path
+        ), below AS (
+            SELECT n.depth, n.path, count(*) FILTER (NOT u.inner_node) AS n_leaves, sum((u.n_convs - 1) * u.bytes)::BIGINT AS saved_tokens,
+                   count(*) FILTER (u.depth = n.depth + 1) AS n_children
+            FROM nodes n JOIN nodes u ON u.depth >= n.depth AND u.path[1:n.depth] = n.path GROUP BY n.depth, n.path
+        )
+        SELECT n.conv_id, n.depth, p.conv_id AS parent_conv_id, n.n_convs, b.n_children, b.n_leaves, b.saved_tokens, n.ends_sha256
+        FROM nodes n JOIN below b ON b.depth = n.depth AND b.path = n.path LEFT JOIN nodes p ON p.depth = n.depth - 1 AND p.path = n.path[1:n.depth - 1]
+    """,
 }

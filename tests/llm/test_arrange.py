@@ -4,20 +4,21 @@ import hashlib
 import os
 import random
 import re
+import zlib
 
 import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quire.llm import fim, queries
+from quire.llm import conversation_trie, fim, queries
 
 
 def in_order(rows):
     return sorted(rows, key=lambda r: tuple((x is None, x) for x in r))
 
 
-@pytest.mark.parametrize("name", ["op11_fill_in_middle"])
+@pytest.mark.parametrize("name", ["op11_fill_in_middle", "op12_conversation_trie"])
 def test_query_equals_sql(spark, sf, name):
     con = duckdb.connect()
     for f in os.listdir(sf):
@@ -95,3 +96,82 @@ def test_units_are_found_from_every_state():
         ends = scan.ends(s)
         assert (ends[0][1], ends[1][1]) == (state, len(begins))
         assert scan.find(np.ones(len(begins), np.int64), np.arange(len(begins)), np.full(len(begins), s)).tolist() == begins
+
+
+# conversation tries
+
+
+def brute_trie(rows, every=5, most=8):
+    turns = {}
+    for c, turn, role, text in rows:
+        if c is not None:
+            turns.setdefault(c, []).append(((turn is not None, turn or 0), role or "", text or ""))
+    own = {c: [t[1:] for t in sorted(ts)] for c, ts in turns.items()}
+    rebuilt = {}
+    for c, ts in own.items():
+        h = zlib.crc32(str(c).encode()) % (most + 1)
+        rebuilt[c] = [*own.get(c - c % every, [])[:h], *ts[h:]] if every else ts
+    members = {}
+    for c, ts in rebuilt.items():
+        for d in range(len(ts) + 1):
+            members.setdefault(tuple(ts[:d]), []).append(c)
+    out = []
+    for path, convs in members.items():
+        below = {p: m for p, m in members.items() if p[: len(path)] == path}
+        inner = {p[:-1] for p in members if p}
+        ends = sorted(c for c in convs if len(rebuilt[c]) == len(path))
+        saved = sum((len(m) - 1) * len(p[-1][1].encode()) for p, m in below.items() if p)
+        parent = min(members[path[:-1]]) if path else None
+        row = (min(convs), len(path), parent, len(convs), sum(len(p) == len(path) + 1 for p in below), sum(p not in inner for p in below), saved)
+        out.append((*row, hashlib.sha256(",".join(map(str, ends)).encode()).hexdigest()))
+    return out
+
+
+@pytest.fixture(scope="module")
+def conversations():
+    rng = random.Random(6)
+    rows = []
+    for c in [*rng.sample(range(60), 45), 100, 101, 104, 203, 70_000, 140_001]:
+        start = rng.choice(["hi", "hello é", ""])
+        rows += [(c, None if t == 0 and rng.random() < 0.3 else t, rng.choice(["user", "bot"]) if t > 3 else "user", start if t == 0 else rng.choice(["a", "bb", None, "x" * 9])) for t in range(rng.choice([1, 2, 3, 8, 12, 15]))]
+    for c in (300, 301, 302, 304, 309):
+        rows += [(c, t, "user" if t % 2 else None, "same") for t in range(40)]
+    rows += [(400, 1, "user", "tie"), (400, 1, "bot", "tie"), (400, 1, "user", "tie"), (400, 1, "user", "later"), (402, None, None, None), (402, None, "u", None), (None, 1, "user", "nobody"), (500, 0, "ab", "c"), (505, 0, "a", "bc")]
+    rng.shuffle(rows)
+    return rows
+
+
+def trie_of(spark, rows, function, n=4):
+    frame = spark.createDataFrame([(*r, 1, b"k") for r in rows], "conv_id long, turn long, role string, text string, depth int, key binary").repartition(n)
+    return in_order(tuple(r) for r in function(frame).collect())
+
+
+def test_trie_equals_brute_force(spark, conversations):
+    assert trie_of(spark, conversations, conversation_trie.shared_prefix_trie) == in_order(brute_trie(conversations))
+    assert trie_of(spark, conversations, conversation_trie.prefix_trie) == in_order(brute_trie(conversations, 0))
+
+
+def test_trie_of_a_conversation_over_many_partitions(spark):
+    """A conversation of a third of all rows, and equal rows, are sorted over several tasks."""
+    rng = random.Random(8)
+    rows = [(5, k, "user", f"turn {k % 7}") for k in range(400)] + [(7, k, "user", f"turn {k % 7}") for k in range(390)] + [(10, 3, "u", "again")] * 200
+    rows += [(c, k, "user", rng.choice("ab")) for c in range(11, 40) for k in range(5)]
+    assert trie_of(spark, rows, conversation_trie.shared_prefix_trie, 8) == in_order(brute_trie(rows))
+
+
+def test_carried_rows_join_partitions():
+    whole = [conversation_trie.turn_hash("u", str(k)) for k in range(9)]
+
+    def key(xs):
+        value = 0
+        for x in xs:
+            value = (value * conversation_trie.BASE + x) % conversation_trie.PRIME
+        return value
+
+    ends = [(0, 1, (4, 2, conversation_trie.packed(key(whole[:2])), 20)), (2, 4, (4, 3, conversation_trie.packed(key(whole[2:5])), 30)), (3, 4, (6, 1, conversation_trie.packed(key(whole[8:])), 5)), (4, 7, (7, 1, conversation_trie.packed(1), 1))]
+    assert conversation_trie.carried(ends) == {2: (4, 2, key(whole[:2]), 20), 3: (4, 5, key(whole[:5]), 50)}
+
+
+def test_trie_of_no_turns(spark):
+    frame = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
+    assert conversation_trie.shared_prefix_trie(frame).count() == 0
