@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import bpe, conversation_trie, fim, language, linededup, media, packing, quality, search, simhash, token_counts, token_files
+from quire.llm import bpe, conversation_trie, fim, jaccard, language, linededup, media, packing, quality, search, simhash, token_counts, token_files
 from quire.llm.common import read_table
 
 
@@ -81,6 +81,10 @@ def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_trie.shared_prefix_trie(read_table(spark, sf_dir, "conversations"), every=5, most=8)
 
 
+def op13_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.similar_classes(read_table(spark, sf_dir, "documents"), words=5, percent=80)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_harmonic_packing": op1_harmonic_packing,
     "op2_line_dedup": op2_line_dedup,
@@ -94,6 +98,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_simhash": op10_simhash,
     "op11_fill_in_middle": op11_fill_in_middle,
     "op12_conversation_trie": op12_conversation_trie,
+    "op13_jaccard_join": op13_jaccard_join,
 }
 
 #: SQL for those that it can express: none hashes, encodes or clusters as these do but the top-k search.
@@ -163,4 +168,21 @@ ORACLE_SQL: dict[str, str] = {
         SELECT n.conv_id, n.depth, p.conv_id AS parent_conv_id, n.n_convs, b.n_children, b.n_leaves, b.saved_tokens, n.ends_sha256
         FROM nodes n JOIN below b ON b.depth = n.depth AND b.path = n.path LEFT JOIN nodes p ON p.depth = n.depth - 1 AND p.path = n.path[1:n.depth - 1]
     """,
+    "op13_jaccard_join": r"""
+        WITH RECURSIVE words AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+        ), sets AS (
+            SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+                                ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s
+            FROM words
+        ), tokens AS (
+            SELECT doc_id, len(s) AS n, unnest(s) AS t FROM sets
+        ), links AS (
+            SELECT a.doc_id AS u, b.doc_id AS v FROM tokens a JOIN tokens b ON a.t = b.t AND a.doc_id <> b.doc_id
+            GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))
+        ), reached AS (
+            SELECT doc_id AS u, doc_id AS v FROM documents UNION SELECT r.u, l.v FROM reached r JOIN links l ON l.u = r.v
+        )
+        SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, min(r.v) AS component_id FROM sets s JOIN reached r ON r.u = s.doc_id GROUP BY s.doc_id, s.s
+    """,
 }

@@ -8,17 +8,18 @@ import zlib
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from quire.llm import conversation_trie, fim, queries
+from quire.llm import conversation_trie, fim, jaccard, queries, signature_tree
 
 
 def in_order(rows):
     return sorted(rows, key=lambda r: tuple((x is None, x) for x in r))
 
 
-@pytest.mark.parametrize("name", ["op11_fill_in_middle", "op12_conversation_trie"])
+@pytest.mark.parametrize("name", ["op11_fill_in_middle", "op12_conversation_trie", "op13_jaccard_join"])
 def test_query_equals_sql(spark, sf, name):
     con = duckdb.connect()
     for f in os.listdir(sf):
@@ -175,3 +176,119 @@ def test_carried_rows_join_partitions():
 def test_trie_of_no_turns(spark):
     frame = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
     assert conversation_trie.shared_prefix_trie(frame).count() == 0
+
+
+# Jaccard join
+
+
+def brute_classes(rows, words=5, percent=80):
+    sets = []
+    for _, text in rows:
+        w = re.findall(rb"[^\x20\x09-\x0D]+", (text or "").encode().lower())
+        sets.append({b" ".join(w[k : k + words]) for k in range(len(w) - words + 1)} if len(w) >= words else {b" ".join(w)} if w else set())
+    group = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j]) and group[i] != group[j]:
+                group = [group[j] if g == group[i] else g for g in group]
+    least = {g: min((rows[k][0] for k in range(len(rows)) if group[k] == g and rows[k][0] is not None), default=None) for g in set(group)}
+    return [(rows[k][0], len(sets[k]), least[group[k]]) for k in range(len(rows))]
+
+
+def classes_of(spark, rows, **limits):
+    docs = spark.createDataFrame([(i, t, "n", 1) for i, t in rows], "doc_id long, text string, n string, id int").repartition(3)
+    return in_order(tuple(r) for r in jaccard.similar_classes(docs, **limits).collect())
+
+
+def edited(rng, words, times):
+    words = list(words)
+    for _ in range(times):
+        words[rng.randrange(len(words))] = f"e{rng.randrange(10**6)}"
+    return words
+
+
+@pytest.fixture(scope="module")
+def similar_texts():
+    rng = random.Random(9)
+    vocabulary = [f"w{k}" for k in range(3000)]
+    passages = [rng.choices(vocabulary, k=rng.randint(20, 60)) for _ in range(4)]
+    rows = []
+    for size, copies, most in ((60, 20, 3), (200, 70, 9), (130, 40, 5), (12, 8, 1), (900, 6, 30)):
+        first = rng.choices(vocabulary, k=size) + rng.choice(passages)
+        rows += [" ".join(edited(rng, first[: len(first) - rng.randint(0, size // 8)], rng.randint(0, most))) for _ in range(copies)]
+    rows += [" ".join(rng.choices(vocabulary, k=rng.randint(3, 120)) + rng.choice(passages)) for _ in range(60)]
+    rows += ["one two", "One  TWO\n", "one", None, "", " \t\n", "É x y z", "é x y z", rows[0].upper(), rows[0], rows[0].replace(" ", "\u00a0", 1)] + ["a b c d e"] * 5 + [" ".join(["again"] * 5000)] * 2
+    numbered = [(k, t) for k, t in enumerate(rows)]
+    rng.shuffle(numbered)
+    return [*numbered, (None, rows[0]), (None, "nobody has this text at all"), (None, None), (7, rows[7]), (7, "another text of the same id")]
+
+
+@pytest.mark.parametrize(("most", "percent"), [(128, 80), (2, 80), (5, 60)])
+def test_classes_equal_brute_force(spark, similar_texts, most, percent):
+    found = classes_of(spark, similar_texts, most=most, percent=percent)
+    wanted = brute_classes(similar_texts, percent=percent)
+    assert found == in_order(wanted)
+    assert len({w[2] for w in wanted}) < len(similar_texts) - 60
+
+
+def test_classes_of_split_clusters(spark, similar_texts, monkeypatch):
+    monkeypatch.setattr(jaccard, "SPREAD_SETS", 5)
+    assert classes_of(spark, similar_texts) == in_order(brute_classes(similar_texts))
+
+
+def test_classes_of_no_documents(spark):
+    assert jaccard.similar_classes(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def entries(rng, sets, token_of, frequent=np.zeros(0, np.uint64), percent=80):
+    rows = []
+    for k, s in enumerate(sets):
+        first, last = jaccard.prefix(s, percent, frequent)
+        rows += [(token_of(t), len(s), k, int(last.view(np.int64)), signature_tree.bitmap(first).tobytes()) for t in first]
+    rows.sort()
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["token", "n", "id", "last", "bits"])
+
+
+def some_sets(rng, count, universe):
+    base = [np.unique(rng.integers(0, 2**64, rng.integers(5, 900), np.uint64)) for _ in range(count // 4)]
+    out = []
+    for _ in range(count):
+        own = base[rng.integers(len(base))]
+        kept = own[rng.random(len(own)) < rng.choice([0.85, 0.93, 0.99])]
+        out.append(np.unique(np.concatenate([kept, rng.choice(universe, rng.integers(0, 30))])))
+    return [s for s in out if len(s)]
+
+
+def classes(links, n):
+    group = list(range(n))
+    for u, v in links:
+        group = [group[u] if g == group[v] else g for g in group]
+    return group
+
+
+@pytest.mark.parametrize("small_tree", [False, True])
+def test_buckets_lose_no_link(monkeypatch, small_tree):
+    """Whatever is similar is connected by the links of some bucket; the links of one cell are those of all pairs."""
+    if small_tree:
+        monkeypatch.setattr(jaccard, "TREE", 40)
+    rng = np.random.default_rng(10)
+    universe = rng.integers(0, 2**64, 200, np.uint64)
+    sets = some_sets(rng, 240, universe)
+    group = classes(jaccard.bucket_links(entries(rng, sets, lambda t: int(t.view(np.int64)), np.sort(universe[:50])), 80), len(sets))
+    true = [(i, j) for i in range(len(sets)) for j in range(i) if 100 * (k := len(np.intersect1d(sets[i], sets[j]))) >= 80 * (len(sets[i]) + len(sets[j]) - k)]
+    assert len(true) > 100 and all(group[i] == group[j] for i, j in true)
+    order = np.argsort([len(s) for s in sets], kind="stable")
+    links = jaccard.cell_links(np.zeros(len(sets), int), order.tolist(), [sets[k] for k in order], 80, False)
+    assert {tuple(sorted(x)) for x in links} <= {tuple(sorted(x)) for x in true} and len(links) == len(sets) - len(set(classes(true, len(sets))))
+
+
+def test_tree_leaves_out_most_pairs():
+    """Of sets that share a passage alone, hardly a pair is held against the sets."""
+    rng = np.random.default_rng(11)
+    passage = rng.integers(0, 2**64, 40, np.uint64)
+    sets = sorted((np.unique(np.concatenate([passage, rng.integers(0, 2**64, rng.integers(100, 800), np.uint64)])) for _ in range(600)), key=len)
+    tree = signature_tree.SignatureTree(signature_tree.Sets(np.array([len(s) for s in sets]), np.full(len(sets), jaccard.WHOLE), [signature_tree.bitmap(s) for s in sets]))
+    held = []
+    assert not list(tree.links(80, lambda x, y: bool(held.append((x, y)))))
+    assert len(held) < 20
