@@ -256,18 +256,7 @@ def fill_in_middle(documents: DataFrame, piece: int = 1 << 20) -> DataFrame:
 
 
 def restored(output: Column, form: Column) -> Column:
-    """The text that `fill_in_middle` arranged as `output`. No part can hold a marker, nor make one with what stands beside it."""
-
-    def after(whole: Column, marker: str, head: Column) -> Column:
-        return F.substring(whole, F.length(head) + len(marker) + 1, F.length(whole))
-
-    body = F.substring(output, F.lit(4), F.length(output))
-    psm_prefix = F.substring_index(body, SUFFIX, 1)
-    psm_rest = after(body, SUFFIX, psm_prefix)
-    psm_suffix = F.substring_index(psm_rest, MIDDLE, 1)
-    spm_suffix = F.substring_index(body, PREFIX, 1)
-    spm_rest = after(body, PREFIX, spm_suffix)
-    spm_prefix = F.substring_index(spm_rest, MIDDLE, 1)
-    psm = F.concat(psm_prefix, after(psm_rest, MIDDLE, psm_suffix), psm_suffix)
-    spm = F.concat(spm_prefix, after(spm_rest, MIDDLE, spm_prefix), spm_suffix)
-    return F.when(form == "plain", output).when(form == "psm", psm).otherwise(spm)
+    """The text that `fill_in_middle` arranged as `output`. No part holds a marker, nor makes one with what stands beside it, so these split it into its three parts."""
+    parts = F.split(output, "|".join(MARKERS), -1)
+    first, second, last = (F.get(parts, F.lit(k)) for k in (1, 2, 3))
+    return F.when(form == "plain", output).when(form == "psm", F.concat(first, last, second)).otherwise(F.concat(second, last, first))
