@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quire.catalogue.tables import table
 from quire.operators import admin
-from quire.plans import evaluation
-from quire.store import merged
+from quire.plans import evaluation, records
+from quire.session import new_folder
+from quire.store import Store
 from quire.streaming.jobs import admitted
 
 
@@ -62,7 +63,18 @@ def job_status_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def job_latest_state(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return admin.latest_state(table(spark, sf_dir, "events"), "user_id", "event_type", "ts", "event_id")
+    """Users as jobs, their events as the jobs' own, in a store."""
+    order = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    events = table(spark, sf_dir, "events").withColumn("seq", F.row_number().over(order).cast("long"))
+    found = records.jobs(job_store(spark, events.select(F.col("user_id").cast("string").alias("job_id"), "seq", F.col("event_type").alias("status"), "ts")))
+    return found.select(F.col("job_id").cast("long").alias("user_id"), "status", "n_events")
+
+
+def job_store(spark: SparkSession, rows: DataFrame) -> Store:
+    """A store with these events (job_id, seq, status, ts) of jobs."""
+    store = Store(spark, new_folder(spark, "jobs"))
+    store.append("job_events", rows.select("job_id", "seq", F.lit("job").alias("stage"), "status", F.lit("").alias("message"), F.lit(None).cast("double").alias("duration_ms"), F.col("ts").cast("timestamp").alias("at")))
+    return store
 
 
 def stage_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -97,21 +109,30 @@ def rate_limit_admitted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queue_claim_next(spark: SparkSession, sf_dir: str) -> DataFrame:
-    jobs = table(spark, sf_dir, "events").withColumn("status", F.when(F.col("event_type") == "signup", "queued").otherwise(F.col("event_type")))
-    return admin.next_queued(jobs, "status", "ts", "event_id").select("event_id", "user_id", F.lit("running").alias("status"))
+    """Events as jobs, signups as queued ones: two workers claim one each, the oldest first."""
+    status = F.when(F.col("event_type") == "signup", "queued").otherwise("completed")
+    events = table(spark, sf_dir, "events").select(F.format_string("%012d", "event_id").alias("job_id"), F.lit(0).cast("long").alias("seq"), status.alias("status"), "ts")
+    store = job_store(spark, events)
+    claimed = [records.claim(store) for _ in range(2)]
+    found = records.jobs(store).filter(F.col("job_id").isin(*[c for c in claimed if c]) if any(claimed) else F.lit(False))
+    return found.select(F.col("job_id").cast("long").alias("event_id"), "status", "n_events")
 
 
 def upsert_replace(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents, those of src3 replaced by a new version."""
-    old = table(spark, sf_dir, "documents").select("doc_id", "source", F.lit(1).alias("version"), "n_chars")
-    new = old.filter("source = 'src3'").withColumn("version", F.lit(2)).withColumn("n_chars", F.col("n_chars") + 1)
-    return merged(old, new, ["doc_id"], keep={"n_chars": "n_chars"})
+    """All documents in a store, those of src3 replaced there by a new version that keeps when they were first seen."""
+    store = Store(spark, new_folder(spark, "upsert"), {"docs": "doc_id long, source string, version int, first_seen int, n_chars long"})
+    old = table(spark, sf_dir, "documents").select("doc_id", "source", F.lit(1).alias("version"), F.lit(1).alias("first_seen"), F.col("n_chars").cast("long").alias("n_chars"))
+    store.append("docs", old)
+    store.upsert("docs", old.filter("source = 'src3'").withColumns({"version": F.lit(2), "first_seen": F.lit(2), "n_chars": F.col("n_chars") + 1}), ["doc_id"], keep={"first_seen": "first_seen"})
+    return store.read("docs")
 
 
 def semi_join_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Line items without those of cancelled (F) orders, counted by supplier."""
-    gone = table(spark, sf_dir, "orders").filter("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("l_orderkey"))
-    return table(spark, sf_dir, "lineitem").join(gone, "l_orderkey", "left_anti").groupBy("l_suppkey").agg(F.count(F.lit(1)).alias("n"))
+    """Line items in a store, those of finished (F) orders deleted there, counted by supplier."""
+    store = Store(spark, new_folder(spark, "delete"), {"lines": "l_orderkey long, l_suppkey long"})
+    store.append("lines", table(spark, sf_dir, "lineitem").select(*[F.col(c).cast("long").alias(c) for c in ("l_orderkey", "l_suppkey")]))
+    store.delete("lines", "l_orderkey", table(spark, sf_dir, "orders").filter("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("l_orderkey")))
+    return store.read("lines").groupBy("l_suppkey").agg(F.count(F.lit(1)).alias("n"))
 
 
 def eval_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -169,8 +190,8 @@ ORACLE_SQL = {
                 SELECT *, list_filter(kept, lambda x: x >= t - {7 * 86_400 * 1_000_000}) AS kept_now FROM (SELECT *, ats[i + 1] AS t FROM r WHERE i < len(ids)))
         )
         SELECT client, event_id, admitted FROM r WHERE i > 0""",
-    "queue_claim_next": "SELECT event_id, user_id, 'running' AS status FROM events WHERE event_type = 'signup' ORDER BY ts, event_id LIMIT 1",
-    "upsert_replace": "SELECT doc_id, source, CASE WHEN source = 'src3' THEN 2 ELSE 1 END AS version, n_chars FROM documents",
+    "queue_claim_next": "SELECT event_id, 'running' AS status, 2 AS n_events FROM events WHERE event_type = 'signup' ORDER BY ts, event_id LIMIT 2",
+    "upsert_replace": "SELECT doc_id, source, CASE WHEN source = 'src3' THEN 2 ELSE 1 END AS version, 1 AS first_seen, CASE WHEN source = 'src3' THEN n_chars + 1 ELSE n_chars END AS n_chars FROM documents",
     "semi_join_delete": "SELECT l_suppkey, count(*) AS n FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F') GROUP BY l_suppkey",
     "eval_summary": """
         SELECT count(*) AS total_cases, count(*) FILTER (WHERE quality = 1 AND toxic = 0) AS passed_cases, count(*) FILTER (WHERE NOT (quality = 1 AND toxic = 0)) AS failed_cases,

@@ -14,14 +14,14 @@ from pyspark.sql import functions as F
 from quire.config import FILE_TYPES, Chunking
 from quire.functions.ids import document_id
 from quire.functions.text import base_name, clean_metadata, preview, stem, token_count
-from quire.operators.admin import index_stats, next_queued
+from quire.operators.admin import index_stats
 from quire.operators.chunking import chunk, with_structure
 from quire.operators.embeddings import Provider, check_model, embed_column
 from quire.operators.normalize import normalize_blocks
 from quire.operators.retrieval import norm
 from quire.operators.validate import check_files
 from quire.plans import records
-from quire.sources import pdf, plain, structured
+from quire.sources import markdown, pdf, plain, structured
 from quire.sources.files import decoded, discover
 from quire.store import ChunkIndex, Store
 
@@ -142,9 +142,14 @@ def ingest(
     tell("chunk", "started")
     normal = kept(store, normalize(blocks), "normal")
     counts = normal.groupBy("document_id").agg(F.count(F.lit(1)).alias("blocks"))
+    text = sound.filter(F.col("file_type") == "md").select("document_id", decoded(F.col("content"))["text"].alias("text"))
+    front = kept(store, markdown.front_matter(text).select("document_id", F.to_json("front_matter").alias("front"), "line_end"), "front")
     about = clean_metadata(F.create_map(F.lit("parser"), F.col("file_type"), F.lit("size_bytes"), F.col("length").cast("string"), F.lit("block_count"), F.col("blocks").cast("string")))
-    documents = named.join(counts, "document_id").select(
-        F.col("document_id").alias("id"), "title", "file_name", "file_type", "source_path", F.to_json(about).alias("metadata"), F.current_timestamp().alias("created_at"), F.current_timestamp().alias("updated_at"),
+    # Front matter is part of the metadata, as it is nested.
+    more = F.concat(F.lit(',"front_matter":'), F.col("front"), F.lit(',"front_matter_source":{"line_start":1,"line_end":'), F.col("line_end").cast("string"), F.lit("}}"))
+    metadata = F.when(F.col("front").isNull(), F.to_json(about)).otherwise(F.concat(F.regexp_replace(F.to_json(about), r"\}$", ""), more))
+    documents = named.join(counts, "document_id").join(front, "document_id", "left").select(
+        F.col("document_id").alias("id"), "title", "file_name", "file_type", "source_path", metadata.alias("metadata"), F.current_timestamp().alias("created_at"), F.current_timestamp().alias("updated_at"),
     )
     parents, children = chunk(normal.join(named.drop("length"), "document_id"), config, counter, grouper)
     parents, children = kept(store, parents, "parents"), kept(store, children, "children")
@@ -165,10 +170,11 @@ def reindex(store: Store, provider: Provider, document_id: str, config: Chunking
     return ingest(store.spark.read.format("binaryFile").load(row["source_path"]), store, provider, config)
 
 
-def run_job(store: Store, provider: Provider, job_id: str) -> str:
-    """Run a queued job: its files, with an event for each stage; a failure becomes the job's. Its status at the end."""
+def run_job(store: Store, provider: Provider, job_id: str, claimed: bool = False) -> str:
+    """Run a queued job, or one that the caller has claimed: its files, with an event for each stage; a failure becomes the job's. Its status at the end."""
     request = json.loads(records.jobs(store).filter(F.col("job_id") == job_id).first()["request"])
-    records.emit(store, job_id, "job", "running")
+    if not claimed:
+        records.emit(store, job_id, "job", "running")
     try:
         found = discover(store.spark, request["paths"], recursive=True)
         done = ingest(found, store, provider, replace=request["replace"], progress=lambda stage, status, ms: records.emit(store, job_id, stage, status, "", ms))
@@ -179,12 +185,24 @@ def run_job(store: Store, provider: Provider, job_id: str) -> str:
 
 
 def run_next_job(store: Store, provider: Provider) -> str | None:
-    """Run the oldest queued job; its id, or null if none is queued."""
-    waiting = next_queued(records.jobs(store), "status", "created_at", "job_id").first()
-    if waiting is None:
-        return None
-    run_job(store, provider, waiting["job_id"])
-    return waiting["job_id"]
+    """Claim the oldest queued job and run it; its id, or null if none is queued."""
+    job_id = records.claim(store)
+    if job_id is not None:
+        run_job(store, provider, job_id, claimed=True)
+    return job_id
+
+
+def work_queue(store: Store, provider: Provider, poll_seconds: float = 2.0, stop: Callable[[], bool] = lambda: False, once: bool = False) -> int:
+    """Run queued jobs one after the other, any number of workers at a time; the number this one ran. With `once` it ends when none is queued."""
+    done = 0
+    while not stop():
+        if run_next_job(store, provider) is not None:
+            done += 1
+        elif once:
+            break
+        else:
+            time.sleep(poll_seconds)
+    return done
 
 
 def submit(store: Store, provider: Provider, paths: list[str], replace: bool = True, worker: bool | None = None) -> str:

@@ -14,12 +14,14 @@ from datetime import UTC, datetime
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quire.log import Snapshot
+from quire.operators.admin import next_queued
 from quire.schemas import TABLES
 from quire.store import Change, Store
 
 NEW_CHAT = "New chat"
 #: Statuses of a job, and those that may follow each.
-TRANSITIONS = {None: ("queued",), "queued": ("running", "failed"), "running": ("running", "completed", "failed"), "completed": (), "failed": ()}
+TRANSITIONS = {None: ("queued",), "queued": ("running", "failed"), "running": ("completed", "failed"), "completed": (), "failed": ()}
 
 
 class RecordError(ValueError):
@@ -69,17 +71,29 @@ def create_session(store: Store, title: str | None = None) -> str:
 
 def add_message(store: Store, session_id: str, role: str, content: str, trace_id: str | None = None, llm_model: str | None = None, latency_ms: float | None = None) -> str:
     """Add a message and touch its session, in one commit; the first message that is not empty, whoever says it, titles a new chat."""
-    session = store.read("chat_sessions").filter(F.col("id") == session_id)
-    if session.isEmpty():
+    own = uuid.uuid4().hex
+
+    def work(state: Snapshot, change: Change) -> str:
+        session = store.read("chat_sessions", state).filter(F.col("id") == session_id).first()
+        if session is None:
+            raise RecordError("CHAT_SESSION_NOT_FOUND", "there is no such session")
+        at, title = now(), content[:80] if session["title"] == NEW_CHAT and content else session["title"]
+        change.touch("chat_sessions", session_id)
+        store.put(change, "chat_sessions", row_of(store, "chat_sessions", id=session_id, title=title, created_at=session["created_at"], updated_at=at), "id")
+        message = row_of(store, "chat_messages", id=own, session_id=session_id, role=role, content=content, trace_id=trace_id, llm_model=llm_model, latency_ms=latency_ms, created_at=at)
+        change.rows("chat_messages", store.saved("chat_messages", message))
+        return own
+
+    return store.attempt(work)
+
+
+def ensure_session(store: Store, session_id: str | None = None, title: str | None = None) -> str:
+    """The session of that id, or a new one if none is given."""
+    if session_id is None:
+        return create_session(store, title)
+    if store.read("chat_sessions").filter(F.col("id") == session_id).isEmpty():
         raise RecordError("CHAT_SESSION_NOT_FOUND", "there is no such session")
-    at, own, change = now(), uuid.uuid4().hex, Change()
-    untitled = (F.col("title") == NEW_CHAT) & F.lit(content != "")
-    touched = session.withColumn("title", F.when(untitled, F.lit(content[:80])).otherwise(F.col("title"))).withColumn("updated_at", F.lit(at))
-    store.put(change, "chat_sessions", touched, "id")
-    message = row_of(store, "chat_messages", id=own, session_id=session_id, role=role, content=content, trace_id=trace_id, llm_model=llm_model, latency_ms=latency_ms, created_at=at)
-    change.rows("chat_messages", store.saved("chat_messages", message))
-    store.commit(change)
-    return own
+    return session_id
 
 
 def sessions(store: Store) -> DataFrame:
@@ -89,14 +103,17 @@ def sessions(store: Store) -> DataFrame:
 
 
 def delete_session(store: Store, session_id: str) -> bool:
-    """Drop a session and its messages; whether it was there."""
-    there = not store.read("chat_sessions").filter(F.col("id") == session_id).isEmpty()
-    if there:
-        change = Change()
-        for table, key in (("chat_sessions", "id"), ("chat_messages", "session_id")):
-            change.drop(table, key, store.saved(table, store.spark.createDataFrame([(session_id,)], f"{key} string"), "drop"))
-        store.commit(change)
-    return there
+    """Drop a session and its messages; whether it was there. A message that is added meanwhile is dropped too, or fails."""
+
+    def work(state: Snapshot, change: Change) -> bool:
+        there = not store.read("chat_sessions", state).filter(F.col("id") == session_id).isEmpty()
+        if there:
+            change.touch("chat_sessions", session_id)
+            for table, key in (("chat_sessions", "id"), ("chat_messages", "session_id")):
+                change.drop(table, key, store.saved(table, store.spark.createDataFrame([(session_id,)], f"{key} string"), "drop"))
+        return there
+
+    return store.attempt(work)
 
 
 # evaluations
@@ -113,21 +130,45 @@ def record_run(store: Store, summary: dict, top_k: int, include_answers: bool) -
 # jobs: a log of events; a job's status is that of its last event
 
 
-def job_status(store: Store, job_id: str) -> tuple[str | None, int]:
+def job_status(store: Store, job_id: str, at: Snapshot | None = None) -> tuple[str | None, int]:
     """A job's status, null if it is unknown, and the number of its events."""
-    own = store.read("job_events").filter(F.col("job_id") == job_id)
+    own = store.read("job_events", at).filter(F.col("job_id") == job_id)
     last = own.agg(F.max_by(F.when(F.col("stage") == "job", F.col("status")), F.when(F.col("stage") == "job", F.col("seq"))).alias("status"), F.count(F.lit(1)).alias("n")).first()
     return last["status"], last["n"]
 
 
 def emit(store: Store, job_id: str, stage: str, status: str, message: str = "", duration_ms: float | None = None) -> None:
-    """Append a progress event. Events of the stage `job` are the job's own transitions, and checked."""
-    before, n = job_status(store, job_id)
-    if stage == "job" and status not in TRANSITIONS[before]:
-        raise RecordError("INVALID_JOB_TRANSITION", f"a job that is {before or 'unknown'} cannot become {status}")
-    if stage != "job" and before is None:
-        raise RecordError("INGESTION_JOB_NOT_FOUND", "there is no such job")
-    store.append("job_events", row_of(store, "job_events", job_id=job_id, seq=n, stage=stage, status=status, message=message, duration_ms=duration_ms, at=now()))
+    """Append a progress event. Events of the stage `job` are the job's own transitions, and checked against the state they follow: of two writers one comes after the other, or fails."""
+
+    def work(state: Snapshot, change: Change) -> None:
+        before, n = job_status(store, job_id, state)
+        if stage == "job" and status not in TRANSITIONS[before]:
+            raise RecordError("INVALID_JOB_TRANSITION", f"a job that is {before or 'unknown'} cannot become {status}")
+        if stage != "job" and before is None:
+            raise RecordError("INGESTION_JOB_NOT_FOUND", "there is no such job")
+        change.touch("job_events", job_id)
+        event = row_of(store, "job_events", job_id=job_id, seq=n, stage=stage, status=status, message=message, duration_ms=duration_ms, at=now())
+        change.rows("job_events", store.saved("job_events", event))
+
+    store.attempt(work)
+
+
+def claim(store: Store) -> str | None:
+    """Mark the oldest queued job as running, for the caller alone; its id, or null if none is queued.
+
+    The claim touches the job, so it fails if another worker's came first; then the next job is tried.
+    """
+
+    def work(state: Snapshot, change: Change) -> str | None:
+        waiting = next_queued(jobs(store, state), "status", "created_at", "job_id").first()
+        if waiting is None:
+            return None
+        change.touch("job_events", waiting["job_id"])
+        event = row_of(store, "job_events", job_id=waiting["job_id"], seq=waiting["n_events"], stage="job", status="running", message="", at=now())
+        change.rows("job_events", store.saved("job_events", event))
+        return waiting["job_id"]
+
+    return store.attempt(work)
 
 
 def create_job(store: Store, paths: list[str], replace: bool = True) -> str:
@@ -139,11 +180,11 @@ def create_job(store: Store, paths: list[str], replace: bool = True) -> str:
     return own
 
 
-def jobs(store: Store) -> DataFrame:
+def jobs(store: Store, at: Snapshot | None = None) -> DataFrame:
     """A row per job: status, paths and options, when it was created, started and ended, its events and the time they took."""
     own = F.col("stage") == "job"
     when = lambda s: F.min(F.when(own & (F.col("status") == s), F.col("at")))
-    return store.read("job_events").groupBy("job_id").agg(
+    return store.read("job_events", at).groupBy("job_id").agg(
         F.max_by(F.when(own, F.col("status")), F.when(own, F.col("seq"))).alias("status"),
         F.min_by("message", "seq").alias("request"),
         when("queued").alias("created_at"),

@@ -14,7 +14,7 @@ from quire.functions import text as T
 from quire.operators import admin
 from quire.plans import answer, evaluation, records
 from quire.plans.ingest import aligned, ingest, probe, reindex, run_next_job, submit
-from quire.sources import files, pdf, plain, structured
+from quire.sources import files, markdown, pdf, plain, structured
 from quire.store import Change, Store
 from quire.streaming import jobs
 
@@ -50,8 +50,8 @@ def test_markdown_blocks(spark):
     ]
     assert rows[0].line_start == 4 and rows[5].language == "py"
     assert plain.markdown_title(plain.markdown_blocks(docs)).first().title == "Title"
-    front = plain.front_matter(docs).select(plain.front_matter_fields(F.col("front_matter")).alias("m")).first().m
-    assert front == {"version": "3.4.1"}
+    front = markdown.front_matter(docs).select(markdown.field(F.col("front_matter"), "$.version").alias("v"), "line_end").first()
+    assert (front.v, front.line_end) == ("3.4.1", 3)
 
 
 def test_csv_and_json(spark):
@@ -342,7 +342,7 @@ def test_store_commits(spark, tmp_path):
     assert rows() == {"k0": "0", "k1": "new", "k2": "2", "k3": "3", "k4": "4"}
     store.delete("index_metadata", "key", setting("k0", ""))
     store.compact("index_metadata")
-    assert len(store.actions("index_metadata")[0]) == 1 and set(rows()) == {"k1", "k2", "k3", "k4"}
+    assert len(store.state().actions("index_metadata")) == 1 and set(rows()) == {"k1", "k2", "k3", "k4"}
     store.append("index_metadata", setting("k0", "again"))
     assert rows()["k0"] == "again"
     assert "rag_traces" in store.missing_tables()
