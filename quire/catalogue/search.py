@@ -7,9 +7,15 @@ from pyspark.sql import functions as F
 
 from quire.catalogue.tables import chunks, query_vector, table
 from quire.config import STOP_WORDS, Retrieval
+from quire.index import SearchStore
+from quire.log import Change
 from quire.operators import retrieval as R
+from quire.operators.text_index import TextIndex
 from quire.operators.validate import sound_vector
+from quire.operators.vector_index import VectorIndex
 from quire.plans import answer
+from quire.session import new_folder
+from quire.store import Store
 
 QUERY = "licensed"
 WORDS_SQL = "regexp_extract_all(replace(lower({0}), 'ß', 'ss'), '[a-z0-9]+')"
@@ -118,6 +124,65 @@ def first_source_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.first_source_rank(best, ["SRC3", "src7"]).select(F.col("source_rank").cast("long").alias("source_rank"))
 
 
+def text_index(spark: SparkSession, sf_dir: str) -> TextIndex:
+    """A stored index of all documents' texts, built in two commits, merged, and with the texts of one source put in again."""
+    index = TextIndex(Store(spark, new_folder(spark, "text-index")), buckets=32, range_bits=8)
+    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("unit"), F.col("doc_id").cast("string").alias("owner"), "text", "source")
+    odd = F.col("source").isin("src1", "src3", "src5")
+    for part, merge in ((rows.filter(odd), False), (rows.filter(~odd | odd.isNull()), True), (rows.filter("source = 'src3'"), False)):
+        change = Change()
+        index.put(change, part.drop("source"), part.select(F.col("unit").alias("target"), "owner", F.array("unit").alias("units")))
+        index.store.commit(change)
+        if merge:
+            index.compact()
+    return index
+
+
+def lexical_index_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """lexical_match_all_terms from the stored index."""
+    found = text_index(spark, sf_dir).search("with licensed").rows.select(F.col("target").cast("long").alias("doc_id"))
+    return found.join(table(spark, sf_dir, "documents").select("doc_id", "source"), "doc_id")
+
+
+def lexical_index_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Phrases, alternatives and excluded words from the stored index."""
+    found = text_index(spark, sf_dir).search('licensed "general public" or "creative commons" -mit').rows
+    return found.select(F.col("target").cast("long").alias("doc_id"))
+
+
+def lexical_index_top(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 documents of the best cover density, from the blocks that can hold them."""
+    order = [F.desc("lexical_score"), F.col("doc_id")]
+    found = text_index(spark, sf_dir).search("licensed public", 20).rows
+    best = R.top(found.select(F.col("target").cast("long").alias("doc_id"), F.round("lexical_score", 6).alias("lexical_score")), order, 20)
+    return R.ranked_list(best, order, "rank").select(F.col("rank").cast("long").alias("rank"), "doc_id", "lexical_score")
+
+
+def vector_index_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """vector_topk_cosine from stored cells, read as far as the tenth best needs."""
+    store = Store(spark, new_folder(spark, "vector-index"))
+    index, change = VectorIndex(store), Change()
+    documents = table(spark, sf_dir, "documents").select("doc_id", "source", "lang")
+    vectors = table(spark, sf_dir, "embeddings").join(documents, F.col("vec_id") == F.col("doc_id"))
+    index.put(change, vectors.select(F.format_string("%012d", "vec_id").alias("id"), F.col("doc_id").cast("string").alias("owner"), F.col("source").alias("file_name"), F.col("lang").alias("file_type"), "embedding"))
+    store.commit(change)
+    found = index.search(query_vector(spark, sf_dir), 10).rows
+    return ranked(found.select(F.col("id").cast("long").alias("vec_id"), F.col("file_type").alias("lang"), F.col("file_name").alias("source"), F.col("vector_score").alias("s")), 10)
+
+
+def hybrid_index_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """hybrid_merge_rerank from a store's indexes: each document with a vector is a document, a parent without text and a child."""
+    store = SearchStore(spark, new_folder(spark, "search"), buckets=32, range_bits=8)
+    rows = chunks(spark, sf_dir).withColumn("id", F.format_string("%012d", "child_id"))
+    fill = lambda frame, name: frame.select(*[F.col(f.name) if f.name in frame.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in store.schema(name).fields])
+    documents = fill(rows.select("id", "file_name", "file_type"), "documents")
+    parents = fill(rows.select("id", F.col("id").alias("document_id"), F.col("parent_text").alias("text")), "parent_chunks")
+    children = fill(rows.select("id", F.col("id").alias("document_id"), F.col("id").alias("parent_chunk_id"), F.col("child_text").alias("text"), "embedding"), "child_chunks")
+    store.index_documents(documents, parents, children)
+    found = store.retrieve(QUERY, query_vector(spark, sf_dir), Retrieval(top_k=5))
+    return hit_columns(found.withColumn("child_id", F.col("child_id").cast("long")))
+
+
 def context_section(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
     best = ranked(scored(spark, sf_dir), 10).join(documents, F.col("vec_id") == F.col("doc_id"))
@@ -179,6 +244,17 @@ ORACLE_SQL = {
         SELECT doc_id, {meaningful_sql("source || ' ' || text")} AS t, {meaningful_sql("'Which works are licensed under the general licenses with this?'")} AS q FROM documents)""",
     "hybrid_merge_rerank": HYBRID_SQL.format(stem="licens", token="licensed"),
     "hybrid_vector_only_fallback": HYBRID_SQL.format(stem="zzqxunmatch", token="zzqxunmatched"),
+    "lexical_index_match": f"SELECT doc_id, source FROM (SELECT doc_id, source, {stems_sql('text')} AS s FROM documents) WHERE list_contains(s, 'with') AND list_contains(s, 'licens')",
+    "lexical_index_phrases": f"SELECT doc_id FROM ({COVER_SQL})",
+    "lexical_index_top": f"""
+        WITH s AS (SELECT doc_id, {PLACED_SQL} AS stems FROM documents),
+        word AS (SELECT doc_id, unnest(stems) AS stem, unnest(range(0, len(stems))) AS pos FROM s WHERE list_contains(stems, 'licens') AND list_contains(stems, 'public')),
+        span AS (SELECT doc_id, pos, max(CASE WHEN stem = 'licens' THEN pos END) OVER w AS a, max(CASE WHEN stem = 'public' THEN pos END) OVER w AS b FROM word WHERE stem IN ('licens', 'public') WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
+        cover AS (SELECT doc_id, least(a, b) AS begin, min(pos) AS last FROM span WHERE a IS NOT NULL AND b IS NOT NULL GROUP BY doc_id, least(a, b)),
+        total AS (SELECT doc_id, round(sum(0.1::DOUBLE / (1 + last - begin - 1)), 6) AS lexical_score FROM cover GROUP BY doc_id)
+        SELECT row_number() OVER (ORDER BY lexical_score DESC, doc_id) AS rank, doc_id, lexical_score FROM total QUALIFY rank <= 20""",
+    "vector_index_topk": TOP_SQL.format(where="", n=10),
+    "hybrid_index_rerank": HYBRID_SQL.format(stem="licens", token="licensed"),
     "unique_document_sources": f"WITH t AS ({TOP_SQL.format(where='', n=50)}) SELECT * FROM t QUALIFY row_number() OVER (PARTITION BY source ORDER BY rank) = 1",
     "first_source_rank": f"WITH t AS ({TOP_SQL.format(where='', n=50)}) SELECT min(rank) AS source_rank FROM t WHERE lower(source) IN ('src3', 'src7')",
     "context_section": f"WITH t AS ({TOP_SQL.format(where='', n=10)}) SELECT rank, format('[{{}}] score={{:.4f}} file={{}} source={{}} path={{}} > {{}}', rank, score, t.source, t.lang, t.lang, t.source) || chr(10) || d.text AS section FROM t JOIN documents d ON d.doc_id = t.vec_id",
@@ -186,5 +262,5 @@ ORACLE_SQL = {
 }
 QUERIES = {f.__name__: f for f in (
     vector_topk_cosine, vector_topk_filtered, vector_topk_per_label, knn_label_vote, vector_norm_preview, lexical_match_all_terms, lexical_single_term_tf, lexical_cover_density,
-    phrase_overlap_score, hybrid_merge_rerank, hybrid_vector_only_fallback, unique_document_sources, first_source_rank, context_section, citations,
+    lexical_index_match, lexical_index_phrases, lexical_index_top, vector_index_topk, hybrid_index_rerank, phrase_overlap_score, hybrid_merge_rerank, hybrid_vector_only_fallback, unique_document_sources, first_source_rank, context_section, citations,
 )}

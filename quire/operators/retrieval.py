@@ -136,6 +136,13 @@ def cover_density(text: Column, query: str, weight: float = 0.1) -> Column:
         return number
 
     hits = F.filter(F.transform(words(text), lambda w, i: F.struct(i.alias("at"), term(w).alias("term"))), lambda h: h["term"] >= 0)
+    return covers(hits, n, weight)
+
+
+def covers(hits: Column, n: int, weight: float = 0.1) -> Column:
+    """Cover density from the places of a query's n words: structs of `at` and `term` (0 to n - 1), by place."""
+    if not n:
+        return F.lit(0.0)
     # The last place of each term, where the span counted last begins, the sum so far.
     start = F.struct(F.array_repeat(F.lit(-1), n).alias("last"), F.lit(-1).alias("begin"), F.lit(0.0).alias("sum"))
 
@@ -218,7 +225,13 @@ def retrieve(chunks: DataFrame, query: str, vector: Sequence[float], options: Re
     lexical_hits = ranked_list(top(matched.select("child_id", "vector_score", cover_density(searchable, query).alias("lexical_score")), by_text, n), by_text, "lexical_rank")
     merged = merge(vector_hits, lexical_hits, "child_id")
     # At most twice the candidate limit, 400 rows: their texts come by a broadcast of the candidates.
-    texts = chunks.drop("embedding").join(F.broadcast(merged), "child_id").withColumn("lexical_score", F.greatest("lexical_score", cover_density(searchable, query)))
+    return finished(chunks.drop("embedding").join(F.broadcast(merged), "child_id"), query, options)
+
+
+def finished(candidates: DataFrame, query: str, options: Retrieval) -> DataFrame:
+    """The best of merged candidates with their texts. A score of 0 falls back to the vector score."""
+    searchable = F.concat_ws(" ", "child_text", "parent_text", "file_name")
+    texts = candidates.withColumn("lexical_score", F.greatest("lexical_score", cover_density(searchable, query)))
     ranked = rerank(texts, "child_id", phrase_overlap(query, F.col("file_name"), F.col("child_text"), F.col("parent_text")), options.weights, options.top_k)
     return ranked.withColumn("score", F.coalesce(F.nullif("score", F.lit(0.0)), F.nullif("vector_score", F.lit(0.0)), F.lit(0.0)))
 
