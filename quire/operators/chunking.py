@@ -11,8 +11,11 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from quire.config import Chunking
 from quire.functions.ids import json_parent_path, stable_id
@@ -105,16 +108,69 @@ def split(rows: DataFrame, hard_max: int, target: int, overlap: int, counter: Ca
     return out.withColumn("tokens", F.greatest(F.lit(1), counter(F.col("text"))))
 
 
-SEGMENT = ["block_order", "ref", "fingerprint_ref", "block_type", "text", "tokens", "segment_index", "segment_count"]
+SEGMENT = "block_order:int,ref:string,fingerprint_ref:string,block_type:string,text:string,tokens:int,segment_index:int,segment_count:int"
+FOLDED = f"document_id string, title string, parent_index int, group_key string, group_path array<string>, structure string, segs array<struct<{SEGMENT}>>, bins array<array<struct<{SEGMENT}>>>, first_child int"
 
 
-def packed(rows: DataFrame, keys: list[str], order: list[str], target: int, overlap: int) -> DataFrame:
-    """Segments of each key packed into bins: n (from 0) and segs, the bin's segments."""
-    ordered = F.array_sort(F.collect_list(F.struct(*order, F.struct(*SEGMENT).alias("s"))))
-    groups = rows.groupBy(*keys).agg(F.transform(ordered, lambda x: x["s"]).alias("segs"))
-    sized = with_ranges(groups.withColumn("_sizes", F.transform("segs", lambda s: s["tokens"])), "_sizes", target, overlap)
-    bins = sized.select(*keys, "segs", F.posexplode("ranges").alias("n", "r"))
-    return bins.select(*keys, "n", F.slice("segs", F.col("r.first") + 1, F.col("r.last") - F.col("r.first") + 1).alias("segs"))
+def fold(batches: Iterator[pa.RecordBatch], config: Chunking, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """FOLDED rows, one per parent chunk with its children, from segments sorted by document and place.
+
+    What is held is the parent chunk at hand, so a document of any length passes
+    through. A parent closes where the document or the group's key changes, or before
+    the segment that would take it over its target; its children are packed then.
+    """
+    document, key = None, None
+    segs: list[tuple] = []
+    kids: list[tuple] = []
+    used = parents = children = 0
+    head: tuple = ()
+
+    def closed() -> dict:
+        nonlocal parents, children, used, segs, kids
+        ranges = pack_ranges([k[5] for k in kids], config.child_target, config.child_overlap)
+        named = lambda x: dict(zip(NAMES, x, strict=True))
+        row = dict(zip(("document_id", "title", "group_key", "group_path", "structure"), head, strict=True))
+        row |= {"parent_index": parents, "segs": [named(x) for x in segs], "bins": [[named(x) for x in kids[a : b + 1]] for a, b in ranges], "first_child": children}
+        parents, children, used, segs, kids = parents + 1, children + len(ranges), 0, [], []
+        return row
+
+    for batch in batches:
+        rows = []
+        for doc, title, group, path, structure, block, ref, mark, kind, index, count, text, tokens_, kid, kid_count, kid_text, kid_tokens in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if kid == 0:
+                if segs and (doc != document or group != key or used + tokens_ > config.parent_target):
+                    rows.append(closed())
+                if doc != document:
+                    parents = children = 0
+                if not segs:
+                    document, key, head = doc, group, (doc, title, group, path, structure)
+                segs.append((block, ref, mark, kind, text, tokens_, index, count))
+                used += tokens_
+            kids.append((block, ref, mark, kind, kid_text, kid_tokens, kid, kid_count))
+        yield pa.RecordBatch.from_pylist(rows, schema)
+    if segs:
+        yield pa.RecordBatch.from_pylist([closed()], schema)
+
+
+NAMES = [x.split(":")[0] for x in SEGMENT.split(",")]
+PLACE = ["document_id", "title", "group_key", "group_path", "structure", "block_order", "ref", "fingerprint_ref", "block_type", "segment_index", "segment_count"]
+
+
+def folded(blocks: DataFrame, config: Chunking, counter: Callable[[Column], Column], grouper: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """FOLDED rows of blocks: texts are cut and counted where they are, then one shuffle brings a document's segments together."""
+    ship(blocks.sparkSession)
+    own = grouper(blocks).select(
+        "document_id", "title", "group_key", "group_path", "structure", "block_order", "block_type", "text",
+        F.col("source_ref").alias("ref"), F.coalesce(F.nullif("source_ref", F.lit("")), F.col("json_path"), F.lit("no-source")).alias("fingerprint_ref"),
+    )
+    segments = split(own, config.parent_hard_max, config.parent_target, 0, counter)
+    kids = segments.withColumn("_words", tokens(F.col("text"))).withColumn("_kids", F.when(F.size("_words") <= config.child_target, F.array("text")).otherwise(windows_of(F.col("_words"), config.child_target, config.child_overlap)))
+    rows = kids.select(*PLACE, "text", "tokens", F.size("_kids").alias("kid_count"), F.posexplode("_kids").alias("kid", "kid_text"))
+    # A segment's own text goes with its first part alone.
+    rows = rows.select(*PLACE, F.when(F.col("kid") == 0, F.col("text")).alias("text"), F.col("tokens").cast("int").alias("tokens"), "kid", "kid_count", "kid_text", F.greatest(F.lit(1), counter(F.col("kid_text"))).cast("int").alias("kid_tokens"))
+    order = ["document_id", "block_order", "segment_index", "kid"]
+    schema = to_arrow_schema(T.StructType.fromDDL(FOLDED))
+    return rows.repartition("document_id").sortWithinPartitions(*order).mapInArrow(lambda batches: fold(batches, config, schema), FOLDED)
 
 
 def chunk_text(title: Column, path: Column, segments: Column, prefix: bool) -> Column:
@@ -138,29 +194,28 @@ def chunk(
     `counter` gives a text's tokens (long texts are cut by words whatever it counts); `grouper` adds group_key, group_path and structure.
     """
     config = config or Chunking()
-    numbered = islands(grouper(blocks), ["document_id"], ["block_order"], "group_key", "grp")
-    own = numbered.select(
-        "document_id", "title", "grp", "group_key", "group_path", "structure", "block_order", "block_type", "text",
-        F.col("source_ref").alias("ref"), F.coalesce(F.nullif("source_ref", F.lit("")), F.col("json_path"), F.lit("no-source")).alias("fingerprint_ref"),
-    )
-    keys = ["document_id", "title", "grp", "group_key", "group_path", "structure"]
-    bins = packed(split(own, config.parent_hard_max, config.parent_target, 0, counter), keys, ["block_order", "segment_index"], config.parent_target, 0)
-    by_document = Window.partitionBy("document_id").orderBy("grp", "n")
-    indexed = bins.withColumn("parent_index", F.row_number().over(by_document) - 1).withColumn("text", chunk_text(F.col("title"), F.col("group_path"), F.col("segs"), config.prefix))
-    full = indexed.withColumn("id", stable_id(F.col("document_id"), F.lit("parent"), F.col("parent_index"), F.col("group_key"), fingerprint(F.col("segs"))))
-    parents = full.select("id", "document_id", "parent_index", "text", F.greatest(F.lit(1), counter(F.col("text"))).alias("token_count"), refs("segs"), F.col("group_path").alias("parent_path"), *metadata("parent"))
-    parts = full.select("document_id", "title", F.col("id").alias("parent_chunk_id"), "parent_index", "group_key", "group_path", "structure", F.posexplode("segs").alias("at", "s"))
-    parts = parts.select("document_id", "title", "parent_chunk_id", "parent_index", "group_key", "group_path", "structure", "at", "s.block_order", "s.ref", "s.fingerprint_ref", "s.block_type", "s.text")
-    keys = ["document_id", "title", "parent_chunk_id", "parent_index", "group_key", "group_path", "structure"]
-    bins = packed(split(parts, config.child_target, config.child_target, config.child_overlap, counter), keys, ["at", "segment_index"], config.child_target, config.child_overlap)
-    order = Window.partitionBy("document_id").orderBy("parent_index", "n")
-    full = bins.withColumn("child_index", F.row_number().over(order) - 1).withColumn("text", chunk_text(F.col("title"), F.col("group_path"), F.col("segs"), config.prefix))
-    children = full.select(
+    return parents_of(rows := folded(blocks, config, counter, grouper), config, counter), children_of(rows, config, counter)
+
+
+def with_parent_id(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("id", stable_id(F.col("document_id"), F.lit("parent"), F.col("parent_index"), F.col("group_key"), fingerprint(F.col("segs"))))
+
+
+def parents_of(rows: DataFrame, config: Chunking, counter: Callable[[Column], Column] = token_count) -> DataFrame:
+    """Parent chunks of FOLDED rows."""
+    full = with_parent_id(rows).withColumn("text", chunk_text(F.col("title"), F.col("group_path"), F.col("segs"), config.prefix))
+    return full.select("id", "document_id", "parent_index", "text", F.greatest(F.lit(1), counter(F.col("text"))).alias("token_count"), refs("segs"), F.col("group_path").alias("parent_path"), *metadata("parent"))
+
+
+def children_of(rows: DataFrame, config: Chunking, counter: Callable[[Column], Column] = token_count) -> DataFrame:
+    """Child chunks of FOLDED rows."""
+    own = with_parent_id(rows).select("document_id", "title", F.col("id").alias("parent_chunk_id"), "group_key", "group_path", "structure", "first_child", F.posexplode("bins").alias("n", "segs"))
+    full = own.withColumn("child_index", F.col("first_child") + F.col("n")).withColumn("text", chunk_text(F.col("title"), F.col("group_path"), F.col("segs"), config.prefix))
+    return full.select(
         stable_id(F.col("document_id"), F.lit("child"), F.col("child_index"), F.col("parent_chunk_id"), fingerprint(F.col("segs"))).alias("id"),
         "document_id", "parent_chunk_id", "child_index", "text", F.greatest(F.lit(1), counter(F.col("text"))).alias("token_count"),
         refs("segs"), F.col("group_path").alias("parent_path"), *metadata("child")[:-1],
     )
-    return parents, children
 
 
 def refs(column: str) -> Column:

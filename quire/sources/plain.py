@@ -1,144 +1,50 @@
-"""Blocks of plain text and Markdown, by windows over a document's lines."""
+"""Blocks of plain text, one pass over a document's lines in the task that has it."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
-from pyspark.sql import functions as F
-
-from quire.functions.text import lines, strip
-from quire.operators.chunking import islands
+import re
+from collections.abc import Iterator
 
-LIST_ITEM = r"^(\s*)([-*+]|\d+[.)])\s+"
-BLOCK = ["document_id", "block_order", "block_type", "text", "level", "parent_path", "line_start", "line_end", "marker", "indent", "language"]
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+from quire.session import ship
+from quire.sources.markdown import SCHEMA, markdown_blocks, split_lines
 
-def line_rows(documents: DataFrame) -> DataFrame:
-    """One row per line: document_id, n (from 1), line, bare."""
-    rows = documents.select("document_id", F.posexplode(lines(F.coalesce("text", F.lit("")))).alias("n", "line"))
-    return rows.select("document_id", (F.col("n") + 1).alias("n"), "line", strip(F.col("line")).alias("bare"))
+__all__ = ["markdown_blocks", "markdown_title", "text_blocks"]
+LIST_ITEM = re.compile(r"^(\s*)([-*+]|\d+[.)])\s+")
 
 
-def numbered(blocks: DataFrame) -> DataFrame:
-    order = F.row_number().over(Window.partitionBy("document_id").orderBy("line_start")) - 1
-    return blocks.withColumn("block_order", order).select(*BLOCK)
+def paragraphs(text: str) -> Iterator[tuple]:
+    """(kind, text, first line, last line, marker, indent): list items by line, other lines up to a blank one or an item."""
+    rows: list[str] = []
+    lines = split_lines(text)
+    for k, line in enumerate([*lines, ""], 1):
+        bare, item = line.strip(), LIST_ITEM.match(line)
+        if rows and (not bare or item):
+            yield "paragraph", " ".join(rows), k - len(rows), k - 1, None, None
+            rows = []
+        if item and (own := line[item.end() :].strip()):
+            yield "list_item", own, k, k, item[2], len(item[1])
+        elif bare and not item:
+            rows.append(bare)
 
 
 def text_blocks(documents: DataFrame) -> DataFrame:
-    """Paragraphs (lines up to a blank line or list item, joined by spaces) and list items, with line ranges."""
-    rows = line_rows(documents).withColumn("kind", F.when(F.col("bare") == "", "blank").when(F.col("line").rlike(LIST_ITEM), "list_item").otherwise("paragraph"))
-    runs = islands(rows.withColumn("key", F.when(F.col("kind") == "list_item", F.col("n").cast("string")).otherwise(F.col("kind"))), ["document_id"], ["n"], "key", "run").filter("kind <> 'blank'")
-    grouped = runs.groupBy("document_id", "run", "kind").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "line", "bare"))), lambda x: F.when(F.col("kind") == "list_item", x["line"]).otherwise(x["bare"])), " ").alias("joined"),
-        F.min("n").alias("line_start"),
-        F.max("n").alias("line_end"),
-    )
-    item = F.col("kind") == "list_item"
-    blocks = grouped.select(
-        "document_id",
-        F.col("kind").alias("block_type"),
-        F.when(item, strip(F.regexp_replace("joined", LIST_ITEM, ""))).otherwise(strip(F.col("joined"))).alias("text"),
-        F.lit(None).cast("int").alias("level"),
-        F.array().cast("array<string>").alias("parent_path"),
-        "line_start",
-        "line_end",
-        F.when(item, F.regexp_extract("joined", LIST_ITEM, 2)).alias("marker"),
-        F.when(item, F.length(F.regexp_extract("joined", LIST_ITEM, 1))).alias("indent"),
-        F.lit(None).cast("string").alias("language"),
-    )
-    return numbered(blocks.filter("text <> ''"))
-
-
-def front_matter(documents: DataFrame) -> DataFrame:
-    """Adds front_matter, the lines between a first line --- and the next --- or ...; null without both. Its lines in the text become blank."""
-    parts = lines(F.coalesce("text", F.lit("")))
-    close = F.array_position(F.transform(parts, lambda x, i: (i > 0) & strip(x).isin("---", "...")), F.lit(True))
-    has = (F.size(parts) > 0) & (strip(F.get(parts, F.lit(0))) == "---") & (close > 0)
-    inner = F.array_join(F.slice(parts, F.lit(2), F.greatest(close.cast("int") - 2, F.lit(0))), "\n")
-    blanked = F.array_join(F.transform(parts, lambda x, i: F.when(i < close, F.lit("")).otherwise(x)), "\n")
-    return documents.withColumn("front_matter", F.when(has, inner)).withColumn("text", F.when(has, blanked).otherwise(F.col("text")))
-
-
-def front_matter_fields(text):
-    """Simple `key: value` lines of front matter as a map of strings; quotes around values go."""
-    rows = F.filter(lines(text), lambda r: r.rlike(r"^[A-Za-z0-9_-]+\s*:\s*\S"))
-    entry = lambda r: F.struct(F.regexp_extract(r, r"^([A-Za-z0-9_-]+)", 1), F.regexp_replace(strip(F.regexp_extract(r, r"^[^:]+:\s*(.*)$", 1)), "^[\"'](.*)[\"']$", "$1"))
-    return F.map_from_entries(F.transform(rows, entry))
-
-
-def markdown_blocks(documents: DataFrame) -> DataFrame:
-    """Headings, paragraphs, list items, fenced code and tables; each has the open headings above it as parent_path.
-
-    A subset of CommonMark: ATX headings, ``` and ~~~ fences, pipe tables, list
-    items with their continuation lines, paragraphs.
-    """
-    w = Window.partitionBy("document_id").orderBy("n")
-    rows = line_rows(front_matter(documents))
-    fence = F.col("bare").rlike("^(```|~~~)")
-    opened = F.sum(F.when(fence, 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    rows = rows.withColumn("fence", fence).withColumn("fences", opened)
-    rows = rows.withColumn("in_code", F.col("fence") | (F.col("fences") % 2 == 1)).withColumn("code_no", F.floor((F.col("fences") + F.when(F.col("fence") & (F.col("fences") % 2 == 0), -1).otherwise(0) + 1) / 2))
-    kind = (
-        F.when(F.col("in_code"), "code")
-        .when(F.col("bare") == "", "blank")
-        .when(F.col("line").rlike(r"^ {0,3}#{1,6}(\s|$)"), "heading")
-        .when(F.col("bare").rlike(r"^\|.*\|$"), "table")
-        .when(F.col("line").rlike(LIST_ITEM), "list_item")
-        .otherwise("paragraph")
-    )
-    rows = rows.withColumn("kind", kind)
-    # A plain line directly below a list item continues it.
-    start = F.when(F.col("kind").isin("blank", "heading", "table", "code", "list_item"), F.col("kind"))
-    opener = F.last(F.when(F.col("kind") != "paragraph", start), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    rows = rows.withColumn("kind", F.when((F.col("kind") == "paragraph") & (opener == "list_item"), "item_rest").otherwise(F.col("kind")))
-    item = F.sum(F.when(F.col("kind") == "list_item", 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    key = (
-        F.when(F.col("kind").isin("list_item", "item_rest"), F.concat(F.lit("item"), item.cast("string")))
-        .when(F.col("kind") == "heading", F.concat(F.lit("heading"), F.col("n").cast("string")))
-        .when(F.col("kind") == "code", F.concat(F.lit("code"), F.col("code_no").cast("string")))
-        .otherwise(F.col("kind"))
-    )
-    runs = islands(rows.withColumn("key", key), ["document_id"], ["n"], "key", "run").filter("kind <> 'blank'")
-    grouped = runs.groupBy("document_id", "run").agg(
-        F.min_by("kind", "n").alias("kind"),
-        F.array_sort(F.collect_list(F.struct("n", "line", "bare", "fence"))).alias("rows"),
-        F.min("n").alias("line_start"),
-        F.max("n").alias("line_end"),
-    )
-    first = F.col("rows")[0]
-    plain = F.transform("rows", lambda r: r["bare"])
-    code = F.transform(F.filter("rows", lambda r: ~r["fence"]), lambda r: r["line"])
-    heading = F.regexp_replace(F.regexp_replace(first["bare"], r"^#{1,6}\s*", ""), r"\s+#+$", "")
-    text = (
-        F.when(F.col("kind") == "code", F.array_join(code, "\n"))
-        .when(F.col("kind") == "table", F.array_join(plain, "\n"))
-        .when(F.col("kind") == "heading", heading)
-        .when(F.col("kind") == "list_item", strip(F.regexp_replace(F.array_join(plain, " "), LIST_ITEM, "")))
-        .otherwise(F.array_join(plain, " "))
-    )
-    level = F.when(F.col("kind") == "heading", F.length(F.regexp_extract(first["bare"], "^(#+)", 1)))
-    blocks = grouped.select(
-        "document_id",
-        F.col("kind").alias("block_type"),
-        text.alias("text"),
-        level.alias("level"),
-        "line_start",
-        "line_end",
-        F.when(F.col("kind") == "list_item", F.regexp_extract(first["line"], LIST_ITEM, 2)).alias("marker"),
-        F.when(F.col("kind") == "list_item", F.length(F.regexp_extract(first["line"], LIST_ITEM, 1))).alias("indent"),
-        F.when(F.col("kind") == "code", F.nullif(F.regexp_extract(first["bare"], r"^(?:```+|~~~+)\s*(\S*)", 1), F.lit(""))).alias("language"),
-    ).filter("text <> ''")
-    # The open heading of each level is the last one before, unless a higher one came after it.
-    upto = Window.partitionBy("document_id").orderBy("line_start").rowsBetween(Window.unboundedPreceding, -1)
-    at = [F.last(F.when(F.col("level") == k, F.struct("line_start", "text")), ignorenulls=True).over(upto).alias(f"h{k}") for k in range(1, 7)]
-    marked = blocks.select("*", *at)
-    open_headings = []
-    for k in range(1, 7):
-        above = [F.coalesce(F.col(f"h{j}.line_start"), F.lit(0)) for j in range(1, k)]
-        newest = F.greatest(*above) if len(above) > 1 else above[0] if above else F.lit(-1)
-        inside = F.col("level").isNull() | (F.col("level") > k)
-        open_headings.append(F.when(F.col(f"h{k}").isNotNull() & (F.col(f"h{k}.line_start") > newest) & inside, F.col(f"h{k}.text")))
-    path = F.filter(F.array(*open_headings), lambda x: x.isNotNull())
-    return numbered(marked.withColumn("parent_path", path))
+    """Paragraphs (lines up to a blank line or list item, joined by spaces) and list items of (document_id, text), with line ranges. A null text has none."""
+    ship(documents.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for own, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                rows += [(own, k, kind, t, None, [], a, b, mark, indent, None) for k, (kind, t, a, b, mark, indent) in enumerate(paragraphs(text or ""))]
+            kinds = (pa.string(), pa.int32(), pa.string(), pa.string(), pa.int32(), pa.list_(pa.string()), pa.int32(), pa.int32(), pa.string(), pa.int32(), pa.string())
+            columns = zip(*rows, strict=True) if rows else [()] * len(kinds)
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], [x.split()[0] for x in SCHEMA.split(", ")])
+
+    return documents.select("document_id", "text").mapInArrow(run, SCHEMA)
 
 
 def markdown_title(blocks: DataFrame) -> DataFrame:
