@@ -2,7 +2,7 @@
 
 Two sets of a Jaccard similarity of 0.8 share a token within the first fifth of
 each, in any common order of tokens. So each token's bucket is a tree of the sets that
-have it there: their bitmaps show this prefix, and what the traversal cannot rule
+have it there: their bitmaps show twice this prefix, and what the traversal cannot rule
 out connects sets to clusters. No link between two clusters is possible; within one,
 a second tree over whole sets leaves out what it can, and the rest is held against
 the sets themselves. Tokens that many sets have come last in the order, so that
@@ -17,9 +17,10 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from xxhash import xxh3_128_digest, xxh64_digest
+from xxhash import xxh3_64_digest, xxh3_128_digest
 
 from quire.llm.common import arrow_map, byte_slices, staged
 from quire.llm.components import roots
@@ -33,26 +34,27 @@ LISTED = 1 << 18
 TREE = 8192
 #: Sets and tokens of a block of a cluster, and the blocks that a smaller cluster is spread over.
 BLOCK_SETS, BLOCK_TOKENS, SPREAD_SETS, SPREAD = 4096, 4_000_000, 256, 16
+#: Prefixes that a bitmap shows, and rows of a chunk of buckets.
+SHOWN, ROWS = 2, 100_000
 #: Bytes of a text whose words are split at once.
 SEGMENT = 4 << 20
 WHOLE = np.uint64(2**64 - 1)
 
 
+def distinct(values: np.ndarray) -> np.ndarray:
+    """Sorted distinct values."""
+    values = np.sort(values)
+    return values[np.concatenate([[True], values[1:] != values[:-1]])] if len(values) else values
+
+
 class Shingles:
-    """Sets of hashed shingles. `seed` chooses the hash; words are hashed once while they stay."""
+    """Sets of hashed shingles; `seed` chooses the hash."""
 
-    def __init__(self, words: int, seed: int = 0, limit: int = 300_000):
-        self.words, self.seed, self.limit = words, seed, limit
-        self.known: dict[bytes, bytes] = {}
+    def __init__(self, words: int, seed: int = 0):
+        self.words, self.seed = words, seed
 
     def of_words(self, words: list[bytes]) -> bytes:
-        known = self.known
-        for w in {w for w in words if w not in known}:
-            known[w] = xxh64_digest(w, self.seed)
-        found = b"".join(map(known.__getitem__, words))
-        if len(known) > self.limit:
-            known.clear()
-        return found
+        return b"".join(map(xxh3_64_digest, words) if not self.seed else [xxh3_64_digest(w, self.seed) for w in words])
 
     def set_of(self, text: str) -> np.ndarray:
         """The sorted distinct hashes of a text's shingles of `words` words; with fewer words, of all in one; none without words."""
@@ -72,7 +74,7 @@ class Shingles:
             value = (value ^ hashes[j : j + rows]) * MIX[0]
             value = (value ^ (value >> np.uint64(29))) * MIX[1]
             value ^= value >> np.uint64(32)
-        return np.unique(value)
+        return distinct(value)
 
 
 def prefix_size(n: int, percent: int) -> int:
@@ -86,12 +88,11 @@ def is_in(values: np.ndarray, listed: np.ndarray) -> np.ndarray:
     return listed[np.minimum(np.searchsorted(listed, values), len(listed) - 1)] == values
 
 
-def prefix(tokens: np.ndarray, percent: int, frequent: np.ndarray) -> tuple[np.ndarray, np.uint64]:
+def prefix(tokens: np.ndarray, size: int, frequent: np.ndarray) -> tuple[np.ndarray, np.uint64]:
     """A set's first tokens, in the order of hashes with frequent ones last, and the place of the last of them in that order."""
-    size = prefix_size(len(tokens), percent)
     late = is_in(tokens, frequent)
     first = tokens[~late][:size]
-    if len(first) == size:
+    if len(first) == min(size, len(tokens)):
         return first, first[-1] >> np.uint64(1)
     first = np.concatenate([first, tokens[late][: size - len(first)]])
     return first, (first[-1] >> np.uint64(1)) | np.uint64(1 << 63)
@@ -116,7 +117,7 @@ def frequent_tokens(documents: DataFrame, shingles: Callable[[], Shingles], perc
                 if len(tokens):
                     first = tokens[: prefix_size(len(tokens), percent)]
                     if len(known):
-                        now = prefix(tokens, percent, known)[0] if is_in(first, known).any() else first[:0]
+                        now = prefix(tokens, len(first), known)[0] if is_in(first, known).any() else first[:0]
                         first = now[(now > first[-1]) & ~is_in(now, known)]
                     found.append(first)
             values, times = np.unique(np.concatenate([*found, np.zeros(0, np.uint64)]), return_counts=True)
@@ -128,7 +129,7 @@ def frequent_tokens(documents: DataFrame, shingles: Callable[[], Shingles], perc
 
 
 def sets_of(documents: DataFrame, shingles: Callable[[], Shingles], percent: int, frequent: np.ndarray) -> DataFrame:
-    """doc_id, n, and for texts with words: id (64 bits of the set's digest), digest, prefix, bits (its bitmap) and last."""
+    """doc_id, n, and for texts with words: id (64 bits of the set's digest), digest, prefix, bits (the bitmap of SHOWN prefixes) and last."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shingles()
@@ -136,9 +137,10 @@ def sets_of(documents: DataFrame, shingles: Callable[[], Shingles], percent: int
             rows = []
             for tokens in map(own.set_of, texts):
                 if len(tokens):
-                    first, last = prefix(tokens, percent, frequent)
+                    size = prefix_size(len(tokens), percent)
+                    shown, last = prefix(tokens, SHOWN * size, frequent)
                     digest = xxh3_128_digest(tokens.tobytes())
-                    rows.append((len(tokens), int.from_bytes(digest[:8], "big", signed=True), digest, first.tobytes(), bitmap(first).tobytes(), int(last.view(np.int64))))
+                    rows.append((len(tokens), int.from_bytes(digest[:8], "big", signed=True), digest, shown[:size].tobytes(), bitmap(shown).tobytes(), int(last.view(np.int64))))
                 else:
                     rows.append((0, *[None] * 5))
             kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.int64())
@@ -148,8 +150,36 @@ def sets_of(documents: DataFrame, shingles: Callable[[], Shingles], percent: int
     return arrow_map(documents.select("doc_id", "text"), run, "doc_id long, n long, id long, digest binary, prefix binary, bits binary, last long")
 
 
+def whole_runs(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
+    """Sorted (token, id) without repeats, some whole runs of a token at a time, about `rows` rows; a run of more than TREE comes apart, as large."""
+    tokens, ids = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    large = None
+    for batch in batches:
+        tokens, ids = np.concatenate([tokens, batch.column(0).to_numpy()]), np.concatenate([ids, batch.column(1).to_numpy()])
+        while len(tokens):
+            if large is not None:
+                end = int(np.searchsorted(tokens, large, side="right"))
+                if end:
+                    yield tokens[:end], ids[:end], True
+                tokens, ids = tokens[end:], ids[end:]
+                large = large if not len(tokens) else None
+                continue
+            start = int(np.searchsorted(tokens, tokens[-1]))
+            if len(tokens) - start > 2 * TREE:
+                if start:
+                    yield tokens[:start], ids[:start], False
+                large, tokens, ids = tokens[-1], tokens[start:], ids[start:]
+                continue
+            if start >= rows:
+                yield tokens[:start], ids[:start], False
+                tokens, ids = tokens[start:], ids[start:]
+            break
+    if len(tokens):
+        yield tokens, ids, False
+
+
 def shared_tokens(found: DataFrame) -> DataFrame:
-    """(token, id) for each token that stands in the prefixes of two different sets or more."""
+    """(chunk, id, tokens): the tokens of a set's prefix that stand in another's too; a chunk has all that share its tokens. Chunk -1 has tokens of very many sets, one by one."""
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -158,124 +188,110 @@ def shared_tokens(found: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([column(np.concatenate([*own, np.zeros(0, np.uint64)])), pa.array(np.repeat(ids, [len(x) for x in own]))], ["token", "id"])
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        end = None  # the last row: token, id and whether it went out
-        for batch in batches:
-            tokens, ids = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            if not len(tokens):
-                continue
-            if end is not None:
-                tokens, ids = np.concatenate([[end[0]], tokens]), np.concatenate([[end[1]], ids])
-            went = end is not None and end[2]
+        part = TaskContext.get().partitionId() << 32
+        kept_tokens, kept_ids, size = [], [], 0
+        for tokens, ids, large in whole_runs(batches, ROWS):
             new = np.concatenate([[True], (tokens[1:] != tokens[:-1]) | (ids[1:] != ids[:-1])])
             tokens, ids = tokens[new], ids[new]
+            if large:
+                yield chunk(np.full(len(ids), -1), ids, tokens, np.arange(len(ids)))
+                continue
             same = tokens[1:] == tokens[:-1]
             shared = np.concatenate([[False], same]) | np.concatenate([same, [False]])
-            end = tokens[-1], ids[-1], bool(shared[-1]) or (went and len(tokens) == 1)
-            shared[0] &= not went
-            yield pa.RecordBatch.from_arrays([pa.array(tokens[shared]), pa.array(ids[shared])], ["token", "id"])
+            kept_tokens.append(tokens[shared])
+            kept_ids.append(ids[shared])
+            size += int(shared.sum())
+            if size >= ROWS:
+                yield grouped(part, kept_tokens, kept_ids)
+                kept_tokens, kept_ids, size, part = [], [], 0, part + 1
+        if size:
+            yield grouped(part, kept_tokens, kept_ids)
+
+    def grouped(part: int, tokens: list[np.ndarray], ids: list[np.ndarray]) -> pa.RecordBatch:
+        tokens, ids = np.concatenate(tokens), np.concatenate(ids)
+        order = np.argsort(ids, kind="stable")
+        tokens, ids = tokens[order], ids[order]
+        starts = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
+        return chunk(np.full(len(starts), part), ids[starts], tokens, starts)
+
+    def chunk(number: np.ndarray, ids: np.ndarray, tokens: np.ndarray, starts: np.ndarray) -> pa.RecordBatch:
+        offsets = 8 * np.append(starts, len(tokens)).astype(np.int32)
+        packed = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(tokens.tobytes())])
+        return pa.RecordBatch.from_arrays([pa.array(number, pa.int64()), pa.array(ids), packed], ["chunk", "id", "tokens"])
 
     rows = arrow_map(found.filter("id is not null").select("id", "prefix"), spread, "token long, id long")
-    return arrow_map(rows.repartition("token").sortWithinPartitions("token", "id"), runs, "token long, id long")
-
-
-def of_width(bits: pa.Array, rows: np.ndarray, words: int) -> np.ndarray:
-    """The bitmaps of those rows, all of `words` words, as a matrix."""
-    data = np.frombuffer(bits.buffers()[2], np.uint8)
-    starts = np.frombuffer(bits.buffers()[1], np.int32)[bits.offset + rows].astype(np.int64)
-    return np.ascontiguousarray(data[starts[:, None] + np.arange(8 * words)]).view(np.uint64)
+    return arrow_map(rows.repartition("token").sortWithinPartitions("token", "id"), runs, "chunk long, id long, tokens binary")
 
 
-def small_runs(token: np.ndarray, n: np.ndarray, last: np.ndarray, bits: pa.Array, sizes: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of rows that may be similar, among rows whose runs of equal tokens are one leaf each; sorted by token and size."""
-    words = sizes // 8
+def small_runs(token: np.ndarray, at: np.ndarray, sets: Sets, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of sets that may be similar, by their places, among rows (token, place) whose runs of equal tokens are one leaf each; sorted by token and size."""
+    words = np.array([len(b) for b in sets.bits], np.int64)
     views: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
 
     def view(width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The place of each row among those with bitmaps of this width or twice it, these as a matrix, and their slack."""
+        """The place of each set among those with bitmaps of this width or twice it, these as a matrix, and their slack."""
         if width not in views:
-            place, parts, at = np.full(len(n), -1, np.int64), [], 0
-            for w in (width, 2 * width):
-                rows = np.flatnonzero(words == w)
-                place[rows] = at + np.arange(len(rows))
-                at += len(rows)
-                if len(rows):
-                    parts.append(folded(of_width(bits, rows, w), width))
-            matrix = np.vstack(parts)
-            slack = np.zeros(len(n), np.int64)
-            slack[place >= 0] = n[place >= 0] - np.bitwise_count(matrix).sum(axis=1, dtype=np.int64)[place[place >= 0]]
-            views[width] = place, matrix, slack
+            rows = np.flatnonzero((words == width) | (words == 2 * width))
+            matrix = np.vstack([folded(sets.bits[k][None, :], width) for k in rows])
+            place = np.full(len(words), -1, np.int64)
+            place[rows] = np.arange(len(rows))
+            views[width] = place, matrix, sets.n[rows] - np.bitwise_count(matrix).sum(axis=1, dtype=np.int64)
         return views[width]
 
-    found_a, found_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    found: list[np.ndarray] = []
+    n, last = sets.n, sets.last
     for shift in range(1, LEAF):
         a = np.flatnonzero(token[shift:] == token[:-shift]) if len(token) > shift else np.zeros(0, np.int64)
         if not len(a):
             break
-        b = a + shift
+        a, b = at[a], at[a + shift]
         near = possible(percent, n[a], n[b], n[a])
-        a, b = a[near], b[near]
-        narrow = np.minimum(words[a], words[b])
-        for width in np.unique(narrow):
-            here = narrow == width
-            x, y = a[here], b[here]
-            fits = np.maximum(words[x], words[y]) <= 2 * width  # sizes within 5 to 4 differ by one doubling at most
+        pairs = np.unique(np.stack([a[near], b[near]], axis=1), axis=0)
+        a, b = pairs[:, 0], pairs[:, 1]
+        narrow, wide = np.minimum(words[a], words[b]), np.maximum(words[a], words[b])
+        far = wide > 2 * narrow  # sets of nearly one size differ by one doubling; others are not ruled out here
+        found.append(pairs[far])
+        for width in np.unique(narrow[~far]):
+            here = np.flatnonzero((narrow == width) & ~far)
             place, matrix, slack = view(int(width))
-            x, y = x[fits], y[fits]
-            for k in range(0, len(x), 1 << 16):
-                i, j = x[k : k + (1 << 16)], y[k : k + (1 << 16)]
+            for k in range(0, len(here), 1 << 16):
+                i, j = a[here[k : k + (1 << 16)]], b[here[k : k + (1 << 16)]]
                 both = np.bitwise_count(matrix[place[i]] & matrix[place[j]]).sum(axis=1, dtype=np.int64)
-                good = possible(percent, n[i], n[j], both + np.where(last[i] <= last[j], slack[i], slack[j]))
-                found_a.append(i[good])
-                found_b.append(j[good])
-            found_a.append(a[here][~fits])
-            found_b.append(b[here][~fits])
-    return np.concatenate(found_a), np.concatenate(found_b)
+                good = possible(percent, n[i], n[j], both + np.where(last[i] <= last[j], slack[place[i]], slack[place[j]]))
+                found.append(np.stack([i[good], j[good]], axis=1))
+    pairs = np.concatenate([*found, np.zeros((0, 2), np.int64)])
+    return pairs[:, 0], pairs[:, 1]
 
 
-def spanning(a: list, b: list) -> Iterator[tuple]:
-    """Those of the pairs that join two classes."""
-    parent: dict = {}
+def stars(pairs: Iterator[tuple[int, int]]) -> list[tuple[int, int]]:
+    """For each member of a class that the pairs make, but the smallest, (member, smallest): few and short paths, so that classes of many tasks meet in few rounds."""
+    parent: dict[int, int] = {}
 
     def top(x: int) -> int:
         while parent.setdefault(x, x) != x:
             parent[x] = x = parent[parent[x]]
         return x
 
-    for x, y in zip(a, b, strict=True):
+    for x, y in pairs:
         i, j = top(x), top(y)
         if i != j:
-            parent[j] = i
-            yield x, y
-
-
-def chain(n: np.ndarray, ids: np.ndarray, percent: int) -> list[tuple[int, int]]:
-    """Links between neighbours in size that may be similar."""
-    near = possible(percent, n[:-1], n[1:], n[:-1]) & (ids[:-1] != ids[1:])
-    return list(zip(ids[:-1][near].tolist(), ids[1:][near].tolist(), strict=True))
+            parent[max(i, j)] = min(i, j)
+    return [(x, t) for x in parent if (t := top(x)) != x]
 
 
-def bucket_links(batch: pa.RecordBatch, percent: int) -> list[tuple[int, int]]:
-    """Links that span what may be similar in each bucket of the batch (token, n, id, last, bits), sorted by token and size."""
-    token, n, ids = (batch.column(k).to_numpy() for k in range(3))
-    last = batch.column(3).to_numpy().view(np.uint64)
-    bits = batch.column(4)
-    sizes = np.diff(np.frombuffer(bits.buffers()[1], np.int32)[bits.offset : bits.offset + len(bits) + 1]).astype(np.int64)
+def bucket_links(token: np.ndarray, at: np.ndarray, sets: Sets, percent: int) -> list[tuple[int, int]]:
+    """Links, between places of sets, that connect what may be similar in each bucket: rows (token, place of a set)."""
+    order = np.lexsort((sets.n[at], token))
+    token, at = token[order], at[order]
     cuts = np.flatnonzero(np.diff(token)) + 1
     starts, ends = np.concatenate([[0], cuts]), np.concatenate([cuts, [len(token)]])
     out, small = [], np.ones(len(token), bool)
-    for s, e in zip(starts.tolist(), ends.tolist(), strict=True):
-        if e - s > LEAF:
-            small[s:e] = False
-            if e - s > TREE:
-                out += chain(n[s:e], ids[s:e], percent)
-            else:
-                own = [np.frombuffer(bits[k].as_py(), np.uint64) for k in range(s, e)]
-                out += [(int(ids[s + x]), int(ids[s + y])) for x, y in SignatureTree(Sets(n[s:e], last[s:e], own)).links(percent, lambda x, y: True)]
-    rows = np.flatnonzero(small)
-    if len(rows):
-        a, b = small_runs(token[rows], n[rows], last[rows], bits.take(pa.array(rows)), sizes[rows], percent)
-        out += spanning(ids[rows][a].tolist(), ids[rows][b].tolist())
-    return out
+    for s, e in zip(starts[ends - starts > LEAF].tolist(), ends[ends - starts > LEAF].tolist(), strict=True):
+        small[s:e] = False
+        own = at[s:e]
+        out += [(int(own[x]), int(own[y])) for x, y in SignatureTree(sets.take(own)).links(percent, lambda x, y: True)]
+    a, b = small_runs(token[small], at[small], sets, percent)
+    return out + list(zip(a.tolist(), b.tolist(), strict=True))
 
 
 def link_batch(links: list[tuple[int, int]]) -> pa.RecordBatch:
@@ -286,32 +302,46 @@ def candidates(found: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """Links (u, v) between sets that connect, within clusters, all that may be similar."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept, chained = None, None
+        chunk, held = None, []
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            kept = batch if kept is None or not kept.num_rows else pa.Table.from_batches([kept, batch]).combine_chunks().to_batches()[0]
-            tokens = kept.column(0).to_numpy()
-            if chained is not None and tokens[0] == chained:  # the rest of a bucket that is larger than all a task holds
-                end = int(np.searchsorted(tokens, chained, side="right"))
-                yield link_batch(chain(kept.column(1).to_numpy()[:end], kept.column(2).to_numpy()[:end], percent))
-                kept = kept.slice(end if end < len(tokens) else end - 1)
-                continue
-            end = int(np.searchsorted(tokens, tokens[-1]))
-            if end >= 1 << 15:
-                yield link_batch(bucket_links(kept.slice(0, end), percent))
-                kept = kept.slice(end)
-            elif len(tokens) - end > 4 * TREE:
-                yield link_batch(bucket_links(kept.slice(0, end), percent) if end else [])
-                chained = tokens[-1]
-                yield link_batch(chain(kept.column(1).to_numpy()[end:], kept.column(2).to_numpy()[end:], percent))
-                kept = kept.slice(len(tokens) - 1)
-        if kept is not None and kept.num_rows:
-            yield link_batch(bucket_links(kept, percent))
+            numbers = batch.column(0).to_numpy()
+            cuts = np.flatnonzero(np.diff(numbers)) + 1
+            for s, e in zip([0, *cuts.tolist()], [*cuts.tolist(), len(numbers)], strict=True):
+                if s < e:
+                    if numbers[s] != chunk and held:
+                        yield of_chunk(held)
+                        held = []
+                    chunk = numbers[s]
+                    held.append(batch.slice(s, e - s))
+        if held:
+            yield of_chunk(held)
+
+    def of_chunk(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        whole = pa.Table.from_batches(held)
+        ids, n, last = (whole.column(c).to_numpy() for c in ("id", "n", "last"))
+        own = [np.frombuffer(x, np.int64) for x in whole.column("tokens").to_pylist()]
+        sets = Sets(n, last.view(np.uint64), [np.frombuffer(x, np.uint64) for x in whole.column("bits").to_pylist()])
+        links = bucket_links(np.concatenate(own), np.repeat(np.arange(len(own)), [len(x) for x in own]), sets, percent)
+        return link_batch(stars((int(ids[x]), int(ids[y])) for x, y in links))
+
+    def chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Neighbours in size: sets made of tokens that very many have are one cluster without a look."""
+        end = None
+        for batch in batches:
+            tokens, n, ids = batch.column(0).to_pylist(), batch.column(1).to_numpy(), batch.column(2).to_numpy()
+            if end is not None:
+                tokens, n, ids = [end[0], *tokens], np.concatenate([[end[1]], n]), np.concatenate([[end[2]], ids])
+            if len(tokens):
+                end = tokens[-1], n[-1], ids[-1]
+                same = np.array([x == y for x, y in zip(tokens[1:], tokens[:-1], strict=True)], bool)
+                near = same & possible(percent, n[:-1], n[1:], n[:-1])
+                yield pa.RecordBatch.from_arrays([pa.array(ids[:-1][near]), pa.array(ids[1:][near])], ["u", "v"])
 
     shared = staged(shared_tokens(found), "shared")
-    entries = shared.join(nodes.select("id", "n", "last", "bits"), "id").select("token", "n", "id", "last", "bits")
-    return arrow_map(entries.repartition("token").sortWithinPartitions("token", "n", "id"), run, "u long, v long")
+    entries = shared.join(nodes.select("id", "n", "last", "bits"), "id")
+    near = entries.filter("chunk >= 0").select("chunk", "id", "n", "last", "bits", "tokens").repartition("chunk").sortWithinPartitions("chunk")
+    large = entries.filter("chunk < 0").select("tokens", "n", "id").repartition("tokens").sortWithinPartitions("tokens", "n", "id")
+    return arrow_map(near, run, "u long, v long").union(arrow_map(large, chain, "u long, v long")).distinct()
 
 
 def filter_words(ids: DataFrame, bits: int) -> np.ndarray:
@@ -363,7 +393,7 @@ def cells(sets: DataFrame) -> DataFrame:
 
 
 def cell_links(sides: np.ndarray, ids: list[int], sets: list[np.ndarray], percent: int, two: bool) -> list[tuple[int, int]]:
-    """A spanning forest of the links among a cell's sets, which are sorted by size, each held against the sets."""
+    """Links that connect what is similar among a cell's sets, which are sorted by size, each held against the sets."""
     n = np.array([len(x) for x in sets], np.int64)
     tree = SignatureTree(Sets(n, np.full(len(sets), WHOLE), [bitmap(x) for x in sets]))
 
@@ -376,7 +406,7 @@ def cell_links(sides: np.ndarray, ids: list[int], sets: list[np.ndarray], percen
 
 
 def verified(sets: DataFrame, percent: int) -> DataFrame:
-    """Links (u, v) of a similarity of `percent` or more, which connect all that such links connect."""
+    """(u, v) for each set and the smallest that links of a similarity of `percent` or more connect it with in its cell."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cell, sides, ids, own = None, [], [], []
@@ -386,14 +416,14 @@ def verified(sets: DataFrame, percent: int) -> DataFrame:
                 c = tuple(c.values())
                 if c != cell:
                     if len(ids) > 1:
-                        out += cell_links(np.array(sides), ids, own, percent, cell[1] != cell[2])
+                        out += stars(iter(cell_links(np.array(sides), ids, own, percent, cell[1] != cell[2])))
                     cell, sides, ids, own = c, [], [], []
                 sides.append(side)
                 ids.append(number)
                 own.append(np.frombuffer(tokens, np.uint64))
             yield link_batch(out)
         if len(ids) > 1:
-            yield link_batch(cell_links(np.array(sides), ids, own, percent, cell[1] != cell[2]))
+            yield link_batch(stars(iter(cell_links(np.array(sides), ids, own, percent, cell[1] != cell[2]))))
 
     dealt = cells(sets).repartition("cell").sortWithinPartitions("cell", "n", "id").select("cell", "side", "id", "tokens")
     return arrow_map(dealt, run, "u long, v long")

@@ -17,13 +17,13 @@ import numpy as np
 
 LEAF = 32
 FANOUT = 8
-#: Bits of the smallest bitmap, as 64-bit words.
-LEAST_WORDS = 8
+#: 64-bit words of the smallest bitmap, and bits for each token.
+LEAST_WORDS, BITS = 4, 2
 
 
 def bitmap_words(n: int) -> int:
-    """64-bit words of a bitmap for n tokens: at least 4 bits for each, a power of two."""
-    return max(LEAST_WORDS, 1 << max(0, (4 * n - 1).bit_length() - 6))
+    """64-bit words of a bitmap for n tokens: at least BITS for each, a power of two."""
+    return max(LEAST_WORDS, 1 << max(0, (BITS * n - 1).bit_length() - 6))
 
 
 def bitmap(tokens: np.ndarray) -> np.ndarray:
@@ -51,6 +51,9 @@ class Sets:
     def __init__(self, n: np.ndarray, last: np.ndarray, bits: list[np.ndarray]):
         self.n, self.last, self.bits = n.astype(np.int64), last, bits
 
+    def take(self, rows: np.ndarray) -> Sets:
+        return Sets(self.n[rows], self.last[rows], [self.bits[k] for k in rows.tolist()])
+
     def leaf(self, low: int, high: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         own = self.bits[low:high]
         width = min(len(x) for x in own)
@@ -78,8 +81,12 @@ class SignatureTree:
     def __init__(self, sets: Sets):
         """`sets` are in ascending order of size."""
         self.sets, total = sets, len(sets.n)
-        self.leaves = [sets.leaf(k, min(k + LEAF, total)) for k in range(0, total, LEAF)]
-        nodes = [(k * LEAF, min((k + 1) * LEAF, total), np.bitwise_or.reduce(x[2], axis=0), int(x[3].max())) for k, x in enumerate(self.leaves)]
+        # Bitmaps widen with the sets; a leaf has those of one width, so that none is folded for a smaller neighbour.
+        widths = np.array([len(x) for x in sets.bits])
+        bounds = [0, *(np.flatnonzero(np.diff(widths)) + 1).tolist(), total]
+        spans = [(k, min(k + LEAF, high)) for low, high in zip(bounds, bounds[1:], strict=False) for k in range(low, high, LEAF)]
+        self.leaves = [sets.leaf(low, high) for low, high in spans]
+        nodes = [(low, high, np.bitwise_or.reduce(x[2], axis=0), int(x[3].max())) for (low, high), x in zip(spans, self.leaves, strict=True)]
         self.levels = [nodes]
         while len(nodes) > 1:
             nodes = [self.above(nodes[k : k + FANOUT]) for k in range(0, len(nodes), FANOUT)]

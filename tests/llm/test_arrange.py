@@ -240,16 +240,6 @@ def test_classes_of_no_documents(spark):
     assert jaccard.similar_classes(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
-def entries(rng, sets, token_of, frequent=np.zeros(0, np.uint64), percent=80):
-    rows = []
-    for k, s in enumerate(sets):
-        first, last = jaccard.prefix(s, percent, frequent)
-        rows += [(token_of(t), len(s), k, int(last.view(np.int64)), signature_tree.bitmap(first).tobytes()) for t in first]
-    rows.sort()
-    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["token", "n", "id", "last", "bits"])
-
-
 def some_sets(rng, count, universe):
     base = [np.unique(rng.integers(0, 2**64, rng.integers(5, 900), np.uint64)) for _ in range(count // 4)]
     out = []
@@ -267,15 +257,19 @@ def classes(links, n):
     return group
 
 
-@pytest.mark.parametrize("small_tree", [False, True])
-def test_buckets_lose_no_link(monkeypatch, small_tree):
+@pytest.mark.parametrize("leaf", [32, 3])
+def test_buckets_lose_no_link(monkeypatch, leaf):
     """Whatever is similar is connected by the links of some bucket; the links of one cell are those of all pairs."""
-    if small_tree:
-        monkeypatch.setattr(jaccard, "TREE", 40)
+    for module in (jaccard, signature_tree):
+        monkeypatch.setattr(module, "LEAF", leaf)
     rng = np.random.default_rng(10)
     universe = rng.integers(0, 2**64, 200, np.uint64)
-    sets = some_sets(rng, 240, universe)
-    group = classes(jaccard.bucket_links(entries(rng, sets, lambda t: int(t.view(np.int64)), np.sort(universe[:50])), 80), len(sets))
+    sets, frequent = some_sets(rng, 240, universe), np.sort(universe[:50])
+    firsts = [jaccard.prefix(s, jaccard.prefix_size(len(s), 80), frequent)[0] for s in sets]
+    shown = [jaccard.prefix(s, jaccard.SHOWN * len(f), frequent) for s, f in zip(sets, firsts, strict=True)]
+    seen = signature_tree.Sets(np.array([len(s) for s in sets]), np.array([x[1] for x in shown]), [signature_tree.bitmap(x[0]) for x in shown])
+    links = jaccard.bucket_links(np.concatenate(firsts).view(np.int64), np.repeat(np.arange(len(sets)), [len(f) for f in firsts]), seen, 80)
+    group = classes(links, len(sets))
     true = [(i, j) for i in range(len(sets)) for j in range(i) if 100 * (k := len(np.intersect1d(sets[i], sets[j]))) >= 80 * (len(sets[i]) + len(sets[j]) - k)]
     assert len(true) > 100 and all(group[i] == group[j] for i, j in true)
     order = np.argsort([len(s) for s in sets], kind="stable")
@@ -292,3 +286,19 @@ def test_tree_leaves_out_most_pairs():
     held = []
     assert not list(tree.links(80, lambda x, y: bool(held.append((x, y)))))
     assert len(held) < 20
+
+
+def test_runs_come_whole_or_as_large(monkeypatch):
+    monkeypatch.setattr(jaccard, "TREE", 5)
+    rng = np.random.default_rng(12)
+    sizes = {1: 3, 2: 40, 3: 1, 4: 12, 5: 2, 7: 10, 9: 60, 11: 2}
+    tokens = np.repeat(list(sizes), list(sizes.values()))
+    cuts = [0, *np.sort(rng.integers(0, len(tokens), 25)).tolist(), len(tokens)]
+    batches = [pa.RecordBatch.from_arrays([pa.array(tokens[a:b]), pa.array(np.arange(a, b))], ["token", "id"]) for a, b in zip(cuts, cuts[1:], strict=False)]
+    seen, large = [], set()
+    for t, i, is_large in jaccard.whole_runs(iter(batches), 8):
+        assert not is_large or len(set(t.tolist())) == 1
+        assert is_large or not large & set(t.tolist()) and all(sizes[x] == (t == x).sum() for x in set(t.tolist()))
+        large |= set(t.tolist()) if is_large else set()
+        seen += i.tolist()
+    assert seen == list(range(len(tokens))) and {2, 9} <= large
