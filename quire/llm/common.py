@@ -8,7 +8,8 @@ import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from quire.session import ship
 
@@ -66,6 +67,11 @@ def staged(df: DataFrame, name: str, **options: object) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def below(hashed: Column, share: float) -> Column:
+    """Whether a 64-bit hash is among the given share of all; no share is too small to be told from none."""
+    return F.lit(True) if share >= 1 else hashed < F.lit(int(share * 2**64) - 2**63)
+
+
 def fresh(name: str, taken: Iterable[str]) -> str:
     """A column name that is not taken, whatever the case of its letters."""
     lowered = {c.lower() for c in taken}

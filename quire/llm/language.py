@@ -9,7 +9,6 @@ of about its length is rejected.
 
 from __future__ import annotations
 
-import math
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -20,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quire.llm.common import arrow_map, byte_slices, fresh, staged
+from quire.llm.common import arrow_map, below, byte_slices, fresh, staged
 
 BUCKETS = 4096
 #: Least bytes of letters of each length class; a shorter text is in the first one.
@@ -110,10 +109,9 @@ class Model:
 
 
 def bounded_sample(rows: DataFrame, key: str, most: int) -> DataFrame:
-    """About `most` of the rows at most, the same ones each time: those with a small hash of `key`."""
-    n = rows.count()
-    share = min(1.0, most / max(1, n))
-    return rows.filter(F.pmod(F.xxhash64(F.lit("sample"), key), F.lit(1 << 20)) < F.lit(math.ceil(share * (1 << 20))))
+    """About `most` of the rows, twice as many at most, the same ones each time: those with the smallest hashes of `key`."""
+    own = F.xxhash64(F.lit("sample"), key)
+    return rows.filter(below(own, most / max(1, rows.count()))).orderBy(own, key).limit(2 * most)
 
 
 def fit(documents: DataFrame, usable: Column, per_language: int = 300, clusters: int = 4, slack: float = 0.8, least: int = 20, most: int = 6000) -> Model:
@@ -134,8 +132,10 @@ def fit(documents: DataFrame, usable: Column, per_language: int = 300, clusters:
     # Written: a small table, as it is but for dirty tables, is broadcast by its size; else a language with very many texts is split.
     sizes = staged(rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")), "languages")
     own_most = min(per_language, most / max(1, sizes.count()))
-    share = F.ceil(F.least(F.lit(1.0), F.lit(float(own_most)) / F.col("n")) * (1 << 20))
-    sample = rows.withColumn("key", key).join(sizes, "lang").filter(F.pmod("key", F.lit(1 << 20)) < share).dropDuplicates(["lang", "key"])
+    # The whole hash counts: of a language with very many rows no more are taken.
+    share = F.lit(float(own_most)) / F.col("n")
+    chosen = (share >= 1) | (F.col("key").cast("double") + F.lit(2.0**63) < share * F.lit(2.0**64))
+    sample = rows.withColumn("key", key).join(sizes, "lang").filter(chosen).dropDuplicates(["lang", "key"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in byte_slices(batches, "text"):

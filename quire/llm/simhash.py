@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quire.llm.common import arrow_map, byte_slices, fresh, staged
+from quire.llm.common import arrow_map, below, byte_slices, fresh, staged
 from quire.llm.components import roots
 
 BITS = 64
@@ -284,12 +284,12 @@ def linked(cell: np.ndarray, probe: np.ndarray, fp: np.ndarray, distance: int) -
 def links(nodes: DataFrame, distance: int = 4, ms: tuple[int, ...] = PARTS, sample_rows: int = 8_000, largest: int = 8192) -> DataFrame:
     """Links (u, v) between distinct fingerprints (fp) that span every component of those within `distance` bits.
 
-    At most about `sample_rows` fingerprints come to the driver, for the parts
+    About `sample_rows` fingerprints, twice as many at most, come to the driver, for the parts
     and thresholds alone; these change the work, never the links.
     """
     count = nodes.count()
-    share = min(1.0, sample_rows / max(1, count))
-    picked = nodes.filter(F.pmod(F.xxhash64("fp"), F.lit(1_000_000)) < F.lit(math.ceil(share * 1_000_000))).select("fp").toArrow()
+    own = F.xxhash64("fp")
+    picked = nodes.filter(below(own, sample_rows / max(1, count))).orderBy(own).limit(2 * sample_rows).select("fp").toArrow()
     sample = np.sort(picked.column("fp").to_numpy().view(np.uint64)) if len(picked) else np.zeros(1, np.uint64)
     parts, limits = partition(sample, distance, count, ms)
     rows = cells(probes(nodes, parts, limits), largest)

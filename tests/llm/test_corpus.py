@@ -514,6 +514,15 @@ def test_samples_stay_bounded(spark):
     assert language.fit(hot, F.lit(True)).languages
 
 
+def test_samples_of_very_many_rows_stay_bounded(spark):
+    """A share below 2^-20 is not rounded up."""
+    rows = spark.range(8_000_000).withColumnRenamed("id", "doc_id")
+    assert language.bounded_sample(rows, "doc_id", 2).count() <= 4
+    assert rows.filter(common.below(F.xxhash64("doc_id"), 2.0**-30)).count() <= 2
+    half = rows.limit(1000).filter(common.below(F.xxhash64("doc_id"), 0.5)).count()
+    assert 400 < half < 600 and rows.limit(100).filter(common.below(F.xxhash64("doc_id"), 1.0)).count() == 100
+
+
 def test_line_dedup_of_a_shared_id(spark):
     """Different texts under one doc_id, or under none, each lose their own runs alone."""
     rng = random.Random(12)
