@@ -32,6 +32,28 @@ def block_error(block_type: Column, text: Column, level: Column) -> Column:
     )
 
 
+def location_error(**spans: tuple[Column, Column]) -> Column:
+    """Of named spans (first, last) the first whose numbers are below 1 or turned round."""
+    checks = []
+    for name, (start, end) in spans.items():
+        checks += [((start < 1) | (end < 1), error("INVALID_LOCATION", f"{name} numbers begin at 1")), (~range_ok(start, end), error("INVALID_LOCATION", f"{name} ends before it begins"))]
+    return first_error(*checks)
+
+
+def chunk_error(text: Column, token_count: Column, block_orders: Column) -> Column:
+    """A chunk has text, at least one token, and at least one block that it comes from."""
+    return first_error(
+        (F.coalesce(strip_text(text), F.lit("")) == "", error("EMPTY_CHUNK_TEXT", "text is required")),
+        (F.coalesce(token_count, F.lit(0)) < 1, error("INVALID_TOKEN_COUNT", "a chunk has at least one token")),
+        (F.coalesce(F.size(block_orders), F.lit(0)) < 1, error("MISSING_SOURCE_BLOCKS", "a chunk comes from at least one block")),
+    )
+
+
+def documents_without_blocks(documents: DataFrame, blocks: DataFrame, key: str = "document_id") -> DataFrame:
+    """Documents that no block belongs to; a parsed document has at least one."""
+    return documents.join(blocks.select(key).distinct(), key, "left_anti")
+
+
 def block_sets(blocks: DataFrame, document: str, block_id: str, order: str) -> DataFrame:
     """A row per document: its blocks, distinct ids, and whether orders are 0 to n - 1; code is null if it is sound."""
     stats = blocks.groupBy(document).agg(
@@ -86,7 +108,7 @@ def content_type(content: Column, ext: Column) -> Column:
 def check_files(files: DataFrame, allowed: tuple[str, ...] = tuple(CONTENT_TYPES), most: int = MAX_FILE_BYTES) -> DataFrame:
     """Files of the binaryFile source with ext, detected and error (null if sound); the first failing check counts."""
     ext = extension(F.col("path"))
-    fits = F.lit(False)
+    fits = F.lit(True)  # of an extension that a caller allows, any content
     for e, kinds in CONTENT_TYPES.items():
         fits = F.when(F.col("ext") == e, F.col("detected").isin(*kinds)).otherwise(fits)
     return (

@@ -11,18 +11,18 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.config import FILE_TYPES, Chunking
+from quire.config import Chunking
 from quire.functions.ids import document_id
 from quire.functions.text import base_name, clean_metadata, preview, stem, token_count
 from quire.operators.admin import index_stats
-from quire.operators.chunking import chunk, with_structure
+from quire.operators.chunking import children_of, chunk, folded, parents_of, with_structure
 from quire.operators.embeddings import Provider, check_model, embed_column
 from quire.operators.normalize import normalize_blocks
 from quire.operators.retrieval import norm
 from quire.operators.validate import check_files
 from quire.plans import records
-from quire.sources import markdown, pdf, plain, structured
-from quire.sources.files import decoded, discover
+from quire.sources.files import discover
+from quire.sources.registry import Registry, blocks_of_parts, default_registry, parse_files, titles_of_parts
 from quire.store import ChunkIndex, Store
 
 #: The columns of a block, whatever its source; those a source does not have are null.
@@ -41,56 +41,23 @@ def aligned(rows: DataFrame, **given: str) -> DataFrame:
     return rows.select(*[pick(c, t).cast(t).alias(c) for c, t in COLUMNS.items()])
 
 
-def checked(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+def checked(files: DataFrame, registry: Registry | None = None) -> tuple[DataFrame, DataFrame]:
     """(sound files with their document columns, failures with path, code and message)."""
-    rows = check_files(files.filter(~base_name(F.col("path")).startswith("~$")))
+    types = (registry or default_registry()).types
+    rows = check_files(files.filter(~base_name(F.col("path")).startswith("~$")), tuple(types))
     kind = F.lit(None).cast("string")
-    for e, t in FILE_TYPES.items():
+    for e, t in types.items():
         kind = F.when(F.col("ext") == e, F.lit(t)).otherwise(kind)
     named = rows.withColumn("file_name", base_name(F.col("path"))).withColumn("file_type", kind).withColumn("title", stem(F.col("path")))
     sound = named.filter("error IS NULL").withColumn("document_id", document_id(F.col("path"), F.col("file_name"), F.col("title"), F.col("file_type")))
     return sound, named.filter("error IS NOT NULL").select("path", "error.code", "error.message")
 
 
-def titles(sound: DataFrame, blocks: DataFrame) -> DataFrame:
-    """document_id and own_title: a property of the file, else the first heading of level 1; files without either have no row."""
-    office = unpacked_titles(sound.filter(F.col("file_type").isin("docx", "pptx", "xlsx")))
-    properties = office.union(pdf.pdf_titles(sound.filter(F.col("file_type") == "pdf"))).withColumn("source", F.lit(0))
-    # A sheet's name is a heading, but no title of the file.
-    headings = plain.markdown_title(blocks.filter(F.col("sheet_name").isNull())).withColumn("source", F.lit(1))
-    return properties.union(headings).groupBy("document_id").agg(F.min_by("title", "source").alias("own_title"))
-
-
-def unpacked_titles(files: DataFrame) -> DataFrame:
-    rows = structured.unpacked(files, "content", structured.title_parts, structured.PARTS)
-    return rows.filter("error IS NULL").select("document_id", F.col("text").alias("title"))
-
-
-def parse(sound: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(blocks, failures): each format is one branch over its own files."""
-    of = lambda t: sound.filter(F.col("file_type") == t)
-    text = lambda t: of(t).select("document_id", decoded(F.col("content"))["text"].alias("text"))
-    packed = {t: structured.unpacked(of(t), "content", f, structured.PARTS) for t, f in (("docx", structured.docx_parts), ("pptx", structured.pptx_parts))}
-    packed |= {"json": structured.json_blocks(text("json")), "pdf": pdf.pdf_blocks(of("pdf"))}
-    table = lambda rows, **g: aligned(rows.withColumn("block_order", F.col("unit_no") * 1_000_000 + F.col("row_no")), **g)
-    sheets = structured.unpacked(of("xlsx"), "content", structured.xlsx_rows, structured.ROWS)
-    parts = [
-        aligned(plain.text_blocks(text("txt"))),
-        aligned(plain.markdown_blocks(text("md"))),
-        table(structured.csv_blocks(text("csv")), line_start="row_no", line_end="row_no"),
-        table(structured.sheet_blocks(sheets), sheet_name="unit", row_start="row_no", row_end="row_no"),
-        *[aligned(p.filter("error IS NULL")) for p in packed.values()],
-    ]
-    blocks = parts[0]
-    for p in parts[1:]:
-        blocks = blocks.unionByName(p)
-    bad = sheets.filter("error IS NOT NULL").select("document_id", "error")
-    for p in packed.values():
-        bad = bad.union(p.filter("error IS NOT NULL").select("document_id", "error"))
-    typed = F.col("error").startswith("PDF_")
-    coded = bad.select("document_id", F.when(typed, F.col("error")).otherwise("PARSE_FAILED").alias("code"), F.col("error").alias("message"))
-    failures = coded.join(sound.select("document_id", "path"), "document_id").select("path", "code", "message")
-    return blocks, failures
+def failures_of(parts: DataFrame, sound: DataFrame) -> DataFrame:
+    """path, code and message of the files that no parser could read."""
+    typed = F.col("error").startswith("PDF_") | (F.col("error") == "NO_PARSER")
+    coded = parts.filter("error IS NOT NULL").select("document_id", F.when(typed, F.col("error")).otherwise("PARSE_FAILED").alias("code"), F.col("error").alias("message"))
+    return coded.join(sound.select("document_id", "path"), "document_id").select("path", "code", "message")
 
 
 def kept(store: ChunkIndex, rows: DataFrame, name: str) -> DataFrame:
@@ -111,11 +78,12 @@ def ingest(
     recorder: Callable[[str, int, int], None] | None = None,
     counter: Callable[[Column], Column] = token_count,
     grouper: Callable[[DataFrame], DataFrame] = with_structure,
+    registry: Registry | None = None,
 ) -> dict[str, int]:
     """Check, parse, chunk, embed and store files (of the binaryFile source); failures are kept apart and counted.
 
-    Blocks and chunks are each written once below the store's folder, so no step
-    runs twice. `normalize`, `counter` and `grouper` may be replaced. `progress` is told each stage, its status, and
+    One pass gives each file to its parser in the registry. What it finds, and the chunks, are each
+    written once below the store's folder, so no step runs twice. `normalize`, `counter` and `grouper` may be replaced. `progress` is told each stage, its status, and
     at its end the milliseconds it took; `recorder` each file type with its parsed documents and blocks.
     """
     check_model(store.spark, store.read("index_metadata"), provider)
@@ -128,12 +96,15 @@ def ingest(
             began[0] = time.perf_counter()
 
     tell("parse", "started")
-    sound, refused = checked(files)
-    blocks, failed = parse(sound)
-    blocks = kept(store, blocks, "blocks")
-    failures = kept(store, refused.union(failed), "failures")
-    named = sound.select("document_id", "file_name", "file_type", F.col("path").alias("source_path"), "title", "length").join(titles(sound, blocks), "document_id", "left")
-    named = kept(store, named.withColumn("title", F.coalesce("own_title", "title")).drop("own_title"), "named")
+    sound, refused = checked(files, registry)
+    about = ["document_id", "path", "file_name", "file_type", "title", "length"]
+    # The files' bytes are read for the checks and the parsers; what follows needs them no longer.
+    found = kept(store, parse_files(sound, registry), "parts")
+    listed = kept(store, sound.select(*about), "sound")
+    blocks = kept(store, blocks_of_parts(found, COLUMNS), "blocks")
+    failures = kept(store, refused.union(failures_of(found, listed)), "failures")
+    titled = listed.withColumnRenamed("path", "source_path").join(titles_of_parts(found), "document_id", "left")
+    named = titled.withColumn("title", F.coalesce("own_title", "title")).drop("own_title")
     tell("parse", "completed")
     if recorder:
         per_type = blocks.groupBy("document_id").agg(F.count(F.lit(1)).alias("n")).join(named.select("document_id", "file_type"), "document_id").groupBy("file_type")
@@ -142,8 +113,7 @@ def ingest(
     tell("chunk", "started")
     normal = kept(store, normalize(blocks), "normal")
     counts = normal.groupBy("document_id").agg(F.count(F.lit(1)).alias("blocks"))
-    text = sound.filter(F.col("file_type") == "md").select("document_id", decoded(F.col("content"))["text"].alias("text"))
-    front = kept(store, markdown.front_matter(text).select("document_id", F.to_json("front_matter").alias("front"), "line_end"), "front")
+    front = found.filter("block_type = 'front_matter'").select("document_id", F.col("text").alias("front"), "line_end")
     about = clean_metadata(F.create_map(F.lit("parser"), F.col("file_type"), F.lit("size_bytes"), F.col("length").cast("string"), F.lit("block_count"), F.col("blocks").cast("string")))
     # Front matter is part of the metadata, as it is nested.
     more = F.concat(F.lit(',"front_matter":'), F.col("front"), F.lit(',"front_matter_source":{"line_start":1,"line_end":'), F.col("line_end").cast("string"), F.lit("}}"))
@@ -151,8 +121,9 @@ def ingest(
     documents = named.join(counts, "document_id").join(front, "document_id", "left").select(
         F.col("document_id").alias("id"), "title", "file_name", "file_type", "source_path", metadata.alias("metadata"), F.current_timestamp().alias("created_at"), F.current_timestamp().alias("updated_at"),
     )
-    parents, children = chunk(normal.join(named.drop("length"), "document_id"), config, counter, grouper)
-    parents, children = kept(store, parents, "parents"), kept(store, children, "children")
+    config = config or Chunking()
+    rows = kept(store, folded(normal.join(named.drop("length"), "document_id"), config, counter, grouper), "folded")
+    parents, children = kept(store, parents_of(rows, config, counter), "parents"), kept(store, children_of(rows, config, counter), "children")
     tell("chunk", "completed")
     tell("index", "started")
     store.index_documents(documents, parents, embed_column(children, provider), replace)
@@ -228,7 +199,7 @@ def probe(files: DataFrame, stage: str, provider: Provider, store: Store | None
     if stage == "validate":
         return rows.select(base_name(F.col("path")).alias("file_name"), "ext", "length", "detected", "error.code", "error.message")
     sound, _ = checked(files)
-    blocks = normalize_blocks(parse(sound)[0])
+    blocks = normalize_blocks(blocks_of_parts(parse_files(sound), COLUMNS))
     if stage == "parse":
         return blocks.orderBy("document_id", "block_order").limit(PREVIEW_ROWS).select("document_id", "block_order", "block_type", preview(F.col("text")).alias("text"), "parent_path", "source_ref")
     named = sound.select("document_id", "title", "file_name", "file_type", F.col("path").alias("source_path"))

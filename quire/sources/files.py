@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,10 +15,38 @@ CP1252 = tuple("".join(x) for x in zip(*[(chr(b), bytes([b]).decode("cp1252")) f
 SCHEMA = "path string, modificationTime timestamp, length long, content binary"
 
 
+def roots(spark: SparkSession, paths: list[str], recursive: bool = False) -> list[str]:
+    """The files and folders that paths and globs name, in order, without those that lie in another of them: a file is then listed once.
+
+    A path that names nothing stays, for the reader to refuse.
+    """
+    path_of, conf = spark._jvm.org.apache.hadoop.fs.Path, spark.sparkContext._jsc.hadoopConfiguration()
+    found: dict[str, bool] = {}
+    missing = []
+    for p in paths:
+        path = path_of(p)
+        names = path.getFileSystem(conf).globStatus(path)
+        if not names:
+            missing.append(p)
+        for s in names or ():
+            found[str(s.getPath())] = s.isDirectory()
+    folders = {p for p, is_folder in found.items() if is_folder}
+
+    def inside(p: str) -> bool:
+        above = p.rsplit("/", 1)[0]
+        if not recursive:
+            return not found[p] and above in folders
+        while above not in folders and "/" in above:
+            above = above.rsplit("/", 1)[0]
+        return above in folders
+
+    return [re.sub(r"([\[\]{}*?\\])", r"\\\1", p) for p in sorted(found) if not inside(p)] + missing
+
+
 def discover(spark: SparkSession, paths: list[str], recursive: bool = False, keep_unsupported: bool = False) -> DataFrame:
-    """Files at paths, folders or globs, each once, by path. Lock files (~$...) go, unsupported ones unless kept."""
+    """Files at paths, folders or globs, each once. Lock files (~$...) go, unsupported ones unless kept. Contents are read where they are used, and not shuffled."""
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower())
-    files = reader.load(paths).dropDuplicates(["path"]).filter(~base_name(F.col("path")).startswith("~$"))
+    files = reader.load(roots(spark, paths, recursive)).filter(~base_name(F.col("path")).startswith("~$"))
     return files if keep_unsupported else files.filter(extension(F.col("path")).isin(*FILE_TYPES))
 
 

@@ -10,12 +10,12 @@ Windows-1252. Scanned pages have no text layer and give none.
 from __future__ import annotations
 
 import re
-import zlib
 from functools import partial
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quire.sources import pdf_streams
 from quire.sources.structured import PARTS, ParseFailed, unpacked
 
 _OBJECT = re.compile(rb"(?<!\d)(\d+)\s+(\d+)\s+obj\b")
@@ -32,10 +32,12 @@ class Pdf:
         if not content.lstrip()[:5] == b"%PDF-":
             raise ParseFailed("PDF_OPEN_FAILED")
         self.objects: dict[int, tuple[bytes, bytes | None]] = {}
+        self.generations: dict[int, int] = {}
         self.trailer = b" ".join(re.findall(rb"trailer\s*(<<.*?>>)\s*startxref", content, re.DOTALL))
         for m in _OBJECT.finditer(content):
             end = content.find(b"endobj", m.end())
             body = content[m.end() : end if end >= 0 else len(content)]
+            self.generations[int(m[1])] = int(m[2])
             at = body.find(b"stream")
             if at >= 0 and body[:at].rstrip().endswith(b">>"):
                 head = body[:at]
@@ -45,8 +47,7 @@ class Pdf:
                     self.trailer += head
             else:
                 self.objects[int(m[1])] = (body, None)
-        if b"/Encrypt" in self.trailer:
-            raise ParseFailed("PDF_ENCRYPTED")
+        self.key = self.opened() if b"/Encrypt" in self.trailer else None
         for head, data in list(self.objects.values()):
             if data is not None and re.search(rb"/Type\s*/ObjStm", head):
                 self.unpack(head, data)
@@ -68,13 +69,31 @@ class Pdf:
 
     @staticmethod
     def inflated(head: bytes, data: bytes) -> bytes:
-        if b"/FlateDecode" not in head and b"/Fl " not in head:
-            return data
         try:
-            return zlib.decompressobj().decompress(data)
-        except zlib.error:
+            return pdf_streams.decoded(head, data)
+        except pdf_streams.StreamError:
             raise ParseFailed("PDF_TEXT_EXTRACTION_FAILED") from None
 
+    def opened(self) -> bytes:
+        """The key of a file that opens with an empty password; its streams are decrypted. Others fail, as do those with AES."""
+        at = re.search(rb"/Encrypt\s+(\d+)\s+\d+\s+R", self.trailer)
+        number = int(at[1]) if at else None
+        head = self.objects.get(number, (b"", None))[0] if at else self.value(self.trailer, b"Encrypt")
+        whole = lambda name, default: int(m[1]) if (m := re.search(rb"/" + name + rb"\s+(-?\d+)", head)) else default
+        text = lambda source, name: string_bytes(v) if (v := self.value(source, name).strip())[:1] in (b"(", b"<") else b""
+        ids = re.search(rb"/ID\s*\[\s*(<[0-9A-Fa-f\s]*>|\((?:\\.|[^\\()])*\))", self.trailer, re.DOTALL)
+        standard = re.search(rb"/Filter\s*/Standard\b", head)
+        key = pdf_streams.empty_password_key(whole(b"V", 0), whole(b"R", 0), whole(b"Length", 40), text(head, b"O"), text(head, b"U"), whole(b"P", 0), string_bytes(ids[1]) if ids else b"") if standard else None
+        if key is None:
+            raise ParseFailed("PDF_ENCRYPTED")
+        for n, (own, data) in self.objects.items():
+            if data is not None and n != number and not re.search(rb"/Type\s*/XRef", own):
+                self.objects[n] = own, self.plain(key, n, data)
+        return key
+
+    def plain(self, key: bytes, number: int, data: bytes) -> bytes:
+        return pdf_streams.rc4(pdf_streams.object_key(key, number, self.generations.get(number, 0)), data)
+
     def unpack(self, head: bytes, data: bytes) -> None:
         """The objects that a stream of objects holds."""
         text = self.inflated(head, data)
@@ -155,7 +174,10 @@ class Pdf:
         info = re.search(rb"/Info\s+(\d+)", self.trailer)
         head = self.objects.get(int(info[1]), (b"", None))[0] if info else b""
         raw = self.value(head, b"Title").strip()
-        return (string_text(string_bytes(raw), None).strip() or None) if raw[:1] in (b"(", b"<") else None
+        if raw[:1] not in (b"(", b"<"):
+            return None
+        data = string_bytes(raw)
+        return string_text(self.plain(self.key, int(info[1]), data) if self.key else data, None).strip() or None
 
 
 def unicode_map(data: bytes) -> dict[bytes, str]:
