@@ -90,6 +90,19 @@ def recent_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     return admin.paged(table(spark, sf_dir, "events").select("event_id", "ts", "event_type"), [F.desc("ts"), F.desc("event_id")], limit=100, offset=100)
 
 
+def recent_page_after(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """recent_page by the last row of the page before it, in place of an offset."""
+    rows, order = table(spark, sf_dir, "events").select("event_id", "ts", "event_type"), [("ts", True), ("event_id", True)]
+    first = admin.page_after(rows, order, limit=100).select("ts", "event_id").collect()
+    return admin.page_after(rows, order, tuple(first[-1]) if first else None, limit=100)
+
+
+def document_chunks_after(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The line items that follow one of order 7, by order and line."""
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey")
+    return admin.page_after(rows, [("l_orderkey", False), ("l_linenumber", False)], (7, 3), limit=50)
+
+
 def event_array_append(spark: SparkSession, sf_dir: str) -> DataFrame:
     arrays = admin.event_arrays(table(spark, sf_dir, "events"), "user_id", "ts", "event_id", "event_type")
     return arrays.select("user_id", F.array_join(F.transform("events", lambda e: F.concat(e["event_id"].cast("string"), F.lit(":"), e["event_type"])), ",").alias("events"))
@@ -179,6 +192,8 @@ ORACLE_SQL = {
     "stage_snapshot": "SELECT event_type, count(*) AS n_events, round(sum(value), 2) AS total_ms, arg_max(CASE WHEN value > 50 THEN 'slow' ELSE 'fine' END, (ts, event_id)) AS status FROM events GROUP BY event_type",
     "operation_metrics": "SELECT user_id % 10 AS op, count(*) AS total, count(*) FILTER (WHERE event_type <> 'error') AS succeeded, count(*) FILTER (WHERE event_type = 'error') AS failed, round(sum(value), 2) AS duration_ms FROM events GROUP BY 1",
     "recent_page": "SELECT event_id, ts, event_type FROM events ORDER BY ts DESC, event_id DESC LIMIT 100 OFFSET 100",
+    "recent_page_after": "SELECT event_id, ts, event_type FROM events ORDER BY ts DESC, event_id DESC LIMIT 100 OFFSET 100",
+    "document_chunks_after": "SELECT l_orderkey, l_linenumber, l_suppkey FROM lineitem WHERE l_orderkey > 7 OR (l_orderkey = 7 AND l_linenumber > 3) ORDER BY l_orderkey, l_linenumber LIMIT 50",
     "event_array_append": "SELECT user_id, string_agg(event_id || ':' || event_type, ',' ORDER BY ts, event_id) AS events FROM events GROUP BY user_id",
     "rate_limit_offered": "SELECT user_id AS client, event_id, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 86400 SECONDS PRECEDING AND CURRENT ROW) AS offered FROM events",
     "rate_limit_admitted": f"""
@@ -204,6 +219,6 @@ ORACLE_SQL = {
 }
 QUERIES = {f.__name__: f for f in (
     document_list_counts, document_detail, document_chunks_page, index_stats, index_readiness, chat_session_list, chat_session_messages, chat_title_rule, trace_count_buckets,
-    job_status_pivot, job_latest_state, stage_snapshot, operation_metrics, recent_page, event_array_append, rate_limit_offered, rate_limit_admitted, queue_claim_next, upsert_replace,
+    job_status_pivot, job_latest_state, stage_snapshot, operation_metrics, recent_page, recent_page_after, document_chunks_after, event_array_append, rate_limit_offered, rate_limit_admitted, queue_claim_next, upsert_replace,
     semi_join_delete, eval_summary, case_selection, source_totals, title_filter, file_dedupe,
 )}

@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quire.config import STOP_WORDS
 
@@ -294,3 +295,35 @@ def clean_metadata(values: Column) -> Column:
     sound = F.filter(entries, lambda e: (e["key"] != "") & e["value"].isNotNull() & (e["value"] != ""))
     # Of keys that are equal once stripped, the first one counts.
     return F.map_from_entries(F.filter(sound, lambda e, i: F.array_position(F.transform(sound, lambda x: x["key"]), e["key"]) == i + 1))
+
+
+def iso_time(value: Column) -> Column:
+    """A time as ISO text, with microseconds where there are any."""
+    whole = F.date_format(value, "yyyy-MM-dd'T'HH:mm:ss")
+    micros = F.pmod(F.unix_micros(value), F.lit(1_000_000))
+    return F.when(micros == 0, whole).otherwise(F.concat(whole, F.lit("."), F.lpad(micros.cast("string"), 6, "0")))
+
+
+def json_safe(value: Column, kind: T.DataType) -> Column:
+    """A value of a Spark type with what JSON lacks as text, however deep: days and times in ISO form, decimals as they read. Keys are stripped, blank ones go, and of equal ones the last counts."""
+    if isinstance(kind, T.TimestampType | T.TimestampNTZType):
+        return iso_time(value.cast("timestamp"))
+    if isinstance(kind, T.DateType | T.DecimalType):
+        return value.cast("string")
+    if isinstance(kind, T.BinaryType):
+        return F.base64(value)
+    if isinstance(kind, T.ArrayType):
+        return F.transform(value, lambda x: json_safe(x, kind.elementType))
+    if isinstance(kind, T.StructType):
+        fields = [json_safe(value[f.name], f.dataType).alias(f.name.strip()) for f in kind.fields if f.name.strip()]
+        return F.when(value.isNotNull(), F.struct(*fields))
+    if isinstance(kind, T.MapType):
+        entries = F.transform(F.map_entries(value), lambda e: F.struct(strip(e["key"].cast("string")).alias("key"), json_safe(e["value"], kind.valueType).alias("value")))
+        keys = F.transform(entries, lambda e: e["key"])
+        return F.map_from_entries(F.filter(entries, lambda e, i: (e["key"] != "") & ~F.array_contains(F.slice(keys, i + 2, F.size(keys)), e["key"])))
+    return value
+
+
+def metadata_variant(value: Column, kind: T.DataType) -> Column:
+    """A map or struct of metadata as a VARIANT; null gives an empty one."""
+    return F.coalesce(F.to_variant_object(json_safe(value, kind)), F.parse_json(F.lit("{}")))

@@ -12,6 +12,7 @@ from quire.log import Change
 from quire.operators.retrieval import finished, merge, ranked_list, top
 from quire.operators.text_index import TextIndex
 from quire.operators.vector_index import VectorIndex
+from quire.plans.answer import fallback
 from quire.store import INDEX, Store
 
 TABLES = (*INDEX, "postings", "text_targets", "vector_cells")
@@ -51,11 +52,12 @@ class SearchStore(Store):
         super().clear(TABLES if set(INDEX) <= set(tables) else tables)
 
     def chunks(self, ids: DataFrame) -> DataFrame:
-        """child_id, document_id, file_name, file_type, child_text, parent_text and embedding of a few chunks (a column child_id)."""
-        own = self.read("child_chunks").select(F.col("id").alias("child_id"), "document_id", "parent_chunk_id", F.col("text").alias("child_text"), "embedding").join(F.broadcast(ids), "child_id")
-        parents = self.read("parent_chunks").select(F.col("id").alias("parent_chunk_id"), F.col("text").alias("parent_text"))
+        """child_id, document_id, file_name, file_type, child_text, parent_text, embedding, source_refs and parent_path (a child's, else its parent's) of a few chunks (a column child_id)."""
+        own = self.read("child_chunks").select(F.col("id").alias("child_id"), "document_id", "parent_chunk_id", F.col("text").alias("child_text"), "embedding", "source_refs", "parent_path").join(F.broadcast(ids), "child_id")
+        parents = self.read("parent_chunks").select(F.col("id").alias("parent_chunk_id"), F.col("text").alias("parent_text"), F.col("source_refs").alias("_refs"), F.col("parent_path").alias("_path"))
         documents = self.read("documents").select(F.col("id").alias("document_id"), "file_name", "file_type")
-        return own.join(parents, "parent_chunk_id").join(documents, "document_id").drop("parent_chunk_id")
+        rows = own.join(parents, "parent_chunk_id").join(documents, "document_id").drop("parent_chunk_id")
+        return rows.withColumns({"source_refs": fallback(F.col("source_refs"), F.col("_refs")), "parent_path": fallback(F.col("parent_path"), F.col("_path"))}).drop("_refs", "_path")
 
     def retrieve(self, query: str, vector: Sequence[float], options: Retrieval | None = None) -> DataFrame:
         """`operators.retrieval.retrieve` over the stored chunks, from the indexes: the same rows and scores."""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,6 +27,28 @@ def paged(rows: DataFrame, order: list[Column], limit: int = 100, offset: int =
     return rows.orderBy(*order).offset(offset).limit(limit)
 
 
+def page_after(rows: DataFrame, order: list[tuple[str, bool]], last: Sequence[object] | None = None, limit: int = 100) -> DataFrame:
+    """The rows that follow `last`, a row's values in the columns of the order, whose last one is unique; the first page without it.
+
+    `order` has columns and whether they descend; nulls come last. The bound of the
+    first column is a filter of its own, which a scan of Parquet can take: rows
+    before it are not sorted, and files and row groups without any after it not read.
+    """
+    limit, _ = page(limit, 0)
+    if last is not None:
+        following, same = F.lit(False), F.lit(True)
+        for (name, descends), value in zip(order, last, strict=True):
+            column = F.col(name)
+            beyond = F.lit(False) if value is None else ((column < F.lit(value)) if descends else (column > F.lit(value))) | column.isNull()
+            following = following | (same & beyond)
+            same = same & column.eqNullSafe(F.lit(value))
+        name, descends = order[0]
+        bound = F.col(name).isNull() if last[0] is None else ((F.col(name) <= F.lit(last[0])) if descends else (F.col(name) >= F.lit(last[0]))) | F.col(name).isNull()
+        rows = rows.filter(bound).filter(following)
+    keys = [F.desc_nulls_last(name) if descends else F.asc_nulls_last(name) for name, descends in order]
+    return rows.orderBy(*keys).limit(limit)
+
+
 def since_buckets(rows: DataFrame, ts: str, as_of: Column | None = None) -> DataFrame:
     """How many rows lie in the day, month and year of `as_of` (default: the newest row's time), and in all; one row."""
     if as_of is None:
@@ -95,8 +119,9 @@ def event_arrays(events: DataFrame, key: str, *fields: str) -> DataFrame:
     return events.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("events"))
 
 
-def next_queued(jobs: DataFrame, status: str, *order: str) -> DataFrame:
-    return jobs.filter(F.col(status) == "queued").orderBy(*order).limit(1)
+def queued(jobs: DataFrame, status: str, *order: str) -> DataFrame:
+    """The queued jobs, the next one first."""
+    return jobs.filter(F.col(status) == "queued").orderBy(*order)
 
 
 def offered_in_window(requests: DataFrame, client: str, ts: str, seconds: int) -> DataFrame:

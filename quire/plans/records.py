@@ -8,6 +8,7 @@ appended events.
 from __future__ import annotations
 
 import json
+import random
 import uuid
 from datetime import UTC, datetime
 
@@ -15,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.log import Snapshot
-from quire.operators.admin import next_queued
+from quire.operators.admin import index_stats, queued, readiness, since_buckets, status_pivot
 from quire.schemas import TABLES
 from quire.store import Change, Store
 
@@ -156,17 +157,22 @@ def emit(store: Store, job_id: str, stage: str, status: str, message: str = "",
 def claim(store: Store) -> str | None:
     """Mark the oldest queued job as running, for the caller alone; its id, or null if none is queued.
 
-    The claim touches the job, so it fails if another worker's came first; then the next job is tried.
+    The claim touches the job, so it fails if another worker's came first. After
+    each failure one more of the oldest jobs is chosen from, so that workers part.
     """
+    tried = 0
 
     def work(state: Snapshot, change: Change) -> str | None:
-        waiting = next_queued(jobs(store, state), "status", "created_at", "job_id").first()
-        if waiting is None:
+        nonlocal tried
+        tried += 1
+        waiting = queued(jobs(store, state), "status", "created_at", "job_id").limit(tried).collect()
+        if not waiting:
             return None
-        change.touch("job_events", waiting["job_id"])
-        event = row_of(store, "job_events", job_id=waiting["job_id"], seq=waiting["n_events"], stage="job", status="running", message="", at=now())
+        job = random.choice(waiting)
+        change.touch("job_events", job["job_id"])
+        event = row_of(store, "job_events", job_id=job["job_id"], seq=job["n_events"], stage="job", status="running", message="", at=now())
         change.rows("job_events", store.saved("job_events", event))
-        return waiting["job_id"]
+        return job["job_id"]
 
     return store.attempt(work)
 
@@ -200,3 +206,16 @@ def events(store: Store, job_id: str, stages: list[str] | None = None) -> DataFr
     """A job's events in order, those of some stages alone if asked for."""
     own = store.read("job_events").filter(F.col("job_id") == job_id)
     return (own.filter(F.col("stage").isin(*stages)) if stages else own).orderBy("seq")
+
+
+def overview(store: Store) -> DataFrame:
+    """One row: documents, parents, children and vectors, answers in the day, month and year, and jobs by status; all as of one version."""
+    at = store.state()
+    children = store.read("child_chunks", at)
+    parts = {
+        "index": index_stats(document_count=store.read("documents", at), parent_chunk_count=store.read("parent_chunks", at), child_chunk_count=children, vector_count=children.filter(F.size("embedding") > 0)),
+        "queries": since_buckets(store.read("rag_traces", at), "created_at", F.lit(now())),
+        "ingestion_jobs": status_pivot(jobs(store, at), "status", ["queued", "running", "completed", "failed"]),
+    }
+    row = store.spark.range(1).select(*[part.select(F.struct(*part.columns)).scalar().alias(name) for name, part in parts.items()])
+    return row.select("index.*", "queries", "ingestion_jobs", readiness(F.col("index.vector_count"), F.col("index.child_chunk_count")).alias("readiness"))

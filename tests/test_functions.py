@@ -1,11 +1,13 @@
 """Text, table and identifier functions on worked examples."""
 
 import hashlib
+import json
 
 from pyspark.sql import functions as F
 
 from quire.functions import ids, tabular
 from quire.functions import text as T
+from quire.operators import validate
 
 
 def value(spark, column, **given):
@@ -89,3 +91,20 @@ def test_references(spark):
     assert value(spark, ids.json_parent_path(F.col("x")), x="$.members[0].name") == ["$", "members", "[0]"]
     expected = hashlib.sha256("document\x1f\x1fa.txt\x1fA\x1ftxt".encode()).hexdigest()[:24]
     assert value(spark, ids.document_id(F.lit(None).cast("string"), F.lit("a.txt"), F.lit("A"), F.lit("txt"))) == expected
+
+
+def test_metadata_of_any_depth(spark):
+    kind = "struct<` name `:string,day:date,at:timestamp,price:decimal(6,2),tags:array<date>,more:map<string,struct<n:int,when:timestamp>>,none:string>"
+    row = spark.sql(f"SELECT from_json('{{\" name \": \" x \", \"day\": \"2024-02-03\", \"at\": \"2024-02-03T04:05:06.007\", \"price\": 1.50, \"tags\": [\"2024-01-01\"], \"more\": {{\" k \": {{\"n\": 1, \"when\": \"2024-01-01T00:00:00\"}}, \" \": {{\"n\": 2}}, \"k\": {{\"n\": 3}}}}}}', '{kind}') AS m")
+    found = json.loads(row.select(F.to_json(T.metadata_variant(F.col("m"), row.schema["m"].dataType))).first()[0])
+    assert found == {"name": " x ", "day": "2024-02-03", "at": "2024-02-03T04:05:06.007000", "price": "1.50", "tags": ["2024-01-01"], "more": {"k": {"n": 3, "when": None}}, "none": None}
+    empty = spark.sql("SELECT CAST(NULL AS MAP<STRING, INT>) AS m")
+    assert empty.select(F.to_json(T.metadata_variant(F.col("m"), empty.schema["m"].dataType))).first()[0] == "{}"
+
+
+def test_chunk_and_location_errors(spark):
+    rows = spark.createDataFrame([("x", 1, [0], 1, 2), (" ", 1, [0], 1, 1), ("x", 0, [0], None, 3), ("x", 1, [], 3, 2), ("x", 1, None, 0, None)], "text string, n int, orders array<int>, a int, b int")
+    found = rows.select(validate.chunk_error(F.col("text"), F.col("n"), F.col("orders"))["code"], validate.location_error(line=(F.col("a"), F.col("b")))["message"]).collect()
+    assert [tuple(r) for r in found] == [(None, None), ("EMPTY_CHUNK_TEXT", None), ("INVALID_TOKEN_COUNT", None), ("MISSING_SOURCE_BLOCKS", "line ends before it begins"), ("MISSING_SOURCE_BLOCKS", "line numbers begin at 1")]
+    documents = spark.createDataFrame([("a",), ("b",)], "document_id string")
+    assert [r.document_id for r in validate.documents_without_blocks(documents, documents.limit(1)).collect()] == ["b"]

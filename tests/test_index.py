@@ -194,3 +194,27 @@ def test_retrieval_from_indexes_equals_scan(spark, tmp_path):
         assert found == wanted and len(found) == 4
     store.clear()
     assert store.retrieve("licensed", vector).count() == 0
+
+
+def test_an_evaluation_runs_cases(spark, tmp_path):
+    """Ingested files, retrieval from the indexes, answers by a generator, the run's record."""
+    from quire.operators.embeddings import HashingProvider
+    from quire.plans import evaluation, records
+    from quire.plans.ingest import ingest
+    from quire.sources.files import discover
+
+    folder = tmp_path / "in"
+    folder.mkdir()
+    (folder / "works.md").write_text("# Works\n\nAll works are licensed to the public.\n")
+    (folder / "party.md").write_text("# Parties\n\nA party is held on Friday.\n")
+    store, provider = SearchStore(spark, f"file://{tmp_path}/s", buckets=4, range_bits=4, centres=4), HashingProvider(32)
+    ingest(discover(spark, [str(folder)]), store, provider)
+    cases = evaluation.cases(spark, [("a", "Which works are licensed?", ["public"], ["licensed"], ["works.md"], []), ("b", "When is the party?", ["Friday"], ["Friday"], ["works.md", "nowhere.md"], []), ("c", "party", ["never said"], [], ["PARTY.md"], [])])
+    rows, summary = evaluation.run(store, cases, provider, top_k=1, generate=lambda messages: messages[-1]["content"])
+    found = {r.case_id: (r.retrieval_passed, r.answer_passed, r.source_rank, r.status) for r in rows.collect()}
+    assert found == {"a": (True, True, 1, "passed"), "b": (False, True, None, "failed"), "c": (True, False, 1, "failed")}
+    assert (summary["total_cases"], summary["passed_cases"], summary["source_hit_rate"], summary["answer_term_pass_rate"]) == (3, 1, 0.6667, 0.6667) and summary["mean_answer_ms"] > 0 and summary["mean_total_ms"] >= summary["mean_retrieval_ms"] > 0
+    rows, summary = evaluation.run(store, cases, provider, ids=["b", "a", "b", "none"], top_k=2)
+    assert [r.case_id for r in rows.collect()] == ["b", "a", "b"] and summary["mean_answer_ms"] is None and summary["answer_term_pass_rate"] is None
+    records.record_run(store, summary, 2, False)
+    assert store.read("evaluation_runs").first().total_cases == 3

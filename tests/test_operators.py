@@ -1,6 +1,8 @@
 """Sources, chunking, validation, retrieval, store and streams on small inputs."""
 
 import io
+import random
+import time
 import zipfile
 
 import pytest
@@ -431,10 +433,33 @@ def test_streams_of_state(spark, tmp_path):
     states = jobs.job_state_stream(stream).writeStream.outputMode("complete").format("memory").queryName("states").trigger(availableNow=True).start()
     states.awaitTermination(120)
     assert {r.job_id: (r.status, r.n_events) for r in spark.table("states").collect()} == {"j1": ("completed", 4), "j2": ("queued", 1)}
-    limited = jobs.admitted_stream(stream, limit=2, seconds=60).writeStream.outputMode("append").format("memory").queryName("limited").trigger(availableNow=True).start()
-    limited.awaitTermination(120)
-    batch = {(r.client, r.event_id): r.admitted for r in jobs.admitted(frame, limit=2, seconds=60).collect()}
-    assert {(r.client, r.event_id): r.admitted for r in spark.table("limited").collect()} == batch
+
+
+def test_rate_limit_stream_equals_batch(spark, tmp_path):
+    """Requests in any order, over several batches; idle clients leave no state."""
+    rng = random.Random(7)
+    rows = sorted((rng.randint(0, 300_000_000), c) for c in range(6) for _ in range(30 if c else 60))
+    rows = [(c, k, at) for k, (at, c) in enumerate(rows)]
+    schema = "client long, event_id long, at long"
+    source = f"file://{tmp_path}/requests"
+    end = 900_000_000
+    for k in range(0, len(rows), 50):  # shuffled within what may be late
+        part = rows[k : k + 50]
+        rng.shuffle(part)
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(source)
+        time.sleep(1.1)
+    for k in range(2):
+        spark.createDataFrame([(99, 10_000 + k, end + k * 200_000_000)], schema).coalesce(1).write.mode("append").parquet(source)
+        time.sleep(1.1)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source)
+    limited = jobs.admitted_stream(stream, limit=3, seconds=60, late="120 seconds").writeStream.outputMode("append").format("memory").queryName("limited").option("checkpointLocation", f"file://{tmp_path}/check").trigger(availableNow=True).start()
+    limited.awaitTermination(240)
+    wanted = {(r.client, r.event_id): r.admitted for r in jobs.admitted(spark.createDataFrame(rows, schema), limit=3, seconds=60).collect()}
+    found = {(r.client, r.event_id): r.admitted for r in spark.table("limited").collect() if r.client != 99}
+    assert found == wanted and 20 < sum(wanted.values()) < len(wanted)
+    for name in ("waiting", "kept"):
+        left = spark.read.format("statestore").option("stateVarName", name).option("flattenCollectionTypes", "true").load(f"file://{tmp_path}/check")
+        assert {r.key.client for r in left.select("key").collect()} <= {99}
 
 
 def test_upsert_keeps_and_replaces(spark, tmp_path):

@@ -150,3 +150,30 @@ def test_sessions_are_found_or_made(spark, tmp_path):
     assert records.ensure_session(store, one) == one and store.read("chat_sessions").filter(F.col("id") == one).first().title == "Title"
     with pytest.raises(records.RecordError):
         records.ensure_session(store, "none")
+
+
+def test_tables_are_made_once(spark, tmp_path, settings):
+    first, other = (Store(spark, f"file://{tmp_path}/s") for _ in range(2))
+    first.append("index_metadata", settings(a="1"))
+    made = []
+    assert together(lambda: made.append(first.initialise()), lambda: made.append(other.initialise())) == []
+    assert sorted(map(len, made)) == [0, len(first.schemas) - 1] and first.missing_tables() == []
+    assert first.read("index_metadata").first().value == "1" and first.initialise() == []
+    other.append("rag_traces", records.row_of(other, "rag_traces", id="x"))
+    assert first.read("rag_traces").count() == 1
+
+
+def test_overview(spark, tmp_path):
+    store = Store(spark, f"file://{tmp_path}/s")
+    empty = records.overview(store).first()
+    assert (empty.document_count, empty.vector_count, empty.readiness, empty.queries.total, empty.ingestion_jobs.queued) == (0, 0, None, 0, 0)
+    chunk = lambda i, v: records.row_of(store, "child_chunks", id=i, document_id="d", embedding=v)
+    store.append("child_chunks", chunk("a", [1.0]).union(chunk("b", None)))
+    records.record_trace(store, "q", "a", [], 1.0, 2.0)
+    records.create_job(store, ["p"])
+    records.create_job(store, ["p"])
+    records.claim(store)
+    row = records.overview(store).first()
+    assert (row.child_chunk_count, row.vector_count, row.readiness) == (2, 1, 50)
+    assert row.queries.asDict() == {"today": 1, "this_month": 1, "this_year": 1, "total": 1}
+    assert row.ingestion_jobs.asDict() == {"queued": 1, "running": 1, "completed": 0, "failed": 0, "total": 2}
