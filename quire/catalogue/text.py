@@ -74,6 +74,20 @@ def parent_child_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return children.select("document_id", F.col("child_index").cast("long").alias("child_index"), "id", "parent_chunk_id", F.col("token_count").cast("long").alias("token_count"), F.md5("text").alias("digest"))
 
 
+def sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks of each document under headings that change every six blocks and come again after eighteen."""
+    docs = corpus(spark, sf_dir)
+    part = F.concat(F.lit("Part "), (F.floor(F.col("block_order") / 6) % 3).cast("string"))
+    blocks = normalize_blocks(aligned(plain.text_blocks(docs).withColumn("parent_path", F.array(F.lit("Book"), part))))
+    return blocks.join(docs.select("document_id", F.col("source").alias("title"), F.col("source").alias("file_name"), F.lit("md").alias("file_type"), F.lit(None).cast("string").alias("source_path")), "document_id")
+
+
+def heading_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parent chunks under headings: a chunk never holds two sections, and the same heading later is another section."""
+    parents, _ = chunking.chunk(sections(spark, sf_dir), Chunking(parent_target=150, parent_hard_max=200))
+    return parents.select("document_id", F.col("parent_index").cast("long").alias("parent_index"), "id", "structure_key", F.array_join("parent_path", "/").alias("path"), F.size("block_orders").cast("long").alias("n_blocks"), F.md5("text").alias("digest"))
+
+
 def chunk_orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Children by document once the first parents of every tenth document are gone."""
     parents, children = chunked(spark, sf_dir)
@@ -263,6 +277,20 @@ ORACLE_SQL["pack_segments"] = f"""
     s AS (SELECT doc_id AS key, NULL AS segs, list_transform(CASE WHEN parts[-1] = '' THEN parts[1 : len(parts) - 1] ELSE parts END, lambda x: greatest(1, len(regexp_extract_all(x, '[^ \\n]+')))::BIGINT) AS sizes FROM l),
     {packed_sql("fold", "s", 350, 60)}
     SELECT key AS doc_id, n AS bin, first, last, list_sum(sizes[first + 1 : last + 1])::BIGINT AS tokens FROM fold_bins"""
+ORACLE_SQL["heading_chunks"] = f"""
+    WITH RECURSIVE b AS ({ORACLE_SQL["text_lines_blocks"]}),
+    n AS (SELECT doc_id, block_order AS o, 'Part ' || (block_order // 6 % 3) AS part, block_order // 6 AS island, trim(regexp_replace(text, '[ \t]+', ' ', 'g')) AS text,
+                 'lines:' || line_start || CASE WHEN line_end <> line_start THEN '-' || line_end ELSE '' END AS ref FROM b),
+    w AS (SELECT *, regexp_extract_all(text, '[^ ]+') AS ws FROM n),
+    parent_rows AS (SELECT doc_id, island, part, o, ref, unnest({pieces_sql(200, 150, 0)}) AS p FROM w),
+    segs AS (SELECT {{'doc': doc_id, 'island': island, 'part': part}} AS key, list({{'o': o, 'ref': ref, 'i': p.i, 'c': p.c, 't': p.t}} ORDER BY o, p.i) AS segs, list(p.z ORDER BY o, p.i) AS sizes FROM parent_rows GROUP BY doc_id, island, part),
+    {packed_sql("fold", "segs", 150, 0)},
+    parents AS (SELECT key.doc AS doc_id, key.part AS part, row_number() OVER (PARTITION BY key.doc ORDER BY key.island, n) - 1 AS parent_index, segs[first + 1 : last + 1] AS own FROM fold_bins)
+    SELECT p.doc_id::VARCHAR AS document_id, parent_index, 'heading:Book > ' || part AS structure_key, 'Book/' || part AS path, len(list_distinct(list_transform(own, lambda s: s.o))) AS n_blocks,
+           left(sha256(p.doc_id || chr(31) || 'parent' || chr(31) || parent_index || chr(31) || 'heading:Book > ' || part || chr(31) || {FINGERPRINT}), 24) AS id,
+           md5('Document: ' || d.source || chr(10) || 'Section: Book > ' || part || chr(10) || chr(10) || array_to_string(list_transform(own, lambda s: trim(s.t)), chr(10) || chr(10))) AS digest
+    FROM parents p JOIN documents d ON d.doc_id = p.doc_id
+"""
 ORACLE_SQL["parent_child_chunks"] = f"""
     {chunks_sql(ORACLE_SQL["text_lines_blocks"])},
     titled AS (SELECT c.*, 'Document: ' || d.source || chr(10) || 'Section: ' || d.source || chr(10) || chr(10) || array_to_string(list_filter(list_transform(own, lambda s: trim(s.t)), lambda t: t <> ''), chr(10) || chr(10)) AS text FROM children c JOIN documents d USING (doc_id))
@@ -272,6 +300,6 @@ ORACLE_SQL["chunk_orphans"] = f"""
     {chunks_sql(ORACLE_SQL["text_lines_blocks"])}
     SELECT doc_id::VARCHAR AS document_id, count(*) AS orphans FROM children WHERE parent_index = 0 AND doc_id % 10 = 0 GROUP BY doc_id"""
 QUERIES = {f.__name__: f for f in (
-    text_lines_blocks, markdown_blocks, normalize_prose, token_count, token_windows_overlap, stable_document_id, structure_islands, pack_segments, parent_child_chunks, chunk_orphans,
+    text_lines_blocks, markdown_blocks, normalize_prose, token_count, token_windows_overlap, stable_document_id, structure_islands, pack_segments, parent_child_chunks, heading_chunks, chunk_orphans,
     block_validation, key_value_row, source_ref_format, json_path_extract, csv_rows, excerpt_preview, citation_linking, url_redaction, content_sniff, eval_missing_terms,
 )}

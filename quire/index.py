@@ -68,8 +68,8 @@ class SearchStore(Store):
         vector_hits = ranked_list(top(nearest, by_vector, n), by_vector, "vector_rank")
         wanted = {k: v for k, v in options.filters.items() if v and k in ("file_name", "file_type", "document_id")}
         # Filters choose among all matches; without any the index stops at the n best and their equals.
-        matched = self.text.search(query, None if wanted else n).rows.select(F.col("target").alias("child_id"), "lexical_score")
-        scored = self.vectors.scores(vector, options.filters).select(F.col("id").alias("child_id"), "vector_score").join(matched, "child_id")
+        matched = self.text.search(query, None if wanted else n).rows.select(F.col("target").alias("id"), "lexical_score")
+        scored = self.vectors.scores(vector, matched, options.filters).withColumnRenamed("id", "child_id")
         by_text = [F.desc("lexical_score"), F.desc("vector_score"), F.col("child_id")]
         lexical_hits = ranked_list(top(scored.select("child_id", "vector_score", "lexical_score"), by_text, n), by_text, "lexical_rank")
         merged = merge(vector_hits, lexical_hits, "child_id")

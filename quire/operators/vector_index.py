@@ -188,7 +188,9 @@ class VectorIndex:
         rows = self._alive(state, chosen).withColumn("document_id", F.col("owner"))
         return filtered(rows, filters or {}).drop("document_id").withColumn("vector_score", cosine(F.col("embedding"), vector))
 
-    def scores(self, vector: Sequence[float], filters: dict[str, str] | None = None) -> DataFrame:
-        """All vectors with vector_score, to be joined with the few that are asked for."""
+    def scores(self, vector: Sequence[float], wanted: DataFrame, filters: dict[str, str] | None = None) -> DataFrame:
+        """The wanted rows (with a column id) that have vectors which pass the filters, with vector_score, which is worked out for these alone."""
         state = self.store.state()
-        return self._scored(state, [(e, c[0]) for e in self._parts(state) for c in e["cells"]], vector, filters)
+        rows = self._alive(state, [(e, c[0]) for e in self._parts(state) for c in e["cells"]]).withColumn("document_id", F.col("owner"))
+        kept = filtered(rows, filters or {}).select("id", "embedding")
+        return kept.join(wanted, "id").withColumn("vector_score", cosine(F.col("embedding"), vector)).drop("embedding")
