@@ -20,12 +20,16 @@ def bound(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
+#: What Unicode counts as white space.
+WHITE = "\t\n\u000b\u000c\r \u0085\u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+
+
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    return F.btrim(text, F.lit(WHITE))
 
 
 def rstrip(text: Column) -> Column:
-    return F.regexp_replace(text, r"(?U)\s+$", "")
+    return F.rtrim(text, F.lit(WHITE))
 
 
 def strip_text(text: Column) -> Column:
@@ -62,8 +66,14 @@ def lines(text: Column) -> Column:
 
 def prose(text: Column) -> Column:
     """Lines stripped, runs of spaces and tabs made one space, empty lines dropped."""
-    each = F.transform(F.split(line_endings(text), "\n", -1), lambda line: F.regexp_replace(strip(line), "[ \t]+", " "))
-    return strip(F.array_join(F.filter(each, lambda line: line != ""), "\n"))
+    # White space with a line break in it is what lies between two lines that are not empty.
+    joined = F.regexp_replace(text, r"(?U)[\s&&[^\r\n]]*+[\r\n]\s*+", "\n")
+    return strip(F.regexp_replace(joined, "[ \t]{2,}|\t", " "))
+
+
+def is_blank(text: Column) -> Column:
+    """Whether nothing but white space is in a text, byte order marks at its start aside; it looks no further than the first other character."""
+    return text.rlike("(?U)^\ufeff*\\s*$")
 
 
 def multiline(text: Column, strip_lines: bool) -> Column:
@@ -74,8 +84,9 @@ def multiline(text: Column, strip_lines: bool) -> Column:
 
 def block_text(text: Column, block_type: Column) -> Column:
     """A block's text normalised by its type: code and JSON keep indents, tables keep lines, the rest is prose."""
-    start = strip(F.regexp_replace(line_endings(text), "^﻿+", ""))
-    return F.when(block_type.isin("code", "json"), multiline(start, False)).when(block_type == "table", multiline(start, True)).otherwise(prose(start))
+    marked = F.ltrim(text, F.lit("\ufeff"))
+    start = strip(line_endings(marked))
+    return F.when(block_type.isin("code", "json"), multiline(start, False)).when(block_type == "table", multiline(start, True)).otherwise(prose(marked))
 
 
 def parent_path(path: Column) -> Column:

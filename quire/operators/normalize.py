@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quire.functions.ids import source_ref
 from quire.functions.tabular import table_shape
-from quire.functions.text import block_text, parent_path
+from quire.functions.text import block_text, is_blank, parent_path
 
 
 def normalize_blocks(blocks: DataFrame) -> DataFrame:
@@ -17,7 +17,9 @@ def normalize_blocks(blocks: DataFrame) -> DataFrame:
     table_rows and table_columns where those are null.
     """
     text = block_text(F.col("text"), F.col("block_type"))
-    cleaned = blocks.withColumn("text", text).withColumn("parent_path", parent_path(F.col("parent_path"))).filter((F.col("text") != "") | (F.col("block_type") == "page_break"))
+    # Filtered by the raw text: a filter on the normalised one would work it out twice.
+    kept = blocks.filter(~is_blank(F.col("text")) | (F.col("block_type") == "page_break"))
+    cleaned = kept.withColumn("text", text).withColumn("parent_path", parent_path(F.col("parent_path")))
     shape = F.when(F.col("block_type") == "table", table_shape(F.col("text")))
     order = Window.partitionBy("document_id").orderBy("block_order")
     ref = source_ref(*[F.col(c) for c in ("page_number", "slide_number", "sheet_name", "line_start", "line_end", "row_start", "row_end")])
