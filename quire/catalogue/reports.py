@@ -205,7 +205,7 @@ ORACLE_SQL = {
                 SELECT *, list_filter(kept, lambda x: x >= t - {7 * 86_400 * 1_000_000}) AS kept_now FROM (SELECT *, ats[i + 1] AS t FROM r WHERE i < len(ids)))
         )
         SELECT client, event_id, admitted FROM r WHERE i > 0""",
-    "queue_claim_next": "SELECT event_id, 'running' AS status, 2 AS n_events FROM events WHERE event_type = 'signup' ORDER BY ts, event_id LIMIT 2",
+    "queue_claim_next": "SELECT event_id, 'running' AS status, 2::BIGINT AS n_events FROM events WHERE event_type = 'signup' ORDER BY ts, event_id LIMIT 2",
     "upsert_replace": "SELECT doc_id, source, CASE WHEN source = 'src3' THEN 2 ELSE 1 END AS version, 1 AS first_seen, CASE WHEN source = 'src3' THEN n_chars + 1 ELSE n_chars END AS n_chars FROM documents",
     "semi_join_delete": "SELECT l_suppkey, count(*) AS n FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F') GROUP BY l_suppkey",
     "eval_summary": """

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quire.log import Change, Snapshot
-from quire.operators.retrieval import all_of, any_of, covers, query_groups, stem_of, stems
+from quire.operators.retrieval import all_of, any_of, covers, query_groups, stem_of, stems, words
 from quire.session import ship
 from quire.store import Store
 
@@ -32,6 +32,7 @@ BUCKETS, RANGE_BITS = 64, 10
 #: Ranges that a search for the n best reads at first.
 FIRST = 16
 ENTRY = "unit:string,positions:array<int>"
+POSTING = "term string, range int, unit string, positions array<int>"
 BLOCK = f"term string, range int, most int, units int, entries array<struct<{ENTRY}>>"
 
 
@@ -52,9 +53,9 @@ def by_term(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """From (unit, range, stems) a row for each unit and term with its places; an empty stem has none."""
     for batch in batches:
         rows = []
-        for unit, number, words in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for unit, number, found in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             places: dict[str, list[int]] = {}
-            for k, word in enumerate(words or ()):
+            for k, word in enumerate(found or ()):
                 if word:
                     places.setdefault(word, []).append(k)
             rows += [(word, number, unit, own) for word, own in places.items()]
@@ -84,11 +85,14 @@ class TextIndex:
         store, spark = self.store, self.store.spark
         ship(spark)
         own = units.select("unit", self.range_of(F.col("owner")).alias("range"), F.coalesce(stems(F.col("text")), F.array().cast("array<string>")).alias("stems"))
-        postings = own.mapInArrow(by_term, "term string, range int, unit string, positions array<int>")
+        # Written once: dealing out by ranges reads its input twice, first for a sample.
+        work = f"{store.root}/_work/postings-{uuid.uuid4().hex}"
+        own.mapInArrow(by_term, POSTING).write.parquet(work)
+        postings = spark.read.schema(POSTING).parquet(work)
         change.drop("postings", "unit", store.saved("postings", units.select("unit").distinct(), "drop"))
         self._save(change, postings)
         listed = targets.select("target", "owner", F.posexplode("units").alias("at", "unit"))
-        sized = listed.join(own.select("unit", F.size("stems").alias("words")), "unit")
+        sized = listed.join(units.select("unit", F.coalesce(F.size(words(F.col("text"))), F.lit(0)).alias("words")), "unit")
         parts = F.transform(F.array_sort(F.collect_list(F.struct("at", "unit", "words"))), lambda p: F.struct(p["unit"].alias("unit"), p["words"].alias("words")))
         rows = sized.groupBy("target", "owner").agg(parts.alias("parts")).withColumn("range", self.range_of(F.col("owner")))
         path = store.saved("text_targets", rows.select(store.read_schema("text_targets")).sortWithinPartitions("range"))
