@@ -33,8 +33,8 @@ CANDIDATE_BYTES, QUERY_BYTES = 32 << 20, 16 << 20
 FIRST, BLOCK = 512, 4096
 #: Entries of each list that are read between two looks at the bounds, as a share of the list.
 STEPS = 8
-#: Candidates, in steps, whose scores cost less to resolve than a step of every list costs to read.
-RESOLVE = 4
+#: Candidates, in steps, that may be left to resolve: at most a step's worth, an eighth of a block.
+RESOLVE = 1
 NONE = -(1 << 62)
 LAST = np.iinfo(np.int64).max
 #: Scores must stay below this, so that sums of floats are exact.
