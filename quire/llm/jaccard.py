@@ -429,7 +429,14 @@ def verified(sets: DataFrame, percent: int) -> DataFrame:
     return arrow_map(dealt, run, "u long, v long")
 
 
-def similar_classes(documents: DataFrame, words: int = 5, percent: int = 80, most: int = MOST) -> DataFrame:
+def between_sets(pairs: DataFrame, found: DataFrame) -> DataFrame:
+    """Pairs (u, v) of doc_ids as pairs of the sets that these have."""
+    own = found.filter("id is not null").select("doc_id", "id")
+    first = pairs.join(own, F.col("u") == F.col("doc_id")).select(F.col("id").alias("u"), "v")
+    return first.join(own, F.col("v") == F.col("doc_id")).select("u", F.col("id").alias("v")).filter("u <> v").distinct()
+
+
+def similar_classes(documents: DataFrame, words: int = 5, percent: int = 80, most: int = MOST, also: DataFrame | None = None) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id.
 
     A document's set has its distinct shingles of `words` words; A-Z count as a-z,
@@ -440,6 +447,7 @@ def similar_classes(documents: DataFrame, words: int = 5, percent: int = 80, mos
     one node, a component without any doc_id has a null component_id. Other columns are ignored;
     an empty table gives an empty one. All is exact but for collisions of 64-bit
     hashes of shingles; if two different sets have one 64-bit id, another hash is taken.
+    `also` has candidates (u, v) by doc_id from elsewhere, which are held against the sets like all others.
     """
     for seed in range(8):
 
@@ -458,7 +466,8 @@ def similar_classes(documents: DataFrame, words: int = 5, percent: int = 80, mos
             break
     else:
         raise RuntimeError("different sets have equal ids whatever the hash")
-    clusters = roots(staged(candidates(found, nodes, percent), "candidates"))
+    near = candidates(found, nodes, percent)
+    clusters = roots(staged(near if also is None else near.union(between_sets(also, found)), "candidates"))
     sets = staged(clustered_sets(documents, shingles, staged(clusters, "clusters")), "whole")
     linked = staged(roots(staged(verified(sets, percent), "links")), "roots")
     first = nodes.select("id", "first_doc")

@@ -8,7 +8,7 @@ those with the least estimated work. Each distinct fingerprint probes, in each
 part, the buckets within the part's threshold. Within a bucket all candidates
 are verified and a spanning forest of the links, nearest first, goes on: no
 bucket emits all its pairs. Where a similarity of shingle sets is asked for, the
-links of the forests are held against it by bounded sketches of the sets.
+links of the forests are candidates beside those of an exact join.
 """
 
 from __future__ import annotations
@@ -25,11 +25,11 @@ from pyspark.sql import types as T
 
 from quire.llm.common import arrow_map, below, byte_slices, fresh, staged
 from quire.llm.components import roots
+from quire.llm.jaccard import similar_classes
 
 BITS = 64
-#: Numbers of parts to choose from, for few and for many differing bits.
+#: Numbers of parts to choose from.
 PARTS = (5, 4, 3, 2)
-WIDE_PARTS = (8, 7, 6, 5, 4)
 
 
 def shingle_hashes(data: bytes, words: int) -> list[int]:
@@ -335,39 +335,6 @@ def near_duplicates(documents: DataFrame, words: int = 4, distance: int = 4, ms:
     return rows.join(labels, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-#: Smallest shingle hashes that a sketch keeps.
-SKETCH = 1024
-
-
-def similar(found: DataFrame, texts: DataFrame, words: int, similarity: float, sketch: int = SKETCH) -> DataFrame:
-    """Those of the links (u, v) whose texts' sets of shingles have a Jaccard similarity of `similarity` or more.
-
-    `texts` has fp and text for each end of a link. A text's sketch is its
-    `sketch` smallest distinct shingle hashes, so the similarity is exact where both
-    texts have no more shingles than that, else estimated from the smallest hashes
-    of their union, with a standard error of 0.0125 at 0.8.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, own in byte_slices(batches, "text"):
-            kept = [np.sort(np.unique(np.array(shingle_hashes(t.encode().lower(), words), np.uint64))[:sketch].view(np.int64)) for t in own]
-            offsets = np.concatenate([[0], np.cumsum([len(k) for k in kept])])
-            lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate([*kept, np.zeros(0, np.int64)])))
-            yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("fp")), lists], ["fp", "sketch"])
-
-    def share(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, b = (np.asarray(batch.column(k).values) for k in (2, 3))
-            i, j = (np.asarray(batch.column(k).offsets) for k in (2, 3))
-            good = [jaccard(a[i[k] : i[k + 1]].view(np.uint64), b[j[k] : j[k + 1]].view(np.uint64), sketch) >= similarity for k in range(batch.num_rows)]
-            yield pa.RecordBatch.from_arrays(batch.columns[:2], ["u", "v"]).filter(pa.array(good, pa.bool_()))
-
-    sketches = staged(arrow_map(texts.select("fp", "text"), run, "fp long, sketch array<long>"), "sketches")
-    left = staged(found.join(sketches, F.col("u") == F.col("fp")).select("u", "v", F.col("sketch").alias("a")), "left")
-    both = left.join(sketches, F.col("v") == F.col("fp")).select("u", "v", "a", F.col("sketch").alias("b"))
-    return arrow_map(both, share, "u long, v long")
-
-
 def jaccard(a: np.ndarray, b: np.ndarray, sketch: int) -> float:
     """The similarity of two sets from the distinct smallest hashes of each; two empty sets are equal."""
     union, times = np.unique(np.concatenate([a, b]), return_counts=True)
@@ -375,20 +342,29 @@ def jaccard(a: np.ndarray, b: np.ndarray, sketch: int) -> float:
     return float((times == 2).mean()) if len(times) else 1.0
 
 
-def one_of_each(documents: DataFrame, words: int = 5, similarity: float = 0.8, distance: int = 12, ms: tuple[int, ...] = WIDE_PARTS) -> DataFrame:
+def proposed(rows: DataFrame, nodes: DataFrame, distance: int, ms: tuple[int, ...]) -> DataFrame:
+    """Pairs (u, v) of doc_ids that connect what has one fingerprint or links of fingerprints, from (doc_id, fp) and one doc_id (first_doc) of each fp."""
+    same = rows.join(nodes, "fp").filter("doc_id <> first_doc").select(F.col("doc_id").alias("u"), F.col("first_doc").alias("v"))
+    first = links(nodes.select("fp"), distance, ms).distinct().join(nodes, F.col("u") == F.col("fp")).select(F.col("first_doc").alias("u"), "v")
+    return same.union(first.join(nodes, F.col("v") == F.col("fp")).select("u", F.col("first_doc").alias("v")))
+
+
+def one_of_each(documents: DataFrame, words: int = 5, similarity: float = 0.8, distance: int = 4, ms: tuple[int, ...] = PARTS) -> DataFrame:
     """The documents without near-duplicates: of each group, one row with the smallest doc_id (null ids last).
 
-    Two texts are linked if their sets of `words`-word shingles have a similarity
-    of `similarity` or more and the fingerprints of these sets differ in at most
-    `distance` bits; groups are what links connect. Of a pair with a similarity
-    of 0.8, 0.85 or 0.9 about 84, 94 or 98 % are within 12 bits. Texts of one
-    fingerprint are one group, texts without words among them. A null text
-    counts as empty.
+    Two texts are linked if their sets of `words`-word shingles (A-Z as a-z) have a similarity
+    of `similarity` or more, a whole number of hundredths; groups are what links connect. Fingerprints of
+    these sets within `distance` bits propose pairs; as no number of bits has all that are
+    similar, the signature trees of `jaccard` propose the rest, and all are held
+    against the sets. Texts without words are one group. A null text counts as empty.
 
     All columns stay as they are, whatever their names. The rows are written once with their
     fingerprints and a number each, so that equal rows are told apart. An empty
     table gives an empty one.
     """
+    percent = round(100 * similarity)
+    if abs(100 * similarity - percent) > 1e-9 or not 0 < percent <= 100:
+        raise ValueError("similarity must be a whole number of hundredths, above 0 and at most 1")
     fp, row = fresh("fp", documents.columns), fresh("row", documents.columns)
     schema = T.StructType([*documents.schema.fields, T.StructField(fp, T.LongType())])
 
@@ -398,12 +374,11 @@ def one_of_each(documents: DataFrame, words: int = 5, similarity: float = 0.8, d
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found)], [*batch.schema.names, fp])
 
     tagged = staged(arrow_map(documents, run, schema).withColumn(row, F.monotonically_increasing_id()), "tagged")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col(row).alias("row"))).alias("first")
-    nodes = staged(tagged.groupBy(F.col(fp).alias("fp")).agg(first), "nodes")
-    found = staged(links(nodes.select("fp"), distance, ms).distinct(), "links")
-    ends = found.select(F.col("u").alias("fp")).union(found.select("v")).distinct()
-    of_ends = nodes.join(ends, "fp").select("fp", F.col("first.row").alias("at"))
-    texts = tagged.select(F.col(row).alias("at"), "text").join(of_ends, "at").select("fp", "text")
-    grouped = roots(similar(found, texts, words, similarity))
-    winners = nodes.join(grouped, F.col("fp") == F.col("node"), "left").groupBy(F.coalesce("root", "fp")).agg(F.min("first").alias("first"))
-    return tagged.join(winners.select(F.col("first.row").alias(row)), row, "left_semi").select(*documents.columns)
+    rows = tagged.select(F.col(row).alias("doc_id"), F.col(fp).alias("fp"))
+    nodes = staged(rows.groupBy("fp").agg(F.min("doc_id").alias("first_doc")), "nodes")
+    classes = similar_classes(tagged.select(F.col(row).alias("doc_id"), "text"), words, percent, also=staged(proposed(rows, nodes, distance, ms), "proposed"))
+    group = classes.select(F.col("doc_id").alias("of"), F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(-1).alias("group"))
+    known = tagged.select(F.col(row).alias("at"), "doc_id").join(group, F.col("at") == F.col("of"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("at").alias("row"))).alias("first")
+    winners = staged(known.groupBy("group").agg(first).select(F.col("first.row").alias(row)), "winners")
+    return tagged.join(winners, row, "left_semi").select(*documents.columns)

@@ -273,6 +273,20 @@ def test_one_of_each(spark, odd):
     assert simhash.one_of_each(odd.limit(0)).collect() == []
 
 
+def test_one_of_each_leaves_no_similar_pair_out(spark):
+    """Chains of short texts, each with a similarity of 0.8 or more to the next: fingerprints of so few shingles are often far apart, and ends of chains are not alike."""
+    rng = random.Random(31)
+    rows, groups = [], []
+    for k in range(150):
+        words = words_of(rng, 12 + 2 * (k % 3)).split()
+        groups.append([3 * k + n for n in range(3)])
+        rows += [(3 * k + n, " ".join(words + [f"x{k}y{j}" for j in range(2 * n)])) for n in range(3)]
+    sets = {i: shingle_set(t) for i, t in rows}
+    assert all(len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) for g in groups for a, b in zip(g, g[1:], strict=False))
+    kept = {r.doc_id for r in simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert kept == {g[0] for g in groups}
+
+
 # search
 
 
