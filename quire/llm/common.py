@@ -7,34 +7,18 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.session import ship
+from quire.arrow import BATCH_BYTES, BATCH_ROWS, arrow_map, byte_slices, small_batches
 
-#: Rows and bytes that Spark hands to a Python worker at once. Texts differ in
-#: length by orders of magnitude, so the byte bound is the one that matters.
-BATCH_ROWS = 2000
-BATCH_BYTES = 8 << 20
+__all__ = ["BATCH_BYTES", "BATCH_ROWS", "UnitCache", "arrow_map", "below", "byte_slices", "fresh", "new_folder", "read_table", "shared_dir", "small_batches", "staged"]
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Keep Arrow batches within a worker's memory whatever the texts' lengths.
-
-    Spark reads these settings when a plan runs, so they stay set in the session;
-    lower ones of the caller's stay as they are.
-    """
-    for key, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
-        now = int(re.sub(r"\D", "", spark.conf.get(f"spark.sql.execution.arrow.{key}", None) or "") or 0)
-        if not 0 < now <= most:
-            spark.conf.set(f"spark.sql.execution.arrow.{key}", most)
-
-
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share; one of our own only where none is set and all run in one process."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
@@ -80,29 +64,6 @@ def fresh(name: str, taken: Iterable[str]) -> str:
     return name
 
 
-def arrow_map(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    ship(df.sparkSession)
-    small_batches(df.sparkSession)
-    return df.mapInArrow(function, schema)
-
-
-def byte_slices(batches: Iterable[pa.RecordBatch], column: str, limit: int = 3 << 20) -> Iterator[tuple[pa.RecordBatch, list]]:
-    """Slices of rows whose texts together take about `limit` characters, with those texts (null: empty)."""
-    for batch in batches:
-        values = batch.column(batch.schema.get_field_index(column)).to_pylist()
-        start = size = 0
-        texts: list = []
-        for i, value in enumerate(values):
-            value = value or ""
-            if texts and size + len(value) > limit:
-                yield batch.slice(start, i - start), texts
-                start, size, texts = i, 0, []
-            texts.append(value)
-            size += len(value)
-        if texts:
-            yield batch.slice(start), texts
-
-
 class UnitCache:
     """Results for the distinct units (words, runs between spaces) of texts, each computed once while it stays.
 

@@ -5,12 +5,10 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.session import ship
-from quire.sources.markdown import SCHEMA, markdown_blocks, split_lines
+from quire.sources.markdown import block_rows, markdown_blocks, split_lines
 
 __all__ = ["markdown_blocks", "markdown_title", "text_blocks"]
 LIST_ITEM = re.compile(r"^(\s*)([-*+]|\d+[.)])\s+")
@@ -33,18 +31,11 @@ def paragraphs(text: str) -> Iterator[tuple]:
 
 def text_blocks(documents: DataFrame) -> DataFrame:
     """Paragraphs (lines up to a blank line or list item, joined by spaces) and list items of (document_id, text), with line ranges. A null text has none."""
-    ship(documents.sparkSession)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for own, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                rows += [(own, k, kind, t, None, [], a, b, mark, indent, None) for k, (kind, t, a, b, mark, indent) in enumerate(paragraphs(text or ""))]
-            kinds = (pa.string(), pa.int32(), pa.string(), pa.string(), pa.int32(), pa.list_(pa.string()), pa.int32(), pa.int32(), pa.string(), pa.int32(), pa.string())
-            columns = zip(*rows, strict=True) if rows else [()] * len(kinds)
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], [x.split()[0] for x in SCHEMA.split(", ")])
+    def rows_of(own: str, text: str) -> Iterator[tuple]:
+        return ((own, k, kind, t, None, [], a, b, mark, indent, None) for k, (kind, t, a, b, mark, indent) in enumerate(paragraphs(text)))
 
-    return documents.select("document_id", "text").mapInArrow(run, SCHEMA)
+    return block_rows(documents, rows_of)
 
 
 def markdown_title(blocks: DataFrame) -> DataFrame:

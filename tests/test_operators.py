@@ -5,9 +5,11 @@ import random
 import time
 import zipfile
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from quire.arrow import BATCH_ROWS, ROWS_AT_ONCE
 from quire.config import Chunking, Retrieval, candidate_limit, page
 from quire.operators import chunking, retrieval, validate
 from quire.operators.embeddings import HashingProvider, embed_column
@@ -56,6 +58,18 @@ def test_markdown_blocks(spark):
     assert (front.v, front.line_end) == ("3.4.1", 3)
 
 
+@pytest.mark.parametrize("blocks", [plain.text_blocks, markdown.markdown_blocks])
+def test_blocks_leave_a_task_in_small_batches(spark, blocks, monkeypatch):
+    """However many documents Spark hands over at once, a task makes the rows of a few thousand blocks at a time."""
+    caught = {}
+    monkeypatch.setattr(type(spark.range(0)), "mapInArrow", lambda self, run, schema: caught.update(run=run))
+    blocks(documents(spark, "a"))
+    batch = pa.RecordBatch.from_pydict({"document_id": [str(k) for k in range(9000)], "text": ["a line\n\nanother"] * 9000})
+    sizes = [b.num_rows for b in caught["run"](iter([batch]))]
+    assert sum(sizes) == 18000 and max(sizes) <= ROWS_AT_ONCE
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= BATCH_ROWS
+
+
 def test_csv_and_json(spark):
     rows = structured.csv_blocks(documents(spark, "name,score\nAda,98\n\nLinus,95\n", "a,b\n")).orderBy("document_id", "row_no").collect()
     assert [(r.row_no, r.text) for r in rows] == [(2, "name: Ada | score: 98"), (4, "name: Linus | score: 95"), (1, "Columns: a | b")]
