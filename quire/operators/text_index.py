@@ -17,14 +17,16 @@ import zlib
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quire.arrow import arrow_map
 from quire.log import Change, Snapshot
 from quire.operators.retrieval import all_of, any_of, covers, query_groups, stem_of, stems, words
-from quire.session import ship
 from quire.store import Store
 
 #: Buckets of terms, and bits of a range's number: about a thousand units to a range keep blocks small.
@@ -49,19 +51,38 @@ def bucket_of(term: str, buckets: int) -> int:
     return zlib.crc32(term.encode()) % buckets
 
 
+#: Words whose places are sorted at once.
+WORDS_AT_ONCE = 200_000
+
+
 def by_term(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From (unit, range, stems) a row for each unit and term with its places; an empty stem has none."""
+    """From (unit, range, stems) a row for each unit and term with its places; an empty stem has none. Some units at a time, as arrays."""
     for batch in batches:
-        rows = []
-        for unit, number, found in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            places: dict[str, list[int]] = {}
-            for k, word in enumerate(found or ()):
-                if word:
-                    places.setdefault(word, []).append(k)
-            rows += [(word, number, unit, own) for word, own in places.items()]
-        kinds = (pa.string(), pa.int32(), pa.string(), pa.list_(pa.int32()))
-        columns = zip(*rows, strict=True) if rows else [()] * 4
-        yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], ["term", "range", "unit", "positions"])
+        ends = np.cumsum(pc.fill_null(pc.list_value_length(batch.column(2)), 0).to_numpy(zero_copy_only=False))
+        start = 0
+        while start < batch.num_rows:
+            done = int(ends[start - 1]) if start else 0
+            end = max(start + 1, int(np.searchsorted(ends, done + WORDS_AT_ONCE, side="right")))
+            yield places_of(batch.slice(start, end - start))
+            start = end
+
+
+def places_of(rows: pa.RecordBatch) -> pa.RecordBatch:
+    sizes = pc.fill_null(pc.list_value_length(rows.column(2)), 0).to_numpy(zero_copy_only=False)
+    unit = np.repeat(np.arange(len(sizes)), sizes)
+    place = np.arange(len(unit)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    stems_ = rows.column(2).flatten()
+    known = pc.fill_null(pc.not_equal(stems_, ""), False).to_numpy(zero_copy_only=False)
+    coded = stems_.dictionary_encode()
+    code = pc.fill_null(coded.indices, 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    unit, place, code = unit[known], place[known], code[known]
+    order = np.lexsort((code, unit))  # stable: places stay in order
+    unit, place, code = unit[order], place[order], code[order]
+    firsts = np.flatnonzero(np.concatenate([[True], (unit[1:] != unit[:-1]) | (code[1:] != code[:-1])])) if len(unit) else np.zeros(0, np.int64)
+    positions = pa.ListArray.from_arrays(pa.array(np.append(firsts, len(unit)), pa.int32()), pa.array(place, pa.int32()))
+    at = pa.array(unit[firsts])
+    columns = [coded.dictionary.take(pa.array(code[firsts])), rows.column(1).take(at), rows.column(0).take(at), positions]
+    return pa.RecordBatch.from_arrays(columns, ["term", "range", "unit", "positions"])
 
 
 class TextIndex:
@@ -83,11 +104,10 @@ class TextIndex:
         target have its owner. A null text has no words.
         """
         store, spark = self.store, self.store.spark
-        ship(spark)
         own = units.select("unit", self.range_of(F.col("owner")).alias("range"), F.coalesce(stems(F.col("text")), F.array().cast("array<string>")).alias("stems"))
         # Written once: dealing out by ranges reads its input twice, first for a sample.
         work = f"{store.root}/_work/postings-{uuid.uuid4().hex}"
-        own.mapInArrow(by_term, POSTING).write.parquet(work)
+        arrow_map(own, by_term, POSTING).write.parquet(work)
         postings = spark.read.schema(POSTING).parquet(work)
         change.drop("postings", "unit", store.saved("postings", units.select("unit").distinct(), "drop"))
         self._save(change, postings)

@@ -20,9 +20,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quire.arrow import arrow_map
 from quire.log import Change, Snapshot
 from quire.operators.retrieval import cosine, filtered
-from quire.session import ship
 from quire.store import Store
 
 #: Centres at most, vectors that they are fitted on at most, and rounds of fitting.
@@ -110,7 +110,6 @@ class VectorIndex:
     def _save(self, vectors: DataFrame, path: str, kind: str) -> tuple[str, list]:
         """Write vectors by cell; the folder, and each cell's number, count and radius."""
         centres, spark = self.centres(path), self.store.spark
-        ship(spark)
         rows = vectors.select("id", "owner", "file_name", "file_type", "embedding")
         schema = T.StructType([*rows.schema.fields, T.StructField("cell", T.IntegerType()), T.StructField("away", T.DoubleType())])
 
@@ -127,7 +126,7 @@ class VectorIndex:
 
         at = f"{self.store.root}/vector_cells/{kind}-{uuid.uuid4().hex}"
         # A cell may hold very many vectors: they are dealt out by cell and id, so that each task writes a few cells.
-        rows.mapInArrow(assign, schema).repartitionByRange("cell", "id").write.partitionBy("cell").parquet(at)
+        arrow_map(rows, assign, schema).repartitionByRange("cell", "id").write.partitionBy("cell").parquet(at)
         radii = spark.read.parquet(at).groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("away").alias("radius")).collect()
         return at, sorted([r["cell"], r["n"], r["radius"]] for r in radii)
 

@@ -4,6 +4,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -11,6 +12,7 @@ from quire.config import Retrieval
 from quire.index import SearchStore
 from quire.log import Change
 from quire.operators import retrieval as R
+from quire.operators import text_index
 from quire.operators.text_index import TextIndex, bucket_of
 from quire.operators.vector_index import VectorIndex, directions
 from quire.store import Store
@@ -54,6 +56,19 @@ def test_search_equals_scan(spark, texts, query, tmp_path_factory):
         assert not best or {t for t, s in wanted.items() if s >= best[-1]} <= set(some) or len(wanted) < n
 
 
+def test_postings_leave_a_task_in_small_batches(spark, monkeypatch):
+    """However many texts Spark hands over at once, a task makes the postings of a bounded number of words at a time."""
+    rng = random.Random(5)
+    stems = [None if k % 50 == 0 else [rng.choice(["", "a", "bc", "d", None]) for _ in range(rng.randint(0, 60))] for k in range(900)]
+    kinds = {"unit": pa.string(), "range": pa.int32(), "stems": pa.list_(pa.string())}
+    batch = pa.RecordBatch.from_pydict({"unit": [f"u{k}" for k in range(900)], "range": [k % 7 for k in range(900)], "stems": stems}, pa.schema(kinds.items()))
+    monkeypatch.setattr(text_index, "WORDS_AT_ONCE", 500)
+    parts = list(text_index.by_term(iter([batch])))
+    got = sorted((u, t, n, p) for b in parts for t, n, u, p in zip(*(c.to_pylist() for c in b.columns), strict=True))
+    assert got == sorted((f"u{k}", t, k % 7, [i for i, w in enumerate(own or ()) if w == t]) for k, own in enumerate(stems) for t in {w for w in own or () if w})
+    assert max(b.num_rows for b in parts) <= 500 and len(parts) > 20
+
+
 _made = {}
 
 
