@@ -12,6 +12,7 @@ from quire.functions import text as T
 from quire.operators import chunking, validate
 from quire.operators.normalize import normalize_blocks
 from quire.plans.ingest import aligned
+from quire.session import new_folder
 from quire.sources import plain, structured
 
 
@@ -62,11 +63,11 @@ def pack_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bins.select("doc_id", *[c.cast("long").alias(n) for n, c in (("bin", F.col("bin")), ("first", F.col("r.first")), ("last", F.col("r.last")), ("tokens", total))])
 
 
-def chunked(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def chunked(spark: SparkSession, sf_dir: str, work: str | None = None) -> tuple[DataFrame, DataFrame]:
     docs = corpus(spark, sf_dir)
     blocks = normalize_blocks(aligned(plain.text_blocks(docs)))
     named = docs.select("document_id", F.col("source").alias("title"), F.col("source").alias("file_name"), F.lit("txt").alias("file_type"), F.lit(None).cast("string").alias("source_path"))
-    return chunking.chunk(blocks.join(named, "document_id"), Chunking())
+    return chunking.chunk(blocks.join(named, "document_id"), Chunking(), work=work)
 
 
 def parent_child_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,7 +91,7 @@ def heading_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def chunk_orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Children by document once the first parents of every tenth document are gone."""
-    parents, children = chunked(spark, sf_dir)
+    parents, children = chunked(spark, sf_dir, new_folder(spark, "chunks"))
     left = parents.filter((F.col("parent_index") > 0) | (F.col("document_id").cast("long") % 10 > 0))
     return chunking.orphans(left, children).groupBy("document_id").agg(F.count(F.lit(1)).alias("orphans"))
 

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from quire.arrow import arrow_map
 from quire.config import Chunking
 from quire.functions.ids import json_parent_path, stable_id
 from quire.functions.text import strip, token_count, tokens, windows_of
@@ -103,9 +104,17 @@ def split(rows: DataFrame, hard_max: int, target: int, overlap: int, counter: Ca
     """A row for each segment: texts of up to `hard_max` tokens whole, others in windows; adds tokens, segment_index, segment_count."""
     rows = rows.withColumn("_words", tokens(F.col("text")))
     pieces = F.when(F.size("_words") <= hard_max, F.array("text")).otherwise(windows_of(F.col("_words"), target, overlap))
-    rows = rows.withColumn("_pieces", pieces).drop("_words")
+    rows = rows.withColumn("_pieces", pieces).withColumn("_n", F.size("_words")).drop("_words")
     out = rows.select(*[c for c in rows.columns if c not in ("text", "_pieces")], F.size("_pieces").alias("segment_count"), F.posexplode("_pieces").alias("segment_index", "text"))
-    return out.withColumn("tokens", F.greatest(F.lit(1), counter(F.col("text"))))
+    return out.withColumn("tokens", F.greatest(F.lit(1), counted("_n", "segment_index", "segment_count", target, overlap, counter, "text"))).drop("_n")
+
+
+def counted(n: str, index: str, count: str, target: int, overlap: int, counter: Callable[[Column], Column], text: str) -> Column:
+    """The tokens of a text that is a window, or the whole, of `n` words: known without a further look if words are what is counted."""
+    if counter is not token_count:
+        return counter(F.col(text))
+    step = max(1, target - min(overlap, target - 1))
+    return F.when(F.col(count) == 1, F.col(n)).otherwise(F.least(F.lit(target), F.col(n) - F.col(index) * step))
 
 
 SEGMENT = "block_order:int,ref:string,fingerprint_ref:string,block_type:string,text:string,tokens:int,segment_index:int,segment_count:int"
@@ -158,19 +167,21 @@ PLACE = ["document_id", "title", "group_key", "group_path", "structure", "block_
 
 def folded(blocks: DataFrame, config: Chunking, counter: Callable[[Column], Column], grouper: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """FOLDED rows of blocks: texts are cut and counted where they are, then one shuffle brings a document's segments together."""
-    ship(blocks.sparkSession)
     own = grouper(blocks).select(
         "document_id", "title", "group_key", "group_path", "structure", "block_order", "block_type", "text",
         F.col("source_ref").alias("ref"), F.coalesce(F.nullif("source_ref", F.lit("")), F.col("json_path"), F.lit("no-source")).alias("fingerprint_ref"),
     )
     segments = split(own, config.parent_hard_max, config.parent_target, 0, counter)
-    kids = segments.withColumn("_words", tokens(F.col("text"))).withColumn("_kids", F.when(F.size("_words") <= config.child_target, F.array("text")).otherwise(windows_of(F.col("_words"), config.child_target, config.child_overlap)))
+    # Where words are counted, `tokens` is a segment's number of words (1 without any): short ones are not split again.
+    size = F.col("tokens") if counter is token_count else F.size(tokens(F.col("text")))
+    kids = segments.withColumn("_kids", F.when(size <= config.child_target, F.array("text")).otherwise(windows_of(tokens(F.col("text")), config.child_target, config.child_overlap)))
     rows = kids.select(*PLACE, "text", "tokens", F.size("_kids").alias("kid_count"), F.posexplode("_kids").alias("kid", "kid_text"))
+    kid_tokens = counted("tokens", "kid", "kid_count", config.child_target, config.child_overlap, counter, "kid_text")
     # A segment's own text goes with its first part alone.
-    rows = rows.select(*PLACE, F.when(F.col("kid") == 0, F.col("text")).alias("text"), F.col("tokens").cast("int").alias("tokens"), "kid", "kid_count", "kid_text", F.greatest(F.lit(1), counter(F.col("kid_text"))).cast("int").alias("kid_tokens"))
+    rows = rows.select(*PLACE, F.when(F.col("kid") == 0, F.col("text")).alias("text"), F.col("tokens").cast("int").alias("tokens"), "kid", "kid_count", "kid_text", F.greatest(F.lit(1), kid_tokens).cast("int").alias("kid_tokens"))
     order = ["document_id", "block_order", "segment_index", "kid"]
     schema = to_arrow_schema(T.StructType.fromDDL(FOLDED))
-    return rows.repartition("document_id").sortWithinPartitions(*order).mapInArrow(lambda batches: fold(batches, config, schema), FOLDED)
+    return arrow_map(rows.repartition("document_id").sortWithinPartitions(*order), lambda batches: fold(batches, config, schema), FOLDED)
 
 
 def chunk_text(title: Column, path: Column, segments: Column, prefix: bool) -> Column:
@@ -187,14 +198,20 @@ def fingerprint(segments: Column) -> Column:
 
 
 def chunk(
-    blocks: DataFrame, config: Chunking | None = None, counter: Callable[[Column], Column] = token_count, grouper: Callable[[DataFrame], DataFrame] = with_structure
+    blocks: DataFrame, config: Chunking | None = None, counter: Callable[[Column], Column] = token_count, grouper: Callable[[DataFrame], DataFrame] = with_structure,
+    work: str | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """(parents, children). Indexes count from 0 within a document; ids depend on content and place alone.
 
     `counter` gives a text's tokens (long texts are cut by words whatever it counts); `grouper` adds group_key, group_path and structure.
+    With `work`, a new folder's path, what both are made of is written there first, so that it is worked out once.
     """
     config = config or Chunking()
-    return parents_of(rows := folded(blocks, config, counter, grouper), config, counter), children_of(rows, config, counter)
+    rows = folded(blocks, config, counter, grouper)
+    if work is not None:
+        rows.write.parquet(work)
+        rows = blocks.sparkSession.read.schema(rows.schema).parquet(work)
+    return parents_of(rows, config, counter), children_of(rows, config, counter)
 
 
 def with_parent_id(rows: DataFrame) -> DataFrame:

@@ -257,6 +257,20 @@ def test_chunks(spark):
     assert prefixed.text == "Document: T\nSection: T\n\nshort text" and prefixed.token_count == 6
 
 
+def test_chunks_are_worked_out_once(spark, tmp_path):
+    """Counts that are known from words equal counted ones, and what parents and children are made of is written once."""
+    rng = random.Random(8)
+    docs = documents(spark, *["\n\n".join(" ".join(rng.choice(["ab", "c", "\u3000", "d-e"]) for _ in range(rng.choice([0, 1, 5, 40, 90, 200]))) for _ in range(9)) for _ in range(12)])
+    named = docs.select("document_id", *[F.lit(x).alias(n) for n, x in (("title", "t"), ("file_name", "f"), ("file_type", "txt"))], F.lit(None).cast("string").alias("source_path"))
+    blocks = normalize_blocks(aligned(plain.text_blocks(docs))).join(named, "document_id")
+    config = Chunking(parent_target=40, parent_hard_max=60, child_target=15, child_overlap=6)
+    once = chunking.chunk(blocks, config, work=f"file://{tmp_path}/chunks")
+    twice = chunking.chunk(blocks, config, counter=lambda c: T.token_count(c))
+    for a, b in zip(once, twice, strict=True):
+        assert sorted(map(str, a.collect())) == sorted(map(str, b.collect())) and a.count() > 30
+        assert "MapInArrow" not in a._jdf.queryExecution().toString() and "MapInArrow" in b._jdf.queryExecution().toString()
+
+
 def test_block_rules(spark):
     rows = spark.createDataFrame([("paragraph", " ", None), ("heading", "a", None), ("paragraph", "a", 1), ("page_break", None, None), ("odd", "a", None)], "t string, x string, l int")
     codes = [r.e.code if r.e else None for r in rows.select(validate.block_error(F.col("t"), F.col("x"), F.col("l")).alias("e")).collect()]
