@@ -271,6 +271,12 @@ def test_chunks_are_worked_out_once(spark, tmp_path):
         assert "MapInArrow" not in a._jdf.queryExecution().toString() and "MapInArrow" in b._jdf.queryExecution().toString()
 
 
+def test_chunks_take_bounded_batches(spark):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 10_000)
+    chunking.chunk(blocks_of(spark, "a text"))
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= BATCH_ROWS
+
+
 def test_block_rules(spark):
     rows = spark.createDataFrame([("paragraph", " ", None), ("heading", "a", None), ("paragraph", "a", 1), ("page_break", None, None), ("odd", "a", None)], "t string, x string, l int")
     codes = [r.e.code if r.e else None for r in rows.select(validate.block_error(F.col("t"), F.col("x"), F.col("l")).alias("e")).collect()]
