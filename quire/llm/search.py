@@ -1,15 +1,21 @@
 """Exact top-k inner products by aggregation without random access.
 
-Each dimension is a list of the candidates sorted by component. A query reads
-the lists where its own component is not zero, in step, from the end where the
-contribution to its score is largest. What it has read of a candidate is the
-candidate's partial sum; for each list where the candidate has not come up, the
-list's frontier (the last contribution read) bounds what it can still add from
-above, the list's last contribution from below. A candidate whose upper bound
-is under the k-th best score or lower bound so far cannot qualify. Reading stops
-when so few candidates qualify that resolving their scores costs less than
-another step, and they are resolved; lists that are read to the end have resolved
-themselves.
+Each dimension is two lists of the candidates sorted by component, one rising, one
+falling. A query reads the lists where its own component is not zero, in step, from
+the end where the contribution to its score is largest. What it has read of a
+candidate is the candidate's partial sum; for each list where the candidate has not
+come up, the list's frontier (the last contribution read) bounds what it can still
+add from above, the list's last contribution from below. A candidate whose upper
+bound is under the k-th best score or lower bound so far cannot qualify. Reading
+stops when only a few times k candidates qualify, and these are resolved; lists that
+are read to the end have resolved themselves.
+
+All queries of a cell read the same lists, so what is read to some depth is held once
+for all: a matrix of lists and candidates that has a candidate's component where the
+list has come to it, and the list's frontier elsewhere. Its product with the queries,
+their negative components against the rising lists and their positive ones against
+the falling, is all their upper bounds. A query first looks at its bounds a step before
+the depth where it stopped in the block of candidates before.
 
 Candidates and queries are dealt out in cells, one block of either in each: the
 rows of a cell fit a task, and no vectors pass through the driver.
@@ -33,8 +39,10 @@ CANDIDATE_BYTES, QUERY_BYTES = 32 << 20, 16 << 20
 FIRST, BLOCK = 512, 4096
 #: Entries of each list that are read between two looks at the bounds, as a share of the list.
 STEPS = 8
-#: Candidates, in steps, that may be left to resolve: at most a step's worth, an eighth of a block.
-RESOLVE = 1
+#: Candidates of a block that may be left to resolve for a query, in k.
+RESOLVE = 4
+#: Queries whose bounds are held at once, and pairs that are resolved at once.
+TILE, PAIRS = 256, 1 << 14
 NONE = -(1 << 62)
 LAST = np.iinfo(np.int64).max
 #: Scores must stay below this, so that sums of floats are exact.
@@ -60,6 +68,13 @@ def matrix(column: pa.ListArray) -> list[tuple[int, np.ndarray, np.ndarray]]:
     return found
 
 
+def firsts(rows: np.ndarray, vec: np.ndarray, score: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k best (score, vec_id) of each row: row after row, the best first."""
+    order = np.lexsort((vec, -score, rows))
+    of = rows[order]
+    return order[np.arange(len(of)) - np.searchsorted(of, of) < k]
+
+
 class Best:
     """The k best (score, vec_id) of each query so far."""
 
@@ -68,43 +83,58 @@ class Best:
         self.score = np.full((n, k), NONE, np.int64)
         self.vec = np.full((n, k), LAST, np.int64)
 
-    def add(self, query: int, vec: np.ndarray, score: np.ndarray) -> None:
-        v, s = np.concatenate([vec, self.vec[query]]), np.concatenate([score, self.score[query]])
-        order = np.lexsort((v, -s))[: self.k]
-        self.score[query], self.vec[query] = s[order], v[order]
+    def add(self, rows: np.ndarray, vec: np.ndarray, score: np.ndarray, copies: np.ndarray) -> None:
+        """rows: the query of each of these candidates."""
+        if copies.max(initial=1) > 1:
+            top = firsts(rows, vec, score, self.k)
+            rows, vec, score = (np.repeat(a[top], np.minimum(copies[top], self.k)) for a in (rows, vec, score))
+        some = np.unique(rows)
+        v, s = np.concatenate([self.vec[some].ravel(), vec]), np.concatenate([self.score[some].ravel(), score])
+        top = firsts(np.concatenate([np.repeat(some, self.k), rows]), v, s, self.k)
+        self.vec[some], self.score[some] = v[top].reshape(-1, self.k), s[top].reshape(-1, self.k)
 
 
 @dataclass
 class Lists:
-    """A block of candidates as sorted lists: for each dimension one that rises and one that falls."""
+    """A block of candidates as sorted lists: for each dimension one that rises, then for each one that falls."""
 
     vec: np.ndarray
     copies: np.ndarray
     x: np.ndarray  # candidates x dimensions, of a kind of floats whose sums are exact
-    order: list[np.ndarray] = field(init=False)  # for each step of reading, lists x entries: who comes
-    values: list[np.ndarray] = field(init=False)
+    both: np.ndarray = field(init=False)  # lists x candidates: the components
     rank: np.ndarray = field(init=False)  # lists x candidates: when each one comes
-    last: np.ndarray = field(init=False)  # the last value of each list
-    space: dict[str, np.ndarray] = field(init=False)  # arrays that every query uses again: new ones would cost more than what fills them
+    values: np.ndarray = field(init=False)  # lists x entries: the components in the order of reading
+    by_vec: np.ndarray = field(init=False)  # candidates by vec_id
 
     def __post_init__(self):
         n, d = self.x.shape
-        rising = np.argsort(self.x.T, axis=1, kind="stable")
-        order = np.concatenate([rising, rising[:, ::-1]])
-        values = np.take_along_axis(np.concatenate([self.x.T, self.x.T]), order, axis=1)
+        small = np.abs(self.x).max(initial=0) < 1 << 15
+        rising = np.argsort((self.x.astype(np.int16) if small else self.x).T, axis=1, kind="stable")
+        self.both = np.concatenate([self.x.T, self.x.T])
         self.rank = np.empty((2 * d, n), np.int16)
-        np.put_along_axis(self.rank, order, np.arange(n, dtype=np.int16)[None, :], axis=1)
-        self.last, step = values[:, -1].copy(), self.step
-        self.order, self.values = ([np.ascontiguousarray(a[:, i : i + step]) for i in range(0, n, step)] for a in (order.astype(np.int16), values))
-        kinds = {"order": (step, np.int16), "who": (step, np.intp), "values": (step, self.x.dtype), "parts": (step, np.float64), "when": (n, np.int16), "later": (n, bool), "unseen": (n, self.x.dtype)}
-        self.space = {name: np.empty(d * width, kind) for name, (width, kind) in kinds.items()}
-
-    @property
-    def step(self) -> int:
-        return max(1, -(-len(self.x) // STEPS))
-
-    def own(self, name: str, *shape: int) -> np.ndarray:
-        return self.space[name][: shape[0] * shape[1]].reshape(shape)
+        np.put_along_axis(self.rank[:d], rising, np.arange(n, dtype=np.int16)[None, :], axis=1)
+        self.rank[d:] = n - 1 - self.rank[:d]
+        values = np.take_along_axis(self.both[:d], rising, axis=1)
+        self.values = np.concatenate([values, values[:, ::-1]])
+        self.by_vec = np.argsort(self.vec, kind="stable")
+
+    def depths(self) -> list[int]:
+        """Entries of each list that are read at each look."""
+        n = len(self.vec)
+        step = max(1, -(-n // STEPS))
+        return [*range(step, n, step), n]
+
+    def read(self, depth: int, rest: int) -> np.ndarray:
+        """Lists x candidates: the components down to `depth`; beyond it, the list's value at place `rest`."""
+        return np.where(self.rank < depth, self.both, self.values[:, rest, None])
+
+    def own(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the candidates are that have one of `ids`: its place, the candidate's."""
+        vec = self.vec[self.by_vec]
+        low = np.searchsorted(vec, ids)
+        count = np.searchsorted(vec, ids, side="right") - low
+        nth = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+        return np.repeat(np.arange(len(ids)), count), self.by_vec[np.repeat(low, count) + nth]
 
 
 @dataclass
@@ -116,60 +146,63 @@ class Work:
     resolved: int = 0
 
 
-def qualify(lists: Lists, q: np.ndarray, own: int, floor: int, floor_vec: int, k: int, work: Work) -> tuple[np.ndarray, np.ndarray]:
-    """Candidates that may be among the k best of query `q`, and their scores.
+def resolve(x: np.ndarray, q: np.ndarray, at: np.ndarray, of: np.ndarray) -> np.ndarray:
+    """The scores of candidates `at` for the queries `of`."""
+    score = np.empty(len(at), np.int64)
+    for i in range(0, len(at), PAIRS):
+        score[i : i + PAIRS] = np.einsum("ij,ij->i", x[at[i : i + PAIRS]], q[of[i : i + PAIRS]])
+    return score
+
 
-    `floor` and `floor_vec` are the score and vec_id of the k-th best so far. The
-    query's own vec_id is none of them.
+def read_lists(lists: Lists, ids: np.ndarray, q: np.ndarray, first: np.ndarray, best: Best, work: Work) -> None:
+    """Add to `best` what qualifies in a block of candidates.
+
+    `first` is the look, from 0, with which each query begins; it is set anew for
+    the next block. A query's own vec_id is none of its candidates.
     """
-    n, d = lists.x.shape
-    used = np.flatnonzero(q)
-    rows, w = used + d * (q[used] > 0), q[used]
-    left = np.flatnonzero(lists.vec != own)  # who may still qualify
-    least = w * lists.last[rows]
-    sums, depth = np.zeros(n), 0
-    when, shown = None, np.arange(n)  # when each of those comes up in each list
-    work.entries += n * len(rows)
-    for order, values in zip(lists.order, lists.values, strict=True) if len(rows) else ():
-        shape = len(rows), order.shape[1]
-        parts, who = lists.own("parts", *shape), lists.own("who", *shape)
-        np.multiply(values.take(rows, axis=0, out=lists.own("values", *shape), mode="clip"), w[:, None], out=parts)
-        np.copyto(who, order.take(rows, axis=0, out=lists.own("order", *shape), mode="clip"))
-        sums += np.bincount(who.ravel(), parts.ravel(), n)
-        work.read += parts.size
-        depth += shape[1]
-        frontier = parts[:, -1]
-        if depth == n:
-            break
-        if floor > NONE and frontier.sum() >= floor:
-            continue  # even a candidate that has not come up in any list may qualify
-        if when is None:
-            when = lists.rank.take(rows, axis=0, out=lists.own("when", len(rows), n), mode="clip")
-        if 2 * len(left) < len(shown):
-            when, shown = lists.rank.take(rows, axis=0).take(left, axis=1), left
-        unseen = lists.own("unseen", *when.shape)
-        np.copyto(unseen, np.greater_equal(when, depth, out=lists.own("later", *when.shape)))
-        above, below = np.stack([frontier, least]).astype(q.dtype) @ unseen
-        if len(shown) > len(left):
-            above, below = (b[np.searchsorted(shown, left)] for b in (above, below))
-        bound = floor
-        if floor == NONE and len(left) >= k:
-            bound = np.partition(sums[left] + below, len(left) - k)[len(left) - k]
-        left = left[sums[left] + above >= bound]
-        if len(left) <= RESOLVE * lists.step:
-            break
-    at = left
-    if depth < n and len(rows):
-        work.resolved += len(at)
-        score = (lists.x[at] @ q).astype(np.int64)
-    else:
-        score = sums[at].astype(np.int64)
-    good = (score > floor) | ((score == floor) & (lists.vec[at] < floor_vec))
-    at, score = at[good], score[good]
-    if len(at) > 4 * k:  # a hundred times repeated vector: only the k best of these go on
-        top = np.lexsort((lists.vec[at], -score))[:k]
-        at, score = at[top], score[top]
-    return at, score
+    n, k = len(lists.vec), best.k
+    depths = lists.depths()
+    used = np.count_nonzero(q, axis=1)
+    work.entries += n * int(used.sum())
+    np.minimum(first, len(depths) - 1, out=first)
+    reads = np.ones(len(ids), bool)  # who still reads
+    for look, depth in enumerate(depths):
+        asks = np.flatnonzero(reads & (first <= look))
+        if not len(asks):
+            continue
+        frontier, least = lists.read(depth, depth - 1), None
+        for i in range(0, len(asks), TILE):
+            some = asks[i : i + TILE]
+            signed = np.concatenate([np.minimum(q[some], 0), np.maximum(q[some], 0)], axis=1)
+            above = signed @ frontier
+            above[lists.own(ids[some])] = -np.inf
+            floor = best.score[some, -1].astype(q.dtype)
+            new = np.flatnonzero(best.score[some, -1] == NONE)
+            if len(new) and n >= k:
+                least = lists.read(depth, n - 1) if least is None else least
+                below = signed[new] @ least
+                below[lists.own(ids[some[new]])] = -np.inf
+                floor[new] = np.maximum(floor[new], np.partition(below, n - k, axis=1)[:, n - k])
+            keeps = above >= floor[:, None]
+            left = np.count_nonzero(keeps, axis=1)
+            ends = np.flatnonzero((left <= RESOLVE * k) | (depth == n))
+            if not len(ends):
+                continue
+            done = some[ends]
+            reads[done] = False
+            work.read += depth * int(used[done].sum())
+            first[done] = max(0, look - 1)
+            of, at = np.divmod(np.flatnonzero(keeps[ends]), n)
+            if depth < n:
+                work.resolved += len(at)
+                score = resolve(lists.x, q, at, done[of])
+            else:
+                score = above[ends[of], at].astype(np.int64)
+            of = done[of]
+            good = (score > best.score[of, -1]) | ((score == best.score[of, -1]) & (lists.vec[at] < best.vec[of, -1]))
+            of, at, score = of[good], at[good], score[good]
+            if len(at):
+                best.add(of, lists.vec[at], score, lists.copies[at])
 
 
 def blocks(n: int) -> Iterator[slice]:
@@ -188,13 +221,9 @@ def search(ids: np.ndarray, q: np.ndarray, vec: np.ndarray, copies: np.ndarray,
     kind = np.float32 if most < 1 << 24 else np.float64
     q, x = q.astype(kind), x.astype(kind)
     best, work = Best(len(ids), k), work or Work()
+    first = np.zeros(len(ids), np.int64)
     for part in blocks(len(vec)):
-        lists = Lists(vec[part], copies[part], x[part])
-        for i in range(len(ids)):
-            at, score = qualify(lists, q[i], ids[i], best.score[i, -1], best.vec[i, -1], k, work)
-            if len(at):
-                times = np.minimum(lists.copies[at], k)
-                best.add(i, np.repeat(lists.vec[at], times), np.repeat(score, times))
+        read_lists(Lists(vec[part], copies[part], x[part]), ids, q, first, best, work)
     return best
 
 
