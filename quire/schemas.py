@@ -15,7 +15,7 @@ TABLES = {
     "chat_sessions": "id string, title string, created_at timestamp, updated_at timestamp",
     "chat_messages": "id string, session_id string, role string, content string, trace_id string, llm_model string, latency_ms double, created_at timestamp",
     "evaluation_runs": "id string, top_k int, include_answers boolean, total_cases int, passed_cases int, failed_cases int, source_hit_rate double, answer_term_pass_rate double, response_json string, created_at timestamp",
-    "postings": "term string, range int, most int, units int, entries array<struct<unit:string,positions:array<int>>>",
+    "postings": "term string, range int, most int, units int, entries array<struct<number:int,positions:array<int>>>, unit string, number int, words int",
     "vector_cells": "id string, owner string, file_name string, file_type string, embedding array<float>",
     "text_targets": "target string, owner string, range int, parts array<struct<unit:string,words:int>>",
 }

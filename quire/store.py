@@ -123,11 +123,11 @@ class Store:
         return rows
 
     def versioned(self, schema: T.StructType, entries: list[dict], paths: list[str] | None = None) -> DataFrame:
-        """The rows of several folders, in one scan, with the version of each; `paths` are the parts of the folders to read, all by default."""
+        """The rows of several folders, in one scan, with the name and version of each (`_folder`, `_version`); `paths` are the parts of the folders to read, all by default."""
         of_folder = F.create_map(*[F.lit(x) for e in entries for x in (e["path"].rsplit("/", 1)[1], e["version"])])
         folder = F.regexp_extract("_metadata.file_path", "/((?:rows|base|drop)-[0-9a-f]{32})/", 1)
         rows = self.spark.read.schema(schema).parquet(*(paths or [e["path"] for e in entries]))
-        return rows.withColumn("_version", F.element_at(of_folder, folder).cast("long"))
+        return rows.withColumn("_folder", folder).withColumn("_version", F.element_at(of_folder, F.col("_folder")).cast("long"))
 
     def append(self, table: str, rows: DataFrame) -> None:
         change = Change()

@@ -69,6 +69,61 @@ def test_postings_leave_a_task_in_small_batches(spark, monkeypatch):
     assert max(b.num_rows for b in parts) <= 500 and len(parts) > 20
 
 
+def test_units_are_numbered_within_their_range_over_batches(monkeypatch):
+    """A task's blocks have each unit under its own number, whatever Spark hands over at once, and a bounded number of words."""
+    rng = random.Random(6)
+    texts = [(f"u{k}", k // 40, None if k % 50 == 0 else [rng.choice(["", "a", "bc", None, f"w{k % 9}"]) for _ in range(rng.randint(0, 30))]) for k in range(300)]
+    schema = pa.schema([("unit", pa.string()), ("range", pa.int32()), ("stems", pa.list_(pa.string()))])
+    batches = [pa.RecordBatch.from_pylist([dict(zip(schema.names, t, strict=True)) for t in texts[a : a + 23]], schema) for a in range(0, 300, 23)]
+    monkeypatch.setattr(text_index, "WORDS_AT_ONCE", 50)
+    monkeypatch.setattr(text_index, "BLOCKED_AT_ONCE", 400)
+    rows = [r for b in text_index.posted(iter([*batches, batches[0].slice(0, 0)])) for r in b.to_pylist()]
+    names = {(r["range"], r["number"]): r["unit"] for r in rows if r["unit"] is not None}
+    assert sorted(names) == [(k // 40, k % 40) for k in range(300)] and [r["words"] for r in rows if r["unit"]] == [len(t[2] or ()) for t in texts]
+    heads = [r for r in rows if r["unit"] is None]
+    assert all(r["units"] == len(r["entries"]) and r["most"] == max(len(e["positions"]) for e in r["entries"]) for r in heads)
+    got = sorted((names[r["range"], e["number"]], r["term"], e["positions"]) for r in heads for e in r["entries"])
+    assert got == sorted((u, t, [i for i, w in enumerate(own or ()) if w == t]) for u, _, own in texts for t in {w for w in own or () if w})
+
+
+def test_a_merge_makes_one_block_of_a_term_and_range(spark, tmp_path, monkeypatch):
+    """Of blocks from several commits, without units that were replaced, in a task for each bucket; also when ranges are taken a few at a time."""
+    rng = random.Random(7)
+    index = TextIndex(Store(spark, f"file://{tmp_path}/s"), buckets=4, range_bits=3)
+    now = {}
+    for turn in range(2):
+        for part in range(2):
+            new = {f"u{k}": (f"o{k % 11}", some_text(rng, 25)) for k in range(20 * part, 20 * part + 30)}
+            now |= new
+            put(index, [(u, *v) for u, v in new.items()], replace=False)
+        monkeypatch.setattr(text_index, "NUMBERED_AT_ONCE", (5_000_000, 20)[turn])
+        state = index.store.state()
+        index.compact()
+        blocks = index._blocks(index.store.state(), None)
+        heads = [tuple(r) for r in blocks.select("term", "range").collect()]
+        assert len(heads) == len(set(heads)) < index._blocks(state, None).count() / 1.5
+        found = [(r.term, r.unit, r.positions) for r in index._entries(index.store.state(), blocks).collect()]
+        stemmed = spark.createDataFrame([(u, v[1]) for u, v in now.items()], "unit string, text string").select("unit", R.stems(F.col("text")).alias("s")).collect()
+        assert sorted(found) == sorted((t, r.unit, [i for i, w in enumerate(r.s) if w == t]) for r in stemmed for t in set(r.s) - {""})
+        assert len(index.store.state().actions("postings")) == 1
+    assert len({re.search("part-[0-9]+", f)[0] for f in blocks.inputFiles()}) >= 4
+
+
+def test_an_index_takes_disk_in_proportion_to_its_texts(spark, tmp_path):
+    """What putting and merging texts writes, shuffles included, against the texts' bytes."""
+    rng = random.Random(8)
+    vocabulary = ["".join(rng.choice("bcdfghklmnprstvz") + rng.choice("aeiou") for _ in range(rng.randint(2, 4))) for _ in range(6000)]
+    rows = [(f"{k}", f"{k}", " ".join(vocabulary[int(len(vocabulary) * rng.random() ** 3)] for _ in range(200))) for k in range(4000)]
+    shuffled = lambda: spark.sparkContext._jsc.sc().statusStore().executorList(False).head().totalShuffleWrite()
+    before = shuffled()
+    index = TextIndex(Store(spark, f"file://{tmp_path}/s"), buckets=4, range_bits=2)
+    put(index, rows[:1000])
+    put(index, rows[1000:])
+    index.compact()
+    files = sum(p.stat().st_size for p in tmp_path.rglob("*.parquet"))
+    assert files + shuffled() - before < 2.5 * sum(len(r[2]) for r in rows)
+
+
 _made = {}
 
 
